@@ -118,14 +118,21 @@ def align_pairs(pairs: DataFrame) -> DataFrame:
     def run(batches):
         import pandas as pd
         names = [c.split()[0] for c in ALIGNMENT.split(", ")]
+        frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"ia": "Int32", "ib": "Int32"})
+        rows: list[tuple] = []
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                out = pd.DataFrame(_pair_rows(row.pair_id, row.text_a, row.text_b), columns=names)
-                yield out.astype({"ia": "Int32", "ib": "Int32"})
+                rows += _pair_rows(row.pair_id, row.text_a, row.text_b)
+                if len(rows) > 50_000:
+                    yield frame(rows)
+                    rows = []
+        yield frame(rows)
 
     differing = pairs.where(F.col("text_a") != F.col("text_b")).select(
         F.col("pair_id").cast("string").alias("pair_id"), "text_a", "text_b")
-    return differing.mapInPandas(run, ALIGNMENT)
+    # Alignment is quadratic in a page, so even a small table is worth spreading.
+    spread = differing.repartition(4 * pairs.sparkSession.sparkContext.defaultParallelism, "pair_id")
+    return spread.mapInPandas(run, ALIGNMENT)
 
 
 def _numbered_runs(alignment: DataFrame) -> DataFrame:

@@ -193,15 +193,15 @@ def _(spark, sf):
 
 
 def _pairs(spark, sf):
-    """Two readings per document: every second document misreads one word."""
-    misread = F.replace("content", F.lit(" the "), F.lit(" tbe "))
+    """Two readings per document: every second document misreads one syllable."""
+    misread = F.replace(F.replace("content", F.lit("the"), F.lit("tbe")), F.lit("The"), F.lit("Tbe"))
     return documents(spark, sf).select(F.col("doc_id").alias("pair_id"), F.col("content").alias("text_a"), F.when(
         F.col("doc_id").cast("long") % 2 == 1, misread).otherwise(F.col("content")).alias("text_b"))
 
 
-# The misread word never occurs in the other reading, so the alignment is positional.
+# Misread words never occur in the other reading, so the alignment is positional.
 _SQL_PAIRS = r"""p AS (SELECT CAST(doc_id AS VARCHAR) AS pair_id, text AS a,
-    CASE WHEN doc_id % 2 = 1 THEN replace(text, ' the ', ' tbe ') ELSE text END AS b FROM documents),
+    CASE WHEN doc_id % 2 = 1 THEN replace(replace(text, 'the', 'tbe'), 'The', 'Tbe') ELSE text END AS b FROM documents),
 w AS (SELECT pair_id, list_transform(regexp_extract_all(a, '[^ \t\n\r\f]+'), lambda x: lower(regexp_replace(x, '[`‘’]', '''', 'g'))) AS ta,
     list_transform(regexp_extract_all(b, '[^ \t\n\r\f]+'), lambda x: lower(regexp_replace(x, '[`‘’]', '''', 'g'))) AS tb,
     lower(regexp_extract(a, '[^ \t\n\r\f]([^ \t\n\r\f]*[ \t\n\r\f]*)$', 1)) = lower(regexp_extract(b, '[^ \t\n\r\f]([^ \t\n\r\f]*[ \t\n\r\f]*)$', 1)) AS tail FROM p),
