@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docflow.functions.text import strip_code_fence, strip_json_fence
 
 
+def bind(value: Column, fn) -> Column:
+    """``fn`` of a value computed once: a lambda variable stands for it, where a repeated
+    expression would be evaluated in every branch that uses it."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def json_kind(variant: Column) -> Column:
     """``OBJECT | ARRAY | STRING | VOID | …`` of a variant column; NULL where absent."""
     return F.regexp_extract(F.schema_of_variant(variant), "^([A-Z]+)", 1)
@@ -28,13 +35,14 @@ def compact(col: Column) -> Column:
 def delta_text(col: Column) -> Column:
     """Text of one delta: its string ``delta`` member, a JSON string's value, other
     JSON compacted, or the text itself where it is not JSON."""
-    parsed = F.try_parse_json(col)
-    delta = member(parsed, "delta")
-    return (F.when(parsed.isNull(), col)
-            .when(json_kind(delta) == "STRING", F.try_variant_get(parsed, "$['delta']", "string"))
-            .when(json_kind(parsed) == "STRING", F.try_variant_get(parsed, "$", "string"))
-            .when(json_kind(parsed) == "VOID", F.lit("null"))
-            .otherwise(compact(col)))
+    def text(parsed):
+        delta = member(parsed, "delta")
+        return (F.when(parsed.isNull(), col)
+                .when(json_kind(delta) == "STRING", F.try_variant_get(parsed, "$['delta']", "string"))
+                .when(json_kind(parsed) == "STRING", F.try_variant_get(parsed, "$", "string"))
+                .when(json_kind(parsed) == "VOID", F.lit("null"))
+                .otherwise(compact(col)))
+    return bind(F.try_parse_json(col), text)
 
 
 def array_texts(col: Column) -> Column:
@@ -45,8 +53,6 @@ def array_texts(col: Column) -> Column:
 def pretty_json(col: Column) -> Column:
     """Two-space indented JSON. The one JSON printer without a native equivalent, so
     callers pass NULL for the rows that need none."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def indent(texts: pd.Series) -> pd.Series:
         def one(text):
@@ -73,8 +79,7 @@ def comment_lines(metadata: Column, label: str = "") -> Column:
 
 def reply_json(col: Column) -> Column:
     """Reply text without code fences; NULL where what is left is not JSON."""
-    cleaned = strip_code_fence(col)
-    return F.when(F.try_parse_json(cleaned).isNotNull(), cleaned)
+    return bind(strip_code_fence(col), lambda t: F.when(F.try_parse_json(t).isNotNull(), t))
 
 
 def parse_reply(col: Column) -> Column:
@@ -89,25 +94,24 @@ def normalize_vision_reply(col: Column, describe: bool = True) -> Column:
 
     Not JSON: the text itself is the markdown. Wrong types fall back to ''/false/NULL.
     """
-    cleaned = strip_json_fence(col)
-    v = F.try_parse_json(cleaned)
-    text = F.try_variant_get(v, "$.markdown", "string")
-    kind = json_kind(member(v, "markdown"))
-    # A falsy non-string value (false, 0, null, absent) prints as the empty string.
-    markdown = (F.when(v.isNull(), cleaned)
-                .when(kind == "STRING", text)
-                .when(kind.isin("OBJECT", "ARRAY"), F.get_json_object(cleaned, "$.markdown"))
-                .when(text.isin("false", "0"), F.lit(""))
-                .otherwise(F.coalesce(text, F.lit(""))))
-    first = F.coalesce(F.when(json_kind(member(v, "isFirstPage")) == "BOOLEAN",
-                              F.try_variant_get(v, "$.isFirstPage", "boolean")), F.lit(False))
-    description = (F.coalesce(F.when(json_kind(member(v, "description")) == "STRING",
-                                     F.try_variant_get(v, "$.description", "string")), F.lit(""))
-                   if describe else F.lit(None).cast("string"))
-    tags = F.when(json_kind(member(v, "tags")) == "ARRAY",
-                  F.from_json(F.get_json_object(cleaned, "$.tags"), "array<string>"))
-    return F.struct(markdown.alias("markdown"), first.alias("is_first_page"),
-                    description.alias("description"), tags.alias("tags"))
+    def fields(cleaned, v):
+        text = F.try_variant_get(v, "$.markdown", "string")
+        kind = json_kind(member(v, "markdown"))
+        # A falsy non-string value (false, 0, null, absent) prints as the empty string.
+        markdown = (F.when(v.isNull(), cleaned)
+                    .when(kind == "STRING", text)
+                    .when(kind.isin("OBJECT", "ARRAY"), F.get_json_object(cleaned, "$.markdown"))
+                    .when(text.isin("false", "0"), F.lit(""))
+                    .otherwise(F.coalesce(text, F.lit(""))))
+        first = F.coalesce(F.when(json_kind(member(v, "isFirstPage")) == "BOOLEAN",
+                                  F.try_variant_get(v, "$.isFirstPage", "boolean")), F.lit(False))
+        description = (F.coalesce(F.when(json_kind(member(v, "description")) == "STRING",
+                                         F.try_variant_get(v, "$.description", "string")), F.lit(""))
+                       if describe else F.lit(None).cast("string"))
+        tags = F.try_variant_get(v, "$.tags", "array<string>")
+        return F.struct(markdown.alias("markdown"), first.alias("is_first_page"),
+                        description.alias("description"), tags.alias("tags"))
+    return bind(strip_json_fence(col), lambda t: bind(F.try_parse_json(t), lambda v: fields(t, v)))
 
 
 def json_object(*members: tuple[str, Column]) -> Column:

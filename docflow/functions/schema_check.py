@@ -11,7 +11,8 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docflow.functions.jsonx import json_kind, member, reply_json
+from docflow.functions.jsonx import bind, json_kind, member
+from docflow.functions.text import json_string, strip_code_fence
 
 VIOLATION = "struct<instance_path:string,keyword:string,message:string>"
 
@@ -41,8 +42,7 @@ def _text(v: Column) -> Column:
     return F.try_variant_get(v, "$", "string")
 
 
-def _is_type(v: Column, name: str) -> Column:
-    kind = json_kind(v)
+def _is_type(v: Column, kind: Column, name: str) -> Column:
     if name == "number":
         return kind.isin(*NUMBERS)
     if name == "integer":
@@ -52,15 +52,15 @@ def _is_type(v: Column, name: str) -> Column:
     return kind == KINDS[name]
 
 
-def _equals(v: Column, value) -> Column:
+def _equals(v: Column, kind: Column, value) -> Column:
     if value is None:
-        return _is_type(v, "null")
+        return _is_type(v, kind, "null")
     if isinstance(value, bool):
-        return _is_type(v, "boolean") & (F.try_variant_get(v, "$", "boolean") == value)
+        return _is_type(v, kind, "boolean") & (F.try_variant_get(v, "$", "boolean") == value)
     if isinstance(value, (int, float)):
-        return _is_type(v, "number") & (_double(v) == float(value))
+        return _is_type(v, kind, "number") & (_double(v) == float(value))
     if isinstance(value, str):
-        return _is_type(v, "string") & (_text(v) == value)
+        return _is_type(v, kind, "string") & (_text(v) == value)
     return F.to_json(v) == F.to_json(F.parse_json(F.lit(json.dumps(value))))
 
 
@@ -81,7 +81,28 @@ def _resolve(ref: str, root: dict) -> dict:
     return node
 
 
-def _compile(schema, v: Column, path: Column, root: dict, seen: tuple = ()) -> list[Column]:
+def _constrains(schema, root: dict, seen: tuple) -> bool:
+    """Whether a schema can be violated at all (unknown keywords count, so they get reported)."""
+    if isinstance(schema, bool):
+        return not schema
+    for key, value in schema.items():
+        if key == "properties":
+            if any(_constrains(sub, root, seen) for sub in value.values()):
+                return True
+        elif key in ("items", "additionalProperties"):
+            if _constrains(value, root, seen):
+                return True
+        elif key not in IGNORED:
+            return True
+    return False
+
+
+def _check(schema, value: Column, path: Column, root: dict, seen: tuple) -> Column:
+    """Violations of one value; the value and its kind are bound once."""
+    return bind(value, lambda v: bind(json_kind(v), lambda k: F.concat(*_compile(schema, v, k, path, root, seen))))
+
+
+def _compile(schema, v: Column, kind: Column, path: Column, root: dict, seen: tuple = ()) -> list[Column]:
     if schema is True or schema == {}:
         return []
     if schema is False:
@@ -96,11 +117,11 @@ def _compile(schema, v: Column, path: Column, root: dict, seen: tuple = ()) -> l
     fail = lambda bad, kw, msg: out.append(_fail(v.isNotNull() & bad, path, kw, msg))
     if "type" in schema:
         types = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
-        ok = _is_type(v, types[0])
+        ok = _is_type(v, kind, types[0])
         for t in types[1:]:
-            ok = ok | _is_type(v, t)
+            ok = ok | _is_type(v, kind, t)
         fail(~ok, "type", f"must be {','.join(types)}")
-    number, string = _is_type(v, "number"), _is_type(v, "string")
+    number, string = _is_type(v, kind, "number"), _is_type(v, kind, "string")
     for kw, bad, sign in (("maximum", _double(v) > schema.get("maximum", 0), "<="),
                           ("minimum", _double(v) < schema.get("minimum", 0), ">="),
                           ("exclusiveMaximum", _double(v) >= schema.get("exclusiveMaximum", 0), "<"),
@@ -117,7 +138,7 @@ def _compile(schema, v: Column, path: Column, root: dict, seen: tuple = ()) -> l
                  f"must NOT have {'more' if more else 'fewer'} than {schema[kw]} characters")
     if "pattern" in schema:
         fail(string & ~_text(v).rlike(schema["pattern"]), "pattern", f'must match pattern "{schema["pattern"]}"')
-    array = _is_type(v, "array")
+    array = _is_type(v, kind, "array")
     for kw, more in (("maxItems", True), ("minItems", False)):
         if kw in schema:
             n = F.size(_elements(v))
@@ -126,11 +147,11 @@ def _compile(schema, v: Column, path: Column, root: dict, seen: tuple = ()) -> l
     if schema.get("uniqueItems"):
         texts = F.transform(_elements(v), lambda x: F.to_json(x))
         fail(array & (F.size(F.array_distinct(texts)) < F.size(texts)), "uniqueItems", "must NOT have duplicate items")
-    if "items" in schema and _compile(schema["items"], F.lit(None).cast("variant"), path, root, seen):
+    if "items" in schema and _constrains(schema["items"], root, seen):
         def each(x, i):
-            return F.concat(*_compile(schema["items"], x, F.concat(path, F.lit("/"), i.cast("string")), root, seen))
+            return _check(schema["items"], x, F.concat(path, F.lit("/"), i.cast("string")), root, seen)
         out.append(F.when(array, F.flatten(F.transform(_elements(v), each))).otherwise(_none()))
-    obj = _is_type(v, "object")
+    obj = _is_type(v, kind, "object")
     for kw, more in (("maxProperties", True), ("minProperties", False)):
         if kw in schema:
             n = F.size(_keys(v))
@@ -148,26 +169,30 @@ def _compile(schema, v: Column, path: Column, root: dict, seen: tuple = ()) -> l
     elif extra is not True and extra != {}:
         entries = F.from_json(F.to_json(v), "map<string,variant>")
         others = F.map_entries(F.map_filter(entries, lambda k, _x: ~k.isin(*props) if props else F.lit(True)))
-        if _compile(extra, F.lit(None).cast("variant"), path, root, seen):
-            out.append(F.when(obj, F.flatten(F.transform(others, lambda e: F.concat(
-                *_compile(extra, e["value"], F.concat(path, F.lit("/"), e["key"]), root, seen))))).otherwise(_none()))
+        if _constrains(extra, root, seen):
+            out.append(F.when(obj, F.flatten(F.transform(others, lambda e: _check(
+                extra, e["value"], F.concat(path, F.lit("/"), e["key"]), root, seen)))).otherwise(_none()))
+    parts = []
     for name, sub in props.items():
         pointer = F.concat(path, F.lit("/" + name.replace("~", "~0").replace("/", "~1")))
-        out += [F.when(obj, c).otherwise(_none()) for c in _compile(sub, member(v, name), pointer, root, seen)]
+        if _constrains(sub, root, seen):
+            parts.append(_check(sub, member(v, name), pointer, root, seen))
+    if parts:
+        out.append(F.when(obj, F.concat(*parts)).otherwise(_none()))
     if "const" in schema:
-        fail(~_equals(v, schema["const"]), "const", "must be equal to constant")
+        fail(~_equals(v, kind, schema["const"]), "const", "must be equal to constant")
     if "enum" in schema:
         ok = F.lit(False)
         for value in schema["enum"]:
-            ok = ok | F.coalesce(_equals(v, value), F.lit(False))
+            ok = ok | F.coalesce(_equals(v, kind, value), F.lit(False))
         fail(~ok, "enum", "must be equal to one of the allowed values")
     if "$ref" in schema:
         if schema["$ref"] in seen:
             raise ValueError(f"recursive $ref has no native form: {schema['$ref']}")
-        out += _compile(_resolve(schema["$ref"], root), v, path, root, (*seen, schema["$ref"]))
+        out += _compile(_resolve(schema["$ref"], root), v, kind, path, root, (*seen, schema["$ref"]))
     for sub in schema.get("allOf", []):
-        out += _compile(sub, v, path, root, seen)
-    holds = lambda sub: (F.size(F.concat(*c)) == 0) if (c := _compile(sub, v, path, root, seen)) else F.lit(True)
+        out += _compile(sub, v, kind, path, root, seen)
+    holds = lambda sub: (F.size(F.concat(*c)) == 0) if (c := _compile(sub, v, kind, path, root, seen)) else F.lit(True)
     if "anyOf" in schema:
         ok = F.lit(False)
         for sub in schema["anyOf"]:
@@ -185,16 +210,17 @@ def _compile(schema, v: Column, path: Column, root: dict, seen: tuple = ()) -> l
 
 def variant_violations(v: Column, schema: dict, first_only: bool = False) -> Column:
     """array<(instance_path, keyword, message)> of a variant; empty where it conforms."""
-    parts = _compile(schema, v, F.lit(""), schema)
-    found = F.concat(*parts) if parts else _none()
+    if not _constrains(schema, schema, ()):
+        return _none()
+    found = _check(schema, v, F.lit(""), schema, ())
     return F.slice(found, 1, 1) if first_only else found
 
 
 def violations(reply: Column, schema: dict, first_only: bool = False) -> Column:
     """Violations of a reply text; a reply that is not JSON has one of keyword ``parse``."""
-    v = F.try_parse_json(reply_json(reply))
     parse = F.array(F.struct(F.lit("").alias("instance_path"), F.lit("parse").alias("keyword"), F.lit("reply is not valid JSON").alias("message")))
-    return F.when(v.isNull(), parse).otherwise(variant_violations(v, schema, first_only))
+    return bind(F.try_parse_json(strip_code_fence(reply)), lambda v: F.when(v.isNull(), parse).otherwise(
+        variant_violations(v, schema, first_only)))
 
 
 def wrap_schema(schema: dict) -> tuple[dict, bool]:
@@ -208,8 +234,8 @@ def unwrap_reply(reply: Column, was_wrapped: bool) -> Column:
     """The ``result`` member of a wrapped reply as JSON text; anything else unchanged."""
     if not was_wrapped:
         return reply
-    v = member(F.try_parse_json(reply), "result")
-    quoted = F.substring(F.to_json(F.array(_text(v))), F.lit(2), F.length(F.to_json(F.array(_text(v)))) - 2)
-    value = F.when(json_kind(v) == "STRING", quoted).when(json_kind(v) == "VOID", F.lit("null")).otherwise(
-        F.get_json_object(reply, "$.result"))
-    return F.when(v.isNotNull(), value).otherwise(reply)
+    def value(v):
+        quoted = json_string(_text(v))
+        return F.when(v.isNull(), reply).when(json_kind(v) == "STRING", quoted).when(
+            json_kind(v) == "VOID", F.lit("null")).otherwise(F.get_json_object(reply, "$.result"))
+    return bind(member(F.try_parse_json(reply), "result"), value)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,16 +14,17 @@ SPACE = r"[ \t\n\r\f]"
 TOKEN = r"[ \t\n\r\f]*[^ \t\n\r\f]+|[ \t\n\r\f]+\z"
 
 # Every character a script engine's trim() strips.
-TRIM_CLASS = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+TRIM_CHARS = "\t\n\x0b\f\r " + "".join(map(chr, (
+    0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 
 
 def trim_all(col: Column) -> Column:
     """Strip all Unicode white space at both ends (``F.trim`` strips blanks only)."""
-    return F.regexp_replace(col, f"^{TRIM_CLASS}+|{TRIM_CLASS}+\\z", "")
+    return F.btrim(col, F.lit(TRIM_CHARS))
 
 
 def trim_end(col: Column) -> Column:
-    return F.regexp_replace(col, f"{TRIM_CLASS}+\\z", "")
+    return F.rtrim(col, F.lit(TRIM_CHARS))
 
 
 def _word_tokens(col: Column) -> Column:
@@ -59,8 +61,6 @@ def register_bpe(name: str, load: Callable[[], object]) -> None:
     ``load`` returns an object with ``encode(str) -> list[int]`` and
     ``decode_single_token_bytes(int) -> bytes``; it runs once per Python worker.
     """
-    import pandas as pd
-
     cache: dict[str, object] = {}
 
     def encoder():
@@ -150,5 +150,6 @@ def fence_attachment(filename: Column, markdown: Column) -> Column:
 
 def json_string(col: Column) -> Column:
     """A text column as a quoted JSON string."""
+    # Cut the brackets of a one-element array; the upper bound is beyond any text.
     quoted = F.to_json(F.array(col))
-    return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    return F.regexp_replace(quoted, r"^\[|\]\z", "")

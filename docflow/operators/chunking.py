@@ -217,7 +217,8 @@ def merge_chunks(chunks: DataFrame, max_tokens: int, group: str = "pages", encod
     if not 0 <= overlap_tokens < max_tokens:
         raise ValueError("overlap_tokens must be in [0, max_tokens)")
     new_group = new_group or merged_group_name(group, max_tokens, encoding)
-    source = chunk_group(chunks, group).select(
+    # The explicit null filter keeps the count branches equal, so they share one exchange.
+    source = chunk_group(chunks, group).where(F.col("doc_id").isNotNull() & F.col("chunk_idx").isNotNull()).select(
         "doc_id", "chunk_idx", F.coalesce("content", F.lit("")).alias("content"))
     counted = source.select("doc_id", "chunk_idx", token_count(F.col("content"), encoding).cast("long").alias("n"))
     pieces = (_pieces_overlap(counted, max_tokens, overlap_tokens, block) if overlap_tokens

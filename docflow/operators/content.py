@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docflow.functions.jsonx import (annotation, array_texts, comment_lines, compact, delta_text,
+from docflow.functions.jsonx import (annotation, array_texts, bind, comment_lines, compact, delta_text,
                                      json_kind, member, pretty_json)
 from docflow.functions.text import trim_all
 from docflow.operators.ordering import concat_ordered, dense_index, with_frames
@@ -228,17 +228,18 @@ def extract_summary(docs: DataFrame, field: str = "summary", separator: str = "\
                     pretty: bool = True) -> DataFrame:
     """(doc_id, summary, message): delta arrays joined, an object's delta, another object
     as JSON (indented if ``pretty``), anything else as text."""
-    v = member(F.try_parse_json("annotations"), field)
-    kind = json_kind(v)
-    text = annotation(F.col("annotations"), field)
-    deltas = F.filter(F.transform(array_texts(text), delta_text), lambda t: trim_all(t) != "")
-    plain = (F.when(kind == "ARRAY", F.array_join(deltas, separator))
-             .when((kind == "OBJECT") & json_kind(member(v, "delta")).isNotNull(),
-                   annotation(text, "delta"))
-             .when(kind == "OBJECT", F.lit(None).cast("string"))
-             .when(kind != "VOID", text))
-    rows = docs.select("doc_id", kind.alias("_kind"), plain.alias("_plain"),
-                       F.when((kind == "OBJECT") & plain.isNull(), compact(text)).alias("_object"))
+    def parts(v, text):
+        kind = json_kind(v)
+        deltas = F.filter(F.transform(array_texts(text), delta_text), lambda t: trim_all(t) != "")
+        plain = (F.when(kind == "ARRAY", F.array_join(deltas, separator))
+                 .when((kind == "OBJECT") & json_kind(member(v, "delta")).isNotNull(), annotation(text, "delta"))
+                 .when((kind != "OBJECT") & (kind != "VOID"), text))
+        whole = F.when((kind == "OBJECT") & json_kind(member(v, "delta")).isNull(), compact(text))
+        return F.struct(kind.alias("kind"), plain.alias("plain"), whole.alias("object"))
+
+    found = bind(member(F.try_parse_json("annotations"), field),
+                 lambda v: bind(annotation(F.col("annotations"), field), lambda t: parts(v, t)))
+    rows = docs.select("doc_id", found.alias("f")).select("doc_id", F.col("f.kind").alias("_kind"), F.col("f.plain").alias("_plain"), F.col("f.object").alias("_object"))
     shown = pretty_json(F.col("_object")) if pretty else F.col("_object")
     return rows.select("doc_id", F.coalesce("_plain", shown).alias("summary"),
                        F.when(F.col("_kind").isNull(), F.lit(f"No {field} found in annotations")).alias("message"))
@@ -247,11 +248,12 @@ def extract_summary(docs: DataFrame, field: str = "summary", separator: str = "\
 def chunk_annotations(chunks: DataFrame, group: str, target: str = "summary",
                       include_metadata: bool = False) -> DataFrame:
     """One row per chunk of the group: its annotation as text, NULL where it has none."""
-    v = member(F.try_parse_json("annotations"), target)
-    text = annotation(F.col("annotations"), target)
-    value = (F.when(json_kind(v) == "ARRAY", F.array_join(F.transform(array_texts(text), delta_text), "\n"))
-             .when(json_kind(v) == "VOID", F.lit("null"))
-             .when(v.isNotNull(), delta_text(text)))
+    def text_of(v, text):
+        kind = json_kind(v)
+        return (F.when(kind == "ARRAY", F.array_join(F.transform(array_texts(text), delta_text), "\n"))
+                .when(kind == "VOID", F.lit("null")).when(v.isNotNull(), delta_text(text)))
+    value = bind(member(F.try_parse_json("annotations"), target),
+                 lambda v: bind(annotation(F.col("annotations"), target), lambda t: text_of(v, t)))
     cols = ["doc_id", "chunk_idx", value.alias("annotation")]
     return chunks.where(F.col("chunk_group") == group).select(*cols, *(["metadata"] if include_metadata else []))
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docflow.functions.jsonx import json_number, json_object
+from docflow.functions.jsonx import bind, json_number, json_object
 from docflow.functions.text import json_string
 
 log = logging.getLogger(__name__)
@@ -135,8 +135,10 @@ def echo_tool() -> ToolSpec:
 def calculator_tool() -> ToolSpec:
     """The four operations on ``a`` and ``b``."""
     def column(args: Column) -> Column:
-        op = F.get_json_object(args, "$.operation")
-        a, b = (F.get_json_object(args, f"$.{n}").try_cast("double") for n in "ab")
+        return bind(F.from_json(args, "operation string, a double, b double"), outcome)
+
+    def outcome(call: Column) -> Column:
+        op, a, b = call["operation"], call["a"], call["b"]
         value = (F.when(op == "add", a + b).when(op == "subtract", a - b).when(op == "multiply", a * b)
                  .when((op == "divide") & (b != 0), a / b))
         error = (F.when((op == "divide") & (b == 0), F.lit("Division by zero"))

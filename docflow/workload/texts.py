@@ -59,14 +59,15 @@ def _(spark, sf):
 
 def _spans(spark, sf):
     """Lines as spans of their document, one in seven past its end."""
-    docs = table(spark, sf, "documents").select(
-        F.col("doc_id").cast("string").alias("doc_id"), F.split("text", "\n", -1).alias("s"))
-    rows = docs.select("doc_id", "s", F.posexplode("s").alias("chunk_idx", "t"))
-    start = F.aggregate(F.slice("s", F.lit(1), F.col("chunk_idx")), F.lit(0), lambda a, x: a + F.length(x) + 1)
-    bad = (F.col("chunk_idx") == F.size("s") - 1) & (F.col("doc_id").cast("long") % 7 == 0)
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.split("text", "\n", -1).alias("s"))
+    sizes = F.transform("s", lambda t: F.length(t))
+    at = F.aggregate(sizes, F.struct(F.lit(0).alias("p"), F.array().cast("array<struct<start:int,length:int>>").alias("out")), lambda a, n: F.struct(
+        (a["p"] + n + 1).alias("p"), F.concat(a["out"], F.array(F.struct(a["p"].alias("start"), n.alias("length")))).alias("out")))["out"]
+    rows = docs.select("doc_id", F.size("s").alias("n"), F.posexplode(at).alias("chunk_idx", "x"))
+    bad = (F.col("chunk_idx") == F.col("n") - 1) & (F.col("doc_id").cast("long") % 7 == 0)
     return as_chunks(rows.select("doc_id", F.lit("spans").alias("chunk_group"), "chunk_idx",
                                  F.concat("doc_id", F.lit("/spans@"), F.col("chunk_idx").cast("string")).alias("chunk_id"),
-                                 start.alias("start"), (F.length("t") + bad.cast("int")).alias("length"),
+                                 F.col("x.start").alias("start"), (F.col("x.length") + bad.cast("int")).alias("length"),
                                  F.lit(1).alias("depth")))
 
 
