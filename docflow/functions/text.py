@@ -149,7 +149,6 @@ def fence_attachment(filename: Column, markdown: Column) -> Column:
 
 
 def json_string(col: Column) -> Column:
-    """A text column as a quoted JSON string."""
-    # Cut the brackets of a one-element array; the upper bound is beyond any text.
-    quoted = F.to_json(F.array(col))
-    return F.regexp_replace(quoted, r"^\[|\]\z", "")
+    """A text column as a quoted JSON string; NULL stays NULL."""
+    # A one-element array without its brackets.
+    return F.when(col.isNotNull(), F.regexp_replace(F.to_json(F.array(col)), r"^\[|\]\z", ""))

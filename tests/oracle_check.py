@@ -37,6 +37,11 @@ def compare(spark, con, sf_dir: str, name: str, fn, sql: str | None) -> tuple[bo
     have = [d[0] for d in cur.description]
     if sorted(have) != cols:
         return False, f"columns {cols} vs {sorted(have)}"
+    kinds = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "int": "INTEGER"}
+    types = {d[0]: str(d[1]) for d in cur.description}
+    odd = {n: (t, types[n]) for n, t in df.dtypes if kinds.get(t) != types[n]}
+    if odd:
+        return False, f"types differ: {odd}"
     order = [have.index(c) for c in cols]
     want = [tuple(_norm(r[i]) for i in order) for r in cur.fetchall()]
     key = lambda r: tuple((v is not None, str(v)) for v in r)
