@@ -210,8 +210,9 @@ def _block(lines: Column) -> Column:
 
 
 def extract_markdown(docs: DataFrame, chunks: DataFrame, include_metadata: bool = False) -> DataFrame:
-    """(doc_id, markdown): document text, or its content group's chunks one per line,
-    with metadata comments on request. Both sides carry resolved content."""
+    """(doc_id, markdown, reason): document text, or its content group's chunks one per
+    line, with metadata comments on request. Both sides carry resolved content. Text too
+    long for one cell is NULL with a reason; its chunks have it."""
     groups = docs.where(F.col("content_chunk_group").isNotNull()).select(
         "doc_id", F.col("content_chunk_group").alias("chunk_group"))
     # A group name without rows means the document is printed from its own text.
@@ -220,8 +221,9 @@ def extract_markdown(docs: DataFrame, chunks: DataFrame, include_metadata: bool
     line = F.concat(F.coalesce(comments, F.lit("")), F.coalesce("content", F.lit("")), F.lit("\n"))
     by_chunk = concat_ordered(members.withColumn("_line", line), ["doc_id"], "chunk_idx", "_line", "", "_md").withColumn("_found", F.lit(True))
     own = F.concat(F.coalesce(comments, F.lit("")), F.coalesce("content", F.lit("")))
+    text = F.when(F.col("_found").isNotNull(), F.col("_md")).when(F.col("content").isNotNull(), own)
     return docs.join(by_chunk, "doc_id", "left").select(
-        "doc_id", trim_all(F.when(F.col("_found").isNotNull(), F.col("_md")).otherwise(own)).alias("markdown"))
+        "doc_id", trim_all(text).alias("markdown"), F.when(text.isNull(), F.lit("text_too_long")).alias("reason"))
 
 
 def extract_summary(docs: DataFrame, field: str = "summary", separator: str = "\n\n--\n\n",

@@ -90,6 +90,17 @@ def quantile_bounds(df: DataFrame, col: str, parts: int) -> list:
     return sorted({v for v in (row[0] or []) if v is not None})
 
 
+def _range_no(bounds: list, value: Column) -> Column:
+    """How many of the increasing ``bounds`` are at most ``value``, in about 2·√n comparisons."""
+    if not bounds:
+        return F.lit(0).cast("long")
+    step = max(1, round(len(bounds) ** 0.5))
+    array = lambda items: F.array(*[F.lit(b) for b in items])
+    below = lambda items: F.size(F.filter(items, lambda b: b <= value))
+    inner = lambda g: F.greatest((g - 1) * step, F.lit(0)) + below(F.slice(array(bounds), F.greatest((g - 1) * step, F.lit(0)) + 1, F.lit(step)))
+    return F.transform(F.array(below(array(bounds[::step]))), inner)[0].cast("long")
+
+
 def dense_index(df: DataFrame, keys: list[str], order: str, out: str, parts: int | None = None) -> DataFrame:
     """0-based position of each row in its group by a numeric ``order`` column.
 
@@ -97,10 +108,8 @@ def dense_index(df: DataFrame, keys: list[str], order: str, out: str, parts: int
     the ranges before. The cut points only balance the work; any cuts give the same index.
     """
     spark = df.sparkSession
-    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = quantile_bounds(df, order, parts)
-    cut = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
-    ranged = df.withColumn("_blk", F.size(F.filter(cut, lambda b: b <= F.col(order))).cast("long"))
+    parts = parts or min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 1024)
+    ranged = df.withColumn("_blk", _range_no(quantile_bounds(df, order, parts), F.col(order)))
     totals = ranged.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_n"))
     base = block_prefix(totals, keys, {"_base": "_n"})
     w = Window.partitionBy(*keys, "_blk").orderBy(order)

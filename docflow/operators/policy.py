@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docflow.session import small
+
 # Limits, their defaults, and other defaults.
 LIMITS = {
     "num_schema_repair_max_attempts": 5,
@@ -49,7 +51,7 @@ def resolve_policy(requests: DataFrame, models: dict[str, dict | str], settings:
     are rows with ``model_error``.
     """
     settings = settings or {}
-    table = F.broadcast(models_table(requests.sparkSession, models))
+    table = small(models_table(requests.sparkSession, models), len(models))
     joined = requests.join(table, "model", "left")
     asked = lambda name, typ: F.col(name).cast(typ) if name in requests.columns else F.lit(None).cast(typ)
     out = joined.withColumn("model_error", F.when(F.col("resolved_model").isNull() & F.col("model_error").isNull(),

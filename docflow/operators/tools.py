@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docflow.functions.jsonx import bind, json_number, json_object
 from docflow.functions.text import json_string
+from docflow.session import small
 
 log = logging.getLogger(__name__)
 OUTCOME = "struct<content:string,error:string>"
@@ -85,7 +86,7 @@ def execute_tool_calls(calls: DataFrame, tools: ToolRegistry) -> DataFrame:
     Unknown tools, client tools and failing calls are error rows. Native tools are
     expressions; only calls of Python tools leave the JVM.
     """
-    looked = calls.join(F.broadcast(registry_table(calls.sparkSession, tools)), "tool_name", "left")
+    looked = calls.join(small(registry_table(calls.sparkSession, tools), len(list(tools))), "tool_name", "left")
     runnable = F.col("kind").isNotNull() & (F.col("kind") != "client")
     native = F.struct(F.lit(None).cast("string").alias("content"), F.lit("tool has no implementation").alias("error")).cast(OUTCOME)
     branch = (F.when(F.col("kind").isNull(), _outcome(None, F.concat(F.lit("Tool not found: "), "tool_name")))

@@ -14,11 +14,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docflow.operators.ordering import block_no  # noqa: F401
 from docflow.schemas import ERROR
 from docflow.session import cut_lineage
 
 REPLY = f"reply string, error {ERROR}"
+TOO_LONG = ('{"message":"prompt does not fit a request","name":"Error","interpreted_type":"context_overflow",'
+            '"interpreted_code":400,"interpreted_message":"Too many tokens for model"}')
 
 
 @dataclass(frozen=True)
@@ -63,9 +64,12 @@ def error_record(err: Exception, provider: str) -> dict:
 def complete(requests: DataFrame, model: ColumnModel | BatchModel) -> DataFrame:
     """Add ``reply`` and ``error`` to ``requests(system, user[, max_output_tokens, …])``."""
     limit = F.col("max_output_tokens") if "max_output_tokens" in requests.columns else None
+    # A prompt is NULL where a text was too long for one cell: no model takes it.
+    too_long = F.when(F.col("user").isNull(), F.from_json(F.lit(TOO_LONG), ERROR))
     if isinstance(model, ColumnModel):
-        return requests.withColumn("reply", model.reply(F.col("system"), F.col("user"), limit)).withColumn(
-            "error", F.lit(None).cast(ERROR))
+        return requests.withColumn("reply", model.reply(F.col("system"), F.col("user"), limit)).withColumn("error", too_long)
+    unasked = requests.where(F.col("user").isNull()).withColumn("reply", F.lit(None).cast("string")).withColumn("error", too_long)
+    requests = requests.where(F.col("user").isNotNull())
     if model.parallelism:
         requests = requests.repartition(model.parallelism)
 
@@ -85,7 +89,7 @@ def complete(requests: DataFrame, model: ColumnModel | BatchModel) -> DataFrame:
 
     fields = ", ".join(f"`{n}` {t}" for n, t in requests.dtypes)
     # Written once: a lost task later re-reads replies instead of asking the model again.
-    return cut_lineage(requests.mapInPandas(run, f"{fields}, {REPLY}"))
+    return cut_lineage(requests.mapInPandas(run, f"{fields}, {REPLY}").unionByName(unasked))
 
 
 def complete_distinct(requests: DataFrame, model: ColumnModel | BatchModel) -> DataFrame:

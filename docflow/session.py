@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # AQE sizes the shuffles and splits skewed join partitions at run time; the
 # static values below only matter where the session sets none.
@@ -43,6 +44,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
+def small(df: DataFrame, rows: int, limit: int = 10_000) -> DataFrame:
+    """Broadcast a table built on the driver, if its known row count is small; above the
+    limit Spark picks the join by its own size estimates."""
+    return F.broadcast(df) if rows <= limit else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder.
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.functions.jsonx import annotation, json_object
 from docflow.functions.text import json_string
-from docflow.operators.ordering import concat_ordered
+from docflow.operators.ordering import TEXT_CELL_LIMIT, concat_ordered
 
 
 def file_title(metadata: Column) -> Column:
@@ -28,9 +28,10 @@ def chunk_listing(chunks: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def nest_docs(docs: DataFrame, chunks: DataFrame, embeddings: DataFrame | None = None) -> DataFrame:
-    """(doc_id, json): one document object per row, chunk groups nested back in order.
+    """(doc_id, json, reason): one document object per row, chunk groups nested in order.
 
-    Text is concatenated block by block; the document itself is one cell by nature.
+    Text is concatenated block by block. A document too long for one cell has no JSON but
+    reason ``document_too_large``; ``write_docs`` stores its rows instead.
     """
     keys = ["doc_id", "chunk_group"]
     rows = chunks
@@ -47,19 +48,28 @@ def nest_docs(docs: DataFrame, chunks: DataFrame, embeddings: DataFrame | None =
                          ("annotations", F.col("annotations")), ("embeddings", vectors),
                          ("content_chunk_group", json_string(F.col("content_chunk_group"))))
     arrays = concat_ordered(rows.withColumn("_json", chunk_json), keys, "chunk_idx", "_json", ",", "_arr")
-    groups = arrays.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
-        F.struct("chunk_group", "_arr"))), lambda g: F.concat(json_string(g["chunk_group"]), F.lit(":["), g["_arr"],
-                                                              F.lit("]"))), ",").alias("_groups"))
+    fits = (F.sum(F.length("_arr")) <= TEXT_CELL_LIMIT) & (F.count("_arr") == F.count(F.lit(1)))
+    sized = arrays.withColumn("_fits", (F.sum(F.length("_arr")).over(Window.partitionBy("doc_id")) <= TEXT_CELL_LIMIT) & F.col("_arr").isNotNull())
+    groups = sized.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_fits"),
+        F.struct("chunk_group", "_arr")))), lambda g: F.concat(json_string(g["chunk_group"]), F.lit(":["), g["_arr"],
+                                                              F.lit("]"))), ",").alias("_groups"), fits.alias("_whole"))
     full = docs.join(groups, "doc_id", "left")
-    return full.select("doc_id", json_object(
+    whole = F.coalesce("_whole", F.lit(True))
+    text = json_object(
         ("id", json_string(F.col("doc_id"))), ("parent", json_string(F.col("parent_doc_id"))),
         ("content", json_string(F.col("content"))),
         ("content_chunk_group", json_string(F.col("content_chunk_group"))),
         ("metadata", F.col("metadata")), ("annotations", F.col("annotations")),
-        ("chunks", F.concat(F.lit("{"), F.col("_groups"), F.lit("}")))).alias("json"))
+        ("chunks", F.concat(F.lit("{"), F.col("_groups"), F.lit("}"))))
+    return full.select("doc_id", F.when(whole, text).alias("json"), F.when(~whole, F.lit("document_too_large")).alias("reason"))
 
 
 def write_docs(docs: DataFrame, chunks: DataFrame, path: str, mode: str = "errorifexists",
                embeddings: DataFrame | None = None) -> None:
-    """One document object per line."""
-    nest_docs(docs, chunks, embeddings).select(F.col("json").alias("value")).write.mode(mode).text(path)
+    """One document object per line. Chunk rows of documents too long for a line go to
+    ``<path>.parts`` as a table, so nothing is lost."""
+    nested = nest_docs(docs, chunks, embeddings)
+    nested.where(F.col("json").isNotNull()).select(F.col("json").alias("value")).write.mode(mode).text(path)
+    large = nested.where(F.col("json").isNull()).select("doc_id")
+    if not large.isEmpty():
+        chunks.join(large, "doc_id", "left_semi").write.mode(mode).parquet(f"{path}.parts")

@@ -11,11 +11,16 @@ from docflow.plans.render import RequestOptions, render_requests
 
 
 def write_transcripts(turns: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One transcript object per line, each with its conversation id."""
-    rows = transcripts_json(turns)
+    """One transcript object per line, each with its conversation id. Turns of conversations
+    too long for a line go to ``<path>.parts`` as a table."""
+    everything = transcripts_json(turns)
+    rows = everything.where(F.col("json").isNotNull())
     value = F.concat(F.lit('{"conv_id":'), F.substring(F.to_json(F.array("conv_id")), F.lit(2), F.length(F.to_json(F.array("conv_id"))) - 2),
                      F.lit(","), F.substring("json", F.lit(2), F.length("json")))
     rows.select(value.alias("value")).write.mode(mode).text(path)
+    large = everything.where(F.col("json").isNull()).select("conv_id")
+    if not large.isEmpty():
+        turns.join(large, "conv_id", "left_semi").write.mode(mode).parquet(f"{path}.parts")
 
 
 def batch_lines(requests: DataFrame, provider: str, model: str) -> DataFrame:

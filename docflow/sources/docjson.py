@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.functions.jsonx import json_kind, member
+from docflow.functions.jsonx import json_kind
 from docflow.schemas import as_chunks, as_docs
 from docflow.session import cut_lineage
 
 MAX_DEPTH = 16
+# Members of a document object; chunks stay JSON texts until their level is parsed.
+OBJECT = ("struct<id:string,parent:string,start:string,length:string,content:variant,content_chunk_group:string,metadata:string,"
+          "annotations:string,embeddings:map<string,array<float>>,chunks:map<string,array<string>>>")
 
 
 def parse_docs(texts: DataFrame, json_col: str = "json", max_depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -18,57 +21,49 @@ def parse_docs(texts: DataFrame, json_col: str = "json", max_depth: int = MAX_DE
     Chunks of chunks get ``depth`` > 1 and their parent chunk's id as ``parent``. Rows that are
     not JSON objects go to rejects.
     """
-    text, v = F.col(json_col), F.try_parse_json(json_col)
-    ok = F.coalesce(json_kind(v) == "OBJECT", F.lit(False))
-    rejects = texts.where(~ok).select(text.substr(1, 200).alias("text"), F.lit("not a JSON object").alias("reason"))
-    good = texts.where(ok).select(text.alias("j"))
-    raw = lambda c, name: F.get_json_object(c, f"$.{name}")
-    j = F.col("j")
-    docs = good.select(raw(j, "id").alias("doc_id"), raw(j, "parent").alias("parent_doc_id"), _string(j, "content").alias("content"),
-                       raw(j, "content_chunk_group").alias("content_chunk_group"), raw(j, "metadata").alias("metadata"),
-                       raw(j, "annotations").alias("annotations"))
-    level = _children(good.select(raw(j, "id").alias("doc_id"), raw(j, "id").alias("owner"), j.alias("j")), 1)
+    text = F.col(json_col)
+    ok = F.coalesce(json_kind(F.try_parse_json(json_col)) == "OBJECT", F.lit(False))
+    rejects = texts.where(~ok).select(text.alias("text"), F.lit("not a JSON object").alias("reason"))
+    # One parse per object; the columns are fields of its result.
+    good = texts.where(ok).select(F.from_json(text, OBJECT).alias("o"))
+    docs = good.select(F.col("o.id").alias("doc_id"), F.col("o.parent").alias("parent_doc_id"), _content().alias("content"),
+                       "o.content_chunk_group", "o.metadata", "o.annotations")
+    level = _children(good.select(F.col("o.id").alias("doc_id"), F.col("o.id").alias("owner"), "o"), 1)
     chunks = None
     for depth in range(1, max_depth + 1):
         rows = level.select(
-            "doc_id", "chunk_group", "chunk_idx", raw(j, "id").alias("chunk_id"), F.coalesce(raw(j, "parent"), F.col("owner")).alias("parent"),
-            _int(j, "start").alias("start"), _int(j, "length").alias("length"), _string(j, "content").alias("content"),
-            raw(j, "metadata").alias("metadata"), raw(j, "annotations").alias("annotations"), "depth",
-            raw(j, "content_chunk_group").alias("content_chunk_group"))
+            "doc_id", "chunk_group", "chunk_idx", F.col("o.id").alias("chunk_id"), F.coalesce("o.parent", "owner").alias("parent"),
+            F.col("o.start").try_cast("int").alias("start"), F.col("o.length").try_cast("int").alias("length"), _content().alias("content"),
+            "o.metadata", "o.annotations", "depth", "o.content_chunk_group")
         chunks = rows if chunks is None else chunks.unionByName(rows)
-        deeper = level.where(raw(j, "chunks").isNotNull())
+        deeper = level.where(F.col("o.chunks").isNotNull())
         if deeper.isEmpty():
             break
         if depth == max_depth:
-            rejects = rejects.unionByName(deeper.select(raw(j, "id").alias("text"), F.lit("nested too deeply").alias("reason")))
+            rejects = rejects.unionByName(deeper.select(F.col("o.id").alias("text"), F.lit("nested too deeply").alias("reason")))
             break
-        level = cut_lineage(_children(deeper.select("doc_id", raw(j, "id").alias("owner"), "j"), depth + 1))
+        level = cut_lineage(_children(deeper.select("doc_id", F.col("o.id").alias("owner"), "o"), depth + 1))
     docs = docs.withColumn("sha256", F.sha2("content", 256)).withColumn("size_bytes", F.octet_length("content"))
     return as_docs(docs), as_chunks(chunks), rejects
 
 
-def _string(j: Column, name: str) -> Column:
-    """A member only if it is a string: other content does not count as text."""
-    v = member(F.try_parse_json(j), name)
+def _content() -> Column:
+    """Content only if it is a string: anything else does not count as text."""
+    v = F.col("o.content")
     return F.when(json_kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
-def _int(j: Column, name: str) -> Column:
-    return F.get_json_object(j, f"$.{name}").try_cast("int")
-
-
 def _children(owners: DataFrame, depth: int) -> DataFrame:
-    groups = F.from_json(F.get_json_object("j", "$.chunks"), "map<string,array<string>>")
-    return (owners.select("doc_id", "owner", F.explode(groups).alias("chunk_group", "items"))
-            .select("doc_id", "owner", "chunk_group", F.posexplode("items").alias("chunk_idx", "j")).withColumn("depth", F.lit(depth)))
+    items = owners.select("doc_id", "owner", F.explode("o.chunks").alias("chunk_group", "items"))
+    return items.select("doc_id", "owner", "chunk_group", F.posexplode("items").alias("chunk_idx", "_j")).select(
+        "doc_id", "owner", "chunk_group", "chunk_idx", F.from_json("_j", OBJECT).alias("o"), F.lit(depth).alias("depth"))
 
 
 def parse_embeddings(texts: DataFrame, json_col: str = "json") -> DataFrame:
     """(doc_id, chunk_group, chunk_idx, chunk_id, model, vector) of first-level chunks."""
-    j = F.col("j")
-    rows = _children(texts.select(F.get_json_object(json_col, "$.id").alias("doc_id"), F.get_json_object(json_col, "$.id").alias("owner"), F.col(json_col).alias("j")), 1)
-    vectors = F.from_json(F.get_json_object(j, "$.embeddings"), "map<string,array<float>>")
-    return rows.select("doc_id", "chunk_group", "chunk_idx", F.get_json_object(j, "$.id").alias("chunk_id"), F.explode(vectors).alias("model", "vector"))
+    tops = texts.select(F.from_json(json_col, OBJECT).alias("o"))
+    rows = _children(tops.select(F.col("o.id").alias("doc_id"), F.col("o.id").alias("owner"), "o"), 1)
+    return rows.select("doc_id", "chunk_group", "chunk_idx", F.col("o.id").alias("chunk_id"), F.explode("o.embeddings").alias("model", "vector"))
 
 
 def read_docs(spark: SparkSession, path: str, whole_files: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
