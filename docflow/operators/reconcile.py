@@ -6,9 +6,10 @@ runs per pair inside Arrow batches; runs, markup and rates are DataFrame work.
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +20,8 @@ WORD = re.compile(f"[^{SPACES}]+")
 QUOTES = re.compile("[`‘’]")
 NATIVE_WORD = "[^\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]+"
 ALIGNMENT = ("pair_id string, pos int, op string, tok_a string, ia int, tok_b string, ib int, piece string")
-ROW_BUDGET = 64 * 1024 * 1024     # cells of kept score rows per pair
+RUNS = "pair_id string, run_idx int, op string, n long, text string"
+ROW_BUDGET = 1024 * 1024 * 1024     # bits of table rows kept per pair (128 MB)
 
 
 def _words(text: str) -> tuple[list[str], list[int]]:
@@ -31,45 +33,44 @@ def _words(text: str) -> tuple[list[str], list[int]]:
     return [QUOTES.sub("'", w).lower() for w, _ in found], [o for _, o in found]
 
 
-def _score_row(prev: np.ndarray, same: np.ndarray) -> np.ndarray:
-    row = np.zeros_like(prev)
-    np.maximum.accumulate(np.maximum(prev[1:], np.where(same, prev[:-1] + 1, 0)), out=row[1:])
-    return row
+def _next_row(row: int, mask: int, full: int) -> int:
+    """Bit-parallel step of the subsequence table: bit j is clear where the score grows
+    from column j to j + 1."""
+    hit = row & mask
+    return ((row + hit) | (row - hit)) & full
 
 
 def _align(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
     """(op, index in a, index in b), −1 where a side has none; insertions win ties.
 
-    Only every k-th score row is kept and the rows between are recomputed while walking
-    back, so memory grows with the square root of the text, and no pair is refused.
+    A row of the table is one integer of len(b) bits. Only every k-th row is kept and the
+    rows between are recomputed while walking back, so memory stays within
+    ``ROW_BUDGET`` bits or grows with the square root of the text; no pair is refused.
     """
-    ids: dict[str, int] = {}
-    xa = np.array([ids.setdefault(t, len(ids)) for t in a], dtype=np.int32)
-    xb = np.array([ids.setdefault(t, len(ids)) for t in b], dtype=np.int32)
+    masks: dict[str, int] = {}
+    for pos, token in enumerate(b):
+        masks[token] = masks.get(token, 0) | (1 << pos)
     i, j, steps = len(a), len(b), []
-    while i and j and xa[i - 1] == xb[j - 1]:
-        i, j = i - 1, j - 1
-        steps.append(("MATCH", i, j))
-    width = j + 1
-    every = max(1, int(np.ceil(i * width / ROW_BUDGET)), int(np.sqrt(max(i, 1))))
-    row = np.zeros(width, dtype=np.int32)
-    kept = [row]
-    for r in range(1, i + 1):
-        row = _score_row(row, xb[:j] == xa[r - 1])
+    full = (1 << j) - 1
+    every = max(1, math.isqrt(i)) if i * j > ROW_BUDGET else 1
+    row, kept = full, [full]
+    for r, token in enumerate(a, 1):
+        row = _next_row(row, masks.get(token, 0), full)
         if r % every == 0:
             kept.append(row)
     low, rows = i + 1, []
     while i or j:
-        if i and j and xa[i - 1] == xb[j - 1]:
+        if i and j and a[i - 1] == b[j - 1]:
             i, j = i - 1, j - 1
             steps.append(("MATCH", i, j))
             continue
-        if i and i - 1 < low:
-            low = ((i - 1) // every) * every
+        if i < low:
+            low = (i // every) * every
             rows = [kept[low // every]]
-            for r in range(low + 1, i + 1):
-                rows.append(_score_row(rows[-1], xb[:width - 1] == xa[r - 1]))
-        if j and (i == 0 or rows[i - low][j - 1] >= rows[i - 1 - low][j]):
+            for r in range(low, min(low + every - 1, len(a))):
+                rows.append(_next_row(rows[-1], masks.get(a[r], 0), full))
+        # An unchanged score to the left means an insertion is as good as a deletion.
+        if j and (i == 0 or (rows[i - low] >> (j - 1)) & 1):
             j -= 1
             steps.append(("INSERT", -1, j))
         else:
@@ -113,42 +114,62 @@ def _pair_rows(pair_id: str, text_a: str, text_b: str) -> list[tuple]:
     return rows
 
 
-def align_pairs(pairs: DataFrame) -> DataFrame:
-    """Alignment table of ``pairs(pair_id, text_a, text_b)`` that differ."""
+def _spread(pairs: DataFrame) -> DataFrame:
+    """Pairs that differ, spread over the cluster: alignment is quadratic in a page, so even
+    a small table is worth a shuffle."""
+    differing = pairs.where(F.col("text_a") != F.col("text_b")).select(
+        F.col("pair_id").cast("string").alias("pair_id"), "text_a", "text_b")
+    return differing.repartition(4 * pairs.sparkSession.sparkContext.defaultParallelism, "pair_id")
+
+
+def _map_pairs(pairs: DataFrame, rows_of, schema: str) -> DataFrame:
     def run(batches):
         import pandas as pd
-        names = [c.split()[0] for c in ALIGNMENT.split(", ")]
-        frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"ia": "Int32", "ib": "Int32"})
+        names = [c.split()[0] for c in schema.split(", ")]
+        frame = lambda rows: pd.DataFrame(rows, columns=names).convert_dtypes()
         rows: list[tuple] = []
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                rows += _pair_rows(row.pair_id, row.text_a, row.text_b)
+                rows += rows_of(row.pair_id, row.text_a, row.text_b)
                 if len(rows) > 50_000:
                     yield frame(rows)
                     rows = []
-        yield frame(rows)
+        if rows:
+            yield frame(rows)
+    return _spread(pairs).mapInPandas(run, schema)
 
-    differing = pairs.where(F.col("text_a") != F.col("text_b")).select(
-        F.col("pair_id").cast("string").alias("pair_id"), "text_a", "text_b")
-    # Alignment is quadratic in a page, so even a small table is worth spreading.
-    spread = differing.repartition(4 * pairs.sparkSession.sparkContext.defaultParallelism, "pair_id")
-    return spread.mapInPandas(run, ALIGNMENT)
+
+def align_pairs(pairs: DataFrame) -> DataFrame:
+    """Alignment table, one row per token, of ``pairs(pair_id, text_a, text_b)`` that differ."""
+    return _map_pairs(pairs, _pair_rows, ALIGNMENT)
 
 
-def _numbered_runs(alignment: DataFrame) -> DataFrame:
+def _pair_runs(pair_id: str, text_a: str, text_b: str) -> list[tuple]:
+    """Runs of one pair: far fewer rows to move than its tokens."""
+    grouped = itertools.groupby(_pair_rows(pair_id, text_a, text_b), key=lambda r: r[2])
+    return [(pair_id, k, op, len(rows), "".join(r[7] for r in rows))
+            for k, (op, rows) in enumerate((op, list(g)) for op, g in grouped)]
+
+
+def runs_of(alignment: DataFrame) -> DataFrame:
+    """Runs from an alignment table: a run starts where the operation changes."""
     w = Window.partitionBy("pair_id").orderBy("pos")
     changed = F.coalesce((F.col("op") != F.lag("op").over(w)).cast("int"), F.lit(0))
-    return alignment.withColumn("_c", changed).withColumn(
+    rows = alignment.withColumn("_c", changed).withColumn(
         "run_idx", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-
-
-def reconcile_runs(pairs: DataFrame, alignment: DataFrame | None = None) -> DataFrame:
-    """(pair_id, run_idx, op, n, text): runs of equal operations along each pair."""
-    rows = _numbered_runs(alignment if alignment is not None else align_pairs(pairs))
-    runs = rows.groupBy("pair_id", "run_idx").agg(
+    return rows.groupBy("pair_id", "run_idx").agg(
         F.first("op").alias("op"), F.count(F.lit(1)).alias("n"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), "")
         .alias("text"))
+
+
+def reconcile_runs(pairs: DataFrame, alignment: DataFrame | None = None) -> DataFrame:
+    """(pair_id, run_idx, op, n, text): runs of equal operations along each pair; of a given
+    alignment table, or aligned here."""
+    if alignment is None:
+        runs = _map_pairs(pairs, _pair_runs, RUNS)
+    else:
+        runs = runs_of(alignment)
     equal = pairs.where(F.col("text_a") == F.col("text_b")).select(
         F.col("pair_id").cast("string").alias("pair_id"), F.lit(0).alias("run_idx"), F.lit("MATCH").alias("op"),
         (F.regexp_count("text_a", F.lit(NATIVE_WORD)) + 1).cast("long").alias("n"), F.col("text_a").alias("text"))
