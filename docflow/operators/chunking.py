@@ -101,6 +101,7 @@ def _with_entries(blocks: DataFrame, limit: int, overlap: int, block: int) -> Da
 
 # --- the packing folds ----------------------------------------------------------
 
+FOLD = 64
 _PIECE = "struct<out:bigint,lo:bigint,hi:bigint>"
 
 
@@ -115,17 +116,22 @@ def _assign_pieces(limit: int) -> Column:
               + piece.format(o=f"{first} + i", lo=f"i * {m}", hi=f"least((i + 1L) * {m}, x.n)") + ")")
     fresh = f"array({piece.format(o='s.out + 1L', lo='0L', hi='x.n')})"
     same = f"array({piece.format(o='s.out', lo='0L', hi='x.n')})"
-    return F.expr(f"""
-        aggregate(items,
-          named_struct('size', entry, 'out', 0L,
-                       'rows', cast(array() as array<struct<idx:int,n:bigint,pieces:array<{_PIECE}>>>)),
-          (s, x) -> case
+    rows_type = f"array<struct<idx:int,n:bigint,pieces:array<{_PIECE}>>>"
+    step = f"""(s, x) -> case
             when x.n = 0 then s
             when x.n > {m} then named_struct('size', 0L, 'out', {first} + {k}, 'rows', {row.format(p=slices)})
             when s.size > 0 and s.size + x.n > {m}
               then named_struct('size', x.n, 'out', s.out + 1L, 'rows', {row.format(p=fresh)})
-            else named_struct('size', s.size + x.n, 'out', s.out, 'rows', {row.format(p=same)}) end,
-          s -> s.rows)""")
+            else named_struct('size', s.size + x.n, 'out', s.out, 'rows', {row.format(p=same)}) end"""
+    # Appending copies the rows so far, so the fold runs in runs of FOLD chunks whose
+    # row arrays are flattened once at the end.
+    return F.expr(f"""
+        aggregate(transform(sequence(0, (size(items) - 1) div {FOLD}), k -> slice(items, cast(k as int) * {FOLD} + 1, {FOLD})),
+          named_struct('size', entry, 'out', 0L, 'parts', cast(array() as array<{rows_type}>)),
+          (o, run) -> transform(
+            array(aggregate(run, named_struct('size', o.size, 'out', o.out, 'rows', cast(array() as {rows_type})), {step})),
+            r -> named_struct('size', r.size, 'out', r.out, 'parts', concat(o.parts, array(r.rows))))[0],
+          o -> flatten(o.parts))""")
 
 
 def _emit_ranges(limit: int, overlap: int) -> Column:
