@@ -164,6 +164,13 @@ def combine_documents(docs: DataFrame, by: str, order_by: str, group_name: str =
     return masters, members.withColumn("chunk_group", F.lit(group_name))
 
 
+def member_chunks(members: DataFrame) -> DataFrame:
+    """Members of combined documents as chunk rows of their masters."""
+    return as_chunks(members.drop("parent", "chunk_id").select(
+        F.col("master_id").alias("doc_id"), F.col("child_id").alias("chunk_id"), F.col("master_id").alias("parent"), F.lit(1).alias("depth"),
+        *[c for c in members.columns if c not in ("doc_id", "chunk_id", "parent", "depth", "master_id", "child_id")]))
+
+
 def with_neighbors(chunks: DataFrame, group: str) -> DataFrame:
     """``prev_id`` and ``next_id`` of each chunk of a group."""
     one = chunks.where(F.col("chunk_group") == group)

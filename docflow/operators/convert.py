@@ -17,6 +17,13 @@ BLANK_LINE = "\n\n"
 OCR_THRESHOLD = 0.7
 VISION_CONFIDENCE = 0.9
 NO_OUTPUT = "(No fallback output)"
+# Wording of a failure page.
+NOTICE_HEAD = ("<!-- TRANSCRIPTION FAILURE -->\n<!-- This page failed to transcribe due to an error -->\n\n"
+               "# Transcription Failed\n\n**Error Type:** ")
+NOTICE_TAIL = ("\n\n---\n\n*This content was generated because the --continue-on-failure flag was used and the "
+               "transcription process encountered an error.*")
+NOTICE_DESCRIPTION = ("This page contains a transcription failure notice because the original transcription "
+                      "process failed.")
 
 
 def with_metadata_comments(text: Column, metadata: Column) -> Column:
@@ -147,12 +154,9 @@ def tag_by_substring(df: DataFrame, tags: dict[str, str], text: str = "text") ->
 # --- failures ----------------------------------------------------------------------
 
 def failure_notice(name: Column, message: Column, model: Column, at: Column) -> Column:
-    return F.concat(
-        F.lit("<!-- TRANSCRIPTION FAILURE -->\n<!-- This page failed to transcribe due to an error -->\n\n"
-              "# Transcription Failed\n\n**Error Type:** "), F.coalesce(name, F.lit("Unknown")),
-        F.lit("\n**Error Message:** "), message, F.lit("\n**Timestamp:** "), at,
-        F.lit("\n**Model:** "), F.coalesce(model, F.lit("Unknown")),
-        F.lit("\n\n---\n\n*This page holds a failure notice: transcription failed and continuing on failure was asked for.*"))
+    return F.concat(F.lit(NOTICE_HEAD), F.coalesce(name, F.lit("Unknown")),
+                    F.lit("\n**Error Message:** "), message, F.lit("\n**Timestamp:** "), at,
+                    F.lit("\n**Model:** "), F.coalesce(model, F.lit("Unknown")), F.lit(NOTICE_TAIL))
 
 
 def error_pages(pages: DataFrame, model: str | None, at: str) -> DataFrame:
@@ -165,10 +169,9 @@ def error_pages(pages: DataFrame, model: str | None, at: str) -> DataFrame:
         ("isFirstPage", (F.col("page_idx") == 0).cast("string")), ("originating_filename", json_string(filename)),
         ("originating_file_sha256", json_string(F.col("doc_id"))), ("transcription_failed", F.lit("true")),
         ("error_type", json_string(F.coalesce(name, F.lit("unknown")))), ("error_message", json_string(message)))
-    note = ("This page contains a transcription failure notice because the original transcription process failed.")
     return pages.select(
         "doc_id", "page_idx", failure_notice(name, message, F.lit(model).cast("string"), F.lit(at)).alias("text"),
-        meta.alias("metadata"), F.lit(f'{{"description":"{note}"}}').alias("annotations"))
+        meta.alias("metadata"), F.lit(f'{{"description":"{NOTICE_DESCRIPTION}"}}').alias("annotations"))
 
 
 def apply_failure_policy(pages: DataFrame, continue_on_failure: bool, model: str | None = None,

@@ -96,11 +96,14 @@ def merge_prompt(a: Column, b: Column, guidance: str = "") -> Column:
                     F.lit(f"\n\nGuidance on merging:\n{guidance or '(none)'}\n\nReturn one merged summary.\n"))
 
 
+# Fixed value: the form of a length constraint.
+CONSTRAINT = ("<constraint> Do not use more than ", " words.  Do not use less than ", " words. </constraint>")
+
+
 def word_constraint(words: Column) -> Column:
     """Limits a factor of √2 around a word target, as a prompt line."""
     shown = lambda c: F.floor(c + 0.5).cast("long").cast("string")
-    return F.concat(F.lit("<constraint> Do not use more than "), shown(words * SQRT2), F.lit(" words.  Do not use less than "),
-                    shown(words / SQRT2), F.lit(" words. </constraint>"))
+    return F.concat(F.lit(CONSTRAINT[0]), shown(words * SQRT2), F.lit(CONSTRAINT[1]), shown(words / SQRT2), F.lit(CONSTRAINT[2]))
 
 
 def as_json(value: Column, is_json: bool) -> Column:

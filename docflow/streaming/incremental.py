@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 
 def run_incremental(spark: SparkSession, input_dir: str, schema: str, transform: Callable[[DataFrame], DataFrame],
-                    output_dir: str, checkpoint: str, source: str = "parquet", max_files: int | None = None):
+                    output_dir: str, checkpoint: str, source: str = "parquet", max_files: int | None = None,
+                    options: dict[str, str] | None = None):
     """Process the files that arrived since the last run, then stop.
 
     Each micro-batch runs the batch functions unchanged and overwrites its own folder
     ``batch_id=N``, so a batch replayed after a failure leaves the same output.
     """
-    reader = spark.readStream.schema(schema).format(source)
+    reader = spark.readStream.schema(schema).format(source).options(**(options or {}))
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docflow.operators import chunking as K
+from docflow.schemas import as_chunks
+from docflow.session import ensure_checkpoint_dir
+from docflow.streaming.incremental import read_latest, run_incremental
 from docflow.workload.inputs import SQL_LINES, documents, lines, sql_count, sql_tokens
 from docflow.workload.registry import query
 
@@ -93,6 +98,18 @@ def _(spark, sf):
     return _listed(K.chunking_job(documents(spark, sf), lines(spark, sf), "split_by_token_count", 50, group="lines"))
 
 
+@query("incremental_merge", f"WITH RECURSIVE {SQL_LINES}, {_sql_pack(200, 0, 'lines')} {_SELECT}")
+def _(spark, sf):
+    """The same packing as an incremental run over the folder's documents file."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/incremental-{uuid.uuid4().hex}"
+    split = lambda df: as_chunks(df.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("lines").alias("chunk_group"),
+                                           F.posexplode(F.split("text", "\n", -1)).alias("chunk_idx", "content")))
+    run_incremental(spark, sf, "doc_id bigint, text string", lambda df: K.merge_chunks(split(df), 200, "lines"), f"{folder}/out",
+                    f"{folder}/state", options={"pathGlobFilter": "documents.parquet"})
+    return _shown(read_latest(spark, f"{folder}/out"))
+
+
 @query("chunk_counts", f"""WITH RECURSIVE {SQL_LINES}, {_sql_pack(200, 0, 'lines')},
 olds AS (SELECT doc_id, count(*) AS n FROM lines GROUP BY doc_id), news AS (SELECT doc_id, count(*) AS n FROM packed GROUP BY doc_id)
 SELECT doc_id, CAST(olds.n AS BIGINT) AS old_chunk_count, CAST(coalesce(news.n, 0) AS BIGINT) AS new_chunk_count

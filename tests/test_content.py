@@ -60,6 +60,10 @@ def test_combine(spark):
     assert {r.doc_id for r in masters.collect()} == {"b:a", "s2x", "c:d"}
     assert {(r.master_id, r.child_id, r.chunk_idx) for r in members.collect()} == {
         ("b:a", "b", 0), ("b:a", "a", 1), ("s2x", "s2x_child", 0), ("c:d", "c", 0), ("c:d", "d", 1)}
+    whole = C.resolve_docs(as_docs(masters), C.member_chunks(members.withColumn("content", F.col("doc_id"))))
+    assert {r.doc_id: r.content for r in whole.collect()} == {"b:a": "ba", "s2x": "s2x", "c:d": "cd"}
+    named = df.withColumn("m", F.concat(F.lit("M-"), "src"))
+    assert {r.doc_id for r in C.combine_documents(named, "src", "n", master_id="m")[0].collect()} == {"M-s1", "M-s2", "M-s3"}
     masters, members = C.combine_documents(df, "src", "n", joined_ids=1)
     assert {r.doc_id for r in masters.collect()} == {"s1", "s2x", "s3"} and members.count() == 5
 
