@@ -14,11 +14,11 @@ number: how many tokens the open buffer holds. So the scan runs in blocks of chu
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.functions.text import join_tokens, token_count, tokens
-from docflow.operators.ordering import BLOCK, block_no, block_prefix, running_before
+from docflow.operators.ordering import BLOCK, block_no, running_before
 from docflow.schemas import as_chunks
 
 
@@ -164,25 +164,25 @@ def _pieces_plain(counted: DataFrame, limit: int, block: int) -> DataFrame:
 
 
 def _pieces_overlap(counted: DataFrame, limit: int, overlap: int, block: int) -> DataFrame:
-    blocks = _with_entries(_blocks(counted, block), limit, overlap, block)
-    total = F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    base = block_prefix(blocks.select("doc_id", "_blk", total.alias("_t")), ["doc_id"], {"tok_base": "_t"})
-    folded = (blocks.join(base, ["doc_id", "_blk"])
-              .select("doc_id", "_blk", "out_base", "tok_base",
-                      F.size("items").alias("_items"), _emit_ranges(limit, overlap).alias("s")))
-    last = folded.groupBy("doc_id").agg(F.max("_blk").alias("_last"))
+    keyed = counted.withColumn("_blk", block_no("chunk_idx", block))
+    along = Window.partitionBy("doc_id").orderBy("_blk")
+    # One small row per block: tokens before it, and whether it is the document's last.
+    bases = keyed.groupBy("doc_id", "_blk").agg(F.sum("n").alias("_t")).select(
+        "doc_id", "_blk", F.lead("_blk").over(along).isNull().alias("is_last"),
+        F.coalesce(F.sum("_t").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("tok_base"))
+    blocks = _with_entries(_blocks(counted, block), limit, overlap, block).join(bases, ["doc_id", "_blk"])
+    folded = blocks.select("doc_id", "out_base", "tok_base", "is_last", _emit_ranges(limit, overlap).alias("s"))
     # The buffer still open after the document's last block is its final chunk.
-    open_end = F.when((F.col("_blk") == F.col("_last")) & (F.col("s.p") > F.col("s.b")),
+    open_end = F.when(F.col("is_last") & (F.col("s.p") > F.col("s.b")),
                       F.array(F.struct(F.col("s.b").alias("lo"), F.col("s.p").alias("hi"))))
-    ranges = (folded.join(last, "doc_id")
-              .select("doc_id", "out_base", "tok_base",
-                      F.posexplode(F.concat("s.out", F.coalesce(
-                          open_end, F.array().cast("array<struct<lo:bigint,hi:bigint>>")))).alias("i", "r"))
-              .select("doc_id", (F.col("out_base") + F.col("i")).alias("out"),
-                      (F.col("tok_base") + F.col("r.lo")).alias("lo"),
-                      (F.col("tok_base") + F.col("r.hi")).alias("hi")))
-    places = (running_before(counted, ["doc_id"], "chunk_idx", {"p0": F.col("n")})
-              .where(F.col("n") > 0))
+    closed = F.concat("s.out", F.coalesce(open_end, F.array().cast("array<struct<lo:bigint,hi:bigint>>")))
+    ranges = folded.select("doc_id", "out_base", "tok_base", F.posexplode(closed).alias("i", "r")).select(
+        "doc_id", (F.col("out_base") + F.col("i")).alias("out"),
+        (F.col("tok_base") + F.col("r.lo")).alias("lo"), (F.col("tok_base") + F.col("r.hi")).alias("hi"))
+    inside = Window.partitionBy("doc_id", "_blk").orderBy("chunk_idx").rowsBetween(Window.unboundedPreceding, -1)
+    places = (keyed.withColumn("_w", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+              .join(bases.select("doc_id", "_blk", "tok_base"), ["doc_id", "_blk"])
+              .select("doc_id", "chunk_idx", "n", (F.col("_w") + F.col("tok_base")).alias("p0")).where(F.col("n") > 0))
     # Range join on buckets of the token stream; a bucket holds at most `width` tokens.
     width = limit + overlap
     left = ranges.withColumn("bucket", F.explode(F.sequence(

@@ -26,7 +26,7 @@ from docflow.plans.prompts import (as_json, chunk_prompt, context_parts, delta_p
 from docflow.plans.structured import ask
 from docflow.session import cut_lineage
 
-SEGMENT = 128
+SEGMENT = 256
 TREE_LEVELS = 8           # tree levels folded per shuffle with a ColumnModel
 METHODS = ("full", "map", "fold", "delta-fold", "merge", "map-merge")
 

@@ -10,7 +10,7 @@ from xml.etree import ElementTree
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docflow.functions.text import trim_all, trim_end
+from docflow.functions.text import trim_end
 from docflow.operators.ordering import concat_ordered, running_before
 
 # Namespaces of the office formats.

@@ -8,7 +8,7 @@ from docflow.plans import prompts as P
 from docflow.plans import summarize as S
 from docflow.plans.embed import embed_chunks, embed_texts
 from docflow.plans.models import ColumnModel, digest_model, letter_frequencies
-from docflow.workload.inputs import SQL_LINES, documents, lines, sql_count, sql_tokens
+from docflow.workload.inputs import SQL_LINES, documents, lines, sql_tokens
 from docflow.workload.registry import query, table
 
 _NL = "chr(10)"
