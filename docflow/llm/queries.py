@@ -12,6 +12,7 @@ import public_tokenizers
 from docflow.llm.bpe import decode, encode
 from docflow.llm.exact_dedup import exact_dedup
 from docflow.llm.pii import BASE, find_pii
+from docflow.llm.substring import drop_repeats
 from docflow.llm.token_files import token_roundtrip
 from docflow.llm.warc import warc_roundtrip
 
@@ -80,3 +81,18 @@ SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
 FROM h""")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_roundtrip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op10_substring_dedup", """
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+     i AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w),
+     r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(ws[i:i + 19], ' ') ORDER BY doc_id, i) AS n FROM i),
+     gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM r WHERE n > 1),
+     g AS (SELECT doc_id, count(*) AS n, list(p) AS ps FROM gone GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0) AS n_removed,
+       sha256(CASE WHEN n IS NULL THEN array_to_string(ws, ' ') ELSE array_to_string(list_transform(
+           list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda x: NOT list_contains(ps, x[2])), lambda x: x[1]), ' ') END) AS kept_sha256
+FROM w LEFT JOIN g USING (doc_id)""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+# Shuffle files of a finished write are of no use any more; without this they stay until the driver
+# happens to collect its garbage.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -30,6 +33,11 @@ def staged(df: DataFrame, folder: str, name: str) -> DataFrame:
 
     Later stages re-read the files instead of repeating the work, also after an executor is lost.
     """
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    path, conf = f"{folder}/{name}", df.sparkSession.conf
+    before = conf.get(CLEAN, None)
+    conf.set(CLEAN, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        conf.unset(CLEAN) if before is None else conf.set(CLEAN, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
