@@ -11,6 +11,7 @@ import public_tokenizers
 
 from docflow.llm.bpe import decode, encode
 from docflow.llm.exact_dedup import exact_dedup
+from docflow.llm.jaccard_tree import near_classes
 from docflow.llm.pii import BASE, find_pii
 from docflow.llm.substring import drop_repeats
 from docflow.llm.token_files import token_roundtrip
@@ -96,3 +97,8 @@ FROM w LEFT JOIN g USING (doc_id)""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = drop_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op9_jaccard_join")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"), n=3, percent=90)

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docflow.llm.bits import bit_filter, in_filter
 from docflow.llm.scratch import scratch_dir, staged
 from docflow.llm.words import chunks, grams, mix, word_hashes
 
@@ -92,14 +93,9 @@ def _prefixes(rows: DataFrame, window: int, seed: int) -> DataFrame:
 
 
 def _repeated_filter(rows: DataFrame, window: int, seed: int, bits: int) -> np.ndarray:
-    """Bit array with a bit for every prefix that occurs more than once; 2^bits bits whatever the input."""
+    """A bit for every prefix that occurs more than once."""
     repeated = _prefixes(rows, window, seed).groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    place = repeated.select(F.shiftrightunsigned("prefix", 64 - bits).alias("i"))
-    found = (place.groupBy(F.shiftright("i", 6).alias("w"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, CAST(i & 63 AS INT))")).alias("b")).toArrow())
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    out[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
-    return out
+    return bit_filter(repeated, F.col("prefix"), bits)
 
 
 def repeated_stretches(docs: DataFrame, window: int = WINDOW, seed: int = SEED, filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -113,8 +109,7 @@ def repeated_stretches(docs: DataFrame, window: int = WINDOW, seed: int = SEED,
         known = bits.value
         for part, texts in chunks(batches, 2, CHUNK):
             s = stretches(texts, window, seed)
-            i = s["prefix"] >> np.uint64(64 - filter_bits)
-            keep = (known[(i >> np.uint64(6)).astype(np.int64)] >> (i & np.uint64(63)) & np.uint64(1)).astype(bool)
+            keep = in_filter(known, s["prefix"])
             ends = np.append(0, np.cumsum(s["count"][keep])).astype(np.int32) * 8
             data = s["windows"][np.repeat(keep, s["count"])].tobytes()
             windows = pa.Array.from_buffers(pa.binary(), int(keep.sum()), [None, pa.py_buffer(ends), pa.py_buffer(data)])
