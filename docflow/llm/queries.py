@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from docflow.llm.bpe import decode, encode
+from docflow.llm.decontam import contaminated
 from docflow.llm.exact_dedup import exact_dedup
 from docflow.llm.jaccard_tree import near_classes
+from docflow.llm.langid import fit as fit_languages, identify
 from docflow.llm.pii import BASE, find_pii
 from docflow.llm.substring import drop_repeats
 from docflow.llm.token_files import token_roundtrip
@@ -34,6 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def id_fold(folds: int):
+    """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
+
+
 @query("op2_exact_dedup", """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -102,3 +109,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_jaccard_join")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+@query("op7_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_language")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, fit_languages(docs, id_fold(4) != 2))
+    return found.select("doc_id", (id_fold(4) == 2).alias("held_out"), "lang_pred", "score")
