@@ -17,6 +17,7 @@ from docflow.llm.langid import fit as fit_languages, identify
 from docflow.llm.pii import BASE, find_pii
 from docflow.llm.substring import drop_repeats
 from docflow.llm.token_files import token_roundtrip
+from docflow.llm.toxicity import fit as fit_toxicity, score as score_toxicity
 from docflow.llm.warc import warc_roundtrip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +122,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, fit_languages(docs, id_fold(4) != 2))
     return found.select("doc_id", (id_fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = fit_toxicity(docs, table(spark, sf_dir, "labels"), id_fold(5) != 0)
+    return score_toxicity(docs, net).select("doc_id", (id_fold(5) == 0).alias("held_out"), "score", "predicted", "rejected")
