@@ -1,8 +1,8 @@
 """WARC archives of pages: an index first, then coalesced range reads of what is wanted.
 
 Writing. Payload digests decide which record is the response and which revisit it; only ids and
-digests meet for that. Pages then go to id ranges, and each task writes one ``.warc.gz`` with a gzip
-member per record and returns the index row of each: file, offset, length, url, payload digest.
+digests meet for that. Pages are then joined with the decisions, and each task writes one ``.warc.gz``
+with a gzip member per record and returns the index row of each: file, offset, length, url, digest.
 Reading. Index rows of a file are sorted by offset, ranges that (nearly) touch are merged into one
 read, each member is inflated and parsed. Payloads are checked against their digests.
 
@@ -76,7 +76,8 @@ def write_warc(pages: DataFrame, folder: str, least: int = 0, html: str = "html"
                 .select(F.col("page_id").alias("rid"), F.col("digest").alias("rdigest"), "response_id").distinct())
     decided = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("rid")) & (base32_sha1(F.col("payload")) == F.col("rdigest")),
                         "left").drop("rid", "rdigest")
-    ordered = decided.repartitionByRange("page_id").sortWithinPartitions("page_id", "payload")
+    # The order of records over files does not matter, so the pages stay where the join has them.
+    ordered = decided.sortWithinPartitions("page_id", "payload")
     archives = f"{folder}/archives"
     schema = ordered.select("page_id", "url", *[F.lit(0).cast(kind).alias(name) for name, kind in (
         ("digest", "string"), ("file", "string"), ("offset", "long"), ("length", "long"))]).schema
