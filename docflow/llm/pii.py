@@ -33,7 +33,7 @@ class Kind:
 
 KINDS = (
     Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", r"@", 0.8,
-         r"\b(e-?mail|contact|write|correo|courriel)\b"),
+         r"\b((?:e-?)?mail|contact|write|correo|courriel)\b"),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", 0.6, r"\b(ip|host|server|address|login)\b"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9](?:[\x20-]?[0-9]){13}", 0.7, r"\b(card|visa|credit|debit|mastercard|karte|tarjeta|carte)\b"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.6, r"\b(phone|tel|call|mobile|fax|telefon|telefono)\b"),
