@@ -79,20 +79,22 @@ def _align(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
     return steps[::-1]
 
 
-def _drop_respaced(steps, a, b):
-    """Drop a deletion followed by insertions that spell the same word."""
-    out, i = [], 0
-    while i < len(steps):
-        if steps[i][0] == "DELETE":
-            j = i + 1
-            while j < len(steps) and steps[j][0] == "INSERT":
-                j += 1
-            if "".join(b[s[2]] for s in steps[i + 1:j]) == a[steps[i][1]]:
-                i = j
-                continue
-        out.append(steps[i])
-        i += 1
-    return out
+def _without_respaced(steps: list[tuple[str, int, int]], a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
+    """A word that only its spacing tells from the other side is no difference: if the insertions right
+    behind a deletion spell the deleted word, the deletion and its insertions go. An empty closing
+    word is spelled by no insertion at all."""
+    kept: list[tuple[str, int, int]] = []
+    spelled = lambda run: "".join(b[step[2]] for step in run)
+    for op, run in itertools.groupby(steps, key=lambda step: step[0]):
+        run = list(run)
+        behind_deletion = op == "INSERT" and kept and kept[-1][0] == "DELETE"
+        if behind_deletion and spelled(run) == a[kept[-1][1]]:
+            kept.pop()
+        else:
+            kept += run
+    if kept and kept[-1][0] == "DELETE" and not a[kept[-1][1]]:
+        kept.pop()
+    return kept
 
 
 def _pair_rows(pair_id: str, text_a: str, text_b: str) -> list[tuple]:
@@ -100,7 +102,7 @@ def _pair_rows(pair_id: str, text_a: str, text_b: str) -> list[tuple]:
     b, off_b = _words(text_b)
     rows, at_a, at_b = [], 0, 0
     end = lambda off, k, text: off[k + 1] if k + 1 < len(off) else len(text)
-    for pos, (op, ia, ib) in enumerate(_drop_respaced(_align(a, b), a, b)):
+    for pos, (op, ia, ib) in enumerate(_without_respaced(_align(a, b), a, b)):
         if op == "INSERT":
             to = end(off_b, ib, text_b)
             piece, at_b = text_b[at_b:to], to

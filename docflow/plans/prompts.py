@@ -22,7 +22,7 @@ SYSTEM = {
                   f"chunk, as valid JSON; it is appended to the list.\n\n{_GUIDED}",
     "merge": f"{_ROLE} You get two partial summaries. Merge them into one by the guidance given. Return only the merged summary.",
 }
-RULE = "\n\n---\n\n"
+RULE = "\n\n"      # between the parts of a prompt
 SQRT2 = 2 ** 0.5
 
 
@@ -61,16 +61,16 @@ def context_parts(wrap: bool = True) -> tuple[Column, Column]:
     metadata = F.coalesce("metadata", F.lit("{}"))
     chunk = wrapped(F.col("chunk_id"), F.col("content")) if wrap else F.col("content")
     body = F.concat(
-        F.when(F.col("preceding") != "", F.concat(F.lit("## Preceding chunk(s):\n"), "preceding", F.lit(RULE))).otherwise(""),
-        F.lit("## Current chunk metadata:\n"), metadata, F.lit("\n\n## Current chunk:\n"), chunk,
-        F.when(F.col("succeeding") != "", F.concat(F.lit(f"{RULE}## Succeeding chunk(s):\n"), "succeeding")).otherwise(""))
-    head = F.concat(F.lit("## Document ID: "), "doc_id", F.lit("\n"))
+        F.when(F.col("preceding") != "", F.concat(F.lit("[before]\n"), "preceding", F.lit(RULE))).otherwise(""),
+        F.lit("[metadata]\n"), metadata, F.lit("\n\n[chunk]\n"), chunk,
+        F.when(F.col("succeeding") != "", F.concat(F.lit(f"{RULE}[after]\n"), "succeeding")).otherwise(""))
+    head = F.concat(F.lit("[document] "), "doc_id", F.lit("\n"))
     return head, body
 
 
 def full_prompt() -> Column:
-    return F.concat(F.lit("## Document ID: "), "doc_id", F.lit("\n## Document metadata:\n"),
-                    F.coalesce("metadata", F.lit("{}")), F.lit("\n\n## Full document contents:\n"), "content")
+    return F.concat(F.lit("[document] "), "doc_id", F.lit("\n[metadata]\n"),
+                    F.coalesce("metadata", F.lit("{}")), F.lit("\n\n[text]\n"), "content")
 
 
 def chunk_prompt(wrap: bool = True) -> Column:
@@ -81,19 +81,19 @@ def chunk_prompt(wrap: bool = True) -> Column:
 def fold_prompt(head: Column, body: Column, summary: Column) -> Column:
     """Chunk prompt with the summary so far (JSON text), left out while it is empty."""
     so_far = F.when(summary.isNotNull() & (summary != '""'),
-                    F.concat(F.lit("## Current accumulated summary:\n"), summary, F.lit(RULE))).otherwise("")
+                    F.concat(F.lit("[summary so far]\n"), summary, F.lit(RULE))).otherwise("")
     return F.concat(head, so_far, body)
 
 
 def delta_prompt(head: Column, body: Column, deltas: Column) -> Column:
     """Chunk prompt with the JSON array of deltas so far."""
-    return F.concat(head, F.lit("## Accumulating summary array (so far):\n"), deltas, F.lit("\n\n"), body)
+    return F.concat(head, F.lit("[summaries so far]\n"), deltas, F.lit("\n\n"), body)
 
 
 def merge_prompt(a: Column, b: Column, guidance: str = "") -> Column:
     """Prompt to merge two partial summaries (JSON texts)."""
-    return F.concat(F.lit("Two partial summaries need merging.\n\n--- Summary A ---\n"), a, F.lit("\n\n--- Summary B ---\n"), b,
-                    F.lit(f"\n\nGuidance on merging:\n{guidance or '(none)'}\n\nReturn one merged summary.\n"))
+    return F.concat(F.lit("Merge the two.\n\n[first]\n"), a, F.lit("\n\n[second]\n"), b,
+                    F.lit(f"\n\n[guidance]\n{guidance or '(none)'}\n\nReturn one merged summary.\n"))
 
 
 # Fixed value: the form of a length constraint.

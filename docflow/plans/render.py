@@ -14,6 +14,9 @@ from docflow.functions.schema_check import wrap_schema
 from docflow.functions.text import json_string
 from docflow.operators.ordering import concat_ordered
 
+# Fixed value: what stands for the reason of a call that gives none.
+NO_RATIONALE = "A tool is called."
+
 PROVIDERS = ("openai", "anthropic", "ollama", "google")
 
 
@@ -73,7 +76,7 @@ def _openai(role: Column, parts: Column) -> Column:
 
 def _anthropic(role: Column, parts: Column) -> Column:
     def call(p):
-        said = F.concat(F.lit("<thinking>"), F.coalesce(F.nullif(p["rationale"], F.lit("")), F.lit("Choosing the best tool.")), F.lit("</thinking>"))
+        said = F.concat(F.lit("<thinking>"), F.coalesce(F.nullif(p["rationale"], F.lit("")), F.lit(NO_RATIONALE)), F.lit("</thinking>"))
         use = _obj(type=_str("tool_use"), id=_q(p["call_id"]), name=_q(p["tool_name"]), input=F.coalesce(p["arguments"], F.lit("{}")))
         return F.when(p["kind"] == "tool_call", F.array(_text_block(said), use)).otherwise(F.array(_text_block(p["text"])))
 

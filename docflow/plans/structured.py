@@ -13,15 +13,20 @@ from docflow.plans.models import BatchModel, ColumnModel, complete, complete_dis
 from docflow.schemas import ERROR
 from docflow.session import cut_lineage
 
-# Default limits; N attempts allowed mean N + 1 calls.
+# Default limits (N attempts allowed mean N + 1 calls), and the two error messages, which
+# clients compare.
 MAX_REPAIRS = 5
 MAX_DEFECTIVE = 5
 EXHAUSTED = "Exhausted num_defective_reply_max_attempts.  Something seems to be wrong with this model or prompt."
 INVALID = "The response could not be validated after multiple attempts."
 HISTORY = "array<struct<role:string,content:string>>"
 
+REPAIR_TASK = ("Your last reply breaks the schema in the places listed here. Send it again with these places mended and nothing else "
+               "changed. Invent no facts: where the schema offers a word for \"not known\", use it; leave out an optional part that "
+               "cannot be filled.")
 
-def _error(message: str, kind: str, code: int, details: Column | None = None) -> Column:
+
+def failure(message: str, kind: str, code: int, details: Column | None = None) -> Column:
     return F.struct(F.lit(None).cast("string").alias("provider"), F.lit(message).alias("message"), F.lit("Error").alias("name"),
                     F.lit(None).cast("int").alias("status"), F.lit(kind).alias("interpreted_type"), F.lit(code).alias("interpreted_code"),
                     F.lit(message if code == 422 else "An error occurred while processing your request.").alias("interpreted_message"),
@@ -34,7 +39,7 @@ def defective() -> Column:
 
 def complete_with_retry(requests: DataFrame, model: ColumnModel | BatchModel, max_attempts: int = MAX_DEFECTIVE) -> DataFrame:
     """``complete``; empty replies are asked again, only those, ``max_attempts`` times."""
-    gone = F.when(defective(), _error(EXHAUSTED, "unclassified_api_error", 500)).otherwise(F.col("error"))
+    gone = F.when(defective(), failure(EXHAUSTED, "unclassified_api_error", 500)).otherwise(F.col("error"))
     if isinstance(model, ColumnModel):
         # A column gives the same reply each time, so asking again cannot help.
         return complete(requests, model).withColumn("error", gone)
@@ -52,15 +57,10 @@ def complete_with_retry(requests: DataFrame, model: ColumnModel | BatchModel, ma
 
 
 def repair_prompt(reply: Column, found: Column) -> Column:
-    """Prompt that shows a reply and its violations and asks for a valid one."""
-    return F.concat(
-        F.lit("The JSON response below does not conform to its JSON Schema. Return a corrected response that is fully valid and keeps "
-              "as much of its content as possible.\nFirst note which enum fields have a value for uncertainty, such as \"unknown\". "
-              "If a required string field with such a value is missing, use that value. If a required string field has no enum, "
-              "remove the object that holds it instead of inventing a value.\n\n<Response>\n"), reply,
-        F.lit("\n</Response>\n<ValidationErrors>\n"),
-        F.to_json(F.transform(found, lambda v: F.struct(v["instance_path"].alias("instancePath"), v["keyword"].alias("keyword"), v["message"].alias("message")))),
-        F.lit("\n</ValidationErrors>\n"))
+    """Prompt that lists the violations of a reply, then shows it, and asks for one without them."""
+    shown = F.transform(found, lambda v: F.struct(
+        v["instance_path"].alias("instancePath"), v["keyword"].alias("keyword"), v["message"].alias("message")))
+    return F.concat(F.lit(f"{REPAIR_TASK}\n\nProblems, as JSON:\n"), F.to_json(shown), F.lit("\n\nYour reply was:\n"), reply, F.lit("\n"))
 
 
 def complete_structured(requests: DataFrame, model: ColumnModel | BatchModel, schema: dict, max_repairs: int = MAX_REPAIRS,
@@ -102,7 +102,7 @@ def complete_structured(requests: DataFrame, model: ColumnModel | BatchModel, sc
     final = F.to_json(F.array("reply"))
     details = F.concat(F.lit('{"mostValidOutput":'), F.coalesce("_best", F.lit("null")), F.lit(',"finalResponse":'),
                        F.substring(final, F.lit(2), F.length(final) - 2), F.lit("}"))
-    return settled.withColumn("error", F.when(invalid, _error(INVALID, "schema_validation_failed", 422, details)).otherwise(F.col("error"))).drop("_best")
+    return settled.withColumn("error", F.when(invalid, failure(INVALID, "schema_validation_failed", 422, details)).otherwise(F.col("error"))).drop("_best")
 
 
 def response_format(schema: dict, name: str = "forced-schema") -> str:

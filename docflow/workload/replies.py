@@ -55,7 +55,7 @@ def _(spark, sf):
 def repairing_model() -> ColumnModel:
     """Wrong at first; the second call fixes users whose prompt asks for it."""
     def fn(_system, user, _limit):
-        asked = user.contains("<ValidationErrors>")
+        asked = user.contains("Problems, as JSON:")
         fixable = user.rlike("^task [0-9]*[02468]:")
         return F.when(asked & fixable, F.lit('{"k":50,"name":"unknown"}')).otherwise(F.lit('{"k":5,"name":"unknown"}'))
     return ColumnModel("repairing", fn)

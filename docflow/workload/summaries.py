@@ -19,6 +19,24 @@ def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+# The texts that prompts must have, written out apart from the code under test.
+_SUMMARISE, _GUIDED = "You summarise documents.", "Follow this guidance:\n<guidance>\n{}\n</guidance>"
+_SYSTEM = {
+    "full": f"{_SUMMARISE} The user provides a whole document; summarise it.\n\n{_GUIDED}",
+    "map": f"{_SUMMARISE} The document comes in chunks. Summarise exactly the current chunk; neighbouring chunks may be given as context. "
+           f"Obey <constraint> elements of the prompt.\n\n{_GUIDED}",
+    "fold": f"{_SUMMARISE} You get one chunk and the summary so far. Return the summary in the same form, extended by what is new in the "
+            f"chunk, without losing what matters in it.\n\n{_GUIDED}",
+    "delta-fold": f"{_SUMMARISE} You get one chunk and the list of summaries so far. Return only what is new in this chunk, as valid JSON; "
+                  f"it is appended to the list.\n\n{_GUIDED}",
+    "merge": f"{_SUMMARISE} You get two partial summaries. Merge them into one by the guidance given. Return only the merged summary.",
+}
+
+
+def _system(mode: str, guidance: str = "") -> str:
+    return _SYSTEM[mode].format(guidance)
+
+
 def _reply(system: str, user: str) -> str:
     return f"substr(sha256({_q(system)} || chr(10) || {user}), 1, 16)"
 
@@ -33,13 +51,13 @@ def _sql_prompts(before: int, after: int, wrap: bool = True) -> str:
     join = lambda lo, hi: (f"coalesce(string_agg(w, chr(10) || chr(10)) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN {lo} AND {hi}), '')")
     pre = join(f"{before} PRECEDING", "1 PRECEDING") if before else "''"
     post = join("1 FOLLOWING", f"{after} FOLLOWING") if after else "''"
-    rule = _q(P.RULE)
+    rule = "chr(10) || chr(10)"
     return f"""{SQL_LINES},
 ctx AS (SELECT *, {pre} AS pre, {post} AS post FROM (SELECT *, {text} AS w FROM lines)),
-pr AS MATERIALIZED (SELECT doc_id, idx, n, txt, pre, post, '## Document ID: ' || doc_id || chr(10) AS head,
-  CASE WHEN pre <> '' THEN '## Preceding chunk(s):' || chr(10) || pre || {rule} ELSE '' END
-  || '## Current chunk metadata:' || chr(10) || '{{}}' || chr(10) || chr(10) || '## Current chunk:' || chr(10) || w
-  || CASE WHEN post <> '' THEN {rule} || '## Succeeding chunk(s):' || chr(10) || post ELSE '' END AS body FROM ctx)"""
+pr AS MATERIALIZED (SELECT doc_id, idx, n, txt, pre, post, '[document] ' || doc_id || chr(10) AS head,
+  CASE WHEN pre <> '' THEN '[before]' || chr(10) || pre || {rule} ELSE '' END
+  || '[metadata]' || chr(10) || '{{}}' || chr(10) || chr(10) || '[chunk]' || chr(10) || w
+  || CASE WHEN post <> '' THEN {rule} || '[after]' || chr(10) || post ELSE '' END AS body FROM ctx)"""
 
 
 @query("context_windows", f"""WITH {_sql_prompts(2, 1)}
@@ -50,22 +68,22 @@ def _(spark, sf):
 
 
 @query("prompts", f"""WITH {_sql_prompts(1, 1)}
-SELECT doc_id, CAST(idx AS BIGINT) AS chunk_idx, sha256({_q(P.system_prompt('map', 'Be brief.'))} || head || body) AS prompt_hash FROM pr""")
+SELECT doc_id, CAST(idx AS BIGINT) AS chunk_idx, sha256({_q(_system('map', 'Be brief.'))} || head || body) AS prompt_hash FROM pr""")
 def _(spark, sf):
     rows = P.with_context(lines(spark, sf), 1, 1)
     return rows.select("doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"),
                        F.sha2(F.concat(F.lit(P.system_prompt("map", "Be brief.")), P.chunk_prompt()), 256).alias("prompt_hash"))
 
 
-@query("summarize_full", f"""SELECT CAST(doc_id AS VARCHAR) AS doc_id, {_reply(P.system_prompt('full', 'Be brief.'),
-  "'## Document ID: ' || doc_id || chr(10) || '## Document metadata:' || chr(10) || '{}' || chr(10) || chr(10) || '## Full document contents:' || chr(10) || text")}
+@query("summarize_full", f"""SELECT CAST(doc_id AS VARCHAR) AS doc_id, {_reply(_system('full', 'Be brief.'),
+  "'[document] ' || doc_id || chr(10) || '[metadata]' || chr(10) || '{}' || chr(10) || chr(10) || '[text]' || chr(10) || text")}
   AS summary FROM documents""")
 def _(spark, sf):
     return S.summarize_full(documents(spark, sf), digest_model(), "Be brief.").select("doc_id", "summary")
 
 
 @query("summarize_map", f"""WITH {_sql_prompts(1, 1)}
-SELECT doc_id, CAST(idx AS BIGINT) AS chunk_idx, {_reply(P.system_prompt('map', 'Be brief.'), 'head || body')} AS summary FROM pr""")
+SELECT doc_id, CAST(idx AS BIGINT) AS chunk_idx, {_reply(_system('map', 'Be brief.'), 'head || body')} AS summary FROM pr""")
 def _(spark, sf):
     out = S.summarize_map(lines(spark, sf), digest_model(), "lines", "Be brief.", before=1, after=1)
     return out.select("doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), "summary")
@@ -73,7 +91,7 @@ def _(spark, sf):
 
 @query("summarize_fold", f"""WITH RECURSIVE {_sql_prompts(1, 0)},
 f AS (SELECT doc_id, CAST(-1 AS BIGINT) AS i, CAST('' AS VARCHAR) AS acc, max(n) AS n FROM pr GROUP BY doc_id
-  UNION ALL SELECT f.doc_id, i + 1, {_reply(P.system_prompt('fold'), f"head || CASE WHEN acc = '' THEN '' ELSE '## Current accumulated summary:' || chr(10) || '\"' || acc || '\"' || {_q(P.RULE)} END || body")}, f.n
+  UNION ALL SELECT f.doc_id, i + 1, {_reply(_system('fold'), f"head || CASE WHEN acc = '' THEN '' ELSE '[summary so far]' || chr(10) || '\"' || acc || '\"' || chr(10) || chr(10) END || body")}, f.n
   FROM f JOIN pr ON pr.doc_id = f.doc_id AND pr.idx = f.i + 1)
 SELECT doc_id, acc AS summary FROM f WHERE i = n - 1""")
 def _(spark, sf):
@@ -82,7 +100,7 @@ def _(spark, sf):
 
 _DELTA = f"""f AS (SELECT doc_id, CAST(-1 AS BIGINT) AS i, CAST('' AS VARCHAR) AS deltas, max(n) AS n FROM pr GROUP BY doc_id
   UNION ALL SELECT f.doc_id, i + 1, deltas || CASE WHEN deltas = '' THEN '' ELSE ',' END || '"' ||
-    {_reply(P.system_prompt('delta-fold'), "head || '## Accumulating summary array (so far):' || chr(10) || '[' || deltas || ']' || chr(10) || chr(10) || body")} || '"', f.n
+    {_reply(_system('delta-fold'), "head || '[summaries so far]' || chr(10) || '[' || deltas || ']' || chr(10) || chr(10) || body")} || '"', f.n
   FROM f JOIN pr ON pr.doc_id = f.doc_id AND pr.idx = f.i + 1)"""
 
 
@@ -134,8 +152,8 @@ def _(spark, sf):
 def bracket_model() -> ColumnModel:
     """Shows the shape of a merge: the two parts of the prompt between brackets."""
     def fn(_system, user, _limit):
-        part = lambda name: F.regexp_extract(user, rf'(?s)--- Summary {name} ---\n"(.*?)"\n\n', 1)
-        return F.concat(F.lit("("), part("A"), F.lit("+"), part("B"), F.lit(")"))
+        part = lambda name: F.regexp_extract(user, rf'(?s)\[{name}\]\n"(.*?)"\n\n', 1)
+        return F.concat(F.lit("("), part("first"), F.lit("+"), part("second"), F.lit(")"))
     return ColumnModel("bracket", fn)
 
 
@@ -164,34 +182,38 @@ def _(spark, sf):
     return S.merge_tree(_parts(spark, sf), bracket_model())
 
 
-_MERGE_USER = ("'Two partial summaries need merging.' || chr(10) || chr(10) || '--- Summary A ---' || chr(10) || '\"' || acc || '\"' || chr(10) || chr(10) || "
-               "'--- Summary B ---' || chr(10) || '\"' || s || '\"' || chr(10) || chr(10) || 'Guidance on merging:' || chr(10) || 'Short.' || chr(10) || chr(10) || "
+_MERGE_USER = ("'Merge the two.' || chr(10) || chr(10) || '[first]' || chr(10) || '\"' || acc || '\"' || chr(10) || chr(10) || "
+               "'[second]' || chr(10) || '\"' || s || '\"' || chr(10) || chr(10) || '[guidance]' || chr(10) || 'Short.' || chr(10) || chr(10) || "
                "'Return one merged summary.' || chr(10)")
 
 
 @query("summarize_map_merge", f"""WITH RECURSIVE {_sql_prompts(1, 0, wrap=False)},
-s AS MATERIALIZED (SELECT doc_id, idx, n, {_reply(P.system_prompt('map'), 'head || body')} AS s FROM pr),
+s AS MATERIALIZED (SELECT doc_id, idx, n, {_reply(_system('map'), 'head || body')} AS s FROM pr),
 f AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, s AS acc, n FROM s WHERE idx = 0
-  UNION ALL SELECT f.doc_id, i + 1, {_reply(P.system_prompt('merge', 'Short.'), _MERGE_USER)}, f.n FROM f JOIN s ON s.doc_id = f.doc_id AND s.idx = f.i + 1)
+  UNION ALL SELECT f.doc_id, i + 1, {_reply(_system('merge', 'Short.'), _MERGE_USER)}, f.n FROM f JOIN s ON s.doc_id = f.doc_id AND s.idx = f.i + 1)
 SELECT doc_id, acc AS summary FROM f WHERE i = n - 1""")
 def _(spark, sf):
     merged, _ = S.summarize_map_merge(lines(spark, sf), digest_model(), "lines", merge_guidance="Short.", before=1)
     return merged
 
 
-_SQL_LETTERS = "CAST((length({t}) - length(replace(lower({t}), '{c}', ''))) / CAST(greatest(length({t}), 1) AS DOUBLE) AS FLOAT)"
+def _sql_letters(text: str) -> str:
+    """Millionths of all 26 letters, joined by commas."""
+    of = lambda c: f"CAST((length({text}) - length(replace(lower({text}), '{c}', ''))) / CAST(greatest(length({text}), 1) AS DOUBLE) AS FLOAT)"
+    return " || ',' || ".join(f"CAST(CAST(round(CAST({of(chr(97 + i))} AS DOUBLE) * 1000000) AS BIGINT) AS VARCHAR)" for i in range(26))
+
+
+def _millionths():
+    return F.array_join(F.transform("vector", lambda x: F.round(x.cast("double") * 1000000).cast("long").cast("string")), ",")
 
 
 @query("embed_chunks", f"""WITH {SQL_LINES}
-SELECT doc_id, CAST(idx AS BIGINT) AS chunk_idx, 'letters' AS model, CAST(26 AS BIGINT) AS dim,
-  round(CAST({_SQL_LETTERS.format(t='txt', c='e')} AS DOUBLE), 6) AS e, round(CAST({_SQL_LETTERS.format(t='txt', c='z')} AS DOUBLE), 6) AS z FROM lines""")
+SELECT doc_id, CAST(idx AS BIGINT) AS chunk_idx, 'letters' AS model, {_sql_letters('txt')} AS vector FROM lines""")
 def _(spark, sf):
     out = embed_chunks(lines(spark, sf), letter_frequencies(), "lines")
-    at = lambda c: F.round(F.col("vector")[ord(c) - 97].cast("double"), 6).alias(c)
-    return out.select("doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), "model", F.size("vector").cast("long").alias("dim"), at("e"), at("z"))
+    return out.select("doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), "model", _millionths().alias("vector"))
 
 
-@query("embed_texts", f"""SELECT item_id, CAST(26 AS BIGINT) AS dim, round(CAST({_SQL_LETTERS.format(t='text', c='a')} AS DOUBLE), 6) AS a FROM benchmark""")
+@query("embed_texts", f"""SELECT item_id, {_sql_letters('text')} AS vector FROM benchmark""")
 def _(spark, sf):
-    out = embed_texts(table(spark, sf, "benchmark"), letter_frequencies())
-    return out.select("item_id", F.size("vector").cast("long").alias("dim"), F.round(F.col("vector")[0].cast("double"), 6).alias("a"))
+    return embed_texts(table(spark, sf, "benchmark"), letter_frequencies()).select("item_id", _millionths().alias("vector"))

@@ -144,7 +144,7 @@ def test_provider_payloads(spark):
     assert openai[3] == {"role": "tool", "tool_call_id": "c1", "content": '{"r":3}'}
     anthropic = messages(spark, "anthropic")
     assert anthropic[1]["content"][1] == {"type": "image", "source": {"type": "base64", "media_type": "image/png", "data": "QUJD"}}
-    assert anthropic[2] == {"role": "assistant", "content": [{"type": "text", "text": "<thinking>Choosing the best tool.</thinking>"},
+    assert anthropic[2] == {"role": "assistant", "content": [{"type": "text", "text": "<thinking>A tool is called.</thinking>"},
                                                              {"type": "tool_use", "id": "c1", "name": "calc", "input": {"a": 1, "b": 2}}]}
     assert anthropic[3] == {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "c1", "content": {"r": 3}}]}
     ollama = messages(spark, "ollama")
