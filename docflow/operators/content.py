@@ -13,7 +13,6 @@ from docflow.schemas import as_chunks
 from docflow.session import cut_lineage
 
 SEGMENT = 65_536      # characters of parent text a span is cut from
-MAX_DEPTH = 16
 
 
 # --- resolution -----------------------------------------------------------------
@@ -86,7 +85,7 @@ def resolve_content(docs: DataFrame, chunks: DataFrame) -> tuple[DataFrame, Data
     return whole, joined.withColumn("content", content).select(*chunks.columns, "reason")
 
 
-def resolve_nested(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
+def resolve_nested(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Resolve trees of documents inside documents.
 
     ``nodes(node_id, parent_id, chunk_group, idx, content, start, length,
@@ -106,9 +105,8 @@ def resolve_nested(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> tuple[DataFr
                           .select("node_id", "parent_id", "start", "length", "kind"))
     empty_rejects = waiting.select("node_id", F.lit("").alias("reason")).limit(0)
     rejects, left = empty_rejects, waiting.count()
-    for _ in range(2 * max_depth):
-        if left == 0:
-            break
+    # A round that settles nothing is the last one, so cycles end too.
+    while left:
         spans = (waiting.where("kind = 'span'").join(done.select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi")
                  .select("node_id", "parent_id", "start", "length"))
         cut = cut_spans(done.select(F.col("node_id").alias("parent_id"), "text"), spans, ["node_id"], "parent_id")
@@ -138,29 +136,28 @@ def resolve_nested(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> tuple[DataFr
 # --- combination and order --------------------------------------------------------
 
 def combine_documents(docs: DataFrame, by: str, order_by: str, group_name: str = "sources",
-                      master_id: str | None = None, joined_ids: int = 10_000) -> tuple[DataFrame, DataFrame]:
+                      master_id: str | None = None) -> tuple[DataFrame, DataFrame]:
     """One master document per value of ``by``, its members as chunks of ``group_name``.
 
-    The master id is the ``master_id`` column if given, else the members' ids joined by
-    ``:`` in order. A corpus of more than ``joined_ids`` members takes the value of ``by``
-    as id instead: a joined id of unbounded length cannot be a key. Every member is kept in
-    either case. ``order_by`` is numeric. A member whose id equals the master's gets
-    ``_child`` appended. Returns (masters, members).
+    Masters and members are keyed by the ``master_id`` column if given, else by the SHA-256 of
+    ``by``; the members' ids joined by ``:`` in order stand once, as ``joined_id`` of the master.
+    ``order_by`` is numeric. A member that is the only one of its master has the joined id for
+    its own and gets ``_child`` appended. Returns (masters, members).
     """
     placed = dense_index(docs, [by], order_by, "chunk_idx")
-    sizes = docs.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    key = F.sha2(F.col(by).cast("string"), 256)
+    ids = docs.groupBy(by).agg(F.count(F.lit(1)).alias("_n"), (F.min(master_id) if master_id else F.first(key)).alias("master_id"))
+    joined = concat_ordered(placed, [by], "chunk_idx", "doc_id", ":", "joined_id")
+    masters = ids.join(joined, by, "left").select(by, F.col("master_id").alias("doc_id"), "joined_id", F.lit(group_name).alias("content_chunk_group"))
     if master_id:
-        ids = docs.groupBy(by).agg(F.min(master_id).alias("master_id"))
+        members = placed.drop("master_id").join(ids.select(by, "master_id"), by)
+        same = F.col("doc_id") == F.col("master_id")
     else:
-        # Pre-join per block of the order, then per corpus; only small corpora take part.
-        small = placed.join(sizes.where(F.col("_n") <= joined_ids).select(by), by, "left_semi")
-        joined = concat_ordered(small, [by], "chunk_idx", "doc_id", ":", "_joined")
-        ids = (sizes.join(joined, by, "left")
-               .select(by, F.coalesce("_joined", F.col(by).cast("string")).alias("master_id")))
-    members = placed.join(ids, by).withColumn(
-        "child_id", F.when(F.col("doc_id") == F.col("master_id"), F.concat("doc_id", F.lit("_child")))
-        .otherwise(F.col("doc_id")))
-    masters = ids.select(by, F.col("master_id").alias("doc_id"), F.lit(group_name).alias("content_chunk_group"))
+        # Only masters of one member take part, so no key is hot on either side that matches.
+        alone = ids.where("_n = 1").select(by, F.lit(True).alias("_alone"))
+        members = placed.join(alone, by, "left").withColumn("master_id", key)
+        same = F.coalesce("_alone", F.lit(False))
+    members = members.withColumn("child_id", F.when(same, F.concat("doc_id", F.lit("_child"))).otherwise(F.col("doc_id"))).drop("_alone")
     return masters, members.withColumn("chunk_group", F.lit(group_name))
 
 

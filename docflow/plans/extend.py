@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,11 +11,11 @@ from docflow.functions.jsonx import json_kind, member
 from docflow.operators.ordering import concat_ordered
 from docflow.operators.tools import ToolRegistry, execute_tool_calls
 from docflow.operators.transcripts import message_json, part
-from docflow.plans.structured import ask
+from docflow.plans.structured import ask, failure
 from docflow.schemas import PART
 from docflow.session import cut_lineage
 
-# Fixed value: rounds of tool calls after the first call before a conversation is stopped.
+# Fixed value: rounds of tool calls after the first call.
 MAX_ROUNDS = 10
 CALLS = "array<struct<name:string,call_id:string,arguments:variant,rationale:string>>"
 
@@ -36,13 +38,14 @@ def _turn(role: str, parts: Column, turn: Column) -> list[Column]:
     return ["conv_id", turn.cast("int").alias("turn"), F.lit(role).alias("role"), parts.cast(f"array<{PART}>").alias("parts")]
 
 
-def extend_transcripts(turns: DataFrame, model, system: str = "", tools: ToolRegistry | None = None, max_rounds: int = MAX_ROUNDS,
+def extend_transcripts(turns: DataFrame, model, system: str = "", tools: ToolRegistry | None = None, max_rounds: int | None = MAX_ROUNDS,
                        schema: dict | None = None, **limits) -> tuple[DataFrame, DataFrame]:
     """(suffix turns, errors (conv_id, error)) for every conversation in ``turns``.
 
     Without tools one call per conversation. With tools a reply may ask for calls: server
     tools run and the conversation is asked again; a call of a client tool ends it with the
-    call pending. Only unfinished conversations take part in a round.
+    call pending. Only unfinished conversations take part in a round. One that still asks for calls
+    after ``max_rounds`` keeps its turns so far and gets an error row; None sets no end.
     """
     requests = conversation_requests(turns, system)
     if tools is None:
@@ -54,7 +57,7 @@ def extend_transcripts(turns: DataFrame, model, system: str = "", tools: ToolReg
     is_client = (lambda n: n.isin(*client)) if client else (lambda n: F.lit(False))
     active, suffix, errors = turns.select("conv_id", "turn", "role", "parts"), None, None
     add = lambda a, b: b if a is None else a.unionByName(b)
-    for _ in range(max_rounds + 1):
+    for done_rounds in itertools.count():
         asked = cut_lineage(ask(conversation_requests(active, system), model, schema, **limits).withColumn("calls", _called(F.col("reply"))))
         errors = add(errors, asked.where("error is not null").select("conv_id", "error"))
         answered = asked.where("error is null")
@@ -63,6 +66,9 @@ def extend_transcripts(turns: DataFrame, model, system: str = "", tools: ToolReg
         calling = answered.where(F.size("calls") > 0)
         if calling.isEmpty():
             break
+        if max_rounds is not None and done_rounds == max_rounds:
+            errors = errors.unionByName(calling.select("conv_id", failure(f"No final reply after {max_rounds} rounds of tool calls.", "tool_rounds_exhausted", 500).alias("error")))
+            break
         calls = calling.select("conv_id", "next_turn", F.posexplode("calls").alias("pos", "c")).select(
             "conv_id", "next_turn", "pos", F.col("c.name").alias("tool_name"),
             # Providers without call ids get one that a re-run repeats.

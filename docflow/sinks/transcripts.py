@@ -24,19 +24,25 @@ def write_transcripts(turns: DataFrame, path: str, mode: str = "errorifexists")
 
 
 def batch_lines(requests: DataFrame, provider: str, model: str) -> DataFrame:
-    """(provider, model, value): one JSON line per request with its id."""
+    """(provider, model, conv_id, value): one JSON line per request with its id; NULL for a request without a body."""
     value = F.concat(F.lit('{"custom_id":'), F.to_json(F.array("conv_id")).substr(F.lit(2), F.length(F.to_json(F.array("conv_id"))) - 2),
                      F.lit(',"body":'), "body", F.lit("}"))
-    return requests.where(F.col("body").isNotNull()).select(F.lit(provider).alias("provider"), F.lit(model).alias("model"), value.alias("value"))
+    return requests.select(F.lit(provider).alias("provider"), F.lit(model).alias("model"), "conv_id", value.alias("value"))
 
 
 def write_batch_requests(turns: DataFrame, providers: dict[str, RequestOptions], path: str, mode: str = "errorifexists") -> None:
-    """Batch request files for offline submission, partitioned by provider and model."""
+    """Batch request files for offline submission, partitioned by provider and model.
+
+    Conversations whose request could not be built go to ``<path>.rejects`` with the reason.
+    """
     out = None
     for provider, options in providers.items():
         lines = batch_lines(render_requests(turns, provider, options), provider, options.model)
         out = lines if out is None else out.unionByName(lines)
-    out.write.mode(mode).partitionBy("provider", "model").text(path)
+    out.where("value IS NOT NULL").drop("conv_id").write.mode(mode).partitionBy("provider", "model").text(path)
+    lost = out.where("value IS NULL").select("provider", "model", "conv_id", F.lit("text_too_long").alias("reason"))
+    if not lost.isEmpty():
+        lost.write.mode(mode).parquet(f"{path}.rejects")
 
 
 def attachment_rows(turns: DataFrame) -> DataFrame:

@@ -9,17 +9,16 @@ from docflow.functions.jsonx import json_kind
 from docflow.schemas import as_chunks, as_docs
 from docflow.session import cut_lineage
 
-MAX_DEPTH = 16
 # Members of a document object; chunks stay JSON texts until their level is parsed.
 OBJECT = ("struct<id:string,parent:string,start:string,length:string,content:variant,content_chunk_group:string,metadata:string,"
           "annotations:string,embeddings:map<string,array<float>>,chunks:map<string,array<string>>>")
 
 
-def parse_docs(texts: DataFrame, json_col: str = "json", max_depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame, DataFrame]:
+def parse_docs(texts: DataFrame, json_col: str = "json") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(docs, chunks, rejects) from document objects in JSON texts.
 
-    Chunks of chunks get ``depth`` > 1 and their parent chunk's id as ``parent``. Rows that are
-    not JSON objects go to rejects.
+    Chunks of chunks get ``depth`` > 1 and their parent chunk's id as ``parent``, however deep they
+    are: a level is parsed as long as there is one. Rows that are not JSON objects go to rejects.
     """
     text = F.col(json_col)
     ok = F.coalesce(json_kind(F.try_parse_json(json_col)) == "OBJECT", F.lit(False))
@@ -29,8 +28,9 @@ def parse_docs(texts: DataFrame, json_col: str = "json", max_depth: int = MAX_DE
     docs = good.select(F.col("o.id").alias("doc_id"), F.col("o.parent").alias("parent_doc_id"), _content().alias("content"),
                        "o.content_chunk_group", "o.metadata", "o.annotations")
     level = _children(good.select(F.col("o.id").alias("doc_id"), F.col("o.id").alias("owner"), "o"), 1)
-    chunks = None
-    for depth in range(1, max_depth + 1):
+    chunks, depth = None, 0
+    while True:
+        depth += 1
         rows = level.select(
             "doc_id", "chunk_group", "chunk_idx", F.col("o.id").alias("chunk_id"), F.coalesce("o.parent", "owner").alias("parent"),
             F.col("o.start").try_cast("int").alias("start"), F.col("o.length").try_cast("int").alias("length"), _content().alias("content"),
@@ -39,9 +39,6 @@ def parse_docs(texts: DataFrame, json_col: str = "json", max_depth: int = MAX_DE
         deeper = level.where(F.col("o.chunks").isNotNull())
         if deeper.isEmpty():
             break
-        if depth == max_depth:
-            rejects = rejects.unionByName(deeper.select(F.col("o.id").alias("text"), F.lit("nested too deeply").alias("reason")))
-            break
         level = cut_lineage(_children(deeper.select("doc_id", F.col("o.id").alias("owner"), "o"), depth + 1))
     docs = docs.withColumn("sha256", F.sha2("content", 256)).withColumn("size_bytes", F.octet_length("content"))
     return as_docs(docs), as_chunks(chunks), rejects

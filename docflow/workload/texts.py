@@ -126,15 +126,22 @@ def _(spark, sf):
 
 @query("combine_documents", """
 WITH o AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id AS k, source FROM documents),
-m AS (SELECT source, CASE WHEN count(*) <= 10000 THEN string_agg(id, ':' ORDER BY k) ELSE source END AS master_id
-      FROM o GROUP BY source)
-SELECT sha256(m.master_id) AS master_hash, CASE WHEN id = m.master_id THEN id || '_child' ELSE id END AS child_id,
+m AS (SELECT source, string_agg(id, ':' ORDER BY k) AS joined_id FROM o GROUP BY source)
+SELECT sha256(o.source) AS master_id, CASE WHEN id = m.joined_id THEN id || '_child' ELSE id END AS child_id,
   CAST(row_number() OVER (PARTITION BY o.source ORDER BY k) - 1 AS BIGINT) AS idx
 FROM o JOIN m USING (source)""")
 def _(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").alias("n"), "source")
     _, members = C.combine_documents(docs, "source", "n")
-    return members.select(F.sha2("master_id", 256).alias("master_hash"), "child_id", F.col("chunk_idx").cast("long").alias("idx"))
+    return members.select("master_id", "child_id", F.col("chunk_idx").cast("long").alias("idx"))
+
+
+@query("combine_masters", """
+SELECT source, sha256(source) AS doc_id, sha256(string_agg(CAST(doc_id AS VARCHAR), ':' ORDER BY doc_id)) AS joined_hash FROM documents GROUP BY source""")
+def _(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").alias("n"), "source")
+    masters, _ = C.combine_documents(docs, "source", "n")
+    return masters.select("source", "doc_id", F.sha2("joined_id", 256).alias("joined_hash"))
 
 
 @query("chunk_neighbors", f"""
@@ -193,7 +200,7 @@ def _(spark, sf):
 def _annotated(spark, sf):
     """Documents with a summary annotation in each of its shapes."""
     docs = table(spark, sf, "documents")
-    head = F.substring(F.regexp_replace("text", "\n", " "), 1, 60)
+    head = F.regexp_replace("text", "\n", " ")
     kind = F.col("doc_id") % 6
     obj = lambda **kw: F.to_json(F.struct(*[v.alias(k) for k, v in kw.items()]))
     summary = (F.when(kind == 0, F.to_json(F.array(obj(delta=head), F.lit(" "), F.lit("plain text"), obj(other=head))))
@@ -204,7 +211,7 @@ def _annotated(spark, sf):
 
 
 _SQL_HEAD = """d AS (SELECT doc_id AS k, CAST(doc_id AS VARCHAR) AS doc_id, lang,
-  substr(replace(text, chr(10), ' '), 1, 60) AS head FROM documents)"""
+  replace(text, chr(10), ' ') AS head FROM documents)"""
 
 
 @query("extract_summary", f"""
@@ -233,15 +240,15 @@ def _(spark, sf):
 
 
 @query("delta_text", """
-WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, doc_id % 4 AS kind, substr(text, 1, 200) AS t FROM documents)
+WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, doc_id % 4 AS kind, text AS t FROM documents)
 SELECT doc_id, sha256(CASE kind WHEN 2 THEN '{"x":' || to_json(t) || '}' ELSE t END) AS text_hash FROM d""")
 def _(spark, sf):
-    t = F.substring("text", 1, 200)
+    t = F.col("text")
     kind = F.col("doc_id") % 4
     quoted = F.to_json(F.array(t))
     item = (F.when(kind == 0, F.to_json(F.struct(t.alias("delta"))))
             .when(kind == 1, F.substring(quoted, F.lit(2), F.length(quoted) - 2))
-            .when(kind == 2, F.concat(F.lit("{ "), F.substring(F.to_json(F.struct(t.alias("x"))), 2, 100000)))
+            .when(kind == 2, F.concat(F.lit("{ "), F.substr(F.to_json(F.struct(t.alias("x"))), F.lit(2))))
             .otherwise(t))
     return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"),
                                                 F.sha2(delta_text(item), 256).alias("text_hash"))
