@@ -53,8 +53,9 @@ def _exit_table(counts: np.ndarray, limit: int, overlap: int) -> tuple[np.ndarra
     return size, closed
 
 
-def _entry_states(blocks: DataFrame, limit: int, overlap: int, block: int) -> DataFrame:
-    """(doc_id, _blk, entry, out_base) of every block that follows a full one."""
+def _entry_states(blocks: DataFrame, limit: int, overlap: int) -> DataFrame:
+    """(doc_id, _blk, entry, out_base) of every block that follows another of its document, however
+    many index values lie between them."""
 
     def tables(batches):
         import pandas as pd
@@ -73,15 +74,20 @@ def _entry_states(blocks: DataFrame, limit: int, overlap: int, block: int) -> Da
         import pandas as pd
         entry = base = 0
         rows = []
-        for row in pdf.sort_values("_blk").itertuples(index=False):
+        ordered = pdf.sort_values("_blk")
+        following = [*ordered["_blk"][1:], None]
+        for row, after in zip(ordered.itertuples(index=False), following):
+            if after is None:
+                break
             k = int(np.searchsorted(np.asarray(row.starts), entry, side="right")) - 1
             base += int(row.closed[k])
             entry = int(row.sizes[k])
-            rows.append((row.doc_id, int(row[1]) + 1, entry, base))
+            rows.append((row.doc_id, int(after), entry, base))
         return pd.DataFrame(rows, columns=["doc_id", "_blk", "entry", "out_base"])
 
-    full = blocks.where(F.size("items") == block)
-    return (full.select("doc_id", "_blk", "items")
+    # Documents of one block, nearly all of them, need no states.
+    several = blocks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")
+    return (blocks.select("doc_id", "_blk", "items").join(several, "doc_id", "left_semi")
             .mapInPandas(tables, "doc_id string, _blk long, starts array<long>, sizes array<long>, closed array<long>")
             .groupBy("doc_id").applyInPandas(chain, "doc_id string, _blk long, entry long, out_base long"))
 
@@ -92,8 +98,8 @@ def _blocks(counted: DataFrame, block: int) -> DataFrame:
                                                       F.col("n").cast("long").alias("n")))).alias("items")))
 
 
-def _with_entries(blocks: DataFrame, limit: int, overlap: int, block: int) -> DataFrame:
-    entries = _entry_states(blocks, limit, overlap, block)
+def _with_entries(blocks: DataFrame, limit: int, overlap: int) -> DataFrame:
+    entries = _entry_states(blocks, limit, overlap)
     return (blocks.join(entries, ["doc_id", "_blk"], "left")
             .withColumn("entry", F.coalesce("entry", F.lit(0).cast("long")))
             .withColumn("out_base", F.coalesce("out_base", F.lit(0).cast("long"))))
@@ -155,7 +161,7 @@ def _emit_ranges(limit: int, overlap: int) -> Column:
 
 
 def _pieces_plain(counted: DataFrame, limit: int, block: int) -> DataFrame:
-    placed = _with_entries(_blocks(counted, block), limit, 0, block)
+    placed = _with_entries(_blocks(counted, block), limit, 0)
     rows = placed.select("doc_id", "out_base", F.explode(_assign_pieces(limit)).alias("r"))
     shifted = F.transform("r.pieces", lambda p: F.struct(
         (p["out"] + F.col("out_base")).alias("out"), p["lo"].alias("lo"), p["hi"].alias("hi")))
@@ -170,7 +176,7 @@ def _pieces_overlap(counted: DataFrame, limit: int, overlap: int, block: int) ->
     bases = keyed.groupBy("doc_id", "_blk").agg(F.sum("n").alias("_t")).select(
         "doc_id", "_blk", F.lead("_blk").over(along).isNull().alias("is_last"),
         F.coalesce(F.sum("_t").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("tok_base"))
-    blocks = _with_entries(_blocks(counted, block), limit, overlap, block).join(bases, ["doc_id", "_blk"])
+    blocks = _with_entries(_blocks(counted, block), limit, overlap).join(bases, ["doc_id", "_blk"])
     folded = blocks.select("doc_id", "out_base", "tok_base", "is_last", _emit_ranges(limit, overlap).alias("s"))
     # The buffer still open after the document's last block is its final chunk.
     open_end = F.when(F.col("is_last") & (F.col("s.p") > F.col("s.b")),

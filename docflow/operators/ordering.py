@@ -74,13 +74,13 @@ def concat_ordered(df: DataFrame, keys: list[str], idx: str, text: str, separato
     parts = blocked.groupBy(*keys, "_blk").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"),
                                                                       F.col(text).alias("t")))),
-                                 lambda x: x["t"]), separator).alias("_text"),
-        F.sum(F.length(text) + len(separator)).alias("_chars"))
-    sized = parts.withColumn("_total", F.sum("_chars").over(Window.partitionBy(*keys)))
-    fits = F.col("_total") <= limit
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(
-        F.when(fits, F.struct("_blk", "_text")))), lambda x: x["_text"]), separator)
-    return sized.groupBy(*keys).agg(F.when(F.max("_total") <= limit, whole).alias(out))
+                                 lambda x: x["t"]), separator).alias("_text"))
+    # Sizes are summed apart from the texts, so the text of a group too long for a cell is never moved.
+    over = (df.groupBy(*keys).agg(F.sum(F.length(text) + len(separator)).alias("_n"))
+            .where(F.col("_n") > limit).select(*keys))
+    whole = parts.join(over, keys, "left_anti").groupBy(*keys).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_blk", "_text"))), lambda x: x["_text"]), separator).alias(out))
+    return whole.unionByName(over.withColumn(out, F.lit(None).cast("string")))
 
 
 def quantile_bounds(df: DataFrame, col: str, parts: int) -> list:

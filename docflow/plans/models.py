@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docflow.functions.jsonx import bind
 from docflow.schemas import ERROR
 from docflow.session import cut_lineage
 
@@ -127,8 +128,8 @@ def digest_model(name: str = "digest", size: int = 16) -> ColumnModel:
 def letter_frequencies(name: str = "letters") -> ColumnModel:
     """26 relative letter counts as a vector."""
     def vector(text: Column) -> Column:
-        low = F.lower(text)
-        size = F.greatest(F.length(text), F.lit(1))
-        count = lambda c: F.length(text) - F.length(F.replace(low, F.lit(c), F.lit("")))
-        return F.array(*[(count(chr(97 + i)) / size).cast("float") for i in range(26)])
+        # The lower-cased text and its length are bound once for all 26 numbers.
+        count = lambda t, c: t["n"] - F.length(F.replace(t["low"], F.lit(c), F.lit("")))
+        return bind(F.struct(F.lower(text).alias("low"), F.length(text).alias("n")), lambda t: F.array(*[
+            (count(t, chr(97 + i)) / F.greatest(t["n"], F.lit(1))).cast("float") for i in range(26)]))
     return ColumnModel(name, vector=vector)

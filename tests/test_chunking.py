@@ -108,3 +108,15 @@ def test_tokens_restore_text(spark, texts):
     rows = df.select("t", join_tokens(tokens(F.col("t"))).alias("back"), F.size(_word_tokens(F.col("t"))).alias("n"), token_count(F.col("t")).alias("k")).collect()
     assert all(r.t == r.back and r.n == r.k for r in rows)
     assert _word_count is not None
+
+
+def test_merge_on_sparse_index(spark):
+    """An index with holes, wider than a block of the scan, packs as the dense one does."""
+    rows = [("d", "g", i * 5000, f"d/{i}", "a b c") for i in range(3)] + [("e", "g", i * 7, f"e/{i}", f"w{i} x") for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id string, chunk_group string, chunk_idx int, chunk_id string, content string")
+    from docflow.schemas import as_chunks
+    out = K.merge_chunks(as_chunks(frame), max_tokens=5, group="g", new_group="m", block=16).where("chunk_group = 'm'")
+    got = {}
+    for r in out.orderBy("doc_id", "chunk_idx").collect():
+        got.setdefault(r.doc_id, []).append(r.n_tokens)
+    assert got["d"] == [3, 3, 3] and got["e"] == [4] * 20
