@@ -23,8 +23,10 @@ from docflow.functions.text import json_string, token_count, trim_all
 from docflow.plans.models import BatchModel, ColumnModel
 from docflow.plans.prompts import (as_json, chunk_prompt, context_parts, delta_prompt, fold_prompt, full_prompt,
                                    merge_prompt, system_prompt, with_context, word_constraint)
-from docflow.plans.structured import ask
-from docflow.session import cut_lineage
+from docflow.functions.schema_check import violations
+from docflow.plans.structured import INVALID, ask, failure
+from docflow.schemas import ERROR
+from docflow.session import append_rows, appended_rows, cut_lineage, work_folder
 
 SEGMENT = 256
 TREE_LEVELS = 8           # tree levels folded per shuffle with a ColumnModel
@@ -70,16 +72,23 @@ def _serial(rows: DataFrame, item: list[str], state: dict[str, Column], step: Ca
     names = list(state)
     rows = rows.withColumn("_seg", F.floor(F.col("chunk_idx") / segment).cast("int"))
     tail = cut_lineage(rows.where("_seg > 0")) if rounds > 1 else None
-    firsts = rows.where("_seg = 0")
-    current, kept = None, []
+    firsts = rows if rounds <= 1 else rows.where("_seg = 0")
+    if rounds > 1:
+        # A document's state is written once, when its last segment is done; only the others go on.
+        spark, folder = rows.sparkSession, work_folder(rows.sparkSession)
+        ends = cut_lineage(rows.groupBy("doc_id").agg(F.max("_seg").alias("_end")))
+    current, kept = None, None
     for r in range(max(rounds, 1)):
         part = (firsts if r == 0 else tail.where(F.col("_seg") == r))
         items = part.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_idx", *item))).alias("items"))
-        if r == 0:
+        if current is None:
             opened = items.join(seed, "doc_id", "left") if seed is not None else items
-            opened = opened.select("doc_id", "items", *[c.alias(f"_s_{n}") for n, c in state.items()])
         else:
-            opened = items.join(current.select("doc_id", *[F.col(n).alias(f"_s_{n}") for n in names]), "doc_id")
+            # Documents whose first segments are missing open here.
+            before = current.select("doc_id", F.lit(True).alias("_on"), *[F.col(n).alias(f"_o_{n}") for n in names])
+            opened = (items.join(seed, "doc_id", "left") if seed is not None else items).join(before, "doc_id", "left")
+        carried = (lambda n, c: c) if current is None else (lambda n, c: F.when(F.col("_on"), F.col(f"_o_{n}")).otherwise(c))
+        opened = opened.select("doc_id", "items", *[carried(n, c).alias(f"_s_{n}") for n, c in state.items()])
         fields = [F.col(f"_s_{n}").alias(n) for n in names]
         if out is None:
             start, fold = F.struct(*fields), step
@@ -98,14 +107,17 @@ def _serial(rows: DataFrame, item: list[str], state: dict[str, Column], step: Ca
             done = cut_lineage(done)
         after = done.select("doc_id", *[F.col(f"s.{n}").alias(n) for n in names])
         if out is not None:
-            kept.append(done.select("doc_id", F.explode("s.rows").alias("r")).select("doc_id", "r.*"))
-        current = after if r == 0 else current.join(after.select("doc_id"), "doc_id", "left_anti").unionByName(after)
-        if r:
-            current = cut_lineage(current)
-    chunk_rows = None
-    for k in kept:
-        chunk_rows = k if chunk_rows is None else chunk_rows.unionByName(k)
-    return current, chunk_rows
+            kept = done.select("doc_id", F.explode("s.rows").alias("r")).select("doc_id", "r.*")
+        if rounds <= 1:
+            return after, kept
+        placed = after.join(ends, "doc_id")
+        append_rows(placed.where(F.col("_end") == r).drop("_end"), folder, "state")
+        if kept is not None:
+            append_rows(kept, folder, "kept")
+        going = placed.where(F.col("_end") > r).drop("_end")
+        current = cut_lineage(going if current is None else current.join(placed.select("doc_id"), "doc_id", "left_anti").unionByName(going))
+    return (appended_rows(spark, folder, "state", after.schema),
+            None if kept is None else appended_rows(spark, folder, "kept", kept.schema))
 
 
 def _rounds(rows: DataFrame, state: DataFrame, advance: Callable[[DataFrame], DataFrame], keep: list[str],
@@ -116,17 +128,26 @@ def _rounds(rows: DataFrame, state: DataFrame, advance: Callable[[DataFrame], Da
     columns; ``keep`` names the per-chunk columns to collect.
     """
     last = rows.agg(F.max("chunk_idx")).first()[0]
-    state, kept, part = cut_lineage(state), None, None
+    spark, folder = rows.sparkSession, work_folder(rows.sparkSession)
+    ends = rows.groupBy("doc_id").agg(F.max("chunk_idx").alias("_end"))
     names = state.columns
+    start = state
+    working, part, kept = cut_lineage(state.join(ends, "doc_id")), None, None
     for i in range(0 if last is None else last + 1):
         if i % segment == 0:
             part = cut_lineage(rows.where((F.col("chunk_idx") >= i) & (F.col("chunk_idx") < i + segment)))
-        moved = cut_lineage(advance(part.where(F.col("chunk_idx") == i).join(state, "doc_id")))
-        state = cut_lineage(state.join(moved.select("doc_id"), "doc_id", "left_anti").unionByName(moved.select(*names)))
+        moved = cut_lineage(advance(part.where(F.col("chunk_idx") == i).join(working, "doc_id")))
+        # What ends here is written once and leaves; a round writes only what goes on.
+        append_rows(moved.where(F.col("_end") == i).select(*names), folder, "state")
         if keep:
-            one = moved.select("doc_id", "chunk_idx", *keep)
-            kept = one if kept is None else kept.unionByName(one)
-    return state, kept
+            kept = moved.select("doc_id", "chunk_idx", *keep)
+            append_rows(kept, folder, "kept")
+        working = cut_lineage(working.join(moved.select("doc_id"), "doc_id", "left_anti")
+                              .unionByName(moved.where(F.col("_end") > i).select(*working.columns)))
+    if last is None:
+        return start, None
+    return (appended_rows(spark, folder, "state", start.schema),
+            appended_rows(spark, folder, "kept", kept.schema) if keep else None)
 
 
 def _prepared(chunks: DataFrame, group: str, before: int, after: int) -> DataFrame:
@@ -139,7 +160,7 @@ def _prepared(chunks: DataFrame, group: str, before: int, after: int) -> DataFra
 
 def summarize_fold(chunks: DataFrame, model, group: str, guidance: str = "", schema: dict | None = None,
                    before: int = 0, after: int = 0, initial_summary: str = "", segment: int = SEGMENT, **limits) -> DataFrame:
-    """(doc_id, summary): the accumulated summary after the last chunk."""
+    """(doc_id, summary, error): the accumulated summary after the last chunk, and the first error."""
     system = F.lit(system_prompt("fold", guidance, schema))
     rows = _prepared(chunks, group, before, after)
     is_json = schema is not None
@@ -147,7 +168,7 @@ def summarize_fold(chunks: DataFrame, model, group: str, guidance: str = "", sch
     if isinstance(model, ColumnModel):
         step = lambda s, x: F.struct(_settled(model.reply(system, prompt(x["head"], x["body"], s["acc"])), schema).alias("acc"))
         state, _ = _serial(rows, ["head", "body"], {"acc": F.lit(initial_summary)}, step, None, None, segment=segment)
-        return state.select("doc_id", F.col("acc").alias("summary"))
+        return state.select("doc_id", F.col("acc").alias("summary"), _schema_error(F.col("acc"), schema).alias("error"))
 
     def advance(part):
         asked = part.withColumn("system", system).withColumn("user", prompt(F.col("head"), F.col("body"), F.col("acc")))
@@ -161,10 +182,16 @@ def summarize_fold(chunks: DataFrame, model, group: str, guidance: str = "", sch
 
 
 def _no_error() -> Column:
-    from docflow.schemas import ERROR
     return F.lit(None).cast(ERROR)
 
 
+def _schema_error(value: Column, schema: dict | None) -> Column:
+    """Error of a stored result that breaks the schema; the replies of a ColumnModel are checked here."""
+    if schema is None:
+        return _no_error()
+    return F.when(F.coalesce(F.size(violations(value, schema)) > 0, F.lit(True)), failure(INVALID, "schema_validation_failed", 422)).otherwise(_no_error())
+
+
 # --- delta-fold --------------------------------------------------------------------------------
 
 def _append(inner: Column, delta: Column, json_sum: str, is_json: bool) -> Column:
@@ -179,7 +206,7 @@ def _append(inner: Column, delta: Column, json_sum: str, is_json: bool) -> Colum
 def summarize_delta_fold(chunks: DataFrame, model, group: str, guidance: str = "", schema: dict | None = None,
                          before: int = 0, after: int = 0, json_sum: str = "append", initial: DataFrame | None = None,
                          segment: int = SEGMENT, **limits) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, summary JSON array), (doc_id, chunk_idx, delta)).
+    """((doc_id, summary JSON array), (doc_id, chunk_idx, delta, error)).
 
     ``initial(doc_id, deltas)`` seeds the array with the JSON array of an earlier run.
     """
@@ -199,6 +226,8 @@ def summarize_delta_fold(chunks: DataFrame, model, group: str, guidance: str = "
         out = lambda b, _s, x: F.struct(x["chunk_idx"].alias("chunk_idx"), b["delta"].alias("delta"))
         state, deltas = _serial(rows, ["head", "body"], {"inner": first, "delta": F.lit(None).cast("string")}, step, out,
                                 "struct<chunk_idx:int,delta:string>", seeds, segment)
+        if deltas is not None:
+            deltas = deltas.withColumn("error", _schema_error(F.col("delta"), schema))
     else:
         def advance(part):
             asked = part.withColumn("system", system).withColumn("user", prompt(F.col("head"), F.col("body"), F.col("inner")))
@@ -251,7 +280,7 @@ def summarize_map_budget(chunks: DataFrame, model, group: str, tokens_budget: in
                             b["actual"].alias("tokens_actual"), ratio.alias("words_per_token"), s["remaining"].alias("budget_remaining"),
                             s["left"].alias("chunks_remaining"), x["tokens_input"].alias("tokens_input"))
         _, stats = _serial(rows, ["head", "body", "tokens_input"], start, step, out, _STATS, totals, segment)
-        return stats
+        return stats.withColumn("error", _schema_error(F.col("summary"), schema))
 
     def advance(part):
         target, ratio, words = targets(F.col("remaining"), F.col("left"), F.col("words"), F.col("seen"))
@@ -281,7 +310,11 @@ def budget_stats(stats: DataFrame) -> DataFrame:
 
 def merge_left_to_right(parts: DataFrame, model, guidance: str = "", schema: dict | None = None,
                         segment: int = SEGMENT, **limits) -> DataFrame:
-    """(doc_id, summary) from ``parts(doc_id, chunk_idx, summary)`` merged in order."""
+    """(doc_id, summary, error, unmerged) from ``parts(doc_id, chunk_idx, summary)`` merged in order.
+
+    A document of which a call failed, or of which a part is missing, has no summary but the error and,
+    in order, the texts that were not merged: nothing already paid for is lost.
+    """
     system = F.lit(system_prompt("merge", guidance, schema))
     is_json = schema is not None
     rows = parts.select("doc_id", "chunk_idx", F.coalesce("summary", F.lit("")).alias("part"))
@@ -290,18 +323,30 @@ def merge_left_to_right(parts: DataFrame, model, guidance: str = "", schema: dic
         step = lambda s, x: F.struct(F.when(s["acc"].isNull(), x["part"]).otherwise(
             _settled(model.reply(system, prompt(s["acc"], x["part"])), schema)).alias("acc"))
         state, _ = _serial(rows, ["part"], {"acc": F.lit(None).cast("string")}, step, None, None, segment=segment)
-        return state.select("doc_id", F.col("acc").alias("summary"))
+        return _merged(state.select("doc_id", F.col("acc").alias("text"), _schema_error(F.col("acc"), schema).alias("error"),
+                                    F.array("acc").alias("rest")))
 
     def advance(part):
-        opening = part.where("acc is null").withColumn("acc", F.col("part"))
-        asked = part.where("acc is not null").withColumn("system", system).withColumn("user", prompt(F.col("acc"), F.col("part")))
+        names = ["doc_id", "chunk_idx", "_end", "acc", "failed", "rest"]
+        opening = part.where("acc is null").withColumn("acc", F.col("part")).withColumn("rest", F.array("part"))
+        # After a failure the parts are only gathered.
+        stopped = part.where("acc is not null and failed is not null").withColumn("rest", F.concat("rest", F.array("part")))
+        asked = part.where("acc is not null and failed is null").withColumn("system", system).withColumn("user", prompt(F.col("acc"), F.col("part")))
         replied = ask(asked, model, schema, **limits)
-        moved = replied.withColumn("acc", F.when(F.col("error").isNull(), _settled(F.col("reply"), schema)).otherwise(F.col("acc")))
-        return moved.select("doc_id", "chunk_idx", "acc").unionByName(opening.select("doc_id", "chunk_idx", "acc"))
+        good = F.col("error").isNull()
+        moved = (replied.withColumn("acc", F.when(good, _settled(F.col("reply"), schema)).otherwise(F.col("acc"))).withColumn("failed", F.col("error"))
+                 .withColumn("rest", F.when(good, F.array("acc")).otherwise(F.concat("rest", F.array("part")))))
+        return moved.select(*names).unionByName(opening.select(*names)).unionByName(stopped.select(*names))
 
-    seed = rows.select("doc_id").distinct().withColumn("acc", F.lit(None).cast("string"))
+    seed = rows.select("doc_id").distinct().select("doc_id", F.lit(None).cast("string").alias("acc"), _no_error().alias("failed"),
+                                                   F.array().cast("array<string>").alias("rest"))
     state, _ = _rounds(rows, seed, advance, [])
-    return state.select("doc_id", F.col("acc").alias("summary"))
+    return _merged(state.select("doc_id", F.col("acc").alias("text"), F.col("failed").alias("error"), "rest"))
+
+
+def _merged(done: DataFrame) -> DataFrame:
+    failed = F.col("error").isNotNull()
+    return done.select("doc_id", F.when(~failed, F.col("text")).alias("summary"), "error", F.when(failed, F.col("rest")).alias("unmerged"))
 
 
 def _tree_place(idx: Column, n: Column) -> Column:
@@ -318,7 +363,8 @@ def _tree_place(idx: Column, n: Column) -> Column:
 
 
 def merge_tree(parts: DataFrame, model, guidance: str = "", schema: dict | None = None, **limits) -> DataFrame:
-    """(doc_id, summary) from ``parts`` merged pairwise along a balanced tree.
+    """(doc_id, summary, error, unmerged) from ``parts`` merged pairwise along a balanced tree, with
+    errors as in ``merge_left_to_right``: above a failed pair nothing is asked, all texts are kept.
 
     All documents and all pairs of a level are merged in parallel; with a ColumnModel
     ``TREE_LEVELS`` levels share one shuffle.
@@ -351,15 +397,21 @@ def merge_tree(parts: DataFrame, model, guidance: str = "", schema: dict | None
             folded = F.aggregate(F.sequence(F.lit(depth), F.lit(top + 1), F.lit(-1)), F.col("items"), level)
             nodes = held.select("doc_id", F.col("_d").alias("depth"), F.col("_c").alias("code"), folded[0]["text"].alias("text"))
             depth = top
-        return nodes.select("doc_id", F.col("text").alias("summary"))
+        return _merged(nodes.select("doc_id", "text", _schema_error(F.col("text"), schema).alias("error"), F.array("text").alias("rest")))
+    nodes = nodes.withColumn("error", _no_error()).withColumn("rest", F.array("text"))
     for d in range(depth, 0, -1):
-        side = lambda k: F.max(F.when(F.col("code") % 2 == k, F.col("text")))
+        side = lambda k: F.max(F.when(F.col("code") % 2 == k, F.struct("text", "error", "rest")))
         pairs = nodes.where(F.col("depth") == d).groupBy("doc_id", F.floor(F.col("code") / 2).cast("long").alias("code")).agg(side(0).alias("a"), side(1).alias("b"))
-        asked = pairs.withColumn("system", system).withColumn("user", prompt(F.col("a"), F.col("b")))
-        merged = ask(asked, model, schema, **limits).select("doc_id", F.lit(d - 1).alias("depth"), "code",
-                                                           F.coalesce(_settled(F.col("reply"), schema), F.lit("")).alias("text"))
-        nodes = cut_lineage(nodes.where(F.col("depth") < d).unionByName(merged))
-    return nodes.select("doc_id", F.col("text").alias("summary"))
+        both = pairs.select("doc_id", "code", "a", "b", F.coalesce("a.error", "b.error").alias("failed"), F.concat("a.rest", "b.rest").alias("rest"))
+        asked = both.where("failed is null").withColumn("system", system).withColumn("user", prompt(F.col("a.text"), F.col("b.text")))
+        replied = ask(asked, model, schema, **limits)
+        text = F.when(F.col("error").isNull(), _settled(F.col("reply"), schema))
+        merged = replied.select("doc_id", F.lit(d - 1).alias("depth"), "code", text.alias("text"), "error",
+                                F.when(F.col("error").isNull(), F.array(text)).otherwise(F.col("rest")).alias("rest"))
+        stopped = both.where("failed is not null").select("doc_id", F.lit(d - 1).alias("depth"), "code", F.lit(None).cast("string").alias("text"),
+                                                          F.col("failed").alias("error"), "rest")
+        nodes = cut_lineage(nodes.where(F.col("depth") < d).unionByName(merged).unionByName(stopped))
+    return _merged(nodes.select("doc_id", "text", "error", "rest"))
 
 
 def summarize_merge(parts: DataFrame, model, merge_mode: str = "left-to-right", **kw) -> DataFrame:
@@ -371,7 +423,7 @@ def summarize_merge(parts: DataFrame, model, merge_mode: str = "left-to-right",
 def summarize_map_merge(chunks: DataFrame, model, group: str, guidance: str = "", merge_guidance: str = "",
                         merge_mode: str = "left-to-right", schema: dict | None = None, before: int = 0, after: int = 0,
                         **limits) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, summary), per-chunk summaries); context is not wrapped in this method."""
+    """((doc_id, summary, error, unmerged), per-chunk summaries); context is not wrapped in this method."""
     parts = summarize_map(chunks, model, group, guidance, schema, before, after, wrap=False, **limits)
     if isinstance(model, BatchModel):
         parts = cut_lineage(parts)
@@ -392,8 +444,9 @@ def set_annotation(annotations: Column, field: str, value: Column) -> Column:
 def summarize(docs: DataFrame, chunks: DataFrame, model, method: str, group: str | None = None, *, schema: dict | None = None,
               annotation_field: str = "summary", annotation_field_delta: str = "summary_delta", tokens_budget: int | None = None,
               merge_mode: str = "left-to-right", merge_guidance: str = "", initial_summary=None, json_sum: str = "append",
-              guidance: str = "", before: int = 0, after: int = 0, **limits) -> tuple[DataFrame, DataFrame]:
-    """Annotated (docs, chunks) by one of ``METHODS``; both carry resolved content."""
+              guidance: str = "", before: int = 0, after: int = 0, **limits) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Annotated (docs, chunks) by one of ``METHODS``, and the errors (doc_id, chunk_idx, error); ``chunk_idx``
+    is null where the error is the document's. Inputs carry resolved content."""
     from docflow.functions.jsonx import annotation
     if method not in METHODS:
         raise ValueError(f"unsupported summarization method: {method}")
@@ -405,13 +458,13 @@ def summarize(docs: DataFrame, chunks: DataFrame, model, method: str, group: str
     doc_rows = chunk_rows = None
     field = annotation_field
     if method == "full":
-        doc_rows = summarize_full(docs, model, **common).select("doc_id", json_of(F.col("summary")).alias("_v"))
+        doc_rows = summarize_full(docs, model, **common).select("doc_id", json_of(F.col("summary")).alias("_v"), "error")
     elif method == "map":
         rows = (summarize_map_budget(chunks, model, group, tokens_budget, **common, **context) if tokens_budget
                 else summarize_map(chunks, model, group, **common, **context))
-        chunk_rows = rows.select("doc_id", "chunk_idx", json_of(F.col("summary")).alias("_v"))
+        chunk_rows = rows.select("doc_id", "chunk_idx", json_of(F.col("summary")).alias("_v"), "error")
     elif method == "fold":
-        doc_rows = summarize_fold(chunks, model, group, initial_summary=initial_summary or "", **common, **context).select("doc_id", json_of(F.col("summary")).alias("_v"))
+        doc_rows = summarize_fold(chunks, model, group, initial_summary=initial_summary or "", **common, **context).select("doc_id", json_of(F.col("summary")).alias("_v"), "error")
     elif method == "delta-fold":
         seeds = None
         if initial_summary is not None:
@@ -420,19 +473,23 @@ def summarize(docs: DataFrame, chunks: DataFrame, model, method: str, group: str
             old = annotation(F.col("annotations"), field)
             seeds = docs.select("doc_id", old.alias("deltas")).where(json_kind(F.try_parse_json("deltas")) == "ARRAY")
         whole, deltas = summarize_delta_fold(chunks, model, group, json_sum=json_sum, initial=seeds, **common, **context)
-        doc_rows = whole.select("doc_id", F.col("summary").alias("_v"))
-        chunk_rows = deltas.select("doc_id", "chunk_idx", json_of(F.col("delta")).alias("_v"))
+        doc_rows = whole.select("doc_id", F.col("summary").alias("_v"), _no_error().alias("error"))
+        chunk_rows = deltas.select("doc_id", "chunk_idx", json_of(F.col("delta")).alias("_v"), "error")
     elif method == "merge":
         parts = chunks.where(F.col("chunk_group") == group).select("doc_id", "chunk_idx", annotation(F.col("annotations"), field).alias("summary"))
-        doc_rows = summarize_merge(parts, model, merge_mode, guidance=merge_guidance, schema=schema, **limits).select("doc_id", json_of(F.col("summary")).alias("_v"))
+        doc_rows = summarize_merge(parts, model, merge_mode, guidance=merge_guidance, schema=schema, **limits).select("doc_id", json_of(F.col("summary")).alias("_v"), "error")
     else:
         merged, parts = summarize_map_merge(chunks, model, group, guidance, merge_guidance, merge_mode, schema, before, after, **limits)
-        doc_rows = merged.select("doc_id", json_of(F.col("summary")).alias("_v"))
-        chunk_rows = parts.select("doc_id", "chunk_idx", json_of(F.col("summary")).alias("_v"))
+        doc_rows = merged.select("doc_id", json_of(F.col("summary")).alias("_v"), "error")
+        chunk_rows = parts.select("doc_id", "chunk_idx", json_of(F.col("summary")).alias("_v"), "error")
+    errors = None
     if doc_rows is not None:
-        docs = docs.join(doc_rows, "doc_id", "left").withColumn("annotations", set_annotation(F.col("annotations"), field, F.col("_v"))).drop("_v")
+        errors = doc_rows.select("doc_id", F.lit(None).cast("int").alias("chunk_idx"), "error")
+        docs = docs.join(doc_rows.drop("error"), "doc_id", "left").withColumn("annotations", set_annotation(F.col("annotations"), field, F.col("_v"))).drop("_v")
     if chunk_rows is not None:
         name = annotation_field_delta if method == "delta-fold" else field
-        joined = chunks.join(chunk_rows.withColumn("chunk_group", F.lit(group)), ["doc_id", "chunk_group", "chunk_idx"], "left")
+        failed = chunk_rows.select("doc_id", F.col("chunk_idx").cast("int").alias("chunk_idx"), "error")
+        errors = failed if errors is None else errors.unionByName(failed)
+        joined = chunks.join(chunk_rows.drop("error").withColumn("chunk_group", F.lit(group)), ["doc_id", "chunk_group", "chunk_idx"], "left")
         chunks = joined.withColumn("annotations", set_annotation(F.col("annotations"), name, F.col("_v"))).drop("_v")
-    return docs, chunks
+    return docs, chunks, errors.where("error is not null")

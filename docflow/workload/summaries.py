@@ -95,7 +95,7 @@ f AS (SELECT doc_id, CAST(-1 AS BIGINT) AS i, CAST('' AS VARCHAR) AS acc, max(n)
   FROM f JOIN pr ON pr.doc_id = f.doc_id AND pr.idx = f.i + 1)
 SELECT doc_id, acc AS summary FROM f WHERE i = n - 1""")
 def _(spark, sf):
-    return S.summarize_fold(lines(spark, sf), digest_model(), "lines", before=1)
+    return S.summarize_fold(lines(spark, sf), digest_model(), "lines", before=1).select("doc_id", "summary")
 
 
 _DELTA = f"""f AS (SELECT doc_id, CAST(-1 AS BIGINT) AS i, CAST('' AS VARCHAR) AS deltas, max(n) AS n FROM pr GROUP BY doc_id
@@ -165,7 +165,7 @@ def _parts(spark, sf):
 SELECT doc_id, repeat('(', max(n) - 1) || '0' || coalesce(string_agg('+' || idx || ')', '' ORDER BY idx) FILTER (WHERE idx > 0), '') AS summary
 FROM lines GROUP BY doc_id""")
 def _(spark, sf):
-    return S.merge_left_to_right(_parts(spark, sf), bracket_model())
+    return S.merge_left_to_right(_parts(spark, sf), bracket_model()).select("doc_id", "summary")
 
 
 # Trees of every size up to the longest document, built bottom-up from their halves.
@@ -179,7 +179,7 @@ closes AS (SELECT doc_id, lo + n - 1 AS at, repeat(')', CAST(count(*) AS BIGINT)
 SELECT l.doc_id, string_agg(coalesce(o, '') || l.idx || coalesce(c, ''), '+' ORDER BY l.idx) AS summary FROM lines l
 LEFT JOIN opens ON opens.doc_id = l.doc_id AND opens.at = l.idx LEFT JOIN closes ON closes.doc_id = l.doc_id AND closes.at = l.idx GROUP BY l.doc_id""")
 def _(spark, sf):
-    return S.merge_tree(_parts(spark, sf), bracket_model())
+    return S.merge_tree(_parts(spark, sf), bracket_model()).select("doc_id", "summary")
 
 
 _MERGE_USER = ("'Merge the two.' || chr(10) || chr(10) || '[first]' || chr(10) || '\"' || acc || '\"' || chr(10) || chr(10) || "
@@ -194,7 +194,7 @@ f AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, s AS acc, n FROM s WHERE idx = 0
 SELECT doc_id, acc AS summary FROM f WHERE i = n - 1""")
 def _(spark, sf):
     merged, _ = S.summarize_map_merge(lines(spark, sf), digest_model(), "lines", merge_guidance="Short.", before=1)
-    return merged
+    return merged.select("doc_id", "summary")
 
 
 def _sql_letters(text: str) -> str:

@@ -31,8 +31,22 @@ def digest_call(_client, request):
 
 
 def bracket_call(_client, request):
-    part = lambda name: re.search(rf'--- Summary {name} ---\n"(.*?)"\n\n', request["user"], re.S).group(1)
-    return f"({part('A')}+{part('B')})"
+    part = lambda name: re.search(rf'\[{name}\]\n"(.*?)"\n\n', request["user"], re.S).group(1)
+    return f"({part('first')}+{part('second')})"
+
+
+def refusing_bracket_call(client, request):
+    """Merges, but refuses to merge anything with a part that says "bad"."""
+    merged = bracket_call(client, request)
+    if "bad" in merged:
+        raise Refused("blocked")
+    return merged
+
+
+def picky_embed(_client, texts):
+    if any("bad" in t for t in texts):
+        raise ValueError("no vector for this")
+    return [[float(len(t))] for t in texts]
 
 
 def budget_call(_client, request):

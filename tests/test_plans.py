@@ -136,11 +136,40 @@ def test_tree_with_python_model(spark):
     assert got == {f"d{n}": halves([str(i) for i in range(n)]) for n in (1, 3, 6)}
 
 
+@pytest.mark.parametrize("merge", [S.merge_left_to_right, S.merge_tree])
+def test_failed_merges_keep_their_parts(spark, merge):
+    """A failed document has an error and all its texts; others are not touched."""
+    rows = [("ok", i, f"{i}") for i in range(5)] + [("no", i, "bad" if i == 2 else f"{i}") for i in range(5)] + [("one", 0, "bad")]
+    parts = spark.createDataFrame(rows, "doc_id string, chunk_idx int, summary string")
+    got = {r.doc_id: r for r in merge(parts, batch(M.refusing_bracket_call)).collect()}
+    assert got["ok"].error is None and got["ok"].unmerged is None and got["ok"].summary.count("+") == 4
+    assert got["no"].summary is None and got["no"].error.message == "blocked"
+    kept = "".join(got["no"].unmerged)
+    assert [c for c in kept.replace("bad", "2") if c.isdigit()] == list("01234") and "bad" in got["no"].unmerged
+    assert (got["one"].summary, got["one"].error) == ("bad", None)
+
+
+def test_summarize_returns_errors(spark):
+    chunks = corpus(spark, (2, 3)).withColumn("content", F.when(F.col("chunk_id") == "d3/g@1", "bad").otherwise(F.col("content")))
+    docs = as_docs(spark.createDataFrame([("d2", "two"), ("d3", "three")], "doc_id string, content string"))
+    for method, want in (("map", {("d3", 1)}), ("fold", {("d3", None)}), ("delta-fold", {("d3", 1)})):
+        *_, errors = S.summarize(docs, chunks, batch(M.failing_call), method, "g")
+        assert {(r.doc_id, r.chunk_idx) for r in errors.collect()} == want
+    *_, errors = S.summarize(docs, chunks, ColumnModel("arr", lambda _s, _u, _n: F.lit("[1]")), "fold", "g", schema={"type": "object"})
+    assert {(r.doc_id, r.error.interpreted_type) for r in errors.collect()} == {("d2", "schema_validation_failed"), ("d3", "schema_validation_failed")}
+
+
+def test_failing_embeddings_are_rows(spark):
+    texts = spark.createDataFrame([(1, "a"), (2, "bad"), (3, "ccc")], "id int, text string").coalesce(1)
+    got = {r.id: (r.vector, r.error) for r in embed_texts(texts, BatchModel("m", M.open_none, embed=M.picky_embed)).collect()}
+    assert got == {1: ([1.0], None), 2: (None, "ValueError: no vector for this"), 3: ([3.0], None)}
+
+
 @pytest.mark.parametrize("method", S.METHODS)
 def test_summarize_annotates(spark, method):
     chunks = corpus(spark, (2, 3)).withColumn("annotations", F.lit('{"summary":"old","keep":true}'))
     docs = as_docs(spark.createDataFrame([("d2", "two"), ("d3", "three"), ("d0", "none")], "doc_id string, content string"))
-    out_docs, out_chunks = S.summarize(docs, chunks, digest_model(), method, None if method == "full" else "g", merge_mode="hierarchical")
+    out_docs, out_chunks, errors = S.summarize(docs, chunks, digest_model(), method, None if method == "full" else "g", merge_mode="hierarchical")
     notes = {r.doc_id: r.annotations for r in out_docs.collect()}
     parts = [json.loads(r.annotations) for r in out_chunks.collect()]
     assert all(p["keep"] is True for p in parts) and len(parts) == 5
@@ -210,7 +239,7 @@ def test_tool_rounds(spark):
     by = {}
     for r in suffix.orderBy("conv_id", "turn").collect():
         by.setdefault(r.conv_id, []).append(r)
-    assert errors.count() == 0
+    assert [(r.conv_id, r.error.interpreted_type) for r in errors.collect()] == [("d", "tool_rounds_exhausted")]
     assert [(r.turn, r.role) for r in by["a"]] == [(1, "tool_call"), (2, "tool_response"), (3, "assistant")]
     assert [p.call_id for p in by["a"][0].parts] == ["c1", "call-1-1"] and '"result":408' in by["a"][2].parts[0].text
     assert [(r.turn, r.role) for r in by["b"]] == [(1, "tool_call"), (2, "tool_response"), (3, "tool_call")]
