@@ -66,9 +66,6 @@ def extend_transcripts(turns: DataFrame, model, system: str = "", tools: ToolReg
         calling = answered.where(F.size("calls") > 0)
         if calling.isEmpty():
             break
-        if max_rounds is not None and done_rounds == max_rounds:
-            errors = errors.unionByName(calling.select("conv_id", failure(f"No final reply after {max_rounds} rounds of tool calls.", "tool_rounds_exhausted", 500).alias("error")))
-            break
         calls = calling.select("conv_id", "next_turn", F.posexplode("calls").alias("pos", "c")).select(
             "conv_id", "next_turn", "pos", F.col("c.name").alias("tool_name"),
             # Providers without call ids get one that a re-run repeats.
@@ -92,5 +89,10 @@ def extend_transcripts(turns: DataFrame, model, system: str = "", tools: ToolReg
         waiting = pending.join(served.select("conv_id", F.lit(2).alias("_shift")), "conv_id", "left").withColumn("_at", F.col("next_turn") + F.coalesce("_shift", F.lit(0)))
         suffix = cut_lineage(suffix.unionByName(grown).unionByName(waiting.select(*_turn("tool_call", F.col("calls"), F.col("_at")))))
         going = calling.select("conv_id").join(pending.select("conv_id"), "conv_id", "left_anti")
+        if max_rounds is not None and done_rounds == max_rounds:
+            # Their calls have run and stay in the turns; there is only no reply to the results.
+            message = f"No final reply after {max_rounds} rounds of tool calls."
+            errors = errors.unionByName(going.select("conv_id", failure(message, "tool_rounds_exhausted", 500).alias("error")))
+            break
         active = cut_lineage(active.unionByName(grown).join(going, "conv_id", "left_semi"))
     return suffix, errors
