@@ -225,3 +225,20 @@ SELECT pair_id, CAST(matched AS BIGINT) AS matched, CAST(deleted AS BIGINT) AS d
   round(CAST(deleted + inserted AS DOUBLE) / greatest(matched + deleted + inserted, 1), 6) AS disagreement FROM s""")
 def _(spark, sf):
     return R.disagreement_stats(R.reconcile_runs(_pairs(spark, sf)))
+
+
+@query("reconcile_markup", """
+WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS id, text AS t, strpos(text, ' ') AS p, length(text) - strpos(reverse(text), ' ') + 1 AS q FROM documents)
+SELECT id AS pair_id, sha256(CASE WHEN p = 0 THEN t ELSE left(t, p) || '<ocr var="0">Gone' || id || ' </ocr>' || substr(t, p + 1, q - p) ||
+  '<ocr var="1">New' || id || ' </ocr>' || substr(t, q + 1) END) AS markup_hash,
+  CAST(CASE WHEN p = 0 THEN 0 ELSE 1 END AS BIGINT) AS deleted, CAST(CASE WHEN p = 0 THEN 0 ELSE 1 END AS BIGINT) AS inserted FROM d""")
+def _(spark, sf):
+    """One reading has a word more behind the first space, the other one behind the last."""
+    t, i = F.col("content"), F.col("doc_id")
+    p, q = F.locate(" ", t), F.length(t) - F.locate(" ", F.reverse(t)) + 1
+    put = lambda at, word: F.when(F.locate(" ", t) == 0, t).otherwise(
+        F.concat(F.substr(t, F.lit(1), at), F.lit(word), i, F.lit(" "), F.substr(t, at + 1)))
+    pairs = documents(spark, sf).select(i.alias("pair_id"), put(p, "Gone").alias("text_a"), put(q, "New").alias("text_b"))
+    runs = R.reconcile_runs(pairs)
+    stats = R.disagreement_stats(runs).select("pair_id", "deleted", "inserted")
+    return R.render_markup(runs).join(stats, "pair_id").select("pair_id", F.sha2("markup", 256).alias("markup_hash"), "deleted", "inserted")

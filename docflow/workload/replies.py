@@ -14,6 +14,7 @@ from docflow.plans.extend import extend_transcripts
 from docflow.plans.models import ColumnModel, complete_distinct, digest_model
 from docflow.plans.render import RequestOptions, render_messages, render_requests
 from docflow.plans.structured import complete_structured
+from docflow.sinks.transcripts import batch_lines
 from docflow.workload.registry import query, table
 from docflow.workload.summaries import _reply
 
@@ -231,6 +232,14 @@ def _(spark, sf):
     return out.unionByName(named(render_requests(turns, "google", RequestOptions("g")), "google"))
 
 
+@query("batch_lines", f"""WITH {_SQL_MESSAGES}
+SELECT CAST(conv_id AS VARCHAR) AS conv_id, 'ollama' AS provider, 'llama' AS model, '{{"custom_id":' || to_json(CAST(conv_id AS VARCHAR)) ||
+  ',"body":{{"model":"llama","messages":' || msgs || ',"stream":false,"tools":[],"options":{{"temperature": 0.8}}}}}}' AS line FROM m""")
+def _(spark, sf):
+    requests = render_requests(_turns(spark, sf), "ollama", RequestOptions("llama"))
+    return batch_lines(requests, "ollama", "llama").select("conv_id", "provider", "model", F.col("value").alias("line"))
+
+
 def _tool_turns(spark, sf):
     """Each event as a call in its user's conversation; most are answered."""
     events = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("conv_id"), F.col("event_id").cast("int").alias("turn"),
