@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FRAGMENTS = 200_000             # fragments looked up at a time
-CACHE_FRAGMENTS = 600_000       # fragments kept by a worker before it starts afresh
 CACHE_IDS = 8_000_000
 LONG = 256                      # longer fragments are not kept
 BATCH_BYTES = 4_000_000         # text of one output batch, if its documents are not longer themselves
@@ -44,38 +44,68 @@ def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray
 class FragmentCache:
     """Ids of fragments, each encoded once by the tokenizers library."""
 
+    KEPT = 1_000_000        # fragments kept by a worker before it starts afresh
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.known = 0
         self._clear()
 
     def _clear(self) -> None:
         self.codes: dict[bytes, int] = {}
-        self.flat = np.zeros(0, np.int32)
-        self.starts = np.zeros(0, np.int64)
-        self.lens = np.zeros(0, np.int64)
+        # Arrays with room to grow: ids of all fragments, and where each fragment's ids start.
+        self.flat = np.zeros(1 << 16, np.int32)
+        self.starts = np.zeros(1 << 16, np.int64)
+
+    def _encoded(self, fragments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all fragments one behind the other, and the number of ids of each, from the tokenizers library."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([f.decode() for f in fragments], add_special_tokens=False)]
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(lens.sum())), lens
+
+    def _store(self, fragments: list[bytes], flat: np.ndarray, lens: np.ndarray) -> None:
+        n, ends = self.known, self.starts[self.known] + np.cumsum(lens)
+        if not len(ends):
+            return
+        self.starts, self.flat = _room(self.starts, n + len(lens) + 1), _room(self.flat, int(ends[-1]))
+        self.flat[self.starts[n]:ends[-1]] = flat
+        self.starts[n + 1:n + len(lens) + 1] = ends
+        self.codes.update(zip(fragments, range(n, n + len(lens))))
+        self.known = n + len(lens)
+
+    def _learn(self, new: list[bytes]) -> None:
+        self._store(new, *self._encoded(new))
 
     def encode(self, fragments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all fragments one behind the other, and the number of ids of each."""
-        if len(self.codes) > CACHE_FRAGMENTS or len(self.flat) > CACHE_IDS:
+        if self.known > self.KEPT or self.starts[self.known] > CACHE_IDS:
             self._clear()
-        new = [f for f in dict.fromkeys(fragments) if f not in self.codes]
-        if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([f.decode() for f in new], add_special_tokens=False)]
-            self.codes.update(zip(new, range(len(self.starts), len(self.starts) + len(new))))
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
-            self.lens = np.concatenate([self.lens, lens])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for one in ids for i in one), np.int32, int(lens.sum()))])
-        codes = np.fromiter(map(self.codes.__getitem__, fragments), np.int64, len(fragments))
-        for f in new:
-            if len(f) > LONG:
-                del self.codes[f]
-        lens = self.lens[codes]
-        return gather(self.flat, self.starts[codes], lens), lens
+            self.known = 0
+        codes = np.fromiter(map(self.codes.get, fragments, repeat(-1)), np.int64, len(fragments))
+        unknown = np.flatnonzero(codes < 0).tolist()
+        if unknown:
+            new = list(dict.fromkeys([fragments[i] for i in unknown]))
+            self._learn(new)
+            codes[unknown] = [self.codes[fragments[i]] for i in unknown]
+            for f in new:
+                if len(f) > LONG:
+                    del self.codes[f]
+        starts = self.starts[codes]
+        lens = self.starts[codes + 1] - starts
+        return gather(self.flat, starts, lens), lens
+
+
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    """The array, or a copy of it with at least twice its length, so that it holds ``size`` values."""
+    if size <= len(array):
+        return array
+    grown = np.zeros(max(size, 2 * len(array)), array.dtype)
+    grown[:len(array)] = array
+    return grown
 
 
 class BoundaryEncoder(FragmentCache):
@@ -111,7 +141,9 @@ class BoundaryEncoder(FragmentCache):
         data = b"".join(texts)
         ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
         # Texts are cut apart too: the pair across two texts says nothing.
-        bounds = np.union1d(np.union1d(self.bounds(data), ends), [0]) if data else np.zeros(1, np.int64)
+        is_bound = np.zeros(len(data) + 1, bool)
+        is_bound[0] = is_bound[ends] = is_bound[self.bounds(data)] = True
+        bounds = np.flatnonzero(is_bound)
         ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for k in range(0, len(bounds) - 1, FRAGMENTS):
             part = bounds[k:k + FRAGMENTS + 1].tolist()

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docflow.llm.bpe import FragmentCache, byte_slices, loaded, raw_texts
+from docflow.llm.bpe import LONG, FragmentCache, byte_slices, gather, loaded, raw_texts
 from docflow.llm.scratch import scratch_dir, staged
 from docflow.llm.shards import ShardReader, ShardWriter
 
@@ -37,16 +38,83 @@ WORDS_AT_ONCE = 200_000
 
 
 class WordEncoder(FragmentCache):
-    """Ids of texts whose tokenizer drops white space: words never share a token, so each is encoded once."""
-
-    def encode_text(self, text: bytes) -> np.ndarray:
-        words = text.split()        # at ASCII white space only, which no normaliser of the tokenizer moves
-        parts = [self.encode(words[k:k + WORDS_AT_ONCE])[0] for k in range(0, len(words), WORDS_AT_ONCE)]
-        return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    """Ids of texts whose tokenizer drops white space and lowers case: words never share a token, so each is encoded once.
 
+    Texts are cut at ASCII white space; A-Z become a-z first, as the tokenizer does. Of a new word that
+    ends in punctuation behind a letter, where the tokenizer's pattern always cuts, the two parts are
+    looked up. Only texts that may hold a special token are taken as they are.
+    """
 
-def _serialised(encoder: WordEncoder, text: bytes, end_id: int) -> bytes:
-    return np.append(encoder.encode_text(text), end_id).astype("<u4").tobytes()
+    TAIL = b".,;:!?"
+    JOINED = 4000       # words of letters encoded in one call
+    KEPT = 1_600_000
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+        # For a-z alone the tokenizer's normalisers and pattern change nothing, so its merges are enough.
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    @classmethod
+    def core(cls, word: bytes) -> bytes:
+        """The word without punctuation at its end, or the word itself if no letter stands before that."""
+        core = word.rstrip(cls.TAIL)
+        if core and (97 <= core[-1] <= 122 or len(core) > 1 and core[-2] == 0xC3 and core[-1] not in (0x97, 0xB7)):
+            return core
+        return word
+
+    def _learn(self, new: list[bytes]) -> None:
+        cores = list(map(self.core, new))
+        tails = [f[len(c):] for f, c in zip(new, cores)]
+        parts = [p for p in dict.fromkeys(chain(cores, filter(None, tails))) if p not in self.codes]
+        self._store(parts, *self._encoded(parts))
+        cut = [i for i, t in enumerate(tails) if t]
+        codes = np.fromiter(chain.from_iterable((self.codes[cores[i]], self.codes[tails[i]]) for i in cut), np.int64, 2 * len(cut))
+        starts = self.starts[codes]
+        lens = self.starts[codes + 1] - starts
+        self._store([new[i] for i in cut], gather(self.flat, starts, lens), lens.reshape(-1, 2).sum(axis=1))
+        for p in {p for p in parts if len(p) > LONG}.difference(new):
+            del self.codes[p]
+
+    def _encoded(self, fragments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of letters only share calls: each is one piece for the merges, so its last id ends a word."""
+        texts = [f.decode() for f in fragments]
+        kinds = [2 if f.islower() and f.isalpha() else int(t.isalpha()) for f, t in zip(fragments, texts)]
+        rest, some_letters, plain = ([i for i, k in enumerate(kinds) if k == want] for want in range(3))
+        order, flat, lens = [], [], []
+        for tokenizer, words in ((self.merges, plain), (self.tokenizer, some_letters)):
+            groups = [words[k:k + self.JOINED] for k in range(0, len(words), self.JOINED)]
+            for group, e in zip(groups, tokenizer.encode_batch_fast([" ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False)):
+                ids = np.array(e.ids, np.int32)
+                ends = np.flatnonzero(self.ends_word[ids]) + 1
+                if len(ends) == len(group):
+                    order += group
+                    flat.append(ids)
+                    lens.append(np.diff(ends, prepend=0))
+                else:
+                    rest += group
+        some, n = super()._encoded([fragments[i] for i in rest])
+        have, sizes = np.concatenate([*flat, some]), np.concatenate([*lens, n])
+        place = np.argsort(np.array(order + rest, np.int64))
+        return gather(have, (np.cumsum(sizes) - sizes)[place], sizes[place]), sizes[place]
+
+    def serialised(self, texts: list[bytes], end_id: int) -> list[bytes]:
+        """Each text's ids and the end id as little-endian unsigned 32-bit integers."""
+        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        flat = list(chain.from_iterable(words))
+        parts = [self.encode(flat[k:k + WORDS_AT_ONCE]) for k in range(0, len(flat), WORDS_AT_ONCE)]
+        if not parts:
+            return [np.array([end_id], "<u4").tobytes()] * len(texts)
+        data = np.concatenate([ids for ids, _ in parts]).astype("<u4").tobytes()
+        before = 4 * np.concatenate([[0], np.cumsum(np.concatenate([lens for _, lens in parts]))])
+        ends = before[np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))].tolist()
+        end = np.array([end_id], "<u4").tobytes()
+        return [data[s:e] + end for s, e in zip([0, *ends], ends)]
 
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int, fit_docs: int = 2000, fit_bytes: int = 4096) -> bytes:
@@ -57,7 +125,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, fit_docs: int = 20
         encoder = loaded(WordEncoder, path)
         for batch in batches:
             for s, e in byte_slices(batch.column(0)):
-                ids = [_serialised(encoder, t, end_id)[:fit_bytes] for t in raw_texts(batch.column(0).slice(s, e - s))]
+                ids = [i[:fit_bytes] for i in encoder.serialised(raw_texts(batch.column(0).slice(s, e - s)), end_id)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"])
 
     encoded = docs.join(some, "doc_id").select("text").mapInArrow(run, "ids binary").limit(fit_docs)
@@ -87,8 +155,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 1, text:
         for batch in batches:
             for s, e in byte_slices(batch.column(1)):
                 part, offsets, lengths, counts, upto = batch.slice(s, e - s), [], [], [], []
-                for one in raw_texts(part.column(1)):
-                    ids = _serialised(encoder, one, end_id)
+                for ids in encoder.serialised(raw_texts(part.column(1)), end_id):
                     frame = packer.compress(ids)
                     offsets.append(shard.append(frame))
                     lengths.append(len(frame))
