@@ -4,9 +4,11 @@ Each document is the set of its distinct shingles, as 64-bit hashes. Equal sets
 the start. Two different sets with at least the wanted similarity share a shingle among the first
 few of each in any fixed order, so only classes that share such a *key* are compared:
 
-1. Keys in hash order; keys with more than ``BUSY`` classes move to the end of the order (any order
-   is right, so the list of busy keys may be bounded), and the documents that had one get new keys.
-2. *First links*: each class is compared with the neighbour in size that it shares most keys with.
+1. Keys. The order is by the frequency class of a shingle's rarest word, then by hash: rare shingles
+   come first, lines that many documents share come last. Any order is right, so the list of frequent
+   words that makes it may be bounded.
+2. *First links*: each class is compared with the anchors of its keys (their classes with the least
+   id) and its neighbours in size, as far as it shares most keys with them.
    Groups of near copies mostly become one component here, without comparing all pairs.
 3. *Signature trees* find all other pairs: below each key whose classes lie in several components, a
    tree over their signatures. Every node holds the OR of its members' token bitmaps and the range of
@@ -38,29 +40,53 @@ from docflow.llm.components import components
 from docflow.llm.scratch import scratch_dir, staged
 from docflow.llm.words import chunks, grams, mix, word_hashes
 
-BUSY = 64               # classes from which a key is busy
-BUSY_KEYS = 200_000     # keys moved to the end of the order
+FREQUENT = 1 << 16      # words whose frequency class is known; all others count as rare
+LOCAL = 4               # occurrences in a part of the texts from which a word may be frequent
+PART_WORDS = 8_000_000
 CELL = 1024
+LIKELY = 2              # neighbours a class is compared with before the trees
 FANOUT = 8
-WORDS = 16              # 64-bit words of a signature
+BITS = 1024             # bits of the signature of a set of up to PER shingles; twice as many for twice the size
+PER = 512
+SMALL = 16              # members up to which a tree is a single node
 FILTER_BITS = 26
 CHUNK = 2_000_000
 
 
-def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; A-Z count as a-z."""
+class WordClasses:
+    """Frequency class of frequent words; 0 for all others."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray):
+        order = np.argsort(words)
+        self.words = words[order]
+        self.classes = np.log2(np.maximum(counts[order], 1)).astype(np.uint8)
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.zeros(len(words), np.uint8)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.classes[at], np.uint8(0))
+
+
+def shingle_sets(texts: list[bytes], n: int, classes: WordClasses | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Sorted distinct shingle hashes of each text, and the class of each shingle; A-Z count as a-z."""
     words, counts = word_hashes([t.lower() for t in texts])
     tags = mix(grams(words, n)) if len(words) >= n else np.zeros(0, np.uint64)
-    out, at = [], 0
+    rare = np.zeros(len(words), np.uint8) if classes is None else classes.of(words)
+    least = rare[:len(tags)].copy()
+    for k in range(1, n):
+        np.minimum(least, rare[k:k + len(tags)], out=least)
+    sets, kinds, at = [], [], 0
     for count in counts.tolist():
         if count >= n:
-            out.append(np.unique(tags[at:at + count - n + 1]))
-        elif count:
-            out.append(mix(grams(words[at:at + count], count) + np.uint64(count)))
+            s, first = np.unique(tags[at:at + count - n + 1], return_index=True)
+            sets.append(s)
+            kinds.append(least[at + first])
         else:
-            out.append(np.zeros(0, np.uint64))
+            sets.append(mix(grams(words[at:at + count], count) + np.uint64(count)) if count else np.zeros(0, np.uint64))
+            kinds.append(np.zeros(len(sets[-1]), np.uint8))
         at += count
-    return out
+    return sets, kinds
 
 
 def key_count(size: int, percent: int) -> int:
@@ -68,71 +94,130 @@ def key_count(size: int, percent: int) -> int:
     return size - (size * percent + 99) // 100 + 1
 
 
-def keys_of(s: np.ndarray, percent: int, busy: np.ndarray) -> np.ndarray:
-    """The keys of a set: least hashes first, busy ones last."""
-    if not len(busy):
-        return s[:key_count(len(s), percent)]
-    at = np.searchsorted(busy, s)
-    late = busy[np.minimum(at, len(busy) - 1)] == s
-    return np.concatenate([s[~late], s[late]])[:key_count(len(s), percent)]
+def keys_of(s: np.ndarray, kinds: np.ndarray, percent: int) -> np.ndarray:
+    """The keys of a set: lowest classes first, then least hashes."""
+    return s[np.argsort(kinds, kind="stable")[:key_count(len(s), percent)]]
+
+
+def level_of(size: int) -> int:
+    """Signatures of level k have BITS * 2^k bits."""
+    return max(0, (size - 1) // PER).bit_length()
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(WORDS * 64, bool)
-    bits[(s >> np.uint64(40)).astype(np.int64) % (WORDS * 64)] = True
-    return np.packbits(bits).view(np.uint64)
+    bits = np.zeros(BITS << level_of(len(s)), bool)
+    bits[(s >> np.uint64(20)).astype(np.int64) % len(bits)] = True
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
 
+def at_level(signatures: list[bytes], level: int) -> np.ndarray:
+    """Signatures as rows of one matrix, longer ones folded to the length of ``level``."""
+    words = (BITS << level) // 64
+    flat = b"".join(signatures)
+    if len(flat) == 8 * words * len(signatures):
+        return np.frombuffer(flat, np.uint64).reshape(-1, words)
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(x, np.uint64).reshape(-1, words), axis=0) for x in signatures])
 
-def _sets_by_row(rows: DataFrame, n: int, percent: int, busy: np.ndarray, changed: bool) -> DataFrame:
-    """(doc_id, size, digest, keys), or with ``changed`` only (digest, keys) where busy keys changed them."""
-    shared = rows.sparkSession.sparkContext.broadcast(busy)
-    full = rows.select("doc_id", F.lit(0).cast("long").alias("size"), F.lit(b"").alias("digest"), F.array().cast("array<long>").alias("keys")).schema
-    for field in full.fields:
+
+def _word_classes(rows: DataFrame) -> WordClasses:
+    """The most frequent words of the corpus. Words must repeat within a part of the texts to be sent on."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def counted() -> pa.RecordBatch:
+            words, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words[n >= LOCAL].view(np.int64)), pa.array(n[n >= LOCAL])], names=["word", "n"])
+
+        for _, texts in chunks(batches, 0, CHUNK):
+            held.append(word_hashes([t.lower() for t in texts])[0])
+            if sum(map(len, held)) > PART_WORDS:
+                yield counted()
+        if held:
+            yield counted()
+
+    top = (rows.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+           .orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow())
+    return WordClasses(top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy())
+
+
+def _sets_by_row(rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc_id, size, digest, keys, bits, h); h is a hash of the text."""
+    shared = rows.sparkSession.sparkContext.broadcast(_word_classes(rows))
+    schema = rows.select("doc_id", F.lit(0).cast("long").alias("size"), F.lit(b"").alias("digest"), F.array().cast("array<long>").alias("keys"), F.lit(b"").alias("bits"), F.lit(0).cast("long").alias("h")).schema
+    for field in schema.fields:
         field.nullable = True
-    schema = full if not changed else "digest binary, keys array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = shared.value
         for part, texts in chunks(batches, 1, CHUNK):
-            sets = shingle_sets(texts, n)
+            sets, kinds = shingle_sets(texts, n, shared.value)
             digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            keys = [keys_of(s, percent, late) if len(s) else s for s in sets]
-            if changed:
-                own = [i for i, s in enumerate(sets) if len(s) and not np.array_equal(keys[i], s[:len(keys[i])])]
-                digests, keys = [digests[i] for i in own], [keys[i] for i in own]
+            keys = [keys_of(s, k, percent) if len(s) else s for s, k in zip(sets, kinds)]
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)
-            arrays = [pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-            if not changed:
-                arrays = [part.column(0), pa.array(list(map(len, sets)), pa.int64()), *arrays]
-            yield pa.RecordBatch.from_arrays(arrays, names=["digest", "keys"] if changed else ["doc_id", "size", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(digests, pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([signature(s).tobytes() for s in sets], pa.binary()),
+                 pa.array(text_hashes(texts).view(np.int64))], names=["doc_id", "size", "digest", "keys", "bits", "h"])
 
     return rows.mapInArrow(run, schema)
 
 
-def _sets_of(rows: DataFrame, n: int, wanted: DataFrame, folder: str) -> DataFrame:
-    """(node, size, shingles, bits) of the classes in ``wanted`` (digest, node)."""
-    known = rows.sparkSession.sparkContext.broadcast(bit_filter(wanted, F.xxhash64("digest"), FILTER_BITS))
+def text_hashes(texts: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, len(texts))
+
+
+def _sets_of(rows: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
+    """(node, shingles) of the classes in ``wanted`` (digest, node, h), from texts whose hash may be one of them."""
+    known = rows.sparkSession.sparkContext.broadcast(bit_filter(wanted, F.col("h"), FILTER_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[bytes] = set()
         for _, texts in chunks(batches, 0, CHUNK):
-            sets = [s for s in shingle_sets(texts, n) if len(s)]
+            maybe = np.flatnonzero(in_filter(known.value, text_hashes(texts))).tolist()
+            sets = [s for s in shingle_sets([texts[i] for i in maybe], n)[0] if len(s)]
             digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            # Spark's xxhash64 of a binary value: seed 42.
-            hashed = np.array([xxhash.xxh64_intdigest(d, 42) for d in digests], np.uint64)
-            own = np.flatnonzero(in_filter(known.value, hashed)).tolist() if digests else []
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([digests[i] for i in own], pa.binary()), pa.array([len(sets[i]) for i in own], pa.int64()),
-                 pa.array([sets[i].tobytes() for i in own], pa.binary()), pa.array([signature(sets[i]).tobytes() for i in own], pa.binary())],
-                names=["digest", "size", "shingles", "bits"])
+            # Copies in one task are sent once; what was sent is forgotten before it gets large.
+            sent = set() if len(sent) > 100_000 else sent
+            own = [i for i, d in enumerate(digests) if d not in sent and not sent.add(d)]
+            yield pa.RecordBatch.from_arrays([pa.array([digests[i] for i in own], pa.binary()), pa.array([sets[i].tobytes() for i in own], pa.binary())],
+                                             names=["digest", "shingles"])
+
+    found = rows.select("text").mapInArrow(run, "digest binary, shingles binary")
+    # The join deals by digest, which is what the aggregation needs.
+    return (found.join(wanted.select("digest", "node"), "digest").groupBy("digest")
+            .agg(F.first("node").alias("node"), F.first("shingles").alias("shingles")).drop("digest"))
 
-    found = rows.select("text").mapInArrow(run, "digest binary, size long, shingles binary, bits binary")
-    one = found.join(wanted, "digest").groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "shingles", "bits")])
-    return staged(one, folder, "sets")
 
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) that sizes and signatures do not rule out."""
+    side = lambda name: classes.select(F.col("node").alias(name), F.col("size").alias(f"n{name}"), F.col("bits").alias(f"b{name}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ba", "bb")
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(i).to_numpy() for i in (2, 3))
+            low = np.fromiter(map(level_of, np.minimum(n, m).tolist()), np.int64, len(n))
+            near = (100 * n >= percent * m) & (100 * m >= percent * n)
+            good = np.zeros(len(n), bool)
+            for level in np.unique(low[near]).tolist():
+                at = np.flatnonzero(near & (low == level))
+                x, y = (at_level([c[i].as_py() for i in at.tolist()], level) for c in (batch.column(4), batch.column(5)))
+                # A bit that only one of the two has stands for at least one shingle of its own.
+                most = np.minimum(n[at] - np.bitwise_count(x & ~y).sum(axis=1), m[at] - np.bitwise_count(y & ~x).sum(axis=1))
+                good[at] = (100 + percent) * most >= percent * (n[at] + m[at])
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _verified(rows: DataFrame, n: int, pairs: DataFrame, classes: DataFrame, percent: int, folder: str) -> DataFrame:
     """Links (a, b) among ``pairs``: those similar enough by their full sets."""
+    pairs = staged(_possible(pairs, classes, percent), folder, "pairs")
+    if pairs.isEmpty():
+        return pairs
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = staged(_sets_of(rows, n, classes.join(nodes, "node", "left_semi").select("digest", "node", "h")), folder, "sets")
     side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"s{name}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
 
@@ -145,7 +230,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return staged(both.mapInArrow(run, "a long, b long"), folder, "links")
 
 
 class Tree:
@@ -205,71 +290,120 @@ def tree_pairs(one: Tree, two: Tree, percent: int) -> tuple[np.ndarray, np.ndarr
                 x, y = x[x != y], y[x != y]
 
 
+def _small_pairs(at: np.ndarray, count: np.ndarray, side: np.ndarray, size: np.ndarray, comp: np.ndarray, bits: np.ndarray,
+                 percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Possible pairs (positions) within many small groups, which start at ``at`` and have ``count`` members."""
+    total = count * count
+    group = np.repeat(np.arange(len(at)), total)
+    k = np.arange(int(total.sum())) - np.repeat(np.cumsum(total) - total, total)
+    x, y = at[group] + k // count[group], at[group] + k % count[group]
+    crossed = np.repeat(np.bitwise_or.reduceat(side, at), count ** 2) if len(at) else group
+    keep = (x < y) & ((crossed == 0) | (side[x] != side[y])) & (comp[x] != comp[y])
+    keep &= (100 * size[x] >= percent * size[y]) & (100 * size[y] >= percent * size[x])
+    x, y = x[keep], y[keep]
+    most = np.minimum(size[x] - np.bitwise_count(bits[x] & ~bits[y]).sum(axis=1), size[y] - np.bitwise_count(bits[y] & ~bits[x]).sum(axis=1))
+    keep = (100 + percent) * most >= percent * (size[x] + size[y])
+    return x[keep], y[keep]
+
+
+def _group_pairs(table: pa.RecordBatch, starts: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Possible pairs (nodes) of all groups in a batch, which begin at ``starts``."""
+    level, side, node, size, comp = (table.column(c).to_numpy() for c in ("level", "side", "node", "size", "comp"))
+    count = np.diff(np.append(starts, table.num_rows))
+    signatures = table.column("bits").to_pylist()
+    for lv in np.unique(level[starts]).tolist():
+        small = np.flatnonzero((level[starts] == lv) & (count <= SMALL) & (count > 1))
+        if len(small):
+            rows = np.repeat(starts[small], count[small]) + np.arange(int(count[small].sum())) - np.repeat(np.cumsum(count[small]) - count[small], count[small])
+            bits = at_level([signatures[i] for i in rows.tolist()], lv)
+            x, y = _small_pairs(np.cumsum(count[small]) - count[small], count[small], side[rows], size[rows], comp[rows], bits, percent)
+            yield node[rows][x], node[rows][y]
+    for g in np.flatnonzero(count > SMALL).tolist():
+        own = np.arange(starts[g], starts[g] + count[g])
+        bits = at_level([signatures[i] for i in own.tolist()], int(level[own[0]]))
+        trees = [Tree(node[own[m]], size[own[m]], comp[own[m]], bits[m]) for m in (side[own] == 0, side[own] == 1) if m.any()]
+        if len(trees) == 1 and side[own[0]] == 1:
+            continue
+        one, two = trees[0], trees[-1]
+        x, y = tree_pairs(one, two, percent)
+        yield one.node[x], two.node[y]
+
+
 def _by_trees(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) from members (key, cell_a, cell_b, side, node, size, comp, bits).
+    """Pairs (a, b) from members (key, level, cell_a, cell_b, side, node, size, comp, bits).
 
-    Members of one (key, cell_a, cell_b) meet: side 0 with itself if there is no side 1, else 0 with 1.
+    Members of one (key, level, cell_a, cell_b) meet: side 0 with itself if there is no side 1, else 0 with 1.
+    Keys with one anchor mostly have the same members, so their cells follow each other in one task, which
+    sends a pair once; there are at most CELL * CELL of them.
     """
-    cell = ["key", "cell_a", "cell_b"]
-
-    def pairs_of(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        side, node, size, comp = (group.column(c).to_numpy() for c in ("side", "node", "size", "comp"))
-        bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(-1, WORDS)
-        trees = [Tree(node[m], size[m], comp[m], bits[m]) for m in (side == 0, side == 1) if m.any()]
-        if len(trees) == 1 and side[0] == 1:
-            return node[:0], node[:0]
-        one, two = trees[0], trees[-1]
-        x, y = tree_pairs(one, two, percent)
-        return one.node[x], two.node[y]
+    place = ["anchor", "level", "cell_a", "cell_b"]
+    cell = [*place, "key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def flush() -> None:
-            if held:
-                table = pa.Table.from_batches(held)
-                if table.num_rows > 1:
-                    out.append(pairs_of(table))
-                held.clear()
+        held: list[pa.RecordBatch] = []         # the group at the end of what was read, which may go on
+        seen: set[tuple[int, int]] = set()      # pairs sent for ``here``
+        here = None
+
+        def pairs_of(table: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            nonlocal here
+            ids = [table.column(c).to_numpy() for c in place]
+            new = np.ones(len(starts), bool)
+            new[1:] = np.any([i[starts[1:]] != i[starts[:-1]] for i in ids], axis=0)
+            ends = [*np.flatnonzero(new)[1:].tolist(), len(starts)] if len(starts) else []
+            out: list[tuple[int, int]] = []
+            first = 0
+            for end in ends:
+                at = tuple(int(i[starts[first]]) for i in ids)
+                if at != here:
+                    here = at
+                    seen.clear()
+                low, high = int(starts[first]), int(starts[end]) if end < len(starts) else table.num_rows
+                for a, b in _group_pairs(table.slice(low, high - low), starts[first:end] - low, percent):
+                    fresh = set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist())) - seen
+                    seen.update(fresh)
+                    out.extend(fresh)
+                first = end
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-        last = None
         for batch in batches:
-            ids = [batch.column(c).to_numpy() for c in cell]
-            new = np.ones(batch.num_rows, bool)
+            held.append(batch)
+            first, last = (tuple(b.column(c)[i].as_py() for c in cell) for b, i in ((held[0], 0), (batch, batch.num_rows - 1)))
+            if first == last:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            ids = [table.column(c).to_numpy() for c in cell]
+            new = np.ones(table.num_rows, bool)
             new[1:] = np.any([i[1:] != i[:-1] for i in ids], axis=0)
-            edges = [*np.flatnonzero(new).tolist(), batch.num_rows]
-            for s, e in zip(edges, edges[1:]):
-                at = tuple(i[s] for i in ids)
-                if at != last:
-                    flush()
-                    last = at
-                held.append(batch.slice(s, e - s))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*out)], names=["a", "b"])
-                out.clear()
-        flush()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*out)], names=["a", "b"])
+            starts = np.flatnonzero(new)
+            yield from pairs_of(table.slice(0, int(starts[-1])), starts[:-1])
+            held = [table.slice(int(starts[-1]))]
+        if held:
+            yield from pairs_of(pa.Table.from_batches(held).combine_chunks().to_batches()[0], np.zeros(1, np.int64))
 
-    ordered = members.repartition(*cell).sortWithinPartitions(*cell)
+    ordered = members.repartition(*place).sortWithinPartitions(*cell)
     pairs = ordered.select(*cell, "side", "node", "size", "comp", "bits").mapInArrow(run, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.distinct()
 
 
-def _cells(shared: DataFrame, roots: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
+def _cells(shared: DataFrame, roots: DataFrame, classes: DataFrame, percent: int, folder: str) -> DataFrame:
     """Members of the trees: below each key that spans components, the largest component (side 0)
     meets the others (side 1), and the others meet each other."""
-    member = shared.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("comp"))
+    member = shared.join(roots, "node", "left").select("key", "anchor", "node", "size", F.coalesce("root", "node").alias("comp"))
     counts = member.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     per_key = counts.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"))
     cut = lambda n: F.ceil(n / CELL).cast("int")
     split = per_key.where("comps > 1").select("key", F.col("top.comp").alias("top"), cut(F.col("top.n")).alias("ga"),
                                               cut(F.col("n") - F.col("top.n")).alias("gb"))
-    rows = staged(member.join(split, "key"), folder, "spanning").join(sets.select("node", "bits"), "node")
+    rows = staged(member.join(split, "key"), folder, "spanning").join(classes.select("node", "bits"), "node")
+    # A set also meets those of the level below if one of them may be large enough.
+    level = F.length(F.bin(F.floor((F.greatest(F.col("size"), F.lit(2)) - 1) / PER))) - F.when(F.col("size") <= PER, 1).otherwise(0)
+    below = (F.col("level") > 0) & (percent * F.col("size") <= 100 * PER * F.expr("shiftleft(1L, level - 1)"))
+    rows = rows.withColumn("level", level).withColumn(
+        "level", F.explode(F.when(below, F.array("level", F.col("level") - 1)).otherwise(F.array("level"))))
     place = lambda g: F.pmod(F.xxhash64("node"), g).cast("int")
     upto = lambda g: F.sequence(F.lit(0), g - 1)
-    out = ["key", "cell_a", "cell_b", "side", "node", "size", "comp", "bits"]
+    out = ["key", "anchor", "level", "cell_a", "cell_b", "side", "node", "size", "comp", "bits"]
     tops, rest = rows.where("comp = top"), rows.where("comp <> top")
     meets = [tops.select("*", place(F.col("ga")).alias("cell_a"), F.explode(upto(F.col("gb"))).alias("cell_b"), F.lit(0).alias("side")),
              rest.select("*", F.explode(upto(F.col("ga"))).alias("cell_a"), place(F.col("gb")).alias("cell_b"), F.lit(1).alias("side"))]
@@ -283,47 +417,39 @@ def _cells(shared: DataFrame, roots: DataFrame, sets: DataFrame, folder: str) ->
     return union
 
 
-def near_classes(docs: DataFrame, n: int = 3, percent: int = 90, text: str = "text", doc_id: str = "doc_id", busy: int = BUSY) -> DataFrame:
+def near_classes(docs: DataFrame, n: int = 3, percent: int = 90, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row."""
     spark, folder = docs.sparkSession, scratch_dir(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sets_by_row = staged(_sets_by_row(rows, n, percent, np.zeros(0, np.uint64), False), folder, "rows")
+    sets_by_row = staged(_sets_by_row(rows, n, percent), folder, "rows")
     classes = (sets_by_row.where("size > 0").groupBy("digest")
-               .agg(F.first("size").alias("size"), F.min("doc_id").alias("least"), F.first("keys").alias("keys")))
+               .agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("size", "keys", "bits", "h")]))
     # The number of a class is written once, so it stays the same whatever is computed again later.
     classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), folder, "classes")
 
-    crowd = classes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > busy)
-    late = np.sort(crowd.orderBy(F.desc("n"), "key").limit(BUSY_KEYS).toArrow().column("key").to_numpy().view(np.uint64))
-    keyed = classes.select("node", "size", "keys")
-    if len(late):
-        moved = _sets_by_row(rows, n, percent, late, True).groupBy("digest").agg(F.first("keys").alias("moved"))
-        keyed = (classes.join(moved, "digest", "left")
-                 .select("node", "size", F.coalesce("moved", "keys").alias("keys")))
-    keys = staged(keyed.select("node", "size", F.explode("keys").alias("key")), folder, "keys")
-    crowd = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = staged(keys.join(crowd, "key"), folder, "shared")
-
-    wanted = classes.join(shared.select("node").distinct(), "node", "left_semi").select("digest", "node")
-    sets = _sets_of(rows, n, wanted, folder)
-
-    # First links: neighbours in size, in parts of about CELL classes, and the parts' first members.
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CELL)).cast("int")
-    parted = shared.withColumn("part", part)
+    keys = classes.select("node", "size", "least", F.explode("keys").alias("key"))
+    # The anchor of a key is its class with the least id: of a text and its copies, mostly the text.
+    crowd = (keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("least", "node")).alias("a"))
+             .where("n > 1").select("key", "n", F.col("a.node").alias("anchor")))
+    shared = staged(keys.drop("least").join(crowd, "key"), folder, "shared")
+
+    # First links: anchors; neighbours in size, in parts of about CELL classes; the parts' first members.
+    parted = shared.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CELL)).cast("int"))
     before = lambda w: F.lag("node").over(w)
     inner = parted.select("node", before(Window.partitionBy("key", "part").orderBy("size", "node")).alias("a"))
     heads = (parted.where(F.col("n") > CELL).groupBy("key", "part").agg(F.min(F.struct("size", "node")).alias("h"))
              .select("key", "h.size", "h.node"))
     outer = heads.select("node", before(Window.partitionBy("key").orderBy("size", "node")).alias("a"))
-    votes = (inner.unionByName(outer).where("a IS NOT NULL").groupBy("node", "a").agg(F.count(F.lit(1)).alias("votes"))
-             .groupBy("node").agg(F.max(F.struct("votes", "a")).alias("v")).select(F.col("node").alias("b"), "v.a"))
-    first = staged(_verified(votes, sets, percent), folder, "first")
-    roots = components(first, f"{folder}/first-roots")
-
-    members = _cells(shared, roots, sets, folder)
-    pairs = staged(_by_trees(members, percent), folder, "pairs")
-    links = staged(first.unionByName(_verified(pairs, sets, percent)), folder, "links")
-    roots = components(links, f"{folder}/roots")
+    anchors = shared.where("node <> anchor").select("node", F.col("anchor").alias("a"))
+    votes = inner.unionByName(outer).unionByName(anchors).where("a IS NOT NULL").groupBy("node", "a").agg(F.count(F.lit(1)).alias("votes"))
+    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("votes"), "a"))
+    likely = votes.withColumn("r", best).where(F.col("r") <= LIKELY).select("a", F.col("node").alias("b"))
+    first = _verified(rows, n, likely, classes, percent, f"{folder}/first")
+    roots = components(first, f"{folder}/first")
+
+    pairs = staged(_by_trees(_cells(shared, roots, classes, percent, folder), percent), folder, "pairs")
+    links = first.unionByName(_verified(rows, n, pairs, classes, percent, f"{folder}/trees"))
+    roots = components(links, f"{folder}/trees")
 
     rooted = classes.join(roots, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """
     parts = [t.split() for t in texts]
     counts = np.fromiter(map(len, parts), np.int64, len(parts))
-    flat = np.fromiter((h for p in parts for h in map(HASHES.__getitem__, p)), np.uint64, int(counts.sum()))
+    flat = np.fromiter(map(HASHES.__getitem__, chain.from_iterable(parts)), np.uint64, int(counts.sum()))
     return flat, counts
 
 
