@@ -309,6 +309,25 @@ def test_jaccard_classes(spark, monkeypatch, n, percent):
     assert got == classes_of(rows, n, percent)
 
 
+@pytest.mark.parametrize("cell,small", [(1024, 16), (4, 1)])
+def test_jaccard_signatures_of_several_lengths(spark, monkeypatch, cell, small):
+    """Sets around the sizes at which signatures double, in cells and trees of any size."""
+    monkeypatch.setattr(jaccard_tree, "CELL", cell)
+    monkeypatch.setattr(jaccard_tree, "SMALL", small)
+    rng = random.Random(cell)
+    words, rows = [f"w{i}" for i in range(5000)], []
+    for size in (530, 1060, 2100):
+        base = [rng.choice(words) for _ in range(size)]
+        for _ in range(14):
+            w = base[:rng.randint(int(0.8 * size), size)]
+            for _ in range(rng.randint(0, size // 60)):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            rows.append(" ".join(w))
+    rows = list(enumerate(rows))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_tree.near_classes(docs(spark, rows).repartition(4), 3, 90).collect()}
+    assert got == classes_of(rows, 3, 90)
+
+
 def test_jaccard_cases(odd, empty):
     got = sorted(((r.doc_id or 0), r.n_shingles, r.component_id) for r in jaccard_tree.near_classes(odd).collect())
     assert got[:2] == [(0, 1, 4)] * 2 and (1, 0, 1) in got and (2, 0, 2) in got and (6, 29_998, 5) in got and got.count((7, 1, 4)) == 2
