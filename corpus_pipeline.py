@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.llm import toxicity
-from docflow.llm.bpe import decode, encode
+from docflow.llm.bpe import round_trip
 from docflow.llm.decontam import contaminated
 from docflow.llm.exact_dedup import exact_dedup
 from docflow.llm.jaccard_tree import near_classes
@@ -65,7 +65,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_corpus(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) of each document."""
     path = public_tokenizers.path(TOKENIZER)
-    return decode(encode(docs, path), path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+    return round_trip(docs, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

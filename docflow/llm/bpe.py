@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 FRAGMENTS = 200_000             # fragments looked up at a time
 CACHE_IDS = 8_000_000
 LONG = 256                      # longer fragments are not kept
-BATCH_BYTES = 4_000_000         # text of one output batch, if its documents are not longer themselves
+BATCH_BYTES = 2_000_000         # text of one output batch, if its documents are not longer themselves
 
 SPACES = tuple(c.encode() for c in map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 ASCII_SPACES = b"\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f"
@@ -44,7 +44,7 @@ def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray
 class FragmentCache:
     """Ids of fragments, each encoded once by the tokenizers library."""
 
-    KEPT = 1_000_000        # fragments kept by a worker before it starts afresh
+    KEPT = 400_000          # fragments kept by a worker before it starts afresh
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -247,3 +247,21 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", doc_id: str = "doc_i
                                                  names=["doc_id", "ids", "decoded"])
 
     return rows.mapInArrow(run, schema)
+
+
+def round_trip(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, ids, decoded) of each row: ``encode`` and ``decode`` in one Python worker instead of two."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    schema = rows.select("doc_id", F.array().cast("array<int>").alias("ids"), F.lit("").alias("decoded")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = loaded(BoundaryEncoder, path), loaded(Decoder, path)
+        for batch in batches:
+            for s, e in byte_slices(batch.column(1)):
+                part = batch.slice(s, e - s)
+                ids, lens = encoder.encode_texts(raw_texts(part.column(1)))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(decoder.decode_lists(ids, lens), pa.string())],
+                                                 names=["doc_id", "ids", "decoded"])
+
+    return rows.mapInArrow(run, schema)

@@ -43,7 +43,7 @@ from docflow.llm.words import chunks, grams, mix, word_hashes
 FREQUENT = 1 << 16      # words whose frequency class is known; all others count as rare
 LOCAL = 4               # occurrences in a part of the texts from which a word may be frequent
 PART_WORDS = 8_000_000
-CELL = 1024
+CELL = 512
 LIKELY = 2              # neighbours a class is compared with before the trees
 FANOUT = 8
 BITS = 1024             # bits of the signature of a set of up to PER shingles; twice as many for twice the size

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from docflow.llm.bpe import decode, encode
+from docflow.llm.bpe import round_trip
 from docflow.llm.decontam import contaminated
 from docflow.llm.exact_dedup import exact_dedup
 from docflow.llm.jaccard_tree import near_classes
@@ -66,7 +66,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_bpe_boundaries")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    both = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    both = round_trip(table(spark, sf_dir, "documents"), path)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))

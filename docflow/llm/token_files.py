@@ -47,7 +47,7 @@ class WordEncoder(FragmentCache):
 
     TAIL = b".,;:!?"
     JOINED = 4000       # words of letters encoded in one call
-    KEPT = 1_600_000
+    KEPT = 1_000_000
 
     def __init__(self, path: str):
         super().__init__(path)

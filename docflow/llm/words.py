@@ -11,7 +11,7 @@ import xxhash
 
 from docflow.llm.bpe import byte_slices, raw_texts
 
-KEPT = 500_000      # words a worker remembers
+KEPT = 250_000      # words a worker remembers
 ODD = np.array([0x9E3779B97F4A7C15], np.uint64)      # an array, as numpy warns of wrapping scalars
 
 
