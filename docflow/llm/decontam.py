@@ -6,8 +6,14 @@ Documents are cut into overlapping passages, each of which holds any item that s
 half as a whole. Every passage is a query, evaluated as block-max WAND does: items are in blocks, each
 posting list keeps its largest contribution per block, and a block is opened only for passages whose
 summed block maxima reach the threshold. Opened blocks are scored exactly, and all items at or above
-the threshold are verified: at least ``overlap`` of the five-word shingles of the question and of the
-answer must stand in the passage.
+the threshold are verified. An item's threshold is lowered where a passage that would pass could score
+less, so the search loses nothing that verification would find.
+
+An item is found if at least ``overlap`` of its question and of its answer, or of the item as a whole,
+stands in the passage. The share of a part is the larger of two: that of its five-word shingles, in any
+place, and that of its words in order within a stretch that is longer than the part by at most as many
+words as may be missing. So each part can lose, change or gain single words anywhere, and question and
+answer may stand apart or in other order.
 
 The index is broadcast in shards of at most ``SHARD_ITEMS`` items; a larger benchmark takes one pass
 over the documents per shard. Document frequencies count all items.
@@ -25,7 +31,7 @@ import math
 import string
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import accumulate, chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +62,53 @@ def shingled(words: list) -> set:
     return {tuple(words[i:i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
 
 
+def contained(part: list[bytes], found: set) -> float:
+    own = shingled(part)
+    return len(own & found) / len(own) if own else 1.0
+
+
+def needed(n: int, overlap: float) -> int:
+    """Words of ``n`` that must be found."""
+    return math.ceil(n * overlap - 1e-9)
+
+
+def aligned(part: list[bytes], words: list[bytes], overlap: float) -> float:
+    """Largest share of ``part`` that stands in order in a stretch of ``words``; 0 if it is below ``overlap``."""
+    n = len(part)
+    need, masks = needed(n, overlap), {}
+    for i, w in enumerate(part):
+        masks[w] = masks.get(w, 0) | 1 << i
+    hits = [masks.get(w, 0) for w in words]
+    upto = [0, *accumulate(map(bool, hits))]
+    most, full, long = 0, (1 << n) - 1, 2 * n - need
+    for start, hit in enumerate(hits):
+        end = min(start + long, len(hits))
+        if not hit or upto[end] - upto[start] < max(need, most + 1):
+            continue
+        # Longest common subsequence; a zero bit is a word found.
+        rest = full
+        for h in hits[start:end]:
+            if h:
+                both = rest & h
+                rest = (rest + both | rest - both) & full
+        most = max(most, n - rest.bit_count())
+    return most / n if n and most >= need else 0.0
+
+
+def overlaps(item: list[bytes], words: list[bytes], found: set, overlap: float) -> tuple[float, float] | None:
+    """Shares of question and answer that stand in a passage with the shingles ``found``, if the item is found in it."""
+    cut = len(item) - max(1, round(len(item) * ANSWER))
+    # Both parts with the words around the border, so that each has whole shingles.
+    q, a = contained(item[:max(cut, SHINGLE)], found), contained(item[min(cut, len(item) - SHINGLE):], found)
+    if q < overlap:
+        q = max(q, aligned(item[:cut], words, overlap))
+    if a < overlap:
+        a = max(a, aligned(item[cut:], words, overlap))
+    if q >= overlap and a >= overlap or contained(item, found) >= overlap or aligned(item, words, overlap) >= overlap:
+        return q, a
+    return None
+
+
 class Index:
     """Inverted index of a shard of items, with block maxima."""
 
@@ -67,10 +120,12 @@ class Index:
         self.longest = max(map(len, self.words), default=0)
         self.terms = {t: k for k, t in enumerate(sorted({t for w in self.words for t in w}))}
         postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
+        self.parts: list[list[float]] = []      # scores of each item's words, the largest first
         for no, words in enumerate(self.words):
             norm = K1 * (1 - B + B * len(words) / mean_words)
             part = {t: math.log(1 + (n_items - df[t] + 0.5) / (df[t] + 0.5)) * tf * (K1 + 1) / (tf + norm) for t, tf in Counter(words).items()}
             own = sum(part.values())
+            self.parts.append(sorted((score / own for score in part.values()), reverse=True))
             for t, score in part.items():
                 postings[self.terms[t]].append((no, score / own))
         lens = np.array([*map(len, postings)], np.int64)
@@ -93,17 +148,22 @@ class Index:
     def term_numbers(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.terms.get, words, repeat(-1)), np.int64, len(words))
 
-    def search(self, passage: np.ndarray, term: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(passage, item, score) at or above the threshold, from distinct (passage, term) rows sorted by passage."""
+    def thresholds(self, threshold: float, overlap: float) -> np.ndarray:
+        """``threshold`` for each item, or less where its best words can all be those that are missing."""
+        lost = [len(w) - needed(len(w), overlap) if len(w) >= SHINGLE else 0 for w in self.words]
+        return np.array([min(threshold, 1 - sum(p[:k])) for p, k in zip(self.parts, lost)], np.float64)
+
+    def search(self, passage: np.ndarray, term: np.ndarray, threshold: float | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, item, score) at or above the threshold (one, or one an item), from distinct (passage, term) rows sorted by passage."""
         if not len(passage):
             return passage, passage, passage.astype(np.float64)
         # Rounding must never close a block that holds an item at the threshold.
-        least = threshold - 1e-9
+        least = np.broadcast_to(np.asarray(threshold, np.float64), len(self.ids)) - 1e-9
         n = self.block_lens[term]
         spot = gather(np.arange(len(self.block_no)), self.block_starts[term], n)
         key = np.repeat(passage, n) * self.n_blocks + self.block_no[spot]
         total = np.bincount(key, self.block_max[spot], minlength=(int(passage[-1]) + 1) * self.n_blocks)
-        opened = total >= least
+        opened = total >= np.tile(np.minimum.reduceat(least, np.arange(0, len(least), BLOCK)), int(passage[-1]) + 1)
         rows = np.flatnonzero(opened.reshape(-1, self.n_blocks).any(axis=1)[passage])
         passage, term = passage[rows], term[rows]
         n = self.post_lens[term]
@@ -112,7 +172,7 @@ class Index:
         inside = opened[where * self.n_blocks + item // BLOCK]
         pairs, back = np.unique(where[inside] * len(self.ids) + item[inside], return_inverse=True)
         score = np.bincount(back, self.post_score[spot][inside], minlength=len(pairs))
-        good = score >= least
+        good = score >= least[pairs % len(self.ids)]
         return pairs[good] // len(self.ids), pairs[good] % len(self.ids), score[good]
 
 
@@ -126,11 +186,6 @@ def passages(counts: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray, np.
     return text, start, np.minimum(start + 2 * half, first + counts[text])
 
 
-def contained(part: list[bytes], found: set) -> float:
-    own = shingled(part)
-    return len(own & found) / len(own) if own else 1.0
-
-
 def _index_shards(items: DataFrame) -> Iterator[Index]:
     """One index per shard; what reaches the driver at a time is bounded by SHARD_ITEMS."""
     total = items.count()
@@ -177,35 +232,34 @@ def _search(rows: DataFrame, shared, schema, threshold: float, overlap: float) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
         index = shared.value
-        cut = [len(w) - max(1, round(len(w) * ANSWER)) for w in index.words]
+        least = index.thresholds(threshold, overlap)
+        # What a stretch may hold at most (see ``aligned``) is the part of a passage where items start.
+        half = 2 * index.longest - needed(index.longest, overlap)
         for part, texts in chunks(batches, 1, CHUNK):
             words = [words_of(t) for t in texts]
             counts = np.fromiter(map(len, words), np.int64, len(words))
             terms = index.term_numbers(list(chain.from_iterable(words)))
-            text, start, end = passages(counts, index.longest)
+            text, start, end = passages(counts, half)
             hits: list[tuple[int, int, float]] = []
             for g in range(0, len(text), PASSAGES):
                 lens = (end - start)[g:g + PASSAGES]
                 own = np.repeat(np.arange(len(lens)), lens)
                 term = terms[gather(np.arange(len(terms)), start[g:g + PASSAGES], lens)]
                 pairs = np.unique((own * len(index.terms) + term)[term >= 0])
-                passage, item, score = index.search(pairs // len(index.terms), pairs % len(index.terms), threshold)
+                passage, item, score = index.search(pairs // len(index.terms), pairs % len(index.terms), least)
                 hits.extend(zip((passage + g).tolist(), item.tolist(), score.tolist()))
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
             first = np.cumsum(counts) - counts
             for p, i, s in hits:
                 d = int(text[p])
-                found = shingled(words[d][start[p] - first[d]:end[p] - first[d]])
+                one = words[d][start[p] - first[d]:end[p] - first[d]]
                 if len(index.words[i]) < SHINGLE:
-                    one = words[d][start[p] - first[d]:end[p] - first[d]]
                     found = {tuple(one[k:k + len(index.words[i])]) for k in range(len(one))}
-                    q, a = contained(index.words[i], found), 1.0
+                    shares = (1.0, 1.0) if contained(index.words[i], found) >= overlap else None
                 else:
-                    # Both parts with the words around the border, so that each has whole shingles.
-                    q = contained(index.words[i][:max(cut[i], SHINGLE)], found)
-                    a = contained(index.words[i][min(cut[i], len(index.words[i]) - SHINGLE):], found)
-                if q >= overlap and a >= overlap:
-                    best[d, i] = max(best.get((d, i), (0.0, 0.0, 0.0)), (min(1.0, s), q, a))
+                    shares = overlaps(index.words[i], one, shingled(one), overlap)
+                if shares:
+                    best[d, i] = max(best.get((d, i), (0.0, 0.0, 0.0)), (min(1.0, s), *shares))
             keys = list(best)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0).take(pa.array([d for d, _ in keys], pa.int64())),

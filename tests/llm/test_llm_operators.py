@@ -383,6 +383,35 @@ def test_block_search_is_exhaustive():
                 assert ((q, item) in got) == (own >= threshold - 1e-9)
 
 
+def test_decontamination_finds_edited_items(spark):
+    items = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").limit(60)
+    texts = {r.item_id: [w.decode() for w in decontam.words_of(r.text.encode())] for r in items.collect()}
+    rng, edited, clean = random.Random(8), [], []
+    around = lambda w: " ".join([*rng.choices(["aa", "bb", "the"], k=rng.randint(0, 90)), *w, *rng.choices(["aa", "bb", "the"], k=40)])
+    for i, w in texts.items():
+        cut = len(w) - max(1, round(len(w) / 3))
+        for part in (range(cut), range(cut, len(w))):
+            for n in (1, 2):
+                at = rng.sample(part, n)
+                edited += [(i, around([f"new{k}" if k in at else x for k, x in enumerate(w)])), (i, around([x for k, x in enumerate(w) if k not in at])),
+                           (i, around([y for k, x in enumerate(w) for y in ([x, f"new{k}"] if k in at else [x])]))]
+        middle = [f"new{k}" if k == cut // 2 else x for k, x in enumerate(w)]
+        edited.append((i, around([*middle[:cut], *["cc"] * 15, *w[cut:]])))
+        clean += [around([*w[:cut], *[f"other{k}" for k in range(len(w) - cut)]]), around(w[cut:]), around([f"new{k}" if k % 3 == 0 else x for k, x in enumerate(w)]),
+                  around(rng.sample(w, len(w)))]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(edited)] + [(100_000 + k, t) for k, t in enumerate(clean)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()}
+    assert got == {(k, i) for k, (i, _) in enumerate(edited)}
+
+
+def test_lowered_threshold_keeps_items_whose_best_words_are_missing():
+    words = [b"rare%d" % i for i in range(4)] + [b"common%d" % i for i in range(20)]
+    index = decontam.Index([(1, b" ".join(words))], {w: 1 if w.startswith(b"rare") else 900 for w in words}, 1000, 24.0)
+    terms = np.unique(index.term_numbers(words[4:]))
+    least = index.thresholds(decontam.THRESHOLD, decontam.OVERLAP)
+    assert not len(index.search(np.zeros_like(terms), terms, decontam.THRESHOLD)[1]) and len(index.search(np.zeros_like(terms), terms, least)[1])
+
+
 def test_decontamination_cases(spark, odd, empty):
     items = spark.createDataFrame([(1, "A b, c"), (2, None), (3, "!"), (None, "é 😀")], "item_id long, text string")
     got = sorted((str(r.doc_id), str(r.item_id)) for r in decontam.contaminated(odd, items).collect())
