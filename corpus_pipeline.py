@@ -2,7 +2,7 @@
 benchmark items, then encode what is left.
 
 Each stage reads what the one before it wrote. A row is named by its id and a hash of its text, so ids
-may be null or repeat; equal rows (same id, same text) share their fate.
+may be null or repeat; of equal rows (same id, same text) one is left after the exact copies.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from docflow.llm import toxicity
 from docflow.llm.bpe import round_trip
 from docflow.llm.decontam import contaminated
-from docflow.llm.exact_dedup import exact_dedup
+from docflow.llm.exact_dedup import distinct_texts
 from docflow.llm.jaccard_tree import near_classes
 from docflow.llm.queries import id_fold
 from docflow.llm.scratch import scratch_dir, staged
@@ -47,8 +47,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id stays."""
-    return exact_dedup(docs).where("kept").select(*docs.columns)
+    """Of equal texts one row stays, with the largest id."""
+    return distinct_texts(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

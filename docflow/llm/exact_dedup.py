@@ -6,6 +6,7 @@
 3. *Global*: the salt winners of a digest, at most ``salts`` rows per text, are combined.
 
 The text is part of the grouping key in each step, so full contents are compared, not only digests.
+``distinct_texts`` leaves exactly one row of each text, also where the largest id repeats or all ids are null.
 
 Defined cases: a null text equals the empty text; a null id is smaller than any other, and an id may
 repeat (each of its rows is returned, and each equals the keep_id if one does); an empty table gives
@@ -70,3 +71,24 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sal
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return decided.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)], keep.alias("keep_id"), size.alias("group_size"),
                           F.col("id").eqNullSafe(keep).alias("kept"))
+
+
+def distinct_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", salts: int = 32,
+                   digest: Callable[[Column], Column] = sha256_digest) -> DataFrame:
+    """One row of each group of equal texts, with all columns of ``docs``: one of those with the largest id.
+
+    Only texts that repeat with one id take the last step, which merges equal texts in each task first.
+    """
+    filled = F.coalesce(F.col(text), F.lit(""))
+    named = docs.select(F.col(doc_id).alias("id"), digest(filled).alias("digest"))
+    tied = staged(named.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest").distinct(),
+                  scratch_dir(docs.sparkSession), "tied")
+    own = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept")]
+    # As in exact_dedup, no column of the input can clash.
+    kept = exact_dedup(docs, text, doc_id, salts, digest).where("kept").select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)],
+                                                                              filled.alias("text"))
+    if not tied.isEmpty():
+        keyed = kept.withColumn("digest", digest(F.col("text")))
+        kept = (keyed.join(tied, "digest", "left_anti").drop("digest")
+                .unionByName(keyed.join(tied, "digest", "left_semi").drop("digest").dropDuplicates(["text"])))
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)])

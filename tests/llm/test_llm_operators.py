@@ -64,6 +64,19 @@ def test_exact_dedup_compares_contents(spark):
         assert got[i] == (max(own), len(own))
 
 
+def test_one_row_of_each_text_stays(spark, odd, empty):
+    poor = lambda text: F.encode(F.length(text).cast("string"), "utf-8")
+    twice = docs(spark, [(None, "q"), (None, "q"), (None, "r"), (3, "s"), (3, "s"), (2, "s")] * 3).repartition(5)
+    both = odd.unionByName(twice)
+    want = sorted([(2, ""), (7, "a b c"), (6, LONG), (8, " \t\n"), (9, "é 😀"), (-1, "q"), (-1, "r"), (3, "s")])
+    for digest in (exact_dedup.sha256_digest, poor):
+        left = exact_dedup.distinct_texts(both, digest=digest)
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in left.collect()) == want
+    assert left.columns == [c for c in both.columns if c != "keep_id"]
+    assert exact_dedup.distinct_texts(empty).count() == 0
+    assert exact_dedup.distinct_texts(docs(spark, [(1, "a"), (2, "a"), (3, "b")])).count() == 2
+
+
 # --- tokenizers ----------------------------------------------------------------------------------
 
 PIECES = ["a", "the", "'s", "'", "ll", "  ", " ", "\n", "\t", "é", "É", "中", "😀", "1", "23", ".", "!!", ",", "<|endoftext|>", "<|ENDOFTEXT|>",

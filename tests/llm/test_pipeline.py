@@ -56,6 +56,14 @@ def test_exact_dedup_stage(stages):
     assert key(after) == key(r for r in before if last[r.text or ""] == (r.doc_id is not None, r.doc_id or 0))
 
 
+def test_repeated_rows_leave_one(spark):
+    rows = [(7, "loaded twice", "en", "x", 12)] * 2 + [(None, "without an id", "en", "x", 13)] * 3
+    left = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in P.STAGES[1:3]:
+        left = stage(spark, left, SF)
+        assert left.columns == COLUMNS and key(left.collect()) == {rows[0]: 1, rows[2]: 1}
+
+
 def test_near_copies_stage(stages):
     before, after = stages["jaccard_join"]
     named = sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in before)
