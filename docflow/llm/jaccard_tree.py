@@ -396,11 +396,10 @@ def _cells(shared: DataFrame, roots: DataFrame, classes: DataFrame, percent: int
     split = per_key.where("comps > 1").select("key", F.col("top.comp").alias("top"), cut(F.col("top.n")).alias("ga"),
                                               cut(F.col("n") - F.col("top.n")).alias("gb"))
     rows = staged(member.join(split, "key"), folder, "spanning").join(classes.select("node", "bits"), "node")
-    # A set also meets those of the level below if one of them may be large enough.
-    level = F.length(F.bin(F.floor((F.greatest(F.col("size"), F.lit(2)) - 1) / PER))) - F.when(F.col("size") <= PER, 1).otherwise(0)
-    below = (F.col("level") > 0) & (percent * F.col("size") <= 100 * PER * F.expr("shiftleft(1L, level - 1)"))
-    rows = rows.withColumn("level", level).withColumn(
-        "level", F.explode(F.when(below, F.array("level", F.col("level") - 1)).otherwise(F.array("level"))))
+    # A set also meets those of all levels below where one of them may be large enough.
+    level = lambda size: F.length(F.bin(F.floor((F.greatest(size, F.lit(2)) - 1) / PER))) - F.when(size <= PER, 1).otherwise(0)
+    least = F.ceil(F.col("size") * percent / 100)
+    rows = rows.withColumn("level", F.explode(F.sequence(level(least), level(F.col("size")))))
     place = lambda g: F.pmod(F.xxhash64("node"), g).cast("int")
     upto = lambda g: F.sequence(F.lit(0), g - 1)
     out = ["key", "anchor", "level", "cell_a", "cell_b", "side", "node", "size", "comp", "bits"]
@@ -418,7 +417,9 @@ def _cells(shared: DataFrame, roots: DataFrame, classes: DataFrame, percent: int
 
 
 def near_classes(docs: DataFrame, n: int = 3, percent: int = 90, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row."""
+    """(doc_id, n_shingles, component_id) of each row, for a ``percent`` of 1 to 100."""
+    if not 1 <= percent <= 100:
+        raise ValueError(f"percent is {percent}, not 1 to 100")
     spark, folder = docs.sparkSession, scratch_dir(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     sets_by_row = staged(_sets_by_row(rows, n, percent), folder, "rows")

@@ -341,6 +341,18 @@ def test_jaccard_signatures_of_several_lengths(spark, monkeypatch, cell, small):
     assert got == classes_of(rows, 3, 90)
 
 
+def test_jaccard_sets_two_levels_apart(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_tree, "LIKELY", 0)          # trees alone
+    words = [f"v{i}" for i in range(4200)]
+    rows = [(1, " ".join(words[:512])), (2, " ".join(words[:1025])), (3, " ".join(words[2000:2500])), (4, " ".join(words[2000:4200]))]
+    for percent, want in ((45, {1: 1, 2: 1, 3: 3, 4: 4}), (20, {1: 1, 2: 1, 3: 3, 4: 3})):
+        got = {r.doc_id: r.component_id for r in jaccard_tree.near_classes(docs(spark, rows), 1, percent).collect()}
+        assert got == want
+    for percent in (0, 101):
+        with pytest.raises(ValueError):
+            jaccard_tree.near_classes(docs(spark, rows), 1, percent)
+
+
 def test_jaccard_cases(odd, empty):
     got = sorted(((r.doc_id or 0), r.n_shingles, r.component_id) for r in jaccard_tree.near_classes(odd).collect())
     assert got[:2] == [(0, 1, 4)] * 2 and (1, 0, 1) in got and (2, 0, 2) in got and (6, 29_998, 5) in got and got.count((7, 1, 4)) == 2
