@@ -1,18 +1,18 @@
 """Substring dedup: word windows that also start earlier in the corpus are removed.
 
-Suffixes are grouped by prefixes of growing length, and only groups that can still hold a repeat go
-on, so no group has to fit into one task:
+Windows are compared by hash, after a filter by prefix, in place of suffix trees: no tree and no maximal
+repeat is built. Only groups that can still hold a repeat go on, and none has to fit into one task:
 
 1. *Prefix of ``SEED`` words.* Of the suffixes that start inside a window only one is followed: the
    one whose first ``SEED`` words have the least hash. Equal windows follow equal suffixes, so
    nothing is lost, and neighbouring windows mostly share theirs. Prefixes are counted over the whole
-   corpus; those that occur once have no internal node in their subtree and end here.
-2. *Node of the whole stretch* (all windows that follow one suffix, 20 to 32 words). Rows of a node
+   corpus; those that occur once repeat nothing and end here.
+2. *Group of the whole stretch* (all windows that follow one suffix, 20 to 32 words). Rows of a group
    are merged map-side; all but its earliest row repeat earlier text with every window.
-3. *Nodes of the window length.* The earliest rows of the nodes below one prefix are opened into
-   single windows; a window that is not the earliest of its node repeats earlier text.
+3. *Groups of the window length.* The earliest rows of the groups below one prefix are opened into
+   single windows; a window that is not the earliest of its group repeats earlier text.
 
-Nodes are named by two 64-bit hashes of their words (prefix, stretch or window). The bit filter that
+Groups are named by two 64-bit hashes of their words (prefix, stretch or window). The bit filter that
 keeps once-only prefixes out of step 2 has a fixed size; a full filter only lets more rows through,
 which step 2 then finds to be alone.
 
