@@ -7,8 +7,8 @@ the popcounts of these masks over all its n-grams. Hits that a filter gives by c
 its fill, and taken off: (hits - n·f) / (1 - f). The language with the largest corrected share wins.
 
 The filters hold the most frequent n-grams of at most ``fit_docs`` texts per language (those with the
-smallest hash of their id) from the rows the caller allows, at most ``grams_per_lang`` each; every
-text is scored as a whole.
+smallest hash of their id) from the rows the caller allows, at most ``grams_per_lang`` each, however
+rare they are; every text is scored as a whole.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; a text none of whose
 n-grams is known, like a table without labels, gets the language with most texts (``und`` if there is
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, learn: Column, fit_docs: int = 1000, grams_per_lang: in
                         yield pa.RecordBatch.from_arrays([pa.array([name] * len(n), pa.string()), pa.array(hashes.view(np.int64)), pa.array(n)],
                                                          names=["lang", "gram", "n"])
 
-    grams = sample.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 2")
+    grams = sample.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     found: dict[str, np.ndarray] = {}
     for name in langs:
         top = grams.where(F.col("lang") == name).orderBy(F.desc("n"), "gram").limit(grams_per_lang).select("gram").toArrow()

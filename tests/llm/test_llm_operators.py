@@ -149,6 +149,14 @@ def test_language_held_out(spark):
     assert sum(r.lang == r.lang_pred for r in got) >= 0.98 * len(got)
 
 
+def test_language_of_three_short_texts(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    rare = [(-1, "Mae'r gath yn cysgu wrth y ffenestr"), (-2, "Bydd y trên yn cyrraedd yfory"), (-3, "Roedd llyfrau newydd gan yr athrawes")]
+    filters = langid.fit(table.unionByName(spark.createDataFrame([(*r, "cy") for r in rare], table.schema)), F.lit(True))
+    asked = docs(spark, [(1, "Roedd y gath wrth y ffenestr"), (2, "Bydd yr athrawes yn cysgu"), (3, "llyfrau newydd yn cyrraedd yfory")])
+    assert {r.lang_pred for r in langid.identify(asked, filters).collect()} == {"cy"}
+
+
 def test_language_cases(spark, odd, empty):
     filters = langid.fit(spark.read.parquet(f"{SF}/documents.parquet"), F.lit(True))
     got = {(r.doc_id, r.score == 0): r.lang_pred for r in langid.identify(odd, filters).collect()}
