@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
+from docflow.llm.alignment import align, corpus_counts
 from docflow.llm.bpe import round_trip
 from docflow.llm.decontam import contaminated
 from docflow.llm.exact_dedup import exact_dedup
@@ -129,3 +130,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = fit_toxicity(docs, table(spark, sf_dir, "labels"), id_fold(5) != 0)
     return score_toxicity(docs, net).select("doc_id", (id_fold(5) == 0).alias("held_out"), "score", "predicted", "rejected")
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    found = align(docs, paths, corpus_counts(docs, paths))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                        F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256"))
