@@ -13,9 +13,11 @@ from docflow.llm.alignment import align, corpus_counts
 from docflow.llm.bpe import round_trip
 from docflow.llm.decontam import contaminated
 from docflow.llm.exact_dedup import exact_dedup
+from docflow.llm.filter_audit import audit
 from docflow.llm.jaccard_tree import near_classes
 from docflow.llm.langid import fit as fit_languages, identify
 from docflow.llm.pii import BASE, find_pii
+from docflow.llm.spots import edited_pairs, fingerprint, likeness
 from docflow.llm.substring import drop_repeats
 from docflow.llm.token_files import token_roundtrip
 from docflow.llm.toxicity import fit as fit_toxicity, score as score_toxicity
@@ -139,3 +141,37 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = align(docs, paths, corpus_counts(docs, paths))
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
                         F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256"))
+
+
+@query("op12_filter_audit", """
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+     w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+     m AS (SELECT doc_id, part, (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+                  + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+                  + 16 * coalesce(doc_id > least, false)::INT AS mask FROM w),
+     c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS good,
+                  count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS toxic FROM m GROUP BY part, mask),
+     l(c, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+     o AS (SELECT v.c || w.c || x.c || y.c || z.c AS filter_order, [v.b, w.b, x.b, y.b, z.b] AS bits
+           FROM l v, l w, l x, l y, l z WHERE v.b + w.b + x.b + y.b + z.b = 31),
+     s AS (SELECT filter_order, unnest(range(1, 6))::INT AS step, bits FROM o),
+     f AS (SELECT filter_order, step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS gone FROM s)
+SELECT part, filter_order, step, coalesce(sum(n) FILTER (WHERE mask & (own | gone) = 0), 0)::BIGINT AS kept,
+       coalesce(sum(n) FILTER (WHERE mask & own <> 0 AND mask & gone = 0), 0)::BIGINT AS removed,
+       coalesce(sum(n) FILTER (WHERE mask & own <> 0 AND mask & gone <> 0), 0)::BIGINT AS redundant,
+       coalesce(sum(n) FILTER (WHERE mask = own), 0)::BIGINT AS unique_fails,
+       coalesce(sum(good) FILTER (WHERE mask & own <> 0 AND mask & gone = 0), 0)::BIGINT AS good_lost,
+       coalesce(sum(toxic) FILTER (WHERE mask & own <> 0 AND mask & gone = 0), 0)::BIGINT AS toxic_lost,
+       coalesce(sum(n * 120 // bit_count(mask)) FILTER (WHERE mask & own <> 0), 0)::BIGINT AS shapley
+FROM f, c GROUP BY part, filter_order, step""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_spot_signatures")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = edited_pairs(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("signatures")).alias("fingerprint"),
+                        fingerprint(F.col("edited_signatures")).alias("edited_fingerprint"),
+                        likeness(F.col("signatures"), F.col("edited_signatures")).alias("near_edited"),
+                        likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next"))
