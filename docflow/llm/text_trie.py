@@ -108,11 +108,14 @@ class Trie:
 def prefix_borders(texts: DataFrame, folder: str, range_bytes: int = RANGE_BYTES, first: int = FIRST) -> list[bytes]:
     """Lower borders of ranges of texts, ascending: at least as many as shuffle partitions, if the texts differ."""
     spark, partitions = texts.sparkSession, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    borders, length, left, most = [], first, texts, None
+    borders, length, heavy, most = [], first, None, None
     while True:
-        key = F.substring("text", 1, length).alias("key")
-        distinct = left.groupBy(key, F.xxhash64("text").alias("h")).agg(
-            F.max(F.octet_length("text")).alias("bytes"), F.max(F.length("text") > length).alias("more"))
+        # Only prefixes, hashes and sizes go into joins and groupings, never the texts.
+        rows = texts.select(F.substring("text", 1, length).alias("key"), F.xxhash64("text").alias("h"), F.octet_length("text").alias("bytes"),
+                            (F.length("text") > length).alias("more"))
+        if heavy is not None:
+            rows = rows.withColumn("upper", F.substring("key", 1, length // LONGER)).join(heavy.withColumnRenamed("key", "upper"), "upper", "left_semi")
+        distinct = rows.groupBy("key", "h").agg(F.max("bytes").alias("bytes"), F.max("more").alias("more"))
         weights = staged(distinct.groupBy("key").agg(F.sum("bytes").alias("bytes"), F.max("more").alias("more")), folder, f"prefixes-{length}")
         total = weights.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
         most = most or max(1, min(range_bytes, total // partitions))
@@ -132,7 +135,6 @@ def prefix_borders(texts: DataFrame, folder: str, range_bytes: int = RANGE_BYTES
         heavy = heavy.where("more").select("key")
         if heavy.isEmpty():
             return sorted(set(borders))
-        left = left.join(heavy, F.substring("text", 1, length) == F.col("key"), "left_semi")
         length *= LONGER
 
 
