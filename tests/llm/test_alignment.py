@@ -117,3 +117,14 @@ def test_hash_of_a_pair_is_that_of_spark(spark):
 def test_fragments_join_to_the_text():
     for t in filter(None, [*ODD, *random_texts(200).values()]):
         assert " ".join(fragments_of(t)) == t
+
+
+def test_both_encoders_of_a_agree():
+    aligner = alignment.Aligner(PATHS)
+    words = [t.decode("utf-8", "ignore").strip(" ") for t in alignment.token_bytes(PATHS[0]).values()]
+    rng = random.Random(9)
+    words += ["".join(rng.choices("abcdeéßñ'.,;0123\n\tABst ll", k=rng.randint(1, 12))) for _ in range(20_000)]
+    plain = [w for w in words if alignment.PLAIN.fullmatch(w)]
+    assert len(plain) > 40_000 and aligner.quick is not None
+    want = [e.ids for e in aligner.a.encode_batch_fast([" " + w for w in plain], add_special_tokens=False)]
+    assert [aligner.quick.encode_ordinary(" " + w) for w in plain] == want
