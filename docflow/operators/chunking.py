@@ -5,7 +5,7 @@ number: how many tokens the open buffer holds. So the scan runs in blocks of chu
 
 1. token counts per chunk, gathered per (document, block) - only index/count pairs;
 2. for full blocks (documents longer than a block) a table from buffer size at entry to
-   buffer size at exit, and a short scan over these tables for the true entry sizes;
+   buffer size at exit, composed by runs of blocks, which gives the true entry sizes;
 3. the packing fold of every block from its entry size, in parallel;
 4. texts joined to the resulting ranges by (document, chunk), cut and concatenated per
    output chunk - a group bounded by the token budget.
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from docflow.functions.text import join_tokens, token_count, tokens
 from docflow.operators.ordering import BLOCK, block_no, running_before
+from docflow.operators.tree import docs_as_nodes, level_of, nodes_as_docs
 from docflow.schemas import as_chunks
 
 
@@ -36,6 +37,9 @@ def split_group_name(group: str, max_tokens: int, encoding: str) -> str:
 
 # --- entry state of each block -------------------------------------------------
 
+AT_ONCE = 1024        # blocks whose states are composed in one group
+
+
 def _exit_table(counts: np.ndarray, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
     """For every buffer size at block entry: (buffer size at exit, chunks closed)."""
     size = np.arange(limit + overlap + 1, dtype=np.int64)
@@ -53,43 +57,77 @@ def _exit_table(counts: np.ndarray, limit: int, overlap: int) -> tuple[np.ndarra
     return size, closed
 
 
+RUNS = "starts array<long>, sizes array<long>, closed array<long>"
+
+
+def _as_runs(size: np.ndarray, closed: np.ndarray, starts: np.ndarray | None = None) -> tuple[list, list, list]:
+    """A table as runs of entry sizes with equal results. Scans from different entry sizes meet soon, so there are few."""
+    step = np.diff(np.stack([size, closed]), axis=1).any(axis=0)
+    at = np.concatenate([[0], np.flatnonzero(step) + 1])
+    return (at if starts is None else starts[at]).tolist(), size[at].tolist(), closed[at].tolist()
+
+
+def _through(row, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes at exit and chunks closed of a block, or of a run of blocks, for sizes at entry."""
+    k = np.searchsorted(np.asarray(row.starts), entry, side="right") - 1
+    return np.asarray(row.sizes)[k], np.asarray(row.closed)[k]
+
+
+def _composed(pdf):
+    """The tables of neighbouring blocks as one table."""
+    import pandas as pd
+    rows = list(pdf.sort_values("_blk").itertuples(index=False))
+    starts = np.asarray(rows[0].starts)
+    size, closed = starts, np.zeros_like(starts)
+    for row in rows:
+        size, more = _through(row, size)
+        closed = closed + more
+    runs = _as_runs(size, closed, starts)
+    return pd.DataFrame([(rows[0].doc_id, rows[0]._up, *runs)], columns=["doc_id", "_up", "starts", "sizes", "closed"])
+
+
+def _chained(number: str):
+    """The states before each of the tables of a group, from ``entry`` and ``out_base`` before the first."""
+    def chain(pdf):
+        import pandas as pd
+        out, entry, base = [], None, 0
+        for row in pdf.sort_values(number).rename(columns={"_blk": "blk", "_up": "up"}).itertuples(index=False):
+            if entry is None:
+                entry, base = np.array([row.entry]), row.out_base
+            out.append((row.doc_id, getattr(row, number[1:]), int(entry[0]), int(base)))
+            entry, more = _through(row, entry)
+            base += int(more[0])
+        return pd.DataFrame(out, columns=["doc_id", number, "entry", "out_base"])
+    return chain
+
+
 def _entry_states(blocks: DataFrame, limit: int, overlap: int) -> DataFrame:
-    """(doc_id, _blk, entry, out_base) of every block that follows another of its document, however
-    many index values lie between them."""
+    """(doc_id, _blk, entry, out_base) of every block of the documents with several, however many index values lie between.
 
+    Tables of block states compose associatively. Those of ``AT_ONCE`` neighbouring blocks become one, these are
+    chained by document (an index is an int, so there are few), and then each run of blocks from its own entry
+    state. No group holds the blocks of a whole document.
+    """
     def tables(batches):
         import pandas as pd
         for pdf in batches:
             rows = []
             for doc, blk, items in zip(pdf.doc_id, pdf["_blk"], pdf["items"]):
                 counts = np.array([x["n"] for x in items], dtype=np.int64)
-                size, closed = _exit_table(counts, limit, overlap)
-                # Scans from different entry sizes meet soon, so most tables are a few runs.
-                step = np.diff(np.stack([size, closed]), axis=1).any(axis=0)
-                at = np.concatenate([[0], np.flatnonzero(step) + 1])
-                rows.append((doc, blk, at.tolist(), size[at].tolist(), closed[at].tolist()))
+                rows.append((doc, blk, *_as_runs(*_exit_table(counts, limit, overlap))))
             yield pd.DataFrame(rows, columns=["doc_id", "_blk", "starts", "sizes", "closed"])
 
-    def chain(pdf):
-        import pandas as pd
-        entry = base = 0
-        rows = []
-        ordered = pdf.sort_values("_blk")
-        following = [*ordered["_blk"][1:], None]
-        for row, after in zip(ordered.itertuples(index=False), following):
-            if after is None:
-                break
-            k = int(np.searchsorted(np.asarray(row.starts), entry, side="right")) - 1
-            base += int(row.closed[k])
-            entry = int(row.sizes[k])
-            rows.append((row.doc_id, int(after), entry, base))
-        return pd.DataFrame(rows, columns=["doc_id", "_blk", "entry", "out_base"])
-
     # Documents of one block, nearly all of them, need no states.
-    several = blocks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")
-    return (blocks.select("doc_id", "_blk", "items").join(several, "doc_id", "left_semi")
-            .mapInPandas(tables, "doc_id string, _blk long, starts array<long>, sizes array<long>, closed array<long>")
-            .groupBy("doc_id").applyInPandas(chain, "doc_id string, _blk long, entry long, out_base long"))
+    several = blocks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), F.max("_blk").alias("_last")).where("_n > 1").select("doc_id", "_last")
+    made = (blocks.select("doc_id", "_blk", "items").join(several, "doc_id").select("doc_id", "_blk", "items")
+            .mapInPandas(tables, f"doc_id string, _blk long, {RUNS}").withColumn("_up", F.floor(F.col("_blk") / AT_ONCE)))
+    long = several.where(F.col("_last") >= AT_ONCE).select("doc_id")
+    nothing = {"entry": F.lit(0).cast("long"), "out_base": F.lit(0).cast("long")}
+    states = "entry long, out_base long"
+    runs = made.join(long, "doc_id", "left_semi").groupBy("doc_id", "_up").applyInPandas(_composed, f"doc_id string, _up long, {RUNS}")
+    tops = runs.withColumns(nothing).groupBy("doc_id").applyInPandas(_chained("_up"), f"doc_id string, _up long, {states}")
+    entered = made.join(tops, ["doc_id", "_up"], "left").withColumns({c: F.coalesce(c, v) for c, v in nothing.items()})
+    return entered.groupBy("doc_id", "_up").applyInPandas(_chained("_blk"), f"doc_id string, _blk long, {states}")
 
 
 def _blocks(counted: DataFrame, block: int) -> DataFrame:
@@ -222,7 +260,8 @@ def merge_chunks(chunks: DataFrame, max_tokens: int, group: str = "pages", encod
 
     ``chunks`` carries resolved content. An oversized chunk is cut; with overlap the last
     ``overlap_tokens`` of a closed chunk open the next one (which may then reach
-    ``max_tokens + overlap_tokens``). Returns the new group with ``n_tokens``.
+    ``max_tokens + overlap_tokens``). Every owner's group is packed by itself. Returns the new
+    group with ``n_tokens``.
     """
     if max_tokens < 1:
         raise ValueError("max_tokens must be a positive integer")
@@ -230,7 +269,7 @@ def merge_chunks(chunks: DataFrame, max_tokens: int, group: str = "pages", encod
         raise ValueError("overlap_tokens must be in [0, max_tokens)")
     new_group = new_group or merged_group_name(group, max_tokens, encoding)
     # The explicit null filter keeps the count branches equal, so they share one exchange.
-    source = chunk_group(chunks, group).where(F.col("doc_id").isNotNull() & F.col("chunk_idx").isNotNull()).select(
+    source = nodes_as_docs(chunk_group(chunks, group)).where(F.col("doc_id").isNotNull() & F.col("chunk_idx").isNotNull()).select(
         "doc_id", "chunk_idx", F.coalesce("content", F.lit("")).alias("content"))
     counted = source.select("doc_id", "chunk_idx", token_count(F.col("content"), encoding).cast("long").alias("n"))
     pieces = (_pieces_overlap(counted, max_tokens, overlap_tokens, block) if overlap_tokens
@@ -247,11 +286,11 @@ def merge_chunks(chunks: DataFrame, max_tokens: int, group: str = "pages", encod
 
 
 def _new_chunks(df: DataFrame, group: str) -> DataFrame:
-    """Chunk rows with fresh ids ``<doc>/<group>@<index>``."""
-    named = (df.withColumn("chunk_group", F.lit(group))
+    """Chunk rows with fresh ids ``<owner>/<group>@<index>``, from rows whose ``doc_id`` is a node."""
+    named = (docs_as_nodes(df).withColumn("chunk_group", F.lit(group))
              .withColumn("chunk_idx", F.col("chunk_idx").cast("int"))
-             .withColumn("chunk_id", F.concat("doc_id", F.lit(f"/{group}@"), F.col("chunk_idx").cast("string")))
-             .withColumn("parent", F.col("doc_id")).withColumn("depth", F.lit(1)))
+             .withColumn("chunk_id", F.concat("owner_id", F.lit(f"/{group}@"), F.col("chunk_idx").cast("string")))
+             .withColumn("parent", F.col("owner_id")).withColumn("depth", level_of(F.col("owner"))))
     return as_chunks(named, extra=["n_tokens"])
 
 
@@ -264,7 +303,7 @@ def split_oversized(chunks: DataFrame, max_tokens: int, group: str = "pages", en
     new_group = new_group or split_group_name(group, max_tokens, encoding)
     content = F.coalesce("content", F.lit(""))
     n = token_count(content, encoding).cast("long")
-    source = (as_chunks(chunk_group(chunks, group))
+    source = (nodes_as_docs(as_chunks(chunk_group(chunks, group)))
               .select("doc_id", "chunk_idx", content.alias("content"), n.alias("n"), "metadata", "annotations")
               .withColumn("k", F.greatest(F.ceil(F.col("n") / max_tokens), F.lit(1)).cast("long")))
     numbered = running_before(source, ["doc_id"], "chunk_idx", {"base": F.col("k")})

@@ -8,129 +8,147 @@ from pyspark.sql import functions as F
 from docflow.functions.jsonx import (annotation, array_texts, bind, comment_lines, compact, delta_text,
                                      json_kind, member, pretty_json)
 from docflow.functions.text import trim_all
-from docflow.operators.ordering import concat_ordered, dense_index, with_frames
+from docflow.operators.ordering import TEXT_CELL_LIMIT, concat_ordered, dense_index, with_frames
+from docflow.operators.rope import SEGMENT, cut_spans, rope_of_cells, rope_of_rows
+from docflow.operators.tree import CHUNK, GROUP, node_key, owned, path_of
 from docflow.schemas import as_chunks
-from docflow.session import cut_lineage
-
-SEGMENT = 65_536      # characters of parent text a span is cut from
+from docflow.session import cut_lineage, work_folder
 
 
 # --- resolution -----------------------------------------------------------------
 
-def cut_spans(parents: DataFrame, spans: DataFrame, keys: list[str], parent_key: str,
-              segment: int = SEGMENT) -> DataFrame:
-    """Text of (start, length) spans of their parents' text.
+def is_span(df: DataFrame) -> Column:
+    return df["content"].isNull() & df["start"].isNotNull() & df["length"].isNotNull()
 
-    ``parents(parent_key, text)``; ``spans(*keys, parent_key, start, length)``. Parent
-    texts are cut into segments and spans joined to the segments they touch, so many spans
-    over one long text spread over tasks, and no span scans the whole text. Returns
-    (*keys, text, reason): text is NULL with a reason for a span out of range.
-    """
-    length = F.length("text")
-    pieces = parents.select(
-        parent_key, length.alias("_len"),
-        F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.greatest(length - 1, F.lit(0)) / segment).cast("int")),
-                                 lambda i: F.substring(F.col("text"), i * segment + 1, F.lit(segment)))
-                     ).alias("_seg", "_part"))
-    start, end = F.greatest("start", F.lit(0)), F.greatest(F.col("start") + F.col("length"), F.lit(0))
-    first = F.floor(F.when(F.col("length") > 0, start).otherwise(F.greatest(start - 1, F.lit(0))) / segment)
-    last = F.greatest(first, F.floor((end - 1) / segment))
-    touched = spans.withColumn("_seg", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
-    met = touched.join(pieces, [parent_key, "_seg"], "left")
-    lo = F.greatest(F.col("start") - F.col("_seg") * segment, F.lit(0))
-    hi = F.least(F.col("start") + F.col("length") - F.col("_seg") * segment, F.lit(segment))
-    part = F.substring(F.col("_part"), (lo + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int"))
-    bad = (F.col("start") < 0) | (F.col("length") < 0) | F.col("_len").isNull() | (
-        F.col("start") + F.col("length") > F.col("_len"))
-    cut = met.groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_seg", part.alias("t")))),
-                                 lambda x: x["t"]), "").alias("_joined"),
-        F.bool_or(bad).alias("_bad"))
-    return cut.select(*keys, F.when(~F.col("_bad"), F.col("_joined")).alias("text"),
-                      F.when(F.col("_bad"), F.lit("span_out_of_range")).alias("reason"))
 
+def resolve_parts(docs: DataFrame, chunks: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """The resolved text of every document as a rope (doc_id, seg, part, total), whatever its length: its own content,
+    else its content group's chunks in order, else the empty text."""
+    content_group = F.col("content_chunk_group")
+    grouped = docs.where(F.col("content").isNull() & content_group.isNotNull()).select("doc_id", content_group.alias("chunk_group"))
+    members = _own_chunks(chunks).join(grouped, ["doc_id", "chunk_group"], "left_semi")
+    # A document whose group has no rows has the empty text.
+    found = members.select("doc_id").distinct()
+    cells = docs.select("doc_id", F.when(F.col("content").isNotNull() | content_group.isNull(), F.coalesce("content", F.lit(""))).alias("text"))
+    empty = grouped.join(found, "doc_id", "left_anti").select("doc_id", F.lit("").alias("text"))
+    return (rope_of_cells(cells.unionByName(empty), "doc_id", segment=segment)
+            .unionByName(rope_of_rows(members, "doc_id", "chunk_idx", "content", segment=segment)))
 
-def is_span(df: DataFrame) -> Column:
-    return df["content"].isNull() & df["start"].isNotNull() & df["length"].isNotNull()
+
+def _own_chunks(chunks: DataFrame) -> DataFrame:
+    """Chunks of documents themselves, without chunks of chunks."""
+    return chunks.where(F.coalesce("owner", F.lit("")) == "") if "owner" in chunks.columns else chunks
 
 
-def resolve_docs(docs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Documents with resolved ``content``: their own, else their content group's chunks
-    in order, else the empty string. An empty own content stays empty."""
+def resolve_docs(docs: DataFrame, chunks: DataFrame, limit: int = TEXT_CELL_LIMIT) -> DataFrame:
+    """Documents with resolved ``content`` in one cell, and ``reason``: their own, else their content
+    group's chunks in order, else the empty string. An empty own content stays empty. A group longer than
+    ``limit`` characters is NULL with reason ``text_too_long``; ``resolve_parts`` has its text."""
     grouped = docs.where(F.col("content").isNull() & F.col("content_chunk_group").isNotNull())
-    members = chunks.join(grouped.select("doc_id", F.col("content_chunk_group").alias("chunk_group")),
-                          ["doc_id", "chunk_group"], "left_semi")
+    members = _own_chunks(chunks).join(grouped.select("doc_id", F.col("content_chunk_group").alias("chunk_group")),
+                                       ["doc_id", "chunk_group"], "left_semi")
     texts = concat_ordered(members.withColumn("_t", F.coalesce("content", F.lit(""))),
-                           ["doc_id", "chunk_group"], "chunk_idx", "_t", "", "_text").withColumn("_found", F.lit(True))
+                           ["doc_id", "chunk_group"], "chunk_idx", "_t", "", "_text", limit).withColumn("_found", F.lit(True))
     joined = docs.join(texts.withColumnRenamed("chunk_group", "content_chunk_group"),
                        ["doc_id", "content_chunk_group"], "left")
-    # A group too long for one cell stays NULL and in its rows; no group at all is ''.
     content = F.when(F.col("content").isNull() & F.col("_found").isNull(), F.lit("")).otherwise(
         F.coalesce("content", "_text"))
-    return joined.withColumn("content", content).select(*docs.columns)
+    return joined.withColumn("content", content).select(*docs.columns, F.when(content.isNull(), F.lit("text_too_long")).alias("reason"))
 
 
-def resolve_content(docs: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Resolved (docs, chunks) of flat documents: chunk spans point into document text.
+def resolve_content(docs: DataFrame, chunks: DataFrame, limit: int = TEXT_CELL_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """Resolved (docs, chunks): spans are cut from the text of the node they belong to, content groups are
+    joined, at every level of nesting.
 
-    Chunk rows keep all columns; ``content`` is filled and ``reason`` tells why not.
+    Rows keep all columns; ``content`` is filled and ``reason`` tells why not. Spans of a document too long for
+    one cell are cut from its rows like all others.
     """
-    whole = resolve_docs(docs, chunks)
-    keys = ["doc_id", "chunk_group", "chunk_idx"]
-    spans = chunks.where(is_span(chunks)).select(*keys, "start", "length")
-    texts = cut_spans(whole.select("doc_id", F.col("content").alias("text")), spans, keys, "doc_id")
-    joined = chunks.join(texts, keys, "left")
+    chunks = owned(chunks)
+    deep = chunks.where("owner <> ''").select("doc_id").distinct()
+    if deep.isEmpty():
+        return _resolve_flat(docs, chunks, limit)
+    flat = _resolve_flat(docs.join(deep, "doc_id", "left_anti"), chunks.join(deep, "doc_id", "left_anti"), limit)
+    tree = _resolve_tree(docs.join(deep, "doc_id", "left_semi"), chunks.join(deep, "doc_id", "left_semi"), limit)
+    return flat[0].unionByName(tree[0]), flat[1].unionByName(tree[1])
+
+
+def _resolve_flat(docs: DataFrame, chunks: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Documents without chunks of chunks."""
+    spans = chunks.where(is_span(chunks)).select(*CHUNK, "start", "length")
+    asked = docs.join(spans.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = cut_spans(resolve_parts(asked, chunks), spans, CHUNK, "doc_id")
+    joined = chunks.join(texts, CHUNK, "left")
     content = F.when(F.col("content").isNotNull(), F.col("content")).when(
         F.col("start").isNotNull() & F.col("length").isNotNull(), F.col("text")).otherwise(F.lit(""))
-    return whole, joined.withColumn("content", content).select(*chunks.columns, "reason")
-
-
-def resolve_nested(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return resolve_docs(docs, chunks, limit), joined.withColumn("content", content).select(*chunks.columns, "reason")
+
+
+def _resolve_tree(docs: DataFrame, chunks: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Documents with chunks of chunks: every document and chunk is a node, named by its path."""
+    node = lambda path: node_key(F.col("doc_id"), path)
+    none = lambda kind: F.lit(None).cast(kind)
+    doc_rows = docs.withColumn("_node", node(F.lit("")))
+    chunk_rows = chunks.withColumn("_node", node(path_of(F.col("owner"), F.col("chunk_group"), F.col("chunk_idx"))))
+    nodes = doc_rows.select(F.col("_node").alias("node_id"), none("string").alias("parent_id"), none("string").alias("chunk_group"), none("int").alias("idx"),
+                            "content", none("int").alias("start"), none("int").alias("length"), "content_chunk_group").unionByName(
+        chunk_rows.select(F.col("_node").alias("node_id"), node(F.col("owner")).alias("parent_id"), "chunk_group", F.col("chunk_idx").alias("idx"),
+                          "content", "start", "length", "content_chunk_group"))
+    done, rejects = resolve_nested(nodes, limit)
+    settled = done.withColumn("reason", none("string")).unionByName(rejects.withColumn("text", none("string")))
+    settled = settled.withColumnRenamed("node_id", "_node")
+    filled = lambda rows: rows.drop("content").join(settled, "_node", "left").withColumnRenamed("text", "content")
+    return filled(doc_rows).select(*docs.columns, "reason"), filled(chunk_rows).select(*chunks.columns, "reason")
+
+
+def resolve_nested(nodes: DataFrame, limit: int = TEXT_CELL_LIMIT) -> tuple[DataFrame, DataFrame]:
     """Resolve trees of documents inside documents.
 
     ``nodes(node_id, parent_id, chunk_group, idx, content, start, length,
-    content_chunk_group)``. Each round resolves every node whose parent (span) or members
-    (content group) are resolved. Returns (node_id, text) and rejects (node_id, reason).
+    content_chunk_group)``. A round resolves what waits for the nodes of the round before: spans of a parent
+    just resolved, and content groups whose last open member is. Rounds are appended to a log that is never
+    rewritten. Returns (node_id, text) and rejects (node_id, reason).
     """
+    spark, folder = nodes.sparkSession, work_folder(nodes.sparkSession)
+    nodes = cut_lineage(nodes)
     span = F.col("content").isNull() & F.col("parent_id").isNotNull() & F.col("start").isNotNull() & F.col("length").isNotNull()
     kind = (F.when(F.col("content").isNotNull(), "own").when(span, "span")
             .when(F.col("content_chunk_group").isNotNull(), "group").otherwise("empty"))
     typed = nodes.withColumn("kind", kind)
-    members = (typed.where("kind = 'group'").select(F.col("node_id").alias("parent_id"),
-                                                    F.col("content_chunk_group").alias("chunk_group"))
-               .join(nodes.select("node_id", "parent_id", "chunk_group", "idx"), ["parent_id", "chunk_group"]))
-    done = cut_lineage(typed.where("kind in ('own', 'empty')")
-                       .select("node_id", F.coalesce("content", F.lit("")).alias("text")))
-    waiting = cut_lineage(typed.where("kind in ('span', 'group')")
-                          .select("node_id", "parent_id", "start", "length", "kind"))
-    empty_rejects = waiting.select("node_id", F.lit("").alias("reason")).limit(0)
-    rejects, left = empty_rejects, waiting.count()
-    # A round that settles nothing is the last one, so cycles end too.
-    while left:
-        spans = (waiting.where("kind = 'span'").join(done.select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi")
-                 .select("node_id", "parent_id", "start", "length"))
-        cut = cut_spans(done.select(F.col("node_id").alias("parent_id"), "text"), spans, ["node_id"], "parent_id")
-        open_groups = waiting.where("kind = 'group'").select(F.col("node_id").alias("parent_id"))
-        joined = (members.join(open_groups, "parent_id", "left_semi")
-                  .join(done.withColumn("ok", F.lit(1)), "node_id", "left"))
-        ready = (joined.groupBy("parent_id").agg(F.count(F.lit(1)).alias("n"), F.count("ok").alias("r"))
-                 .where("n = r").select("parent_id"))
-        whole = concat_ordered(joined.join(ready, "parent_id", "left_semi"), ["parent_id"], "idx", "text", "", "text")
-        childless = open_groups.join(members.select("parent_id").distinct(), "parent_id", "left_anti")
-        fresh = cut_lineage(cut.select("node_id", "text", "reason")
-                            .unionByName(whole.select(F.col("parent_id").alias("node_id"), "text",
-                                                      F.when(F.col("text").isNull(), F.lit("text_too_long")).alias("reason")))
-                            .unionByName(childless.select(F.col("parent_id").alias("node_id"), F.lit("").alias("text"),
-                                                          F.lit(None).cast("string").alias("reason"))))
-        done = cut_lineage(done.unionByName(fresh.where("reason is null").select("node_id", "text")))
-        rejects = rejects.unionByName(fresh.where("reason is not null").select("node_id", "reason"))
-        waiting = cut_lineage(waiting.join(fresh.select("node_id"), "node_id", "left_anti"))
-        before, left = left, waiting.count()
-        if left == before:
+    groups = typed.where("kind = 'group'").select(F.col("node_id").alias("parent_id"), F.col("content_chunk_group").alias("chunk_group"))
+    members = cut_lineage(groups.join(nodes.select("node_id", "parent_id", "chunk_group", "idx"), ["parent_id", "chunk_group"])
+                          .select("parent_id", "node_id", "idx"))
+    spans = cut_lineage(typed.where("kind = 'span'").select("node_id", "parent_id", "start", "length"))
+    needed = members.groupBy("parent_id").agg(F.count(F.lit(1)).alias("n"))
+    LOG, COUNTS = "node_id string, text string, reason string", "parent_id string, came long"
+    none = F.lit(None).cast("string").alias("reason")
+    log = lambda no=None: spark.read.schema(LOG).parquet(f"{folder}/log" + ("" if no is None else f"/round={no}"))
+    counts = lambda no=None: spark.read.schema(COUNTS).parquet(f"{folder}/counts" + ("" if no is None else f"/round={no}"))
+
+    childless = groups.join(members, "parent_id", "left_anti").select(F.col("parent_id").alias("node_id"), F.lit("").alias("text"), none)
+    start = typed.where("kind in ('own', 'empty')").select("node_id", F.coalesce("content", F.lit("")).alias("text"), none).unionByName(childless)
+    start.write.parquet(f"{folder}/log/round=0")
+    no = 0
+    while True:
+        fresh = log(no).where("reason IS NULL")
+        asked = spans.join(fresh.select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi")
+        parents = fresh.select(F.col("node_id").alias("parent_id"), "text").join(spans.select("parent_id").distinct(), "parent_id", "left_semi")
+        cut = cut_spans(rope_of_cells(parents, "parent_id"), asked, ["node_id"], "parent_id")
+        came = members.join(fresh.select("node_id"), "node_id", "left_semi").groupBy("parent_id").agg(F.count(F.lit(1)).alias("came"))
+        came.write.parquet(f"{folder}/counts/round={no}")
+        so_far = counts().join(counts(no).select("parent_id"), "parent_id", "left_semi").groupBy("parent_id").agg(F.sum("came").alias("came"))
+        ready = so_far.join(needed, "parent_id").where("came = n").select("parent_id")
+        texts = members.join(ready, "parent_id", "left_semi").join(log().select("node_id", "text"), "node_id")
+        whole = concat_ordered(texts, ["parent_id"], "idx", "text", "", "text", limit).select(
+            F.col("parent_id").alias("node_id"), "text", F.when(F.col("text").isNull(), F.lit("text_too_long")).alias("reason"))
+        no += 1
+        cut.select("node_id", "text", "reason").unionByName(whole).write.parquet(f"{folder}/log/round={no}")
+        if log(no).isEmpty():
             break
+    settled = log()
     # What no round could reach hangs below a cycle, a reject, or a missing parent.
-    rejects = rejects.unionByName(waiting.select("node_id", F.lit("unresolvable").alias("reason")))
-    return done, rejects
+    left = nodes.select("node_id").join(settled, "node_id", "left_anti").select("node_id", F.lit("unresolvable").alias("reason"))
+    return (settled.where("reason IS NULL").select("node_id", "text"),
+            settled.where("reason IS NOT NULL").select("node_id", "reason").unionByName(left))
 
 
 # --- combination and order --------------------------------------------------------
@@ -169,9 +187,9 @@ def member_chunks(members: DataFrame) -> DataFrame:
 
 
 def with_neighbors(chunks: DataFrame, group: str) -> DataFrame:
-    """``prev_id`` and ``next_id`` of each chunk of a group."""
-    one = chunks.where(F.col("chunk_group") == group)
-    one = with_frames(one, ["doc_id", "chunk_group"], "chunk_idx", 1, 1, {
+    """``prev_id`` and ``next_id`` of each chunk of a group, among the chunks of its owner."""
+    one = owned(chunks).where(F.col("chunk_group") == group)
+    one = with_frames(one, GROUP, "chunk_idx", 1, 1, {
         "prev_id": (F.max("chunk_id"), -1, -1), "next_id": (F.max("chunk_id"), 1, 1)})
     return one
 
@@ -181,17 +199,18 @@ def chunk_group(chunks: DataFrame, group: str) -> DataFrame:
 
 
 def replace_group(chunks: DataFrame, group: str, rows: DataFrame) -> DataFrame:
-    """Put ``rows`` in place of ``group`` for the documents they belong to."""
-    old = chunks.join(rows.select("doc_id").distinct().withColumn("chunk_group", F.lit(group)),
-                      ["doc_id", "chunk_group"], "left_anti")
+    """Put ``rows`` in place of ``group`` for the nodes they belong to."""
+    chunks, rows = owned(chunks), owned(rows)
+    old = chunks.join(rows.select("doc_id", "owner").distinct().withColumn("chunk_group", F.lit(group)), GROUP, "left_anti")
     return old.unionByName(rows.withColumn("chunk_group", F.lit(group)), allowMissingColumns=True)
 
 
 def append_to_group(chunks: DataFrame, group: str, rows: DataFrame) -> DataFrame:
     """Append ``rows`` (dense ``chunk_idx`` of their own) behind the chunks of ``group``."""
-    ends = (chunks.where(F.col("chunk_group") == group).groupBy("doc_id")
+    chunks, rows = owned(chunks), owned(rows)
+    ends = (chunks.where(F.col("chunk_group") == group).groupBy("doc_id", "owner")
             .agg(F.max("chunk_idx").alias("_end")))
-    moved = (rows.withColumn("chunk_group", F.lit(group)).join(ends, "doc_id", "left")
+    moved = (rows.withColumn("chunk_group", F.lit(group)).join(ends, ["doc_id", "owner"], "left")
              .withColumn("chunk_idx", (F.col("chunk_idx") + F.coalesce(F.col("_end") + 1, F.lit(0))).cast("int"))
              .drop("_end"))
     return chunks.unionByName(moved, allowMissingColumns=True)
@@ -199,7 +218,7 @@ def append_to_group(chunks: DataFrame, group: str, rows: DataFrame) -> DataFrame
 
 def ensure_group(docs: DataFrame, chunks: DataFrame, group: str = "all") -> DataFrame:
     """Give documents without ``group`` one chunk of their full (resolved) text."""
-    have = chunks.where(F.col("chunk_group") == group).select("doc_id").distinct()
+    have = _own_chunks(chunks).where(F.col("chunk_group") == group).select("doc_id").distinct()
     made = docs.join(have, "doc_id", "left_anti").select(
         "doc_id", F.lit(group).alias("chunk_group"), F.lit(0).alias("chunk_idx"),
         F.concat("doc_id", F.lit(f"/{group}@0")).alias("chunk_id"), F.col("doc_id").alias("parent"),
@@ -220,7 +239,7 @@ def extract_markdown(docs: DataFrame, chunks: DataFrame, include_metadata: bool
     groups = docs.where(F.col("content_chunk_group").isNotNull()).select(
         "doc_id", F.col("content_chunk_group").alias("chunk_group"))
     # A group name without rows means the document is printed from its own text.
-    members = chunks.join(groups, ["doc_id", "chunk_group"], "left_semi")
+    members = _own_chunks(chunks).join(groups, ["doc_id", "chunk_group"], "left_semi")
     comments = _block(comment_lines(F.col("metadata"))) if include_metadata else F.lit("")
     line = F.concat(F.coalesce(comments, F.lit("")), F.coalesce("content", F.lit("")), F.lit("\n"))
     by_chunk = concat_ordered(members.withColumn("_line", line), ["doc_id"], "chunk_idx", "_line", "", "_md").withColumn("_found", F.lit(True))
@@ -266,6 +285,6 @@ def chunk_annotations(chunks: DataFrame, group: str, target: str = "summary",
 
 def missing_group(docs: DataFrame, chunks: DataFrame, group: str) -> DataFrame:
     """Documents that lack the group an operator was asked for."""
-    have = chunks.where(F.col("chunk_group") == group).select("doc_id")
+    have = _own_chunks(chunks).where(F.col("chunk_group") == group).select("doc_id")
     return docs.join(have, "doc_id", "left_anti").select(
         "doc_id", F.lit(f'Chunk group "{group}" not found in document').alias("reason"))

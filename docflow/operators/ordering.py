@@ -7,6 +7,8 @@ one task. The dense index of a group is cut into blocks; windows run per
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,15 +103,31 @@ def _range_no(bounds: list, value: Column) -> Column:
     return F.transform(F.array(below(array(bounds[::step]))), inner)[0].cast("long")
 
 
+def tie_safe_ranges(df: DataFrame, order: str, parts: int, out: str = "_blk") -> DataFrame:
+    """Number ``out`` of the range of values each row lies in, ascending with ``order``. A value that many rows share is cut
+    by a hash of the row into as many ranges as quantiles it fills, so ties make no range larger than others."""
+    probs = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    found = [v for v in (df.agg(F.percentile_approx(order, probs, F.lit(10_000))).first()[0] or []) if v is not None] if parts > 1 else []
+    bounds, ties = sorted(set(found)), {v: n for v, n in Counter(found).items() if n > 1}
+    no = _range_no(bounds, F.col(order)) * parts
+    if ties:
+        kind = df.schema[order].dataType
+        width = F.element_at(F.create_map(*[c for v, n in ties.items() for c in (F.lit(v).cast(kind), F.lit(n))]), F.col(order))
+        hashed = F.xxhash64(*[c for c, t in df.dtypes if "map<" not in t and "variant" not in t])
+        no = no + F.coalesce(F.pmod(hashed, width), F.lit(0).cast("long"))
+    return df.withColumn(out, no.cast("long"))
+
+
 def dense_index(df: DataFrame, keys: list[str], order: str, out: str, parts: int | None = None) -> DataFrame:
     """0-based position of each row in its group by a numeric ``order`` column.
 
     Groups are cut by value ranges, numbered per range, and shifted by the counts of
-    the ranges before. The cut points only balance the work; any cuts give the same index.
+    the ranges before. The cut points only balance the work; any cuts give the same index,
+    but for rows equal in ``order``, which come in any order.
     """
     spark = df.sparkSession
     parts = parts or min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 1024)
-    ranged = df.withColumn("_blk", _range_no(quantile_bounds(df, order, parts), F.col(order)))
+    ranged = tie_safe_ranges(df, order, parts)
     totals = ranged.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_n"))
     base = block_prefix(totals, keys, {"_base": "_n"})
     w = Window.partitionBy(*keys, "_blk").orderBy(order)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docflow.functions.text import json_string
 from docflow.operators.ordering import TEXT_BLOCK, with_frames
+from docflow.operators.tree import GROUP, owned
 
 _ROLE = "You summarise documents."
 _GUIDED = "Follow this guidance:\n<guidance>\n{guidance}\n</guidance>"
@@ -50,7 +51,7 @@ def with_context(chunks: DataFrame, before: int = 0, after: int = 0, wrap: bool
     if after:
         frames["_after"] = (F.collect_list("_text"), 1, after)
     if frames:
-        rows = with_frames(rows, ["doc_id", "chunk_group"], "chunk_idx", before, after, frames, TEXT_BLOCK)
+        rows = with_frames(owned(rows), GROUP, "chunk_idx", before, after, frames, TEXT_BLOCK)
     joined = lambda name, on: F.array_join(name, "\n\n") if on else F.lit("")
     return (rows.withColumn("preceding", joined("_before", before)).withColumn("succeeding", joined("_after", after))
             .drop("_text", "_before", "_after"))

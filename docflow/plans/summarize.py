@@ -26,7 +26,7 @@ from docflow.plans.prompts import (as_json, chunk_prompt, context_parts, delta_p
 from docflow.functions.schema_check import violations
 from docflow.plans.structured import INVALID, ask, failure
 from docflow.schemas import ERROR
-from docflow.session import append_rows, appended_rows, cut_lineage, work_folder
+from docflow.session import cut_lineage, work_folder
 
 SEGMENT = 256
 TREE_LEVELS = 8           # tree levels folded per shuffle with a ColumnModel
@@ -71,15 +71,11 @@ def _serial(rows: DataFrame, item: list[str], state: dict[str, Column], step: Ca
     rounds = 0 if last is None else last // segment + 1
     names = list(state)
     rows = rows.withColumn("_seg", F.floor(F.col("chunk_idx") / segment).cast("int"))
-    tail = cut_lineage(rows.where("_seg > 0")) if rounds > 1 else None
-    firsts = rows if rounds <= 1 else rows.where("_seg = 0")
     if rounds > 1:
-        # A document's state is written once, when its last segment is done; only the others go on.
-        spark, folder = rows.sparkSession, work_folder(rows.sparkSession)
-        ends = cut_lineage(rows.groupBy("doc_id").agg(F.max("_seg").alias("_end")))
-    current, kept = None, None
+        store = SegmentStore(rows, "_seg", rows.where("_seg > 0"), "_seg")
+    current = None
     for r in range(max(rounds, 1)):
-        part = (firsts if r == 0 else tail.where(F.col("_seg") == r))
+        part = rows if rounds <= 1 else rows.where("_seg = 0") if r == 0 else store.segment(r)
         items = part.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_idx", *item))).alias("items"))
         if current is None:
             opened = items.join(seed, "doc_id", "left") if seed is not None else items
@@ -103,21 +99,52 @@ def _serial(rows: DataFrame, item: list[str], state: dict[str, Column], step: Ca
                     *[b[n].alias(n) for n in names],
                     F.concat(s["rows"], F.array(out(b, s, x))).alias("rows")))[0]
         done = opened.select("doc_id", F.aggregate("items", start, fold).alias("s"))
+        flat = done.select("doc_id", *[F.col(f"s.{n}").alias(n) for n in names], *([F.col("s.rows").alias("rows")] if out is not None else []))
         if rounds > 1:
-            done = cut_lineage(done)
-        after = done.select("doc_id", *[F.col(f"s.{n}").alias(n) for n in names])
-        if out is not None:
-            kept = done.select("doc_id", F.explode("s.rows").alias("r")).select("doc_id", "r.*")
-        if rounds <= 1:
-            return after, kept
-        placed = after.join(ends, "doc_id")
-        append_rows(placed.where(F.col("_end") == r).drop("_end"), folder, "state")
-        if kept is not None:
-            append_rows(kept, folder, "kept")
-        going = placed.where(F.col("_end") > r).drop("_end")
-        current = cut_lineage(going if current is None else current.join(placed.select("doc_id"), "doc_id", "left_anti").unionByName(going))
-    return (appended_rows(spark, folder, "state", after.schema),
-            None if kept is None else appended_rows(spark, folder, "kept", kept.schema))
+            current = store.advance(flat, r, names)
+    if rounds > 1:
+        flat = store.log()
+    # Of several rounds a document's state is that of its last one.
+    after = flat.where("_end = _round") if rounds > 1 else flat
+    kept = flat.select("doc_id", F.explode("rows").alias("r")).select("doc_id", "r.*") if out is not None else None
+    return after.select("doc_id", *names), kept
+
+
+class SegmentStore:
+    """Rows and states of a serial run as files: the rows dealt to a folder for each segment, which its round reads and no
+    other, and a log to which every round appends its states once. Nothing is rewritten."""
+
+    def __init__(self, rows: DataFrame, position: str, stored: DataFrame, number: str, order: str | None = None):
+        """``rows`` with their round in ``position``; those of ``stored`` are dealt by ``number`` and sorted by ``order``."""
+        self.spark, self.folder, self.number = rows.sparkSession, work_folder(rows.sparkSession), number
+        # Rebalancing splits large segments over files and gathers small ones.
+        dealt = stored.hint("rebalance", F.col(number))
+        (dealt.sortWithinPartitions(number, order) if order else dealt).write.partitionBy(number).parquet(f"{self.folder}/rows")
+        # The partition column is the last of the files' columns.
+        self.rows = self.spark.read.schema(stored.select(*[c for c in stored.columns if c != number], number).schema).parquet(f"{self.folder}/rows")
+        ends = rows.groupBy("doc_id").agg(F.max(position).cast("int").alias("_end"), F.count_distinct(position).alias("_n"))
+        self.ends = cut_lineage(ends.select("doc_id", "_end", (F.col("_n") <= F.col("_end")).alias("_gaps")))
+        self.gaps = not self.ends.where("_gaps").isEmpty()
+        self.waiting: DataFrame | None = None
+
+    def segment(self, no: int) -> DataFrame:
+        return self.rows.where(F.col(self.number) == no)
+
+    def log(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/log")
+
+    def advance(self, states: DataFrame, no: int, names: list[str]) -> DataFrame:
+        """Append the states after round ``no``; those that later rounds go on from."""
+        placed = states.join(self.ends.select("doc_id", "_end"), "doc_id")
+        placed.write.parquet(f"{self.folder}/log/_round={no}")
+        self.schema = placed.withColumn("_round", F.lit(0)).schema
+        written = self.spark.read.schema(placed.schema).parquet(f"{self.folder}/log/_round={no}")
+        going = written.where(F.col("_end") > no).select("doc_id", *names)
+        if self.gaps:       # documents without a row in this round keep the state they had
+            if self.waiting is not None:
+                going = going.unionByName(self.waiting.join(written.select("doc_id"), "doc_id", "left_anti"))
+            going = self.waiting = cut_lineage(going)
+        return going
 
 
 def _rounds(rows: DataFrame, state: DataFrame, advance: Callable[[DataFrame], DataFrame], keep: list[str],
@@ -128,26 +155,19 @@ def _rounds(rows: DataFrame, state: DataFrame, advance: Callable[[DataFrame], Da
     columns; ``keep`` names the per-chunk columns to collect.
     """
     last = rows.agg(F.max("chunk_idx")).first()[0]
-    spark, folder = rows.sparkSession, work_folder(rows.sparkSession)
-    ends = rows.groupBy("doc_id").agg(F.max("chunk_idx").alias("_end"))
-    names = state.columns
-    start = state
-    working, part, kept = cut_lineage(state.join(ends, "doc_id")), None, None
-    for i in range(0 if last is None else last + 1):
-        if i % segment == 0:
-            part = cut_lineage(rows.where((F.col("chunk_idx") >= i) & (F.col("chunk_idx") < i + segment)))
-        moved = cut_lineage(advance(part.where(F.col("chunk_idx") == i).join(working, "doc_id")))
-        # What ends here is written once and leaves; a round writes only what goes on.
-        append_rows(moved.where(F.col("_end") == i).select(*names), folder, "state")
-        if keep:
-            kept = moved.select("doc_id", "chunk_idx", *keep)
-            append_rows(kept, folder, "kept")
-        working = cut_lineage(working.join(moved.select("doc_id"), "doc_id", "left_anti")
-                              .unionByName(moved.where(F.col("_end") > i).select(*working.columns)))
     if last is None:
-        return start, None
-    return (appended_rows(spark, folder, "state", start.schema),
-            appended_rows(spark, folder, "kept", kept.schema) if keep else None)
+        return state, None
+    names = [c for c in state.columns if c != "doc_id"]
+    places = rows.withColumn("_seg", F.floor(F.col("chunk_idx") / segment).cast("int"))
+    # Files are sorted by position, so a round skips the pages of the others in its segment.
+    store = SegmentStore(rows, "chunk_idx", places, "_seg", "chunk_idx")
+    working = store.waiting = cut_lineage(state)
+    for i in range(last + 1):
+        here = store.segment(i // segment).where(F.col("chunk_idx") == i).drop("_seg")
+        moved = advance(here.join(working, "doc_id"))
+        working = store.advance(moved.select("doc_id", "chunk_idx", *names, *[k for k in keep if k not in names]), i, names)
+    log = store.log()
+    return log.where("_end = _round").select(*state.columns), log.select("doc_id", "chunk_idx", *keep) if keep else None
 
 
 def _prepared(chunks: DataFrame, group: str, before: int, after: int) -> DataFrame:
@@ -327,7 +347,7 @@ def merge_left_to_right(parts: DataFrame, model, guidance: str = "", schema: dic
                                     F.array("acc").alias("rest")))
 
     def advance(part):
-        names = ["doc_id", "chunk_idx", "_end", "acc", "failed", "rest"]
+        names = ["doc_id", "chunk_idx", "acc", "failed", "rest"]
         opening = part.where("acc is null").withColumn("acc", F.col("part")).withColumn("rest", F.array("part"))
         # After a failure the parts are only gathered.
         stopped = part.where("acc is not null and failed is not null").withColumn("rest", F.concat("rest", F.array("part")))

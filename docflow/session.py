@@ -51,20 +51,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below the checkpoint folder, for tables that rounds append to."""
+    """A new folder below the checkpoint folder, for logs that rounds append to."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/rounds-{uuid.uuid4().hex}"
 
 
-def append_rows(df: DataFrame, folder: str, name: str) -> None:
-    df.write.mode("append").parquet(f"{folder}/{name}")
-
-
-def appended_rows(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
-    """All rows of the rounds, as one scan however many rounds there were."""
-    return spark.read.schema(schema).parquet(f"{folder}/{name}")
-
-
 def small(df: DataFrame, rows: int, limit: int = 10_000) -> DataFrame:
     """Broadcast a table built on the driver, if its known row count is small; above the
     limit Spark picks the join by its own size estimates."""

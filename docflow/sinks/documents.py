@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docflow.functions.jsonx import annotation, json_object
 from docflow.functions.text import json_string
 from docflow.operators.ordering import TEXT_CELL_LIMIT, concat_ordered
+from docflow.operators.tree import CHUNK, GROUP, level_of, owned, path_of
+from docflow.session import cut_lineage
 
 
 def file_title(metadata: Column) -> Column:
@@ -27,43 +29,65 @@ def chunk_listing(chunks: DataFrame, docs: DataFrame) -> DataFrame:
                         F.to_json(F.struct(title.alias("title"), F.col("content").alias("body"))).alias("chunk_data"))
 
 
-def nest_docs(docs: DataFrame, chunks: DataFrame, embeddings: DataFrame | None = None) -> DataFrame:
-    """(doc_id, json, reason): one document object per row, chunk groups nested in order.
+def nest_docs(docs: DataFrame, chunks: DataFrame, embeddings: DataFrame | None = None,
+              limit: int = TEXT_CELL_LIMIT) -> DataFrame:
+    """(doc_id, json, reason): one document object per row, chunk groups nested in order at every level.
 
-    Text is concatenated block by block. A document too long for one cell has no JSON but
-    reason ``document_too_large``; ``write_docs`` stores its rows instead.
+    Levels are nested from the deepest up; text is concatenated block by block. A document too long for one
+    cell has no JSON but reason ``document_too_large``; ``write_docs`` stores its rows instead.
     """
-    keys = ["doc_id", "chunk_group"]
-    rows = chunks
+    rows = owned(chunks).withColumn("_level", level_of(F.col("owner")))
     vectors = F.lit(None).cast("string")
     if embeddings is not None:
-        by_chunk = embeddings.groupBy("doc_id", "chunk_group", "chunk_idx").agg(
+        by_chunk = owned(embeddings).groupBy(*CHUNK).agg(
             F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", "vector"))))).alias("_vec"))
-        rows = rows.join(by_chunk, ["doc_id", "chunk_group", "chunk_idx"], "left")
+        rows = rows.join(by_chunk, CHUNK, "left")
         vectors = F.col("_vec")
     number = lambda c: F.col(c).cast("string")
-    chunk_json = json_object(("id", json_string(F.col("chunk_id"))), ("parent", json_string(F.col("parent"))),
-                         ("start", number("start")), ("length", number("length")),
-                         ("content", json_string(F.col("content"))), ("metadata", F.col("metadata")),
-                         ("annotations", F.col("annotations")), ("embeddings", vectors),
-                         ("content_chunk_group", json_string(F.col("content_chunk_group"))))
-    arrays = concat_ordered(rows.withColumn("_json", chunk_json), keys, "chunk_idx", "_json", ",", "_arr")
-    fits = (F.sum(F.length("_arr")) <= TEXT_CELL_LIMIT) & (F.count("_arr") == F.count(F.lit(1)))
-    sized = arrays.withColumn("_fits", (F.sum(F.length("_arr")).over(Window.partitionBy("doc_id")) <= TEXT_CELL_LIMIT) & F.col("_arr").isNotNull())
-    groups = sized.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_fits"),
-        F.struct("chunk_group", "_arr")))), lambda g: F.concat(json_string(g["chunk_group"]), F.lit(":["), g["_arr"],
-                                                              F.lit("]"))), ",").alias("_groups"), fits.alias("_whole"))
-    full = docs.join(groups, "doc_id", "left")
-    whole = F.coalesce("_whole", F.lit(True))
+    fields = (("id", json_string(F.col("chunk_id"))), ("parent", json_string(F.col("parent"))),
+              ("start", number("start")), ("length", number("length")),
+              ("content", json_string(F.col("content"))), ("metadata", F.col("metadata")),
+              ("annotations", F.col("annotations")), ("embeddings", vectors),
+              ("content_chunk_group", json_string(F.col("content_chunk_group"))))
+    inner = ("chunks", F.concat(F.lit("{"), F.col("_groups"), F.lit("}")))
+    groups = None
+    for level in range(rows.agg(F.max("_level")).first()[0] or 1, 0, -1):
+        own = rows.where(F.col("_level") == level)
+        if groups is None:
+            own = own.withColumns({"_json": json_object(*fields), "_large": F.lit(False)})
+        else:
+            own = (own.withColumn("_path", path_of(F.col("owner"), F.col("chunk_group"), F.col("chunk_idx")))
+                   .join(groups, ["doc_id", "_path"], "left").withColumns(
+                       {"_json": json_object(*fields, inner), "_large": F.coalesce("_large", F.lit(False))}))
+        groups = _grouped(own, limit)
+        if level > 1:
+            groups = cut_lineage(groups)
+    full = docs.join(groups.where("_path = ''"), "doc_id", "left")
+    whole = ~F.coalesce("_large", F.lit(False))
     text = json_object(
         ("id", json_string(F.col("doc_id"))), ("parent", json_string(F.col("parent_doc_id"))),
         ("content", json_string(F.col("content"))),
         ("content_chunk_group", json_string(F.col("content_chunk_group"))),
-        ("metadata", F.col("metadata")), ("annotations", F.col("annotations")),
-        ("chunks", F.concat(F.lit("{"), F.col("_groups"), F.lit("}"))))
+        ("metadata", F.col("metadata")), ("annotations", F.col("annotations")), inner)
     return full.select("doc_id", F.when(whole, text).alias("json"), F.when(~whole, F.lit("document_too_large")).alias("reason"))
 
 
+def _grouped(rows: DataFrame, limit: int) -> DataFrame:
+    """(doc_id, _path, _groups, _large) of the owners of ``rows``: their groups as members of a JSON object.
+
+    Sizes are summed apart from the texts; the texts of an owner too large for a cell are not moved.
+    """
+    sizes = rows.groupBy("doc_id", "owner").agg(((F.sum(F.length("_json") + 1) > limit) | F.max("_large")).alias("_large"))
+    large = sizes.where("_large")
+    fitting = rows.join(large.select("doc_id", "owner"), ["doc_id", "owner"], "left_anti")
+    arrays = concat_ordered(fitting, GROUP, "chunk_idx", "_json", ",", "_arr", limit)
+    member = lambda g: F.concat(json_string(g["chunk_group"]), F.lit(":["), g["_arr"], F.lit("]"))
+    groups = arrays.groupBy("doc_id", "owner").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_group", "_arr"))), member), ",").alias("_groups"))
+    return (groups.withColumn("_large", F.lit(False)).unionByName(large.withColumn("_groups", F.lit(None).cast("string")))
+            .withColumnRenamed("owner", "_path"))
+
+
 def write_docs(docs: DataFrame, chunks: DataFrame, path: str, mode: str = "errorifexists",
                embeddings: DataFrame | None = None) -> None:
     """One document object per line. Chunk rows of documents too long for a line go to

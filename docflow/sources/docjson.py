@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.functions.jsonx import json_kind
+from docflow.operators.tree import path_of
 from docflow.schemas import as_chunks, as_docs
 from docflow.session import cut_lineage
 
@@ -17,8 +21,9 @@ OBJECT = ("struct<id:string,parent:string,start:string,length:string,content:var
 def parse_docs(texts: DataFrame, json_col: str = "json") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(docs, chunks, rejects) from document objects in JSON texts.
 
-    Chunks of chunks get ``depth`` > 1 and their parent chunk's id as ``parent``, however deep they
-    are: a level is parsed as long as there is one. Rows that are not JSON objects go to rejects.
+    Chunks of chunks get ``depth`` > 1, the path and id of the chunk they belong to as ``owner`` and
+    ``owner_id``, and that id as ``parent`` if they name none, however deep they are: a level is parsed as
+    long as there is one. Rows that are not JSON objects go to rejects.
     """
     text = F.col(json_col)
     ok = F.coalesce(json_kind(F.try_parse_json(json_col)) == "OBJECT", F.lit(False))
@@ -27,19 +32,13 @@ def parse_docs(texts: DataFrame, json_col: str = "json") -> tuple[DataFrame, Dat
     good = texts.where(ok).select(F.from_json(text, OBJECT).alias("o"))
     docs = good.select(F.col("o.id").alias("doc_id"), F.col("o.parent").alias("parent_doc_id"), _content().alias("content"),
                        "o.content_chunk_group", "o.metadata", "o.annotations")
-    level = _children(good.select(F.col("o.id").alias("doc_id"), F.col("o.id").alias("owner"), "o"), 1)
-    chunks, depth = None, 0
-    while True:
-        depth += 1
+    chunks = None
+    for depth, level in enumerate(_levels(good), 1):
         rows = level.select(
-            "doc_id", "chunk_group", "chunk_idx", F.col("o.id").alias("chunk_id"), F.coalesce("o.parent", "owner").alias("parent"),
-            F.col("o.start").try_cast("int").alias("start"), F.col("o.length").try_cast("int").alias("length"), _content().alias("content"),
-            "o.metadata", "o.annotations", "depth", "o.content_chunk_group")
+            "doc_id", "owner", "owner_id", "chunk_group", "chunk_idx", F.col("o.id").alias("chunk_id"),
+            F.coalesce("o.parent", "owner_id").alias("parent"), F.col("o.start").try_cast("int").alias("start"), F.col("o.length").try_cast("int").alias("length"), _content().alias("content"),
+            "o.metadata", "o.annotations", F.lit(depth).alias("depth"), "o.content_chunk_group")
         chunks = rows if chunks is None else chunks.unionByName(rows)
-        deeper = level.where(F.col("o.chunks").isNotNull())
-        if deeper.isEmpty():
-            break
-        level = cut_lineage(_children(deeper.select("doc_id", F.col("o.id").alias("owner"), "o"), depth + 1))
     docs = docs.withColumn("sha256", F.sha2("content", 256)).withColumn("size_bytes", F.octet_length("content"))
     return as_docs(docs), as_chunks(chunks), rejects
 
@@ -50,17 +49,29 @@ def _content() -> Column:
     return F.when(json_kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
-def _children(owners: DataFrame, depth: int) -> DataFrame:
-    items = owners.select("doc_id", "owner", F.explode("o.chunks").alias("chunk_group", "items"))
-    return items.select("doc_id", "owner", "chunk_group", F.posexplode("items").alias("chunk_idx", "_j")).select(
-        "doc_id", "owner", "chunk_group", "chunk_idx", F.from_json("_j", OBJECT).alias("o"), F.lit(depth).alias("depth"))
+def _children(owners: DataFrame) -> DataFrame:
+    items = owners.select("doc_id", "owner", "owner_id", F.explode("o.chunks").alias("chunk_group", "items"))
+    return items.select("doc_id", "owner", "owner_id", "chunk_group", F.posexplode("items").alias("chunk_idx", "_j")).select(
+        "doc_id", "owner", "owner_id", "chunk_group", "chunk_idx", F.from_json("_j", OBJECT).alias("o"))
+
+
+def _levels(objects: DataFrame) -> Iterator[DataFrame]:
+    """Chunks of the documents ``o``, chunks of these, and so on, as long as there are any."""
+    level = _children(objects.select(F.col("o.id").alias("doc_id"), F.lit("").alias("owner"), F.col("o.id").alias("owner_id"), "o"))
+    while True:
+        yield level
+        deeper = level.where(F.col("o.chunks").isNotNull())
+        if deeper.isEmpty():
+            return
+        level = cut_lineage(_children(deeper.select("doc_id", path_of(F.col("owner"), F.col("chunk_group"), F.col("chunk_idx")).alias("owner"),
+                                                    F.col("o.id").alias("owner_id"), "o")))
 
 
 def parse_embeddings(texts: DataFrame, json_col: str = "json") -> DataFrame:
-    """(doc_id, chunk_group, chunk_idx, chunk_id, model, vector) of first-level chunks."""
-    tops = texts.select(F.from_json(json_col, OBJECT).alias("o"))
-    rows = _children(tops.select(F.col("o.id").alias("doc_id"), F.col("o.id").alias("owner"), "o"), 1)
-    return rows.select("doc_id", "chunk_group", "chunk_idx", F.col("o.id").alias("chunk_id"), F.explode("o.embeddings").alias("model", "vector"))
+    """(doc_id, owner, chunk_group, chunk_idx, chunk_id, model, vector) of chunks at all levels."""
+    rows = [level.select("doc_id", "owner", "chunk_group", "chunk_idx", F.col("o.id").alias("chunk_id"), F.explode("o.embeddings").alias("model", "vector"))
+            for level in _levels(texts.select(F.from_json(json_col, OBJECT).alias("o")))]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def read_docs(spark: SparkSession, path: str, whole_files: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docflow.operators.content import combine_documents
+from docflow.operators.tree import path_of
 from docflow.schemas import as_chunks, as_docs
 from docflow.workload.registry import table
 
@@ -29,6 +31,19 @@ def lines(spark: SparkSession, sf_dir: str, metadata: bool = False) -> DataFrame
         F.col("doc_id").alias("parent"), "content", meta.cast("string").alias("metadata"), F.lit(1).alias("depth")))
 
 
+def nested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A master document for every source, with its documents as chunks ``sources`` and their lines as chunks of these."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").alias("n"), "source")
+    masters, members = combine_documents(rows, "source", "n")
+    inner = members.select("doc_id", "master_id", "child_id", F.col("chunk_idx").alias("place"))
+    top = members.select(F.col("master_id").alias("doc_id"), "chunk_group", "chunk_idx", F.col("child_id").alias("chunk_id"),
+                         F.col("master_id").alias("parent"), F.lit(1).alias("depth"), F.lit("lines").alias("content_chunk_group"))
+    below = lines(spark, sf_dir).select("doc_id", "chunk_group", "chunk_idx", "chunk_id", "content").join(inner, "doc_id").select(
+        F.col("master_id").alias("doc_id"), path_of(F.lit(""), F.lit("sources"), F.col("place")).alias("owner"), F.col("child_id").alias("owner_id"),
+        "chunk_group", "chunk_idx", "chunk_id", F.col("child_id").alias("parent"), "content", F.lit(2).alias("depth"))
+    return as_docs(masters), as_chunks(top).unionByName(as_chunks(below))
+
+
 # Lines in SQL: doc_id, idx (from 0), txt, and the number of lines n.
 SQL_LINES = """lines AS (
   SELECT doc_id, lang, unnest(range(len(s))) AS idx, unnest(s) AS txt, len(s) AS n

@@ -11,7 +11,9 @@ from docflow.operators import content as C
 from docflow.operators.validate import POSITIVE_INT, REQUIRED, split_valid
 from docflow.schemas import as_chunks, as_docs
 from docflow.sources.files import register_files, wrap_documents
-from docflow.workload.inputs import SQL_LINES, documents, lines, sql_count
+from docflow.sinks.documents import nest_docs
+from docflow.sources.docjson import parse_docs
+from docflow.workload.inputs import SQL_LINES, documents, lines, nested, sql_count
 from docflow.workload.registry import query, table
 
 
@@ -136,6 +138,21 @@ def _(spark, sf):
     return members.select("master_id", "child_id", F.col("chunk_idx").cast("long").alias("idx"))
 
 
+@query("nest_roundtrip", """
+WITH d AS (SELECT source, doc_id, CAST(doc_id AS VARCHAR) AS id, replace(text, chr(10), '') AS t,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents)
+SELECT sha256(source) AS doc_id, CASE WHEN n = 1 THEN id || '_child' ELSE id END AS node, CAST(i AS BIGINT) AS idx, sha256(t) AS content_hash FROM d
+UNION ALL SELECT sha256(source), NULL, NULL, sha256(string_agg(t, '' ORDER BY doc_id)) FROM d GROUP BY source""")
+def _(spark, sf):
+    """Masters of documents of lines, written as document objects, read back and resolved at all levels."""
+    objects = nest_docs(*nested(spark, sf)).where("json IS NOT NULL").select("json")
+    docs, chunks, _ = parse_docs(objects)
+    docs, chunks = C.resolve_content(docs, chunks)
+    tops = docs.select("doc_id", F.lit(None).cast("string").alias("node"), F.lit(None).cast("long").alias("idx"), F.sha2("content", 256).alias("content_hash"))
+    return chunks.where("chunk_group = 'sources'").select("doc_id", F.col("chunk_id").alias("node"), F.col("chunk_idx").cast("long").alias("idx"),
+                                                          F.sha2("content", 256).alias("content_hash")).unionByName(tops)
+
+
 @query("combine_masters", """
 SELECT source, sha256(source) AS doc_id, sha256(string_agg(CAST(doc_id AS VARCHAR), ':' ORDER BY doc_id)) AS joined_hash FROM documents GROUP BY source""")
 def _(spark, sf):

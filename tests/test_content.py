@@ -38,7 +38,7 @@ def test_spans_across_segments(spark):
     parents = spark.createDataFrame([("p", text)], "pid string, text string")
     spans = [(i, "p", s, n) for i, (s, n) in enumerate([(0, 100), (7, 1), (6, 2), (14, 7), (99, 1), (100, 0), (0, 0), (98, 3), (-1, 2)])]
     df = spark.createDataFrame(spans, "k int, pid string, start int, length int")
-    got = {r.k: r.text for r in C.cut_spans(parents, df, ["k"], "pid", segment=7).collect()}
+    got = {r.k: r.text for r in C.cut_spans(C.rope_of_cells(parents, "pid", segment=7), df, ["k"], "pid", segment=7).collect()}
     assert got == {k: (text[s:s + n] if s >= 0 and s + n <= 100 else None) for k, _, s, n in spans}
 
 
