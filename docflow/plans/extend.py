@@ -12,8 +12,8 @@ from docflow.operators.ordering import concat_ordered
 from docflow.operators.tools import ToolRegistry, execute_tool_calls
 from docflow.operators.transcripts import message_json, part
 from docflow.plans.structured import ask, failure
-from docflow.schemas import PART
-from docflow.session import cut_lineage
+from docflow.schemas import ERROR, PART
+from docflow.session import cut_lineage, work_folder
 
 # Fixed value: rounds of tool calls after the first call.
 MAX_ROUNDS = 10
@@ -55,17 +55,20 @@ def extend_transcripts(turns: DataFrame, model, system: str = "", tools: ToolReg
 
     client = [t.name for t in tools.by_kind("client")]
     is_client = (lambda n: n.isin(*client)) if client else (lambda n: F.lit(False))
-    active, suffix, errors = turns.select("conv_id", "turn", "role", "parts"), None, None
-    add = lambda a, b: b if a is None else a.unionByName(b)
-    for done_rounds in itertools.count():
+    spark, folder = turns.sparkSession, work_folder(turns.sparkSession)
+    base = turns.select("conv_id", "turn", "role", "parts")
+    # Every round appends its new turns and errors to logs; only the ids of open conversations go on.
+    log = lambda name, schema: spark.read.schema(schema).parquet(f"{folder}/{name}").select(*schema.names)
+    new_turns, error_rows = base.schema, requests.select("conv_id", F.lit(None).cast(ERROR).alias("error")).schema
+    going = None
+    for no in itertools.count():
+        active = base if going is None else base.unionByName(log("turns", new_turns)).join(going, "conv_id", "left_semi")
         asked = cut_lineage(ask(conversation_requests(active, system), model, schema, **limits).withColumn("calls", _called(F.col("reply"))))
-        errors = add(errors, asked.where("error is not null").select("conv_id", "error"))
+        errors = asked.where("error is not null").select("conv_id", "error")
         answered = asked.where("error is null")
         plain = answered.where(F.coalesce(F.size("calls") <= 0, F.lit(True)))
-        suffix = add(suffix, plain.select(*_turn("assistant", F.array(part("text", text=F.col("reply"))), F.col("next_turn"))))
+        replies = plain.select(*_turn("assistant", F.array(part("text", text=F.col("reply"))), F.col("next_turn")))
         calling = answered.where(F.size("calls") > 0)
-        if calling.isEmpty():
-            break
         calls = calling.select("conv_id", "next_turn", F.posexplode("calls").alias("pos", "c")).select(
             "conv_id", "next_turn", "pos", F.col("c.name").alias("tool_name"),
             # Providers without call ids get one that a re-run repeats.
@@ -81,18 +84,25 @@ def extend_transcripts(turns: DataFrame, model, system: str = "", tools: ToolReg
                 "tool_response", tool_name=F.col("tool_name"), call_id=F.col("call_id"),
                 response=F.substring(quoted, F.lit(2), F.length(quoted) - 2)))
         ordered = lambda name: F.transform(F.array_sort(F.collect_list(F.struct("pos", name))), lambda x: x[name])
-        served = cut_lineage(done.groupBy("conv_id", "next_turn").agg(ordered("_call").alias("calls"), ordered("_response").alias("responses")))
+        served = done.groupBy("conv_id", "next_turn").agg(ordered("_call").alias("calls"), ordered("_response").alias("responses"))
+        # One row of both, exploded, so that a call runs once.
+        both = served.select("conv_id", F.explode(F.array(
+            F.struct(F.col("next_turn").cast("int").alias("turn"), F.lit("tool_call").alias("role"), F.col("calls").cast(f"array<{PART}>").alias("parts")),
+            F.struct((F.col("next_turn") + 1).cast("int").alias("turn"), F.lit("tool_response").alias("role"),
+                     F.col("responses").cast(f"array<{PART}>").alias("parts")))).alias("t")).select("conv_id", "t.*")
         pending = calls.where(is_client(F.col("tool_name"))).withColumn("_call", call_part).groupBy("conv_id", "next_turn").agg(ordered("_call").alias("calls"))
-        grown = (served.select(*_turn("tool_call", F.col("calls"), F.col("next_turn")))
-                 .unionByName(served.select(*_turn("tool_response", F.col("responses"), F.col("next_turn") + 1))))
         # Client calls follow the results of the server calls in the same reply.
-        waiting = pending.join(served.select("conv_id", F.lit(2).alias("_shift")), "conv_id", "left").withColumn("_at", F.col("next_turn") + F.coalesce("_shift", F.lit(0)))
-        suffix = cut_lineage(suffix.unionByName(grown).unionByName(waiting.select(*_turn("tool_call", F.col("calls"), F.col("_at")))))
+        served_ids = calls.where(~is_client(F.col("tool_name"))).select("conv_id").distinct().withColumn("_shift", F.lit(2))
+        waiting = pending.join(served_ids, "conv_id", "left").withColumn("_at", F.col("next_turn") + F.coalesce("_shift", F.lit(0)))
+        grown = replies.unionByName(both).unionByName(waiting.select(*_turn("tool_call", F.col("calls"), F.col("_at"))))
+        grown.write.parquet(f"{folder}/turns/round={no}")
         going = calling.select("conv_id").join(pending.select("conv_id"), "conv_id", "left_anti")
-        if max_rounds is not None and done_rounds == max_rounds:
-            # Their calls have run and stay in the turns; there is only no reply to the results.
+        last = calling.isEmpty() or (max_rounds is not None and no == max_rounds)
+        if last:
+            # Calls of the last round have run and stay in the turns; there is only no reply to the results.
             message = f"No final reply after {max_rounds} rounds of tool calls."
             errors = errors.unionByName(going.select("conv_id", failure(message, "tool_rounds_exhausted", 500).alias("error")))
-            break
-        active = cut_lineage(active.unionByName(grown).join(going, "conv_id", "left_semi"))
-    return suffix, errors
+        errors.write.parquet(f"{folder}/errors/round={no}")
+        if last:
+            return log("turns", new_turns), log("errors", error_rows)
+        going = cut_lineage(going)

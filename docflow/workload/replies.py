@@ -121,17 +121,17 @@ def _(spark, sf):
 
 
 @query("retry_plan", """WITH a AS (SELECT user_id AS request_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS attempt, event_type, event_id FROM events),
-l AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY attempt DESC) AS r FROM a WHERE attempt <= request_id % 6 + 1)
+l AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY attempt DESC) AS r FROM a)
 SELECT request_id, attempt + 1 AS next_attempt, CAST(least(8000, 250 * pow(2, attempt - 1)) AS BIGINT) AS backoff_cap_ms FROM l
-WHERE r = 1 AND attempt < 6 AND event_type <> 'view' AND event_id % 11 <> 0 AND event_type IN ('error', 'click', 'signup')""")
+WHERE r = 1 AND attempt < 1000 AND event_type <> 'view' AND event_id % 11 <> 0 AND event_type IN ('error', 'click', 'signup')""")
 def _(spark, sf):
     from pyspark.sql import Window
     numbered = table(spark, sf, "events").withColumn("attempt", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long"))
-    attempts = numbered.where(F.col("attempt") <= F.col("user_id") % 6 + 1).select(
+    attempts = numbered.select(
         F.col("user_id").alias("request_id"), "attempt", (F.col("event_type") == "view").alias("ok"),
         F.when(F.col("event_type") == "error", 503).when(F.col("event_type") == "click", 429).when(F.col("event_type") == "purchase", 404).alias("status"),
         (F.col("event_id") % 11 == 0).alias("aborted"))
-    return retry_plan(attempts, max_attempts=6)
+    return retry_plan(attempts, max_attempts=1000)
 
 
 _MODELS = {"fast": {"num_schema_repair_max_attempts": 15, "ms_client_request_timeout": 610001, "temperature": 0.0},
@@ -209,6 +209,31 @@ def _(spark, sf):
     return suffix.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", T.message_text(F.col("parts")).alias("text"))
 
 
+def _counting_model() -> ColumnModel:
+    """Asks for a product as long as a conversation has fewer tool results than user messages, then replies."""
+    def reply(_system, user, _limit):
+        count = lambda role: ((F.length(user) - F.length(F.replace(user, F.lit(f'"role":"{role}"'), F.lit("")))) / len(f'"role":"{role}"')).cast("int")
+        done, wanted = count("tool_response"), count("user")
+        number = lambda c: c.cast("string")
+        ask = F.concat(F.lit('{"tool_calls":[{"name":"calculator","call_id":"c'), number(done), F.lit('","arguments":{"operation":"multiply","a":'),
+                       number(done + 2), F.lit(',"b":'), number(wanted), F.lit("}}]}"))
+        return F.when(done < wanted, ask).otherwise(F.concat(F.lit("done "), number(done)))
+    return ColumnModel("counting", reply)
+
+
+@query("tool_rounds", """
+WITH c AS (SELECT CAST(conv_id AS VARCHAR) AS conv_id, max(turn) + 1 AS n, count(*) FILTER (WHERE role = 'user') AS r FROM conversations GROUP BY conv_id),
+k AS (SELECT *, unnest(range(r)) AS k FROM c)
+SELECT conv_id, CAST(n + 2 * k AS BIGINT) AS turn, 'tool_call' AS role, '{"a":' || (k + 2) || ',"b":' || r || ',"operation":"multiply"}' AS shown FROM k
+UNION ALL SELECT conv_id, CAST(n + 2 * k + 1 AS BIGINT), 'tool_response',
+  '"{\\"operation\\":\\"multiply\\",\\"a\\":' || (k + 2) || ',\\"b\\":' || r || ',\\"result\\":' || (k + 2) * r || '}"' FROM k
+UNION ALL SELECT conv_id, CAST(n + 2 * r AS BIGINT), 'assistant', 'done ' || r FROM c""")
+def _(spark, sf):
+    suffix, _ = extend_transcripts(_turns(spark, sf), _counting_model(), "Help.", tools=ToolRegistry([calculator_tool()]))
+    one = F.get("parts", F.lit(0))
+    return suffix.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.coalesce(one["arguments"], one["response"], one["text"]).alias("shown"))
+
+
 @query("render_messages", """SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS BIGINT) AS turn, sha256('{"role":"' || CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END
   || '","content":[{"type":"text","text":' || to_json(text) || '}]}') AS anthropic_hash FROM conversations""")
 def _(spark, sf):
