@@ -59,7 +59,8 @@ def register_bpe(name: str, load: Callable[[], object]) -> None:
     """Register a byte-pair encoding through Arrow batches.
 
     ``load`` returns an object with ``encode(str) -> list[int]`` and
-    ``decode_single_token_bytes(int) -> bytes``; it runs once per Python worker.
+    ``decode_single_token_bytes(int) -> bytes``; it runs once per Python worker. Where a cut between two tokens
+    falls inside a character, both sides read U+FFFD there, as a decoder of token ids gives it.
     """
     cache: dict[str, object] = {}
 
@@ -85,7 +86,27 @@ def register_bpe(name: str, load: Callable[[], object]) -> None:
         return texts.map(one)
 
     register_encoding(name, lambda c: count(c), lambda c: tokens(c))
-    _ENCODINGS[name].join = lambda parts: F.decode(F.encode(F.array_join(parts, ""), "ISO-8859-1"), "UTF-8")
+    _ENCODINGS[name].join = lambda parts: F.make_valid_utf8(F.encode(F.array_join(parts, ""), "ISO-8859-1").cast("string"))
+
+
+def register_tiktoken(name: str, ranks_path: str, pattern: str) -> None:
+    """Register a byte-pair encoding from a local file of ranks (a base64 token and its id in each line) and the pattern
+    that cuts texts before merging. Special tokens in a text are plain text."""
+    def load() -> object:
+        import base64
+
+        import tiktoken
+        with open(ranks_path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(no) for token, no in map(bytes.split, lines)}
+        made = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return _Ordinary(made)
+
+    register_bpe(name, load)
+
+
+class _Ordinary:
+    def __init__(self, made):
+        self.encode, self.decode_single_token_bytes = made.encode_ordinary, made.decode_single_token_bytes
 
 
 def encoding(name: str) -> Encoding:

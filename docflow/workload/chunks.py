@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from docflow.functions.text import register_tiktoken
 from docflow.operators import chunking as K
 from docflow.schemas import as_chunks
 from docflow.session import ensure_checkpoint_dir
 from docflow.streaming.incremental import read_latest, run_incremental
-from docflow.workload.inputs import SQL_LINES, documents, lines, sql_count, sql_tokens
+from docflow.workload.inputs import SQL_LINES, documents, lines, nested, sql_count, sql_tokens
 from docflow.workload.registry import query
 
 # Packing in SQL: walk the chunks of each document in order, keeping the start `b` of the open
@@ -118,3 +119,21 @@ def _(spark, sf):
     old = lines(spark, sf)
     new = K.merge_chunks(old, 200, "lines")
     return K.chunk_counts(old, new, "lines", K.merged_group_name("lines", 200, "words"))
+
+
+@query("merge_nested_pages", f"WITH RECURSIVE {SQL_LINES}, {_sql_pack(200, 0, 'lines')} {_SELECT}")
+def _(spark, sf):
+    """Lines of documents that are chunks of master documents: every owner's lines are packed by themselves."""
+    _, chunks = nested(spark, sf)
+    merged = K.merge_chunks(chunks, 200, "lines")
+    return _shown(merged.withColumn("doc_id", F.regexp_replace("owner_id", "_child$", "")))
+
+
+@query("merge_chunks_bpe")
+def _(spark, sf):
+    """Packing by the tokens of a byte-pair vocabulary; each line ends in characters of four bytes."""
+    import public_tokenizers
+
+    register_tiktoken("byte_bpe_50k", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rows = lines(spark, sf).withColumn("content", F.concat("content", F.lit(" \U0001d6fc\U0001f600")))
+    return _shown(K.merge_chunks(rows, 50, "lines", "byte_bpe_50k"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docflow.functions.text import _word_count, _word_tokens, join_tokens, register_encoding, token_count, tokens
 from docflow.operators import chunking as K
+from docflow.schemas import as_chunks
 
 
 def pack(counts, limit, overlap):
@@ -120,3 +121,66 @@ def test_merge_on_sparse_index(spark):
     for r in out.orderBy("doc_id", "chunk_idx").collect():
         got.setdefault(r.doc_id, []).append(r.n_tokens)
     assert got["d"] == [3, 3, 3] and got["e"] == [4] * 20
+
+
+def test_merge_by_byte_pairs(spark):
+    """Byte-pair tokens may end inside a character; both sides of such a cut read U+FFFD."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    from docflow.functions.text import register_tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    register_tiktoken("bpe", path, public_tokenizers.PATTERN)
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(t): int(n) for t, n in map(bytes.split, lines)}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = {"a": ["\U0001f600\U0001d6fc\u65e5\u672c", "", "plain words here", "\u00e9\u00e8 \U0001f469\u200d\U0001f469"], "b": ["x"], "c": ["\U0001f9ff" * 9]}
+    rows = spark.createDataFrame([(d, "g", i, t) for d, ts in texts.items() for i, t in enumerate(ts)],
+                                 "doc_id string, chunk_group string, chunk_idx int, content string")
+    for limit in (1, 2, 5, 100):
+        want = {}
+        for doc, parts in texts.items():
+            out, buffer, size = [], "", 0
+            for t in parts:
+                ids = enc.encode_ordinary(t)
+                if len(ids) > limit:
+                    if size:
+                        out.append((buffer, size))
+                    out += [(enc.decode(ids[k:k + limit]), len(ids[k:k + limit])) for k in range(0, len(ids), limit)]
+                    buffer, size = "", 0
+                elif size + len(ids) > limit:
+                    out.append((buffer, size))
+                    buffer, size = t, len(ids)
+                else:
+                    buffer, size = buffer + t, size + len(ids)
+            want[doc] = out + ([(buffer, size)] if size else [])
+        got = {}
+        for r in K.merge_chunks(as_chunks(rows), limit, "g", "bpe").orderBy("chunk_idx").collect():
+            got.setdefault(r.doc_id, []).append((r.content, r.n_tokens))
+        assert got == want
+
+
+@pytest.mark.parametrize("overlap", [0, 3])
+def test_states_of_many_blocks_in_many_groups(spark, monkeypatch, overlap):
+    """One document of many blocks, composed in groups of four, beside short ones."""
+    monkeypatch.setattr(K, "AT_ONCE", 4)
+    rng = random.Random(3)
+    sizes = {"hot": [rng.choice([0, 1, 2, 3, 9, 30]) for _ in range(400)], "one": [2], "two": [1] * 20}
+    rows = [(d, "g", i + (100 if d == "two" and i > 9 else 0), " w" * n) for d, ns in sizes.items() for i, n in enumerate(ns)]
+    df = as_chunks(spark.createDataFrame(rows, "doc_id string, chunk_group string, chunk_idx int, content string"))
+    got = {}
+    for r in K.merge_chunks(df, 10, "g", overlap_tokens=overlap, block=4).orderBy("chunk_idx").collect():
+        got.setdefault(r.doc_id, []).append(r.n_tokens)
+    assert got == {d: [hi - lo for lo, hi in pack(ns, 10, overlap)] for d, ns in sizes.items()}
+
+
+def test_one_value_in_all_rows_is_dealt(spark):
+    from docflow.operators.ordering import dense_index, tie_safe_ranges
+    df = spark.range(4000).select(F.col("id"), F.lit("k").alias("k"), F.when(F.col("id") < 3000, 5).otherwise(F.col("id")).cast("int").alias("o"))
+    sizes = sorted(r["count"] for r in tie_safe_ranges(df, "o", 16).groupBy("_blk").count().collect())
+    assert len(sizes) >= 14 and sizes[-1] < 2 * sizes[len(sizes) // 2]
+    rows = dense_index(df, ["k"], "o", "i", parts=16).orderBy("i").collect()
+    assert [r.i for r in rows] == list(range(4000)) and [r.o for r in rows] == sorted(r.o for r in rows)
