@@ -1,12 +1,13 @@
 """Models in rounds: retry, repair, serial and tree summaries, tools."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 import models as M
-from docflow.functions.schema_check import variant_violations, violations, wrap_schema
+from docflow.functions.schema_check import find_violations, recursive_refs, variant_violations, violations, wrap_schema
 from docflow.operators import transcripts as T
 from docflow.operators.tools import ToolRegistry, ToolSpec, calculator_tool, echo_tool, execute_tool_calls
 from docflow.plans import summarize as S
@@ -71,6 +72,64 @@ def check(spark, value, schema, first_only=False):
     return [(v.instance_path, v.keyword) for v in df.select(variant_violations(F.parse_json("t"), schema, first_only).alias("v")).first().v]
 
 
+def test_schema_keywords_over_keys_and_items(spark):
+    found = lambda text, schema: check(spark, json.loads(text), schema)
+    pattern = {"patternProperties": {"^n_": {"type": "number"}, "_s$": {"type": "string"}}, "properties": {"id": {"type": "integer"}}, "additionalProperties": False}
+    assert found('{"n_a": 1, "b_s": "x", "id": 2}', pattern) == []
+    assert sorted(found('{"n_a": "1", "b_s": 2, "zz": 0}', pattern)) == [("", "additionalProperties"), ("/b_s", "type"), ("/n_a", "type")]
+    assert found('{"n_a_s": 1}', pattern) == [("/n_a_s", "type")]
+    contains = {"contains": {"type": "number", "minimum": 5}, "maxContains": 2}
+    assert [found(t, contains) for t in ("[1, 7]", "[1]", "[5, 6, 7]", '"no list"')] == [[], [("", "contains")], [("", "contains")], []]
+    assert found("[]", {"contains": True}) == [("", "contains")] and found("[]", {"contains": {"type": "null"}, "minContains": 0}) == []
+    branch = {"if": {"properties": {"k": {"const": "a"}}, "required": ["k"]}, "then": {"required": ["x"]}, "else": {"required": ["y"]}}
+    assert found('{"k": "a", "x": 1}', branch) == [] and sorted(found('{"k": "a"}', branch)) == [("", "if"), ("", "required")]
+    assert found('{"k": "b", "y": 1}', branch) == [] and sorted(found("{}", branch)) == [("", "if"), ("", "required")]
+    needs = {"dependentRequired": {"card": ["name", "zip"]}}
+    assert found('{"card": 1, "name": 2}', needs) == [("", "dependentRequired")] and found('{"name": 2}', needs) == []
+
+
+def _conforms(v, schema, root) -> bool:
+    """A plain recursive check of the few keywords used below."""
+    if "$ref" in schema and not _conforms(v, root["$defs"][schema["$ref"].rsplit("/", 1)[1]], root):
+        return False
+    kinds = {"object": dict, "array": list, "string": str, "null": type(None), "number": (int, float)}
+    if "type" in schema and not isinstance(v, kinds[schema["type"]]):
+        return False
+    if "anyOf" in schema and not any(_conforms(v, x, root) for x in schema["anyOf"]):
+        return False
+    if isinstance(v, dict):
+        return all(k in v for k in schema.get("required", [])) and all(_conforms(v[k], x, root) for k, x in schema.get("properties", {}).items() if k in v)
+    return not isinstance(v, list) or all(_conforms(x, schema.get("items", {}), root) for x in v)
+
+
+def test_recursive_schemas(spark):
+    schema = {"$ref": "#/$defs/node", "$defs": {
+        "node": {"type": "object", "required": ["id"], "properties": {
+            "id": {"type": "number"}, "kids": {"type": "array", "items": {"$ref": "#/$defs/node"}},
+            "twin": {"anyOf": [{"type": "null"}, {"$ref": "#/$defs/node"}]}}}}}
+    assert recursive_refs(schema) == {"#/$defs/node"} and recursive_refs({"$ref": "#/$defs/a", "$defs": {"a": {"type": "null"}}}) == frozenset()
+    rng = random.Random(6)
+
+    def node(depth):
+        out = {"id": rng.choice([*range(30), "x"])} if rng.random() > 0.02 else {}
+        if depth and rng.random() < 0.6:
+            out["kids"] = [node(depth - 1) for _ in range(rng.randint(0, 3))]
+        if depth and rng.random() < 0.5:
+            out["twin"] = rng.choice([None, node(depth - 1)])
+        return out
+
+    values = [node(5) for _ in range(60)] + [7, {"id": 1, "kids": [{"id": 1, "kids": [{"id": 2, "kids": [{"id": "bad"}]}]}]}]
+    rows = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)] + [(99, "{broken")], "k int, reply string")
+    found = {}
+    for r in find_violations(rows, schema, "k").collect():
+        found.setdefault(r.k, []).append((r.instance_path, r.keyword))
+    assert found.pop(99) == [("", "parse")]
+    assert set(found) == {i for i, v in enumerate(values) if not _conforms(v, schema, schema)} and 5 < len(found) < 55
+    assert found[60] == [("", "type")] and found[61] == [("/kids/0/kids/0/kids/0/id", "type")]
+    flat = {"type": "object", "required": ["a"]}
+    assert [tuple(r) for r in find_violations(spark.createDataFrame([(1, "{}")], "k int, reply string"), flat, "k").select("k", "keyword").collect()] == [(1, "required")]
+
+
 @pytest.mark.parametrize("value,schema,want", [
     (1.0, {"type": "integer"}, []), (1.5, {"type": "integer"}, [("", "type")]), (None, {"type": ["string", "null"]}, []),
     ("abc", {"minLength": 4, "pattern": "^a"}, [("", "minLength")]), ([1, "x", 3], {"items": {"type": "number"}}, [("/1", "type")]),
@@ -88,7 +147,7 @@ def test_schema_keywords(spark, value, schema, want):
 
 def test_schema_first_only_and_build_errors(spark):
     assert check(spark, {"name": 123, "status": "bad"}, SCHEMA, first_only=True) == [("/name", "type")]
-    for bad in ({"dependentSchemas": {}}, {"type": "text"}, {"properties": {"a": {"if": {}}}}, {"$ref": "#"}):
+    for bad in ({"dependentSchemas": {}}, {"type": "text"}, {"properties": {"a": {"propertyNames": {}}}}, {"$ref": "#"}):
         with pytest.raises(ValueError):
             violations(F.lit("{}"), bad)
     assert wrap_schema({"type": "array"})[1] and not wrap_schema({"type": "object"})[1]
