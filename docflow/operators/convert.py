@@ -73,7 +73,8 @@ def assemble_pages(pages: DataFrame, page_numbering: bool = True) -> tuple[DataF
         F.length("text").alias("length"), "content", "metadata",
         *(["annotations"] if "annotations" in pages.columns else []),
         F.lit(1).alias("depth"), "content_start")
-    docs = concat_ordered(rows, ["doc_id"], "page_idx", "content", sep)
+    whole = concat_ordered(rows, ["doc_id"], "page_idx", "content", sep)
+    docs = whole.withColumn("reason", F.when(F.col("content").isNull(), F.lit("text_too_long")))
     return docs, as_chunks(chunks, extra=["content_start"])
 
 

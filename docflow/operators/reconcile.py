@@ -118,10 +118,11 @@ def _pair_rows(pair_id: str, text_a: str, text_b: str) -> list[tuple]:
 
 def _spread(pairs: DataFrame) -> DataFrame:
     """Pairs that differ, spread over the cluster: alignment is quadratic in a page, so even
-    a small table is worth a shuffle."""
+    a small table is worth a shuffle, and a large one gets the session's number of partitions."""
     differing = pairs.where(F.col("text_a") != F.col("text_b")).select(
         F.col("pair_id").cast("string").alias("pair_id"), "text_a", "text_b")
-    return differing.repartition(4 * pairs.sparkSession.sparkContext.defaultParallelism, "pair_id")
+    spark = pairs.sparkSession
+    return differing.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "pair_id")
 
 
 def _map_pairs(pairs: DataFrame, rows_of, schema: str) -> DataFrame:

@@ -79,10 +79,12 @@ def message_json(role: Column, parts: Column) -> Column:
 
 
 def transcripts_json(turns: DataFrame) -> DataFrame:
-    """(conv_id, json) with the messages of each conversation in order."""
+    """(conv_id, json, reason) with the messages of each conversation in order. A conversation too long for
+    one cell has no JSON but reason ``transcript_too_large``."""
     rows = turns.withColumn("_json", message_json(F.col("role"), F.col("parts")))
     whole = concat_ordered(rows, ["conv_id"], "turn", "_json", ",", "_m")
-    return whole.select("conv_id", F.concat(F.lit('{"messages":['), "_m", F.lit("]}")).alias("json"))
+    return whole.select("conv_id", F.concat(F.lit('{"messages":['), "_m", F.lit("]}")).alias("json"),
+                        F.when(F.col("_m").isNull(), F.lit("transcript_too_large")).alias("reason"))
 
 
 def concat_transcripts(a: DataFrame, b: DataFrame) -> DataFrame:

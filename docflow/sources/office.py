@@ -44,7 +44,7 @@ def extract_docx(files: DataFrame) -> DataFrame:
                 try:
                     texts.append(_docx_text(data))
                     reasons.append(None)
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as err:
+                except Exception as err:  # encrypted, damaged or unknown: a file that cannot be read is a row
                     texts.append(None)
                     reasons.append(f"unreadable docx: {err}")
             yield pdf[["path"]].assign(text=texts, reason=reasons)
@@ -122,7 +122,7 @@ def extract_slides(files: DataFrame) -> DataFrame:
             for path, data in zip(pdf.path, pdf.content):
                 try:
                     rows = [(path, *e, None) for e in _slide_elements(data)]
-                except (zipfile.BadZipFile, ElementTree.ParseError) as err:
+                except Exception as err:  # a file that cannot be read is a row
                     rows = [(path, None, 0, "none", None, None, f"unreadable pptx: {err}")]
                 yield pd.DataFrame(rows, columns=names)
     return files.select("path", "content").mapInPandas(run, ELEMENTS)
@@ -138,7 +138,8 @@ def markdown_table(rows: Column) -> Column:
 
 
 def render_slides(elements: DataFrame) -> DataFrame:
-    """(file, markdown): slides by number, each element under its type comment."""
+    """(file, markdown, reason): slides by number, each element under its type comment. A file too long for one
+    cell has no markdown but reason ``text_too_long``."""
     number = F.coalesce(F.regexp_extract("slide", r"slide(\d+)", 1).cast("int"), F.lit(0))
     numbered = elements.withColumn("_no", number)
     ends = numbered.groupBy("file", "_no").agg(F.max("elem_idx").alias("_last"))
@@ -154,7 +155,8 @@ def render_slides(elements: DataFrame) -> DataFrame:
     slide = F.concat(trim_end(F.concat(F.lit("<!-- SLIDE: "), (F.col("_pos") + 1).cast("string"), F.lit(" -->\n\n"), "_body")), F.lit("\n"))
     whole = concat_ordered(body.join(position, ["file", "_no"]).withColumn("_slide", slide),
                            ["file"], "_pos", "_slide", "\n---\n---\n\n", "_md")
-    return whole.select("file", F.regexp_replace("_md", "(?m)^• ", " - ").alias("markdown"))
+    return whole.select("file", F.regexp_replace("_md", "(?m)^• ", " - ").alias("markdown"),
+                        F.when(F.col("_md").isNull(), F.lit("text_too_long")).alias("reason"))
 
 
 def ingest_pptx(files: DataFrame) -> tuple[DataFrame, DataFrame]:
