@@ -125,11 +125,23 @@ def digest_model(name: str = "digest", size: int = 16) -> ColumnModel:
     return ColumnModel(name, lambda system, user, _n: F.substring(F.sha2(F.concat(system, F.lit("\n"), user), 256), 1, size))
 
 
+# The alphabet by frequency in European languages; any order gives the same counts.
+COMMON_FIRST = "etaoinsrhldcumfpgwybvkxjqz"
+
+
 def letter_frequencies(name: str = "letters") -> ColumnModel:
     """26 relative letter counts as a vector."""
     def vector(text: Column) -> Column:
-        # The lower-cased text and its length are bound once for all 26 numbers.
-        count = lambda t, c: t["n"] - F.length(F.replace(t["low"], F.lit(c), F.lit("")))
-        return bind(F.struct(F.lower(text).alias("low"), F.length(text).alias("n")), lambda t: F.array(*[
-            (count(t, chr(97 + i)) / F.greatest(t["n"], F.lit(1))).cast("float") for i in range(26)]))
+        # Letters are taken out one after the other, common ones first, so each pass reads a shorter text.
+        def without(state: Column, letter: Column) -> Column:
+            return bind(F.replace(state["left"], letter, F.lit("")), lambda left: F.struct(
+                left.alias("left"), F.concat(state["sizes"], F.array(F.length(left))).alias("sizes")))
+
+        def sizes(low: Column) -> Column:
+            start = F.struct(low.alias("left"), F.array(F.length(low)).alias("sizes"))
+            return F.aggregate(F.array(*[F.lit(c) for c in COMMON_FIRST]), start, without, lambda state: state["sizes"])
+
+        places = [COMMON_FIRST.index(chr(97 + i)) for i in range(26)]
+        return bind(F.struct(bind(F.lower(text), sizes).alias("s"), F.greatest(F.length(text), F.lit(1)).alias("n")), lambda t: F.array(*[
+            ((t["s"][k] - t["s"][k + 1]) / t["n"]).cast("float") for k in places]))
     return ColumnModel(name, vector=vector)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docflow.functions.dataurl import decode_data_url
 from docflow.operators.transcripts import transcripts_json
 from docflow.plans.render import RequestOptions, render_requests
+from docflow.sinks.files import write_files
 
 
 def write_transcripts(turns: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -58,3 +59,16 @@ def attachment_rows(turns: DataFrame) -> DataFrame:
 
 def write_attachments(turns: DataFrame, path: str, mode: str = "errorifexists") -> None:
     attachment_rows(turns).write.mode(mode).parquet(path)
+
+
+def attachment_files(turns: DataFrame) -> DataFrame:
+    """(name, content) of the attachments as files: ``<conversation>/<turn>-<position>-<file name>``, images by their type."""
+    rows = attachment_rows(turns).where("reason IS NULL")
+    ending = F.regexp_extract("mime", r"/([a-z0-9]+)", 1)
+    named = F.coalesce(F.regexp_extract("filename", r"([^/\\]+)$", 1), F.concat(F.lit("image."), ending))
+    safe = F.regexp_replace(F.col("conv_id").cast("string"), r"[^A-Za-z0-9_-]", "_")
+    return rows.select(F.concat(safe, F.lit("/"), F.col("turn").cast("string"), F.lit("-"), F.col("pos").cast("string"), F.lit("-"), named).alias("name"), "content")
+
+
+def write_attachment_files(turns: DataFrame, path: str) -> None:
+    write_files(attachment_files(turns), path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docflow.functions.errors import classify_errors, error_column, errors_from_json, errors_to_json, http_status, retry_plan
-from docflow.functions.schema_check import unwrap_reply, violations
+from docflow.functions.schema_check import find_violations, unwrap_reply, violations
 from docflow.operators import transcripts as T
 from docflow.operators.jobs import job_progress
 from docflow.operators.policy import LIMITS, resolve_policy
@@ -14,7 +14,10 @@ from docflow.plans.extend import extend_transcripts
 from docflow.plans.models import ColumnModel, complete_distinct, digest_model
 from docflow.plans.render import RequestOptions, render_messages, render_requests
 from docflow.plans.structured import complete_structured
-from docflow.sinks.transcripts import batch_lines
+from docflow.session import work_folder
+from docflow.sinks.transcripts import batch_lines, write_attachment_files
+from docflow.sources.files import read_attachments
+from docflow.streaming.status import read_status, run_status
 from docflow.workload.registry import query, table
 from docflow.workload.summaries import _reply
 
@@ -102,6 +105,24 @@ coded AS (SELECT *, CASE type WHEN 'content_filter_violation' THEN 422 WHEN 'rat
   ELSE coalesce(status, 500) END AS icode FROM c)"""
 
 
+_THREAD = {"$ref": "#/$defs/turn", "$defs": {"turn": {
+    "type": "object", "required": ["role", "n"], "properties": {"role": {"enum": ["user", "assistant"]}, "n": {"maximum": 200}, "reply": {"$ref": "#/$defs/turn"}}}}}
+
+
+@query("recursive_schema", """WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS conv_id, role, length(text) AS n,
+  repeat('/reply', row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS place FROM conversations)
+SELECT conv_id, place || '/n' AS instance_path, 'maximum' AS keyword FROM t WHERE n > 200
+UNION ALL SELECT conv_id, place || '/role', 'enum' FROM t WHERE role NOT IN ('user', 'assistant')""")
+def _(spark, sf):
+    """Conversations as threads, each turn inside the one before it, against a schema that refers to itself."""
+    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(
+        F.reverse(F.array_sort(F.collect_list(F.struct("turn", "role", F.length("text").alias("n"))))).alias("turns"))
+    inner = lambda acc, t: F.concat(F.lit('{"role":"'), t["role"], F.lit('","n":'), t["n"].cast("string"),
+                                    F.coalesce(F.concat(F.lit(',"reply":'), acc), F.lit("")), F.lit("}"))
+    threads = turns.select(F.col("conv_id").cast("string").alias("conv_id"), F.aggregate("turns", F.lit(None).cast("string"), inner).alias("reply"))
+    return find_violations(threads, _THREAD, "conv_id").select("conv_id", "instance_path", "keyword")
+
+
 @query("classify_errors", f"""WITH {_SQL_CLASSIFIED} SELECT event_id, type AS interpreted_type, CAST(icode AS BIGINT) AS interpreted_code FROM coded""")
 def _(spark, sf):
     return classify_errors(_errors(spark, sf)).select("event_id", "interpreted_type", F.col("interpreted_code").cast("long").alias("interpreted_code"))
@@ -153,16 +174,31 @@ def _(spark, sf):
     return out.select("event_id", "resolved_model", F.col("model_error").isNotNull().alias("failed"), *[F.col(k).alias(v) for k, v in names.items()], "system", "temperature")
 
 
-@query("job_progress", """WITH o AS (SELECT user_id % 50 AS job_id, CASE event_type WHEN 'error' THEN CASE WHEN user_id % 50 < 10 THEN 'error' ELSE 'done' END WHEN 'view' THEN
+_SQL_PROGRESS = """WITH o AS (SELECT user_id % 50 AS job_id, CASE event_type WHEN 'error' THEN CASE WHEN user_id % 50 < 10 THEN 'error' ELSE 'done' END WHEN 'view' THEN
     CASE WHEN user_id % 50 < 30 THEN 'pending' ELSE 'done' END ELSE 'done' END AS state FROM events)
 SELECT CAST(job_id AS BIGINT) AS job_id, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE state = 'done') AS BIGINT) AS completed,
   CAST(count(*) FILTER (WHERE state = 'error') AS BIGINT) AS failed, CAST(count(*) FILTER (WHERE state = 'done') * 100 // count(*) AS BIGINT) AS percent,
   CASE WHEN count(*) FILTER (WHERE state = 'error') > 0 THEN 'error' WHEN count(*) FILTER (WHERE state <> 'done') = 0 THEN 'complete' ELSE 'processing' END AS status
-FROM o GROUP BY job_id""")
-def _(spark, sf):
+FROM o GROUP BY job_id"""
+
+
+def _outcomes(events):
     job = F.col("user_id") % 50
     state = (F.when((F.col("event_type") == "error") & (job < 10), "error").when((F.col("event_type") == "view") & (job < 30), "pending").otherwise("done"))
-    return job_progress(table(spark, sf, "events").select(job.cast("long").alias("job_id"), state.alias("state")))
+    return events.select(job.cast("long").alias("job_id"), state.alias("state"))
+
+
+@query("job_progress", _SQL_PROGRESS)
+def _(spark, sf):
+    return job_progress(_outcomes(table(spark, sf, "events")))
+
+
+@query("job_status_stream", _SQL_PROGRESS)
+def _(spark, sf):
+    """The same counts kept as the state of a stream over the folder's events file."""
+    folder = work_folder(spark)
+    run_status(spark, sf, "user_id bigint, event_type string", _outcomes, f"{folder}/out", f"{folder}/state", options={"pathGlobFilter": "events.parquet"})
+    return read_status(spark, f"{folder}/out")
 
 
 def _calls(spark, sf):
@@ -302,3 +338,20 @@ def _(spark, sf):
     note = even.select("conv_id", "turn", F.lit(0).alias("idx"), T.part("document", filename=F.lit("note.md"), text=T.message_text(F.col("parts"))).alias("part"))
     out = T.attach_parts(turns, image.unionByName(note))
     return out.select("conv_id", F.col("turn").cast("long").alias("turn"), F.size("parts").cast("long").alias("n_parts"), F.get("parts", F.lit(1))["filename"].alias("filename"))
+
+
+@query("attachment_files", """SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS BIGINT) AS turn, 'document' AS kind, 'note.md' AS filename,
+  sha256(text) AS content_hash FROM conversations UNION ALL SELECT CAST(conv_id AS VARCHAR), CAST(turn AS BIGINT), 'image', NULL,
+  sha256('data:image/png;base64,iVBORw0KGgo=') FROM conversations WHERE turn % 2 = 0""")
+def _(spark, sf):
+    """Every message as an attached note, some with an image too, written as files and read back."""
+    turns = _turns(spark, sf)
+    note = turns.select("conv_id", "turn", F.lit(0).alias("idx"), T.part("document", filename=F.lit("note.md"), text=T.message_text(F.col("parts"))).alias("part"))
+    image = turns.where("turn % 2 = 0").select("conv_id", "turn", F.lit(1).alias("idx"), T.part("image", url=F.lit("data:image/png;base64,iVBORw0KGgo=")).alias("part"))
+    folder = f"{work_folder(spark)}/files"
+    write_attachment_files(T.attach_parts(turns, note.unionByName(image)), folder)
+    back = read_attachments(spark, folder)
+    place = lambda k: F.regexp_extract("path", r"/([^/]+)/(\d+)-\d+-[^/]+$", k)
+    return back.select(place(1).alias("conv_id"), place(2).cast("long").alias("turn"), "part.kind",
+                       F.regexp_extract("part.filename", r"\d+-\d+-(.*)$", 1).alias("filename"),
+                       F.sha2(F.coalesce("part.text", "part.url"), 256).alias("content_hash"))

@@ -11,6 +11,7 @@ from docflow.operators import content as C
 from docflow.operators.validate import POSITIVE_INT, REQUIRED, split_valid
 from docflow.schemas import as_chunks, as_docs
 from docflow.sources.files import register_files, wrap_documents
+from docflow.session import cut_lineage
 from docflow.sinks.documents import nest_docs
 from docflow.sources.docjson import parse_docs
 from docflow.workload.inputs import SQL_LINES, documents, lines, nested, sql_count
@@ -145,7 +146,7 @@ SELECT sha256(source) AS doc_id, CASE WHEN n = 1 THEN id || '_child' ELSE id END
 UNION ALL SELECT sha256(source), NULL, NULL, sha256(string_agg(t, '' ORDER BY doc_id)) FROM d GROUP BY source""")
 def _(spark, sf):
     """Masters of documents of lines, written as document objects, read back and resolved at all levels."""
-    objects = nest_docs(*nested(spark, sf)).where("json IS NOT NULL").select("json")
+    objects = cut_lineage(nest_docs(*nested(spark, sf)).where("json IS NOT NULL").select("json"))
     docs, chunks, _ = parse_docs(objects)
     docs, chunks = C.resolve_content(docs, chunks)
     tops = docs.select("doc_id", F.lit(None).cast("string").alias("node"), F.lit(None).cast("long").alias("idx"), F.sha2("content", 256).alias("content_hash"))

@@ -5,6 +5,7 @@ import io
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from docflow.operators import chunking as K
@@ -196,3 +197,31 @@ def test_incremental_equals_batch(spark, tmp_path):
     want = {(r.doc_id, r.chunk_idx, r.content) for r in job(docs.where("doc_id <> '3'")).collect()}
     assert got == want | {("3", 0, "short")}
     assert lines(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_status_of_three_drops_equals_one_batch(spark, tmp_path):
+    """Counts go on from the checkpoint's state, also in a run that is started anew; only new rows are read."""
+    from docflow.operators.jobs import job_progress
+    from docflow.streaming.status import read_status, run_status
+    source, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    rows = spark.range(900).select((F.col("id") % 7).alias("job_id"), F.when(F.col("id") % 90 == 5, "error").when(F.col("id") > 800, "pending").otherwise("done").alias("state"), "id")
+    for part in range(3):
+        rows.where(F.col("id") % 3 == part).drop("id").write.mode("append").parquet(source)
+        query = run_status(spark, source, "job_id bigint, state string", lambda df: df, out, ckpt)
+        assert query.lastProgress.numInputRows == 300 and query.lastProgress.stateOperators[0].numRowsTotal == 7
+        so_far = rows.where(F.col("id") % 3 <= part)
+        assert sorted(map(tuple, read_status(spark, out).collect())) == sorted(map(tuple, job_progress(so_far).collect()))
+
+
+def test_files_of_failed_attempts_are_gone(spark, tmp_path):
+    from docflow.sinks.files import write_files
+    folder = tmp_path / "out"
+    rows = spark.createDataFrame([("a/one.txt", b"1"), ("two.bin", b"\x00\xff"), ("empty", None)], "name string, content binary")
+    write_files(rows, str(folder))
+    write_files(rows.where("name = 'two.bin'").select("name", F.lit(b"new").alias("content")), str(folder))
+    found = {str(p.relative_to(folder)): p.read_bytes() for p in folder.rglob("*") if p.is_file() and not p.name.endswith(".crc")}
+    assert found == {"a/one.txt": b"1", "two.bin": b"new", "empty": b""}
+    bad = spark.createDataFrame([("x.txt", b"1"), ("../y.txt", b"2")], "name string, content binary").coalesce(1)
+    with pytest.raises(Exception, match="not a file name"):
+        write_files(bad, str(folder))
+    assert not (folder / "x.txt").exists() and not (folder / "_work").exists() and not (tmp_path / "y.txt").exists()
