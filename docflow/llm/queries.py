@@ -162,7 +162,7 @@ SELECT part, filter_order, step, coalesce(sum(n) FILTER (WHERE mask & (own | gon
        coalesce(sum(n) FILTER (WHERE mask = own), 0)::BIGINT AS unique_fails,
        coalesce(sum(good) FILTER (WHERE mask & own <> 0 AND mask & gone = 0), 0)::BIGINT AS good_lost,
        coalesce(sum(toxic) FILTER (WHERE mask & own <> 0 AND mask & gone = 0), 0)::BIGINT AS toxic_lost,
-       coalesce(sum(n * 120 // bit_count(mask)) FILTER (WHERE mask & own <> 0), 0)::BIGINT AS shapley
+       coalesce(sum(n * 120 // greatest(bit_count(mask), 1)) FILTER (WHERE mask & own <> 0), 0)::BIGINT AS shapley
 FROM f, c GROUP BY part, filter_order, step""")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
