@@ -76,14 +76,14 @@ def _through(row, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _composed(pdf):
     """The tables of neighbouring blocks as one table."""
     import pandas as pd
-    rows = list(pdf.sort_values("_blk").itertuples(index=False))
+    rows = list(pdf.sort_values("_blk").rename(columns={"_up": "up"}).itertuples(index=False))
     starts = np.asarray(rows[0].starts)
     size, closed = starts, np.zeros_like(starts)
     for row in rows:
         size, more = _through(row, size)
         closed = closed + more
     runs = _as_runs(size, closed, starts)
-    return pd.DataFrame([(rows[0].doc_id, rows[0]._up, *runs)], columns=["doc_id", "_up", "starts", "sizes", "closed"])
+    return pd.DataFrame([(rows[0].doc_id, rows[0].up, *runs)], columns=["doc_id", "_up", "starts", "sizes", "closed"])
 
 
 def _chained(number: str):

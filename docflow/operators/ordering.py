@@ -109,13 +109,16 @@ def tie_safe_ranges(df: DataFrame, order: str, parts: int, out: str = "_blk") ->
     probs = F.array(*[F.lit(i / parts) for i in range(1, parts)])
     found = [v for v in (df.agg(F.percentile_approx(order, probs, F.lit(10_000))).first()[0] or []) if v is not None] if parts > 1 else []
     bounds, ties = sorted(set(found)), {v: n for v, n in Counter(found).items() if n > 1}
-    no = _range_no(bounds, F.col(order)) * parts
+    no, sub = _range_no(bounds, F.col(order)), F.lit(0)
     if ties:
         kind = df.schema[order].dataType
-        width = F.element_at(F.create_map(*[c for v, n in ties.items() for c in (F.lit(v).cast(kind), F.lit(n))]), F.col(order))
+        look = lambda pairs, key: F.element_at(F.create_map(*[c for pair in pairs for c in pair]), key)
+        width = look([(F.lit(v).cast(kind), F.lit(n)) for v, n in ties.items()], F.col(order))
         hashed = F.xxhash64(*[c for c, t in df.dtypes if "map<" not in t and "variant" not in t])
-        no = no + F.coalesce(F.pmod(hashed, width), F.lit(0).cast("long"))
-    return df.withColumn(out, no.cast("long"))
+        # A range begins with its bound: what is greater comes behind the parts of a shared bound.
+        behind = look([(F.lit(bounds.index(v) + 1).cast("long"), F.lit(n)) for v, n in ties.items()], no)
+        sub = F.coalesce(F.pmod(hashed, width), behind, F.lit(0))
+    return df.withColumn(out, (no * parts + sub).cast("long"))
 
 
 def dense_index(df: DataFrame, keys: list[str], order: str, out: str, parts: int | None = None) -> DataFrame:
