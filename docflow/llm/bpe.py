@@ -14,8 +14,10 @@ empty result; repeated rows repeat their result; other columns are not looked at
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
+import sys
 from collections.abc import Iterator
 from itertools import chain, repeat
 
@@ -61,6 +63,10 @@ class FragmentCache:
         self.flat = np.zeros(1 << 16, np.int32)
         self.starts = np.zeros(1 << 16, np.int64)
 
+    def _forget(self) -> None:
+        self._clear()
+        self.known = 0
+
     def _encoded(self, fragments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all fragments one behind the other, and the number of ids of each, from the tokenizers library."""
         ids = [e.ids for e in self.tokenizer.encode_batch_fast([f.decode() for f in fragments], add_special_tokens=False)]
@@ -83,8 +89,7 @@ class FragmentCache:
     def encode(self, fragments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all fragments one behind the other, and the number of ids of each."""
         if self.known > self.KEPT or self.starts[self.known] > CACHE_IDS:
-            self._clear()
-            self.known = 0
+            self._forget()
         codes = np.fromiter(map(self.codes.get, fragments, repeat(-1)), np.int64, len(fragments))
         unknown = np.flatnonzero(codes < 0).tolist()
         if unknown:
@@ -249,12 +254,22 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", doc_id: str = "doc_i
     return rows.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return memory that earlier tasks of this worker have freed or kept for words; a worker lives through all stages of a job."""
+    if words := sys.modules.get("docflow.llm.words"):
+        words.HASHES.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):     # glibc only
+        trim(0)
+
+
 def round_trip(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, ids, decoded) of each row: ``encode`` and ``decode`` in one Python worker instead of two."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = rows.select("doc_id", F.array().cast("array<int>").alias("ids"), F.lit("").alias("decoded")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         encoder, decoder = loaded(BoundaryEncoder, path), loaded(Decoder, path)
         for batch in batches:
             for s, e in byte_slices(batch.column(1)):

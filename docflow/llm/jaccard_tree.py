@@ -10,14 +10,16 @@ few of each in any fixed order, so only classes that share such a *key* are comp
 2. *First links*: each class is compared with the anchors of its keys (their classes with the least
    id) and its neighbours in size, as far as it shares most keys with them.
    Groups of near copies mostly become one component here, without comparing all pairs.
-3. *Signature trees* find all other pairs: below each key whose classes lie in several components, a
-   tree over their signatures. Every node holds the OR of its members' token bitmaps and the range of
-   their sizes. Two nodes are visited together, from the root down; a pair of nodes is left if no two
-   members can share enough shingles, if the size ranges are too far apart, or if both lie in one
-   component already. Pairs of leaves that stay are compared by their full sets.
+3. *Signature trees* find all other links. Classes that share a key share its anchor, so below each anchor
+   whose classes lie in several components there are trees over their signatures. Every node holds the OR of its
+   members' token bitmaps and the range of their sizes. Two nodes are visited together, from the root down; a
+   pair of nodes is left if no two members can share enough shingles, if the size ranges are too far apart, or if
+   both lie in one component already. A first traversal by signatures finds the members that may be similar to
+   another one; only these get their full sets, and in a second one pairs of leaves are compared on the spot. Only
+   links that join two components there are sent on, fewer than there are members.
 4. Components of all links.
 
-A key shared by very many classes is cut into cells of at most ``CELL`` classes on each side.
+The classes below an anchor are cut into cells of at most ``CELL`` classes on each side.
 
 Defined cases: null texts and texts without words have an empty set, which links with nothing; a
 text with fewer words than a shingle is one shingle; a null id does not count for the least id of a
@@ -36,6 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.llm.bits import bit_filter, in_filter
+from docflow.llm.bpe import give_back
 from docflow.llm.components import components
 from docflow.llm.scratch import scratch_dir, staged
 from docflow.llm.words import chunks, grams, mix, word_hashes
@@ -49,6 +52,7 @@ FANOUT = 8
 BITS = 1024             # bits of the signature of a set of up to PER shingles; twice as many for twice the size
 PER = 512
 SMALL = 16              # members up to which a tree is a single node
+PLACE = ["anchor", "cell_a", "cell_b"]
 FILTER_BITS = 26
 CHUNK = 2_000_000
 
@@ -163,6 +167,11 @@ def _sets_by_row(rows: DataFrame, n: int, percent: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
 def text_hashes(texts: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, len(texts))
 
@@ -225,9 +234,7 @@ def _verified(rows: DataFrame, n: int, pairs: DataFrame, classes: DataFrame, per
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * shared >= percent * (len(x) + len(y) - shared))
+                good.append(similar(*(np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)), percent))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return staged(both.mapInArrow(run, "a long, b long"), folder, "links")
@@ -290,119 +297,146 @@ def tree_pairs(one: Tree, two: Tree, percent: int) -> tuple[np.ndarray, np.ndarr
                 x, y = x[x != y], y[x != y]
 
 
-def _small_pairs(at: np.ndarray, count: np.ndarray, side: np.ndarray, size: np.ndarray, comp: np.ndarray, bits: np.ndarray,
-                 percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Possible pairs (positions) within many small groups, which start at ``at`` and have ``count`` members."""
-    total = count * count
-    group = np.repeat(np.arange(len(at)), total)
-    k = np.arange(int(total.sum())) - np.repeat(np.cumsum(total) - total, total)
-    x, y = at[group] + k // count[group], at[group] + k % count[group]
-    crossed = np.repeat(np.bitwise_or.reduceat(side, at), count ** 2) if len(at) else group
-    keep = (x < y) & ((crossed == 0) | (side[x] != side[y])) & (comp[x] != comp[y])
-    keep &= (100 * size[x] >= percent * size[y]) & (100 * size[y] >= percent * size[x])
-    x, y = x[keep], y[keep]
-    most = np.minimum(size[x] - np.bitwise_count(bits[x] & ~bits[y]).sum(axis=1), size[y] - np.bitwise_count(bits[y] & ~bits[x]).sum(axis=1))
-    keep = (100 + percent) * most >= percent * (size[x] + size[y])
-    return x[keep], y[keep]
-
-
-def _group_pairs(table: pa.RecordBatch, starts: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Possible pairs (nodes) of all groups in a batch, which begin at ``starts``."""
-    level, side, node, size, comp = (table.column(c).to_numpy() for c in ("level", "side", "node", "size", "comp"))
-    count = np.diff(np.append(starts, table.num_rows))
-    signatures = table.column("bits").to_pylist()
-    for lv in np.unique(level[starts]).tolist():
-        small = np.flatnonzero((level[starts] == lv) & (count <= SMALL) & (count > 1))
-        if len(small):
-            rows = np.repeat(starts[small], count[small]) + np.arange(int(count[small].sum())) - np.repeat(np.cumsum(count[small]) - count[small], count[small])
-            bits = at_level([signatures[i] for i in rows.tolist()], lv)
-            x, y = _small_pairs(np.cumsum(count[small]) - count[small], count[small], side[rows], size[rows], comp[rows], bits, percent)
-            yield node[rows][x], node[rows][y]
-    for g in np.flatnonzero(count > SMALL).tolist():
-        own = np.arange(starts[g], starts[g] + count[g])
-        bits = at_level([signatures[i] for i in own.tolist()], int(level[own[0]]))
-        trees = [Tree(node[own[m]], size[own[m]], comp[own[m]], bits[m]) for m in (side[own] == 0, side[own] == 1) if m.any()]
-        if len(trees) == 1 and side[own[0]] == 1:
-            continue
-        one, two = trees[0], trees[-1]
-        x, y = tree_pairs(one, two, percent)
-        yield one.node[x], two.node[y]
-
-
-def _by_trees(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) from members (key, level, cell_a, cell_b, side, node, size, comp, bits).
-
-    Members of one (key, level, cell_a, cell_b) meet: side 0 with itself if there is no side 1, else 0 with 1.
-    Keys with one anchor mostly have the same members, so their cells follow each other in one task, which
-    sends a pair once; there are at most CELL * CELL of them.
-    """
-    place = ["anchor", "level", "cell_a", "cell_b"]
-    cell = [*place, "key"]
+def _candidates(side: np.ndarray, size: np.ndarray, comp: np.ndarray, bits: list[bytes], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (positions) of a cell that may be similar: side 0 with side 1 if there is one, else all with all."""
+    crossed = side.any()
+    if crossed and side.all():
+        return
+    if len(size) <= SMALL:
+        x, y = np.triu_indices(len(size), 1)
+        keep = (comp[x] != comp[y]) & (100 * size[x] >= percent * size[y]) & (100 * size[y] >= percent * size[x])
+        keep &= (side[x] != side[y]) | (not crossed)
+        x, y = x[keep], y[keep]
+        for level in range(level_of(int(size.max())) + 1) if len(x) else ():
+            own = np.flatnonzero(np.fromiter(map(level_of, np.minimum(size[x], size[y]).tolist()), np.int64, len(x)) == level)
+            a, b = (at_level([bits[i] for i in k[own].tolist()], level) if len(own) else np.zeros((0, 1), np.uint64) for k in (x, y))
+            # A bit that only one of the two has stands for at least one shingle of its own.
+            n, m = size[x[own]], size[y[own]]
+            most = np.minimum(n - np.bitwise_count(a & ~b).sum(axis=1), m - np.bitwise_count(b & ~a).sum(axis=1))
+            good = own[(100 + percent) * most >= percent * (n + m)]
+            yield x[good], y[good]
+        return
+    most, least = (np.fromiter(map(level_of, n.tolist()), np.int64, len(n)) for n in (size, -(-size * percent // 100)))
+    # A set meets those of all levels in which one of them may be large enough.
+    for level in np.unique(most).tolist():
+        own = np.flatnonzero((least <= level) & (level <= most))
+        rows = at_level([bits[i] for i in own.tolist()], level)
+        trees = [Tree(own[m], size[own[m]], comp[own[m]], rows[m]) for m in ((side[own] == 0, side[own] == 1) if crossed else [side[own] == 0])]
+        if all(len(t.node) for t in trees):
+            x, y = tree_pairs(trees[0], trees[-1], percent)
+            yield trees[0].node[x], trees[-1].node[y]
+
+
+def cell_members(side: np.ndarray, size: np.ndarray, comp: np.ndarray, bits: list[bytes], percent: int) -> np.ndarray:
+    """True for the members of a cell that may be similar to another one."""
+    out = np.zeros(len(size), bool)
+    for x, y in _candidates(side, size, comp, bits, percent):
+        out[x] = out[y] = True
+    return out
+
+
+def cell_links(side: np.ndarray, node: np.ndarray, size: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Links (nodes) of a cell that join two of its components: fewer than it has members."""
+    up = {c: c for c in comp.tolist()}
+
+    def top(c: int) -> int:
+        while up[c] != c:
+            up[c] = c = up[up[c]]
+        return c
+
+    comps = comp.tolist()
+    for x, y in _candidates(side, size, comp, [signature(s).tobytes() for s in sets], percent):
+        for i, j in zip(x.tolist(), y.tolist()):
+            a, b = top(comps[i]), top(comps[j])
+            if a != b and similar(sets[i], sets[j], percent):
+                up[a] = b
+                yield int(node[i]), int(node[j])
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each cell, from batches sorted by cell."""
+    held: list[pa.RecordBatch] = []
+    here = None
+    for batch in batches:
+        ids = [batch.column(c).to_numpy() for c in PLACE]
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = np.any([i[1:] != i[:-1] for i in ids], axis=0)
+        starts = np.flatnonzero(new).tolist()
+        for s, e in zip(starts, [*starts[1:], batch.num_rows]):
+            at = tuple(int(i[s]) for i in ids)
+            if held and at != here:
+                yield pa.Table.from_batches(held)
+                held = []
+            here = at
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _in_cells(cells: DataFrame) -> DataFrame:
+    return cells.repartition(*PLACE).sortWithinPartitions(*PLACE)
+
+
+def _possible_members(cells: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``cells`` whose class may be similar to another one of its cell, by their signatures."""
+    names = [*PLACE, "side", "node", "size", "comp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []         # the group at the end of what was read, which may go on
-        seen: set[tuple[int, int]] = set()      # pairs sent for ``here``
-        here = None
-
-        def pairs_of(table: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-            nonlocal here
-            ids = [table.column(c).to_numpy() for c in place]
-            new = np.ones(len(starts), bool)
-            new[1:] = np.any([i[starts[1:]] != i[starts[:-1]] for i in ids], axis=0)
-            ends = [*np.flatnonzero(new)[1:].tolist(), len(starts)] if len(starts) else []
-            out: list[tuple[int, int]] = []
-            first = 0
-            for end in ends:
-                at = tuple(int(i[starts[first]]) for i in ids)
-                if at != here:
-                    here = at
-                    seen.clear()
-                low, high = int(starts[first]), int(starts[end]) if end < len(starts) else table.num_rows
-                for a, b in _group_pairs(table.slice(low, high - low), starts[first:end] - low, percent):
-                    fresh = set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist())) - seen
-                    seen.update(fresh)
-                    out.extend(fresh)
-                first = end
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-        for batch in batches:
-            held.append(batch)
-            first, last = (tuple(b.column(c)[i].as_py() for c in cell) for b, i in ((held[0], 0), (batch, batch.num_rows - 1)))
-            if first == last:
-                continue
-            table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            ids = [table.column(c).to_numpy() for c in cell]
-            new = np.ones(table.num_rows, bool)
-            new[1:] = np.any([i[1:] != i[:-1] for i in ids], axis=0)
-            starts = np.flatnonzero(new)
-            yield from pairs_of(table.slice(0, int(starts[-1])), starts[:-1])
-            held = [table.slice(int(starts[-1]))]
-        if held:
-            yield from pairs_of(pa.Table.from_batches(held).combine_chunks().to_batches()[0], np.zeros(1, np.int64))
-
-    ordered = members.repartition(*place).sortWithinPartitions(*cell)
-    pairs = ordered.select(*cell, "side", "node", "size", "comp", "bits").mapInArrow(run, "a long, b long")
-    return pairs.distinct()
-
-
-def _cells(shared: DataFrame, roots: DataFrame, classes: DataFrame, percent: int, folder: str) -> DataFrame:
-    """Members of the trees: below each key that spans components, the largest component (side 0)
-    meets the others (side 1), and the others meet each other."""
-    member = shared.join(roots, "node", "left").select("key", "anchor", "node", "size", F.coalesce("root", "node").alias("comp"))
-    counts = member.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    per_key = counts.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"))
+        give_back()
+        kept: list[pa.RecordBatch] = []
+        for cell in _by_cell(batches):
+            if cell.num_rows > 1:
+                side, size, comp = (cell.column(c).to_numpy() for c in ("side", "size", "comp"))
+                found = cell_members(side, size, comp, cell.column("bits").to_pylist(), percent)
+                if found.any():
+                    kept += cell.select(names).filter(pa.array(found)).to_batches()
+            if len(kept) > 500:
+                yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
+                kept = []
+        if kept:
+            yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
+
+    return _in_cells(cells.join(classes.select("node", "bits"), "node").select(*names, "bits")).mapInArrow(run, cells.select(names).schema)
+
+
+def _by_trees(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) from the members of cells, with their full sets: each cell sends only what joins two components."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        links: list[tuple[int, int]] = []
+
+        def sent() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for cell in _by_cell(batches):
+            side, node, size, comp = (cell.column(c).to_numpy() for c in ("side", "node", "size", "comp"))
+            own = [np.frombuffer(v.as_buffer(), np.uint64) for v in cell.column("shingles")]
+            links.extend(cell_links(side, node, size, comp, own, percent))
+            if len(links) > 10_000:
+                yield sent()
+                links.clear()
+        yield sent()
+
+    dealt = _in_cells(cells.join(sets, "node").select(*PLACE, "side", "node", "size", "comp", "shingles"))
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _cells(shared: DataFrame, roots: DataFrame, folder: str) -> DataFrame:
+    """Members of the trees. Classes that share a key also share its anchor, so trees stand below anchors, each class once.
+    Below every anchor that spans components, the largest component (side 0) meets the others (side 1), and the
+    others meet each other; each side of a meeting is cut into cells of about ``CELL`` members."""
+    member = (shared.select("anchor", "node", "size").distinct().join(roots, "node", "left")
+              .select("anchor", "node", "size", F.coalesce("root", "node").alias("comp")))
+    member = staged(member, folder, "members")
+    counts = member.groupBy("anchor", "comp").agg(F.count(F.lit(1)).alias("n"))
+    by_anchor = counts.groupBy("anchor").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"))
     cut = lambda n: F.ceil(n / CELL).cast("int")
-    split = per_key.where("comps > 1").select("key", F.col("top.comp").alias("top"), cut(F.col("top.n")).alias("ga"),
-                                              cut(F.col("n") - F.col("top.n")).alias("gb"))
-    rows = staged(member.join(split, "key"), folder, "spanning").join(classes.select("node", "bits"), "node")
-    # A set also meets those of all levels below where one of them may be large enough.
-    level = lambda size: F.length(F.bin(F.floor((F.greatest(size, F.lit(2)) - 1) / PER))) - F.when(size <= PER, 1).otherwise(0)
-    least = F.ceil(F.col("size") * percent / 100)
-    rows = rows.withColumn("level", F.explode(F.sequence(level(least), level(F.col("size")))))
+    split = by_anchor.where("comps > 1").select("anchor", F.col("top.comp").alias("top"), cut(F.col("top.n")).alias("ga"),
+                                                cut(F.col("n") - F.col("top.n")).alias("gb"))
+    rows = staged(member.join(split, "anchor"), folder, "spanning")
     place = lambda g: F.pmod(F.xxhash64("node"), g).cast("int")
     upto = lambda g: F.sequence(F.lit(0), g - 1)
-    out = ["key", "anchor", "level", "cell_a", "cell_b", "side", "node", "size", "comp", "bits"]
+    out = [*PLACE, "side", "node", "size", "comp"]
     tops, rest = rows.where("comp = top"), rows.where("comp <> top")
     meets = [tops.select("*", place(F.col("ga")).alias("cell_a"), F.explode(upto(F.col("gb"))).alias("cell_b"), F.lit(0).alias("side")),
              rest.select("*", F.explode(upto(F.col("ga"))).alias("cell_a"), place(F.col("gb")).alias("cell_b"), F.lit(1).alias("side"))]
@@ -413,7 +447,7 @@ def _cells(shared: DataFrame, roots: DataFrame, classes: DataFrame, percent: int
     union = meets[0].select(out)
     for m in meets[1:]:
         union = union.unionByName(m.select(out))
-    return union
+    return staged(union, folder, "cells")
 
 
 def near_classes(docs: DataFrame, n: int = 3, percent: int = 90, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -448,8 +482,10 @@ def near_classes(docs: DataFrame, n: int = 3, percent: int = 90, text: str = "te
     first = _verified(rows, n, likely, classes, percent, f"{folder}/first")
     roots = components(first, f"{folder}/first")
 
-    pairs = staged(_by_trees(_cells(shared, roots, classes, percent, folder), percent), folder, "pairs")
-    links = first.unionByName(_verified(rows, n, pairs, classes, percent, f"{folder}/trees"))
+    cells = staged(_possible_members(_cells(shared, roots, folder), classes, percent), folder, "possible")
+    wanted = cells.select("node").distinct()
+    sets = staged(_sets_of(rows, n, classes.join(wanted, "node", "left_semi").select("digest", "node", "h")), folder, "tree-sets")
+    links = first.unionByName(staged(_by_trees(cells, sets, percent), folder, "tree-links"))
     roots = components(links, f"{folder}/trees")
 
     rooted = classes.join(roots, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("root"))
