@@ -38,7 +38,7 @@ def test_a_round_reads_its_segment_only(spark):
 
 @pytest.mark.parametrize("gap", [False, True])
 def test_segments_and_batches_agree(spark, gap):
-    ids = [(d, i) for d, n in (("a", 1), ("b", 7), ("c", 23)) for i in range(n) if not (gap and (d, i) in {("c", 4), ("c", 5), ("c", 6), ("c", 7), ("b", 0), ("b", 1)})]
+    ids = [(d, i) for d, n in (("a", 1), ("b", 4), ("c", 9)) for i in range(n) if not (gap and (d, i) in {("c", 4), ("c", 5), ("b", 0), ("b", 1)})]
     rows = spark.createDataFrame([(d, "g", i, f"{d}/g@{i}", f"text {d} {i}") for d, i in ids],
                                  "doc_id string, chunk_group string, chunk_idx int, chunk_id string, content string")
     chunks = as_chunks(rows)
