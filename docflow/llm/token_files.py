@@ -8,7 +8,8 @@ is read by one small range request. Shard numbers follow the id order; ``start``
 documents before.
 
 The dictionary is fitted on at most ``fit_docs`` documents (those with the smallest hash of their id)
-and at most ``fit_bytes`` of ids from each; everything else covers all documents.
+and on a range of at most ``fit_bytes`` of the ids of each, which begins at a place given by a hash of all of
+them; everything else covers all documents.
 
 Defined cases: a null text encodes as the empty text, so its only id is the end id; null ids come
 first in the order and equal ids are ordered by text; an empty table gives an empty result; with too
@@ -18,17 +19,19 @@ few ids to train a dictionary, frames are compressed without one; other columns
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docflow.llm.bpe import LONG, FragmentCache, byte_slices, gather, loaded, raw_texts
+from docflow.llm.bpe import CACHE_IDS, LONG, FragmentCache, byte_slices, gather, loaded, raw_texts, token_bytes
 from docflow.llm.scratch import scratch_dir, staged
 from docflow.llm.shards import ShardReader, ShardWriter
 
@@ -37,6 +40,29 @@ DICTIONARY_BYTES = 64 * 1024
 WORDS_AT_ONCE = 200_000
 
 
+END = "\x01"        # stands for the end of a word; no plain word holds it
+
+
+def quick_words(path: str):
+    """An encoder with the same ids for words of a-z followed by ``END``, several times as fast; None if the ids are not in
+    the order of merges, before which each last letter becomes one with the end of its word."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocabulary, parts = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    first = vocabulary["".join(parts[0])] if parts else 0
+    letters = [vocabulary.get(chr(97 + i) + "</w>", first) for i in range(26)]
+    if model.get("end_of_word_suffix") != "</w>" or max(letters) >= first or any(vocabulary["".join(m)] != first + i for i, m in enumerate(parts)):
+        return None
+    import tiktoken
+    ranks = {t: i for i, t in token_bytes(path).items() if i < first + len(parts) and not vocabulary_end(t)}
+    ranks |= {t[:-4] + END.encode(): i for i, t in token_bytes(path).items() if i < first + len(parts) and vocabulary_end(t)}
+    return tiktoken.Encoding(path.rsplit("/", 1)[-1], pat_str=f"[a-z]+{END}", mergeable_ranks=ranks, special_tokens={})
+
+
+def vocabulary_end(token: bytes) -> bool:
+    return token.endswith(b"</w>")
+
+
 class WordEncoder(FragmentCache):
     """Ids of texts whose tokenizer drops white space and lowers case: words never share a token, so each is encoded once.
 
@@ -59,6 +85,7 @@ class WordEncoder(FragmentCache):
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.quick = quick_words(path)
 
     @classmethod
     def core(cls, word: bytes) -> bytes:
@@ -68,6 +95,16 @@ class WordEncoder(FragmentCache):
             return core
         return word
 
+    def _forget(self) -> None:
+        """Keep what was learned first: frequent words are met early, so most words met again are among them."""
+        keep = min(self.KEPT, int(np.searchsorted(self.starts[:self.known + 1], CACHE_IDS)))
+        while self.codes:
+            word, code = self.codes.popitem()
+            if code < keep:
+                self.codes[word] = code
+                break
+        self.known = keep
+
     def _learn(self, new: list[bytes]) -> None:
         cores = list(map(self.core, new))
         tails = [f[len(c):] for f, c in zip(new, cores)]
@@ -87,6 +124,11 @@ class WordEncoder(FragmentCache):
         kinds = [2 if f.islower() and f.isalpha() else int(t.isalpha()) for f, t in zip(fragments, texts)]
         rest, some_letters, plain = ([i for i, k in enumerate(kinds) if k == want] for want in range(3))
         order, flat, lens = [], [], []
+        if self.quick and plain:
+            ids = np.array(self.quick.encode_ordinary("".join([texts[i] + END for i in plain])), np.int32)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(plain):
+                order, flat, lens, plain = plain, [ids], [np.diff(ends, prepend=0)], []
         for tokenizer, words in ((self.merges, plain), (self.tokenizer, some_letters)):
             groups = [words[k:k + self.JOINED] for k in range(0, len(words), self.JOINED)]
             for group, e in zip(groups, tokenizer.encode_batch_fast([" ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False)):
@@ -117,6 +159,13 @@ class WordEncoder(FragmentCache):
         return [data[s:e] + end for s, e in zip([0, *ends], ends)]
 
 
+def _range_of(ids: bytes, size: int) -> bytes:
+    """At most ``size`` bytes of whole ids, from a place given by a hash of all of them."""
+    places = max(0, len(ids) - size) // 4 + 1
+    start = 4 * (xxhash.xxh3_64_intdigest(ids) % places)
+    return ids[start:start + size]
+
+
 def train_dictionary(docs: DataFrame, path: str, end_id: int, fit_docs: int = 2000, fit_bytes: int = 4096) -> bytes:
     """The shared dictionary (empty if there is too little to learn from), from a bounded sample."""
     some = docs.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(fit_docs).select("doc_id").distinct()
@@ -125,7 +174,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, fit_docs: int = 20
         encoder = loaded(WordEncoder, path)
         for batch in batches:
             for s, e in byte_slices(batch.column(0)):
-                ids = [i[:fit_bytes] for i in encoder.serialised(raw_texts(batch.column(0).slice(s, e - s)), end_id)]
+                ids = [_range_of(i, fit_bytes) for i in encoder.serialised(raw_texts(batch.column(0).slice(s, e - s)), end_id)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"])
 
     encoded = docs.join(some, "doc_id").select("text").mapInArrow(run, "ids binary").limit(fit_docs)

@@ -130,6 +130,24 @@ def test_token_files_round_trip(spark, odd, empty):
     assert token_files.token_roundtrip(empty, WORD).count() == 0
 
 
+def test_word_cache_that_forgets(monkeypatch):
+    """A full cache keeps its first words and gives the same ids."""
+    monkeypatch.setattr(token_files.WordEncoder, "KEPT", 40)
+    encoder, ref, rng = token_files.WordEncoder(WORD), Tokenizer.from_file(WORD), random.Random(8)
+    letters = ["a", "be", "the", "é", "1", ".", "!", "-", "x" * 70]
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 3))) for _ in range(rng.randint(0, 40))) for _ in range(5)]
+        got = [np.frombuffer(b, "<u4").tolist() for b in encoder.serialised([t.encode() for t in texts], 1)]
+        assert got == [[*ref.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+        assert all(encoder.starts[c] <= encoder.starts[c + 1] for c in encoder.codes.values()) and max(encoder.codes.values()) < encoder.known
+
+
+def test_ranges_for_the_dictionary():
+    ids = np.arange(5000, dtype="<u4").tobytes()
+    part = token_files._range_of(ids, 4096)
+    assert len(part) == 4096 and part in ids and ids.index(part) % 4 == 0 and token_files._range_of(ids[:40], 4096) == ids[:40]
+
+
 def test_short_document_access(spark):
     folder = scratch_dir(spark)
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
