@@ -46,7 +46,7 @@ def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray
 class FragmentCache:
     """Ids of fragments, each encoded once by the tokenizers library."""
 
-    KEPT = 400_000          # fragments kept by a worker before it starts afresh
+    KEPT = 200_000          # fragments kept by a worker before it starts afresh
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
