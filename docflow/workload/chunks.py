@@ -12,7 +12,7 @@ from docflow.schemas import as_chunks
 from docflow.session import ensure_checkpoint_dir
 from docflow.streaming.incremental import read_latest, run_incremental
 from docflow.workload.inputs import SQL_LINES, documents, lines, nested, sql_count, sql_tokens
-from docflow.workload.registry import query
+from docflow.workload.registry import query, stream_path
 
 # Packing in SQL: walk the chunks of each document in order, keeping the start `b` of the open
 # buffer and the position `p` in the token stream; every closed range becomes a row.
@@ -101,13 +101,13 @@ def _(spark, sf):
 
 @query("incremental_merge", f"WITH RECURSIVE {SQL_LINES}, {_sql_pack(200, 0, 'lines')} {_SELECT}")
 def _(spark, sf):
-    """The same packing as an incremental run over the folder's documents file."""
+    """The same packing as an incremental run over the files of the documents table."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/incremental-{uuid.uuid4().hex}"
     split = lambda df: as_chunks(df.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("lines").alias("chunk_group"),
                                            F.posexplode(F.split("text", "\n", -1)).alias("chunk_idx", "content")))
-    run_incremental(spark, sf, "doc_id bigint, text string", lambda df: K.merge_chunks(split(df), 200, "lines"), f"{folder}/out",
-                    f"{folder}/state", options={"pathGlobFilter": "documents.parquet"})
+    run_incremental(spark, stream_path(sf, "documents"), "doc_id bigint, text string", lambda df: K.merge_chunks(split(df), 200, "lines"),
+                    f"{folder}/out", f"{folder}/state")
     return _shown(read_latest(spark, f"{folder}/out"))
 
 

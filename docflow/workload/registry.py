@@ -21,3 +21,8 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stream_path(sf_dir: str, name: str) -> str:
+    """The table as input of a stream, be it one file or a folder of files: a stream takes a single file by a pattern only."""
+    return f"{sf_dir}/{name}[.]parquet"

@@ -18,7 +18,7 @@ from docflow.session import work_folder
 from docflow.sinks.transcripts import batch_lines, write_attachment_files
 from docflow.sources.files import read_attachments
 from docflow.streaming.status import read_status, run_status
-from docflow.workload.registry import query, table
+from docflow.workload.registry import query, stream_path, table
 from docflow.workload.summaries import _reply
 
 _SCHEMA = {"type": "object", "properties": {"k": {"type": "integer", "minimum": 10, "maximum": 90}, "name": {"type": "string", "enum": ["known", "unknown"]}},
@@ -195,9 +195,9 @@ def _(spark, sf):
 
 @query("job_status_stream", _SQL_PROGRESS)
 def _(spark, sf):
-    """The same counts kept as the state of a stream over the folder's events file."""
+    """The same counts kept as the state of a stream over the files of the events table."""
     folder = work_folder(spark)
-    run_status(spark, sf, "user_id bigint, event_type string", _outcomes, f"{folder}/out", f"{folder}/state", options={"pathGlobFilter": "events.parquet"})
+    run_status(spark, stream_path(sf, "events"), "user_id bigint, event_type string", _outcomes, f"{folder}/out", f"{folder}/state")
     return read_status(spark, f"{folder}/out")
 
 
