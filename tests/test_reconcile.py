@@ -75,3 +75,14 @@ def test_alignment_properties(monkeypatch, budget):
             else:
                 assert op == "INSERT" and (not left_a or common_length(here[0], here[1][:-1]) == common_length(*here))
             left_a, left_b = left_a - (op != "INSERT"), left_b - (op != "DELETE")
+
+
+def test_few_differences_by_diagonals():
+    rnd = random.Random(7)
+    for _ in range(300):
+        a, b = ([rnd.choice("abc") for _ in range(rnd.randrange(9))] for _ in range(2))
+        assert R._single(R._align_runs(a, b)) == R._single(R._align_dense(a, b))
+    # Of a long page with one word more on each side no step is made for each token.
+    page = [f"w{i % 977}" for i in range(50_000)]
+    steps = R._align_runs([*page[:1], "gone", *page[1:]], [*page[:-1], "new", *page[-1:]])
+    assert [(op, n) for op, _, _, n in steps] == [("MATCH", 1), ("DELETE", 1), ("MATCH", 49_998), ("INSERT", 1), ("MATCH", 1)]
