@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,47 +108,80 @@ def resolve_nested(nodes: DataFrame, limit: int = TEXT_CELL_LIMIT) -> tuple[Data
     ``nodes(node_id, parent_id, chunk_group, idx, content, start, length,
     content_chunk_group)``. A round resolves what waits for the nodes of the round before: spans of a parent
     just resolved, and content groups whose last open member is. Rounds are appended to a log that is never
-    rewritten. Returns (node_id, text) and rejects (node_id, reason).
+    rewritten, and a text is read again only by the round that puts it into its group or cuts spans from it.
+    Returns (node_id, text) and rejects (node_id, reason).
     """
     spark, folder = nodes.sparkSession, work_folder(nodes.sparkSession)
-    nodes = cut_lineage(nodes)
     span = F.col("content").isNull() & F.col("parent_id").isNotNull() & F.col("start").isNotNull() & F.col("length").isNotNull()
     kind = (F.when(F.col("content").isNotNull(), "own").when(span, "span")
             .when(F.col("content_chunk_group").isNotNull(), "group").otherwise("empty"))
-    typed = nodes.withColumn("kind", kind)
-    groups = typed.where("kind = 'group'").select(F.col("node_id").alias("parent_id"), F.col("content_chunk_group").alias("chunk_group"))
-    members = cut_lineage(groups.join(nodes.select("node_id", "parent_id", "chunk_group", "idx"), ["parent_id", "chunk_group"])
-                          .select("parent_id", "node_id", "idx"))
-    spans = cut_lineage(typed.where("kind = 'span'").select("node_id", "parent_id", "start", "length"))
+    text = F.coalesce("content", F.lit(""))
+    place, none = ["parent_id", "chunk_group", "idx"], F.lit(None).cast("string").alias("reason")
+    typed = nodes.select("node_id", *place, "start", "length", "content_chunk_group", kind.alias("kind"), text.alias("text"), F.length(text).alias("n"))
+    # The texts at the start are written once, here; all else is found from the columns beside them.
+    typed.write.parquet(f"{folder}/nodes")
+    typed = spark.read.schema(typed.schema).parquet(f"{folder}/nodes")
+    shape = cut_lineage(typed.drop("text", "n"))
+    own_place = shape.select("node_id", *place)
+    # Rows carry their place along where a node is one row; where ids repeat, places are looked up by id.
+    unique = shape.where("node_id IS NOT NULL").groupBy("node_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty()
+    groups = shape.where("kind = 'group'").select(F.col("node_id").alias("parent_id"), F.col("content_chunk_group").alias("chunk_group"))
+    members = cut_lineage(groups.join(own_place, ["parent_id", "chunk_group"]).select("parent_id", "node_id", "idx"))
+    spans = shape.where("kind = 'span'").select("node_id", "parent_id", "start", "length")
     needed = members.groupBy("parent_id").agg(F.count(F.lit(1)).alias("n"))
-    LOG, COUNTS = "node_id string, text string, reason string", "parent_id string, came long"
-    none = F.lit(None).cast("string").alias("reason")
-    log = lambda no=None: spark.read.schema(LOG).parquet(f"{folder}/log" + ("" if no is None else f"/round={no}"))
-    counts = lambda no=None: spark.read.schema(COUNTS).parquet(f"{folder}/counts" + ("" if no is None else f"/round={no}"))
-
     childless = groups.join(members, "parent_id", "left_anti").select(F.col("parent_id").alias("node_id"), F.lit("").alias("text"), none)
-    start = typed.where("kind in ('own', 'empty')").select("node_id", F.coalesce("content", F.lit("")).alias("text"), none).unionByName(childless)
-    start.write.parquet(f"{folder}/log/round=0")
-    no = 0
-    while True:
-        fresh = log(no).where("reason IS NULL")
-        asked = spans.join(fresh.select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi")
-        parents = fresh.select(F.col("node_id").alias("parent_id"), "text").join(spans.select("parent_id").distinct(), "parent_id", "left_semi")
-        cut = cut_spans(rope_of_cells(parents, "parent_id"), asked, ["node_id"], "parent_id")
-        came = members.join(fresh.select("node_id"), "node_id", "left_semi").groupBy("parent_id").agg(F.count(F.lit(1)).alias("came"))
+    columns = ["node_id", "text", "reason", *place, "n"]
+    start = typed.where("kind in ('own', 'empty')").select("node_id", "text", none, *place, "n")
+    LOG = ", ".join(f"{c} {start.schema[c].dataType.simpleString()}" for c in columns)
+    whole_log = lambda since: spark.read.schema(f"{LOG}, round int").parquet(f"{folder}/log").where(F.col("round") >= since).select(*columns)
+
+    def log(since: int = 0, no: int | None = None) -> DataFrame:
+        """Texts of the rounds from ``since`` on, or of round ``no``."""
+        rows = whole_log(since) if no is None else spark.read.schema(LOG).parquet(f"{folder}/log/round={no}")
+        return start.unionByName(rows) if not (since if no is None else no) else rows
+
+    def placed(rows: DataFrame) -> DataFrame:
+        found = rows.join(own_place, "node_id", "left") if unique else rows.withColumns({c: F.lit(None).cast(start.schema[c].dataType) for c in place})
+        return found.withColumn("n", F.length("text")).select(*columns)
+
+    def wholes(no: int) -> DataFrame | None:
+        """Texts of the groups whose last open member came in round ``no``."""
+        came = members.join(log(no=no).where("reason IS NULL").select("node_id"), "node_id", "left_semi").groupBy("parent_id").agg(F.count(F.lit(1)).alias("came"))
         came.write.parquet(f"{folder}/counts/round={no}")
-        so_far = counts().join(counts(no).select("parent_id"), "parent_id", "left_semi").groupBy("parent_id").agg(F.sum("came").alias("came"))
-        ready = so_far.join(needed, "parent_id").where("came = n").select("parent_id")
-        texts = members.join(ready, "parent_id", "left_semi").join(log().select("node_id", "text"), "node_id")
-        whole = concat_ordered(texts, ["parent_id"], "idx", "text", "", "text", limit).select(
+        counts = spark.read.schema("parent_id string, came long, round int").parquet(f"{folder}/counts")
+        so_far = counts.join(counts.where(F.col("round") == no).select("parent_id"), "parent_id", "left_semi").groupBy("parent_id").agg(
+            F.sum("came").alias("came"), F.min("round").alias("since"))
+        ready = cut_lineage(so_far.join(needed, "parent_id").where("came = n").select("parent_id", "since").join(groups.distinct(), "parent_id"))
+        since = ready.agg(F.min("since")).first()[0]
+        if since is None:
+            return None
+        keys = ["parent_id", "chunk_group"]
+        rows = log(since).where("reason IS NULL")
+        if unique:
+            texts = rows.join(ready.select(*keys), keys)
+        else:
+            texts = members.join(ready.select("parent_id").distinct(), "parent_id").withColumn("chunk_group", F.lit("")).join(
+                rows.select("node_id", "text", "n"), "node_id")
+        return concat_ordered(texts, keys, "idx", "text", "", "text", limit, size="n").select(
             F.col("parent_id").alias("node_id"), "text", F.when(F.col("text").isNull(), F.lit("text_too_long")).alias("reason"))
+
+    def cuts(no: int) -> DataFrame | None:
+        """Texts of the spans of nodes that came in round ``no``."""
+        fresh = log(no=no).where("reason IS NULL").select(F.col("node_id").alias("parent_id"), "text")
+        asked = cut_lineage(spans.join(fresh.select("parent_id"), "parent_id", "left_semi"))
+        if asked.isEmpty():
+            return None
+        return cut_spans(rope_of_cells(fresh.join(asked.select("parent_id").distinct(), "parent_id", "left_semi"), "parent_id"), asked, ["node_id"], "parent_id").select(
+            "node_id", "text", "reason")
+
+    placed(childless).write.parquet(f"{folder}/log/round=0")
+    no = 0
+    while found := [rows for rows in (cuts(no), wholes(no)) if rows is not None]:
         no += 1
-        cut.select("node_id", "text", "reason").unionByName(whole).write.parquet(f"{folder}/log/round={no}")
-        if log(no).isEmpty():
-            break
+        placed(reduce(DataFrame.unionByName, found)).write.parquet(f"{folder}/log/round={no}")
     settled = log()
     # What no round could reach hangs below a cycle, a reject, or a missing parent.
-    left = nodes.select("node_id").join(settled, "node_id", "left_anti").select("node_id", F.lit("unresolvable").alias("reason"))
+    left = shape.select("node_id").join(settled.select("node_id"), "node_id", "left_anti").select("node_id", F.lit("unresolvable").alias("reason"))
     return (settled.where("reason IS NULL").select("node_id", "text"),
             settled.where("reason IS NOT NULL").select("node_id", "reason").unionByName(left))
 

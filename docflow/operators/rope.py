@@ -57,9 +57,11 @@ def cut_spans(rope: DataFrame, spans: DataFrame, keys: list[str], key: str, segm
     hi = F.least(F.col("start") + F.col("length") - F.col("seg") * segment, F.lit(segment))
     part = F.substring(F.col("part"), (lo + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int"))
     bad = (F.col("start") < 0) | (F.col("length") < 0) | F.col("total").isNull() | (F.col("start") + F.col("length") > F.col("total"))
-    cut = met.groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", part.alias("t")))), lambda x: x["t"]), "").alias("_joined"),
-        F.bool_or(bad).alias("_bad"))
+    # Cut before grouping, so that no row of a span carries its segment on.
+    pieces = met.select(*keys, "seg", part.alias("t"), bad.alias("_out"))
+    cut = pieces.groupBy(*keys).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", "t"))), lambda x: x["t"]), "").alias("_joined"),
+        F.bool_or("_out").alias("_bad"))
     return cut.select(*keys, F.when(~F.col("_bad"), F.col("_joined")).alias("text"), F.when(F.col("_bad"), F.lit("span_out_of_range")).alias("reason"))
 
 

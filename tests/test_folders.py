@@ -10,3 +10,18 @@ def test_streams_over_folders(spark, tmp_path):
     rows = lambda name: sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()))
     assert rows("incremental_merge") == rows("merge_chunks_200") and len(rows("incremental_merge")) == 20
     assert rows("job_status_stream") == rows("job_progress") and rows("job_progress")
+
+
+def test_spans_leave_their_segment_behind(spark, tmp_path):
+    """Many spans of one long text: what is grouped are the pieces, not a segment for each of them."""
+    from pyspark.sql import functions as F
+
+    from docflow.operators.rope import cut_spans, rope_of_cells
+
+    texts = spark.createDataFrame([(1, "ab" * 30)], "k int, text string")
+    spans = spark.range(6).select(F.col("id").alias("n"), F.lit(1).alias("k"), (F.col("id") * 5).cast("int").alias("start"), F.lit(4).alias("length"))
+    cut = cut_spans(rope_of_cells(texts, "k", segment=7), spans, ["n"], "k", segment=7)
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    grouped = plan[plan.index("Aggregate"):].split("\n")[1]
+    assert "Project" in grouped and "AS t#" in grouped
+    assert {r.n: r.text for r in cut.collect()} == {n: ("ab" * 30)[n * 5:n * 5 + 4] for n in range(6)}
