@@ -25,3 +25,18 @@ def test_spans_leave_their_segment_behind(spark, tmp_path):
     grouped = plan[plan.index("Aggregate"):].split("\n")[1]
     assert "Project" in grouped and "AS t#" in grouped
     assert {r.n: r.text for r in cut.collect()} == {n: ("ab" * 30)[n * 5:n * 5 + 4] for n in range(6)}
+
+
+def test_levels_read_their_own_texts_only(spark, monkeypatch):
+    """A level of a tree is put together from the texts of the level below, without reading those under it again."""
+    from docflow.operators import content as C
+
+    tree = [("D", None, None, 0, None, "parts"), *[(f"D/{i}", "D", "parts", i, None, "lines") for i in range(2)],
+            *[(f"D/{i}/{j}", f"D/{i}", "lines", j, f"{i}{j} ", None) for i in range(2) for j in range(3)]]
+    nodes = spark.createDataFrame([(n, p, g, i, c, None, None, cg) for n, p, g, i, c, cg in tree],
+                                  "node_id string, parent_id string, chunk_group string, idx int, content string, start int, length int, content_chunk_group string")
+    read, concat = [], C.concat_ordered
+    monkeypatch.setattr(C, "concat_ordered", lambda df, *a, **k: (read.append([f for f in df.inputFiles() if "/nodes/" in f]), concat(df, *a, **k))[1])
+    texts, rejects = C.resolve_nested(nodes)
+    assert {r.node_id: r.text for r in texts.collect()}["D"] == "00 01 02 10 11 12 " and rejects.isEmpty()
+    assert len(read) == 2 and read[0] and not read[1]
