@@ -11,12 +11,15 @@ from docflow.functions.jsonx import (annotation, array_texts, bind, comment_line
                                      json_kind, member, pretty_json)
 from docflow.functions.text import trim_all
 from docflow.operators.ordering import TEXT_CELL_LIMIT, concat_ordered, dense_index, with_frames
-from docflow.operators.rope import SEGMENT, cut_spans, rope_of_cells, rope_of_rows
+from docflow.operators.rope import SEGMENT, cut_spans, rope_of_cells, rope_of_rows, rope_sha256
 from docflow.operators.tree import CHUNK, GROUP, node_key, owned, path_of
 from docflow.schemas import as_chunks
 from docflow.session import cut_lineage, work_folder
 
 
+HASHED = 4096       # characters of a part that is hashed, so that a batch of parts stays small
+
+
 # --- resolution -----------------------------------------------------------------
 
 def is_span(df: DataFrame) -> Column:
@@ -37,6 +40,11 @@ def resolve_parts(docs: DataFrame, chunks: DataFrame, segment: int = SEGMENT) ->
             .unionByName(rope_of_rows(members, "doc_id", "chunk_idx", "content", segment=segment)))
 
 
+def text_sha256(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(doc_id, sha256) of the resolved text of every document, whatever its length."""
+    return rope_sha256(resolve_parts(docs, chunks, HASHED), "doc_id")
+
+
 def _own_chunks(chunks: DataFrame) -> DataFrame:
     """Chunks of documents themselves, without chunks of chunks."""
     return chunks.where(F.coalesce("owner", F.lit("")) == "") if "owner" in chunks.columns else chunks
@@ -58,19 +66,21 @@ def resolve_docs(docs: DataFrame, chunks: DataFrame, limit: int = TEXT_CELL_LIMI
     return joined.withColumn("content", content).select(*docs.columns, F.when(content.isNull(), F.lit("text_too_long")).alias("reason"))
 
 
-def resolve_content(docs: DataFrame, chunks: DataFrame, limit: int = TEXT_CELL_LIMIT) -> tuple[DataFrame, DataFrame]:
+def resolve_content(docs: DataFrame, chunks: DataFrame, limit: int = TEXT_CELL_LIMIT,
+                    doc_limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Resolved (docs, chunks): spans are cut from the text of the node they belong to, content groups are
     joined, at every level of nesting.
 
     Rows keep all columns; ``content`` is filled and ``reason`` tells why not. Spans of a document too long for
-    one cell are cut from its rows like all others.
+    one cell are cut from its rows like all others. ``doc_limit`` is the limit of the documents' own texts, if it is
+    another one than that of chunks; ``resolve_parts`` has the longer ones.
     """
-    chunks = owned(chunks)
+    chunks, doc_limit = owned(chunks), limit if doc_limit is None else doc_limit
     deep = chunks.where("owner <> ''").select("doc_id").distinct()
     if deep.isEmpty():
-        return _resolve_flat(docs, chunks, limit)
-    flat = _resolve_flat(docs.join(deep, "doc_id", "left_anti"), chunks.join(deep, "doc_id", "left_anti"), limit)
-    tree = _resolve_tree(docs.join(deep, "doc_id", "left_semi"), chunks.join(deep, "doc_id", "left_semi"), limit)
+        return _resolve_flat(docs, chunks, doc_limit)
+    flat = _resolve_flat(docs.join(deep, "doc_id", "left_anti"), chunks.join(deep, "doc_id", "left_anti"), doc_limit)
+    tree = _resolve_tree(docs.join(deep, "doc_id", "left_semi"), chunks.join(deep, "doc_id", "left_semi"), limit, doc_limit)
     return flat[0].unionByName(tree[0]), flat[1].unionByName(tree[1])
 
 
@@ -85,16 +95,17 @@ def _resolve_flat(docs: DataFrame, chunks: DataFrame, limit: int) -> tuple[DataF
     return resolve_docs(docs, chunks, limit), joined.withColumn("content", content).select(*chunks.columns, "reason")
 
 
-def _resolve_tree(docs: DataFrame, chunks: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+def _resolve_tree(docs: DataFrame, chunks: DataFrame, limit: int, doc_limit: int) -> tuple[DataFrame, DataFrame]:
     """Documents with chunks of chunks: every document and chunk is a node, named by its path."""
     node = lambda path: node_key(F.col("doc_id"), path)
     none = lambda kind: F.lit(None).cast(kind)
     doc_rows = docs.withColumn("_node", node(F.lit("")))
     chunk_rows = chunks.withColumn("_node", node(path_of(F.col("owner"), F.col("chunk_group"), F.col("chunk_idx"))))
     nodes = doc_rows.select(F.col("_node").alias("node_id"), none("string").alias("parent_id"), none("string").alias("chunk_group"), none("int").alias("idx"),
-                            "content", none("int").alias("start"), none("int").alias("length"), "content_chunk_group").unionByName(
+                            "content", none("int").alias("start"), none("int").alias("length"), "content_chunk_group",
+                            F.lit(doc_limit).alias("most")).unionByName(
         chunk_rows.select(F.col("_node").alias("node_id"), node(F.col("owner")).alias("parent_id"), "chunk_group", F.col("chunk_idx").alias("idx"),
-                          "content", "start", "length", "content_chunk_group"))
+                          "content", "start", "length", "content_chunk_group", F.lit(limit).alias("most")))
     done, rejects = resolve_nested(nodes, limit)
     settled = done.withColumn("reason", none("string")).unionByName(rejects.withColumn("text", none("string")))
     settled = settled.withColumnRenamed("node_id", "_node")
@@ -106,7 +117,7 @@ def resolve_nested(nodes: DataFrame, limit: int = TEXT_CELL_LIMIT) -> tuple[Data
     """Resolve trees of documents inside documents.
 
     ``nodes(node_id, parent_id, chunk_group, idx, content, start, length,
-    content_chunk_group)``. A round resolves what waits for the nodes of the round before: spans of a parent
+    content_chunk_group)``, and ``most`` characters of a node's group in one cell if that is not ``limit``. A round resolves what waits for the nodes of the round before: spans of a parent
     just resolved, and content groups whose last open member is. Rounds are appended to a log that is never
     rewritten, and a text is read again only by the round that puts it into its group or cuts spans from it.
     Returns (node_id, text) and rejects (node_id, reason).
@@ -117,7 +128,8 @@ def resolve_nested(nodes: DataFrame, limit: int = TEXT_CELL_LIMIT) -> tuple[Data
             .when(F.col("content_chunk_group").isNotNull(), "group").otherwise("empty"))
     text = F.coalesce("content", F.lit(""))
     place, none = ["parent_id", "chunk_group", "idx"], F.lit(None).cast("string").alias("reason")
-    typed = nodes.select("node_id", *place, "start", "length", "content_chunk_group", kind.alias("kind"), text.alias("text"), F.length(text).alias("n"))
+    most = (F.col("most") if "most" in nodes.columns else F.lit(limit)).alias("most")
+    typed = nodes.select("node_id", *place, "start", "length", "content_chunk_group", kind.alias("kind"), most, text.alias("text"), F.length(text).alias("n"))
     # The texts at the start are written once, here; all else is found from the columns beside them.
     typed.write.parquet(f"{folder}/nodes")
     typed = spark.read.schema(typed.schema).parquet(f"{folder}/nodes")
@@ -125,7 +137,7 @@ def resolve_nested(nodes: DataFrame, limit: int = TEXT_CELL_LIMIT) -> tuple[Data
     own_place = shape.select("node_id", *place)
     # Rows carry their place along where a node is one row; where ids repeat, places are looked up by id.
     unique = shape.where("node_id IS NOT NULL").groupBy("node_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty()
-    groups = shape.where("kind = 'group'").select(F.col("node_id").alias("parent_id"), F.col("content_chunk_group").alias("chunk_group"))
+    groups = shape.where("kind = 'group'").select(F.col("node_id").alias("parent_id"), F.col("content_chunk_group").alias("chunk_group"), "most")
     members = cut_lineage(groups.join(own_place, ["parent_id", "chunk_group"]).select("parent_id", "node_id", "idx"))
     spans = shape.where("kind = 'span'").select("node_id", "parent_id", "start", "length")
     needed = members.groupBy("parent_id").agg(F.count(F.lit(1)).alias("n"))
@@ -158,11 +170,11 @@ def resolve_nested(nodes: DataFrame, limit: int = TEXT_CELL_LIMIT) -> tuple[Data
         keys = ["parent_id", "chunk_group"]
         rows = log(since).where("reason IS NULL")
         if unique:
-            texts = rows.join(ready.select(*keys), keys)
+            texts = rows.join(ready.select(*keys, "most"), keys)
         else:
-            texts = members.join(ready.select("parent_id").distinct(), "parent_id").withColumn("chunk_group", F.lit("")).join(
+            texts = members.join(ready.groupBy("parent_id").agg(F.max("most").alias("most")), "parent_id").withColumn("chunk_group", F.lit("")).join(
                 rows.select("node_id", "text", "n"), "node_id")
-        return concat_ordered(texts, keys, "idx", "text", "", "text", limit, size="n").select(
+        return concat_ordered(texts, [*keys, "most"], "idx", "text", "", "text", F.col("most"), size="n").select(
             F.col("parent_id").alias("node_id"), "text", F.when(F.col("text").isNull(), F.lit("text_too_long")).alias("reason"))
 
     def cuts(no: int) -> DataFrame | None:

@@ -67,11 +67,11 @@ def with_frames(df: DataFrame, keys: list[str], idx: str, before: int, after: in
 
 
 def concat_ordered(df: DataFrame, keys: list[str], idx: str, text: str, separator: str,
-                   out: str = "content", limit: int = TEXT_CELL_LIMIT, size: str | None = None) -> DataFrame:
+                   out: str = "content", limit: int | Column = TEXT_CELL_LIMIT, size: str | None = None) -> DataFrame:
     """Ordered string aggregation per group, in two steps: per block, then per group.
 
-    A group whose text exceeds ``limit`` characters gets NULL (its rows keep the text). ``size`` may name a column
-    with the length of ``text``; sizes are then summed without reading the texts.
+    A group whose text exceeds ``limit`` characters, a number or a column over ``keys``, gets NULL (its rows keep the
+    text). ``size`` may name a column with the length of ``text``; sizes are then summed without reading the texts.
     """
     blocked = df.withColumn("_blk", block_no(idx, TEXT_BLOCK))
     parts = blocked.groupBy(*keys, "_blk").agg(

@@ -8,6 +8,10 @@ without ever having the text in one place.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,3 +76,29 @@ def one_cell(rope: DataFrame, key: str, limit: int = TEXT_CELL_LIMIT) -> DataFra
     whole = rope.where(fits).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", "part"))), lambda x: x["part"]), "").alias("text"))
     long = rope.where(~fits & (F.col("seg") == 0)).select(key, F.lit(None).cast("string").alias("text"), F.lit("text_too_long").alias("reason"))
     return whole.withColumn("reason", F.lit(None).cast("string")).unionByName(long)
+
+
+def rope_sha256(rope: DataFrame, key: str) -> DataFrame:
+    """(key, sha256) of every text of a rope: the SHA-256 of its UTF-8, lowercase hex. A digest is a chain along the text, so
+    the parts of one text pass through one task in order; it keeps the digest's state and a batch of parts, never a text."""
+    rows = rope.select(key, "seg", "part").repartition(key).sortWithinPartitions(key, "seg").select(key, F.encode("part", "UTF-8").alias("part"))
+    schema = rows.select(key, F.lit("").alias("sha256")).schema
+
+    def found(kind: pa.DataType, ended: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in ended], kind), pa.array([d for _, d in ended], pa.string())], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest, kind = None, None, None
+        for batch in batches:
+            kind, ended = batch.column(0).type, []
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if digest is None or k != now:
+                    if digest is not None:
+                        ended.append((now, digest.hexdigest()))
+                    now, digest = k, hashlib.sha256()
+                digest.update(part.as_buffer())
+            yield found(kind, ended)
+        if digest is not None:
+            yield found(kind, [(now, digest.hexdigest())])
+
+    return rows.mapInArrow(run, schema)

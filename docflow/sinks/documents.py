@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from docflow.functions.jsonx import annotation, json_object
 from docflow.functions.text import json_string
-from docflow.operators.ordering import TEXT_CELL_LIMIT, concat_ordered
+from docflow.operators.ordering import TEXT_CELL_LIMIT, concat_ordered, running_before
 from docflow.operators.tree import CHUNK, GROUP, level_of, owned, path_of
 from docflow.session import cut_lineage
 
+PART = 1 << 20      # characters of the chunks in one part of an object
 
 def file_title(metadata: Column) -> Column:
     def name(key: str) -> Column:
@@ -30,11 +31,16 @@ def chunk_listing(chunks: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def nest_docs(docs: DataFrame, chunks: DataFrame, embeddings: DataFrame | None = None,
-              limit: int = TEXT_CELL_LIMIT) -> DataFrame:
+              limit: int = TEXT_CELL_LIMIT, part: int | None = None) -> DataFrame:
     """(doc_id, json, reason): one document object per row, chunk groups nested in order at every level.
 
     Levels are nested from the deepest up; text is concatenated block by block. A document too long for one
     cell has no JSON but reason ``document_too_large``; ``write_docs`` stores its rows instead.
+
+    With ``part`` objects have any length: where the chunks of a document or chunk have more than ``part`` characters, its
+    object comes without them, and they follow in rows of about ``part`` characters, each an object with the
+    document's ``id``, some ``chunks`` of one group and ``continues``: path (``owner``) and id (``owner_id``) of the node
+    they belong to, and the index (``at``) of the first of them. ``parse_docs`` reads both.
     """
     rows = owned(chunks).withColumn("_level", level_of(F.col("owner")))
     vectors = F.lit(None).cast("string")
@@ -50,7 +56,7 @@ def nest_docs(docs: DataFrame, chunks: DataFrame, embeddings: DataFrame | None =
               ("annotations", F.col("annotations")), ("embeddings", vectors),
               ("content_chunk_group", json_string(F.col("content_chunk_group"))))
     inner = ("chunks", F.concat(F.lit("{"), F.col("_groups"), F.lit("}")))
-    groups = None
+    groups, parts = None, []
     for level in range(rows.agg(F.max("_level")).first()[0] or 1, 0, -1):
         own = rows.where(F.col("_level") == level)
         if groups is None:
@@ -59,6 +65,11 @@ def nest_docs(docs: DataFrame, chunks: DataFrame, embeddings: DataFrame | None =
             own = (own.withColumn("_path", path_of(F.col("owner"), F.col("chunk_group"), F.col("chunk_idx")))
                    .join(groups, ["doc_id", "_path"], "left").withColumns(
                        {"_json": json_object(*fields, inner), "_large": F.coalesce("_large", F.lit(False))}))
+        if part is not None:
+            own = cut_lineage(own.select(*CHUNK, "owner_id", "_json", "_large", F.length("_json").alias("_n")))
+            large = own.groupBy("doc_id", "owner").agg(F.sum(F.col("_n") + 1).alias("_n")).where(F.col("_n") > part).select("doc_id", "owner")
+            parts.append(_parts(own.join(large, ["doc_id", "owner"], "left_semi"), part))
+            own = own.join(large, ["doc_id", "owner"], "left_anti")
         groups = _grouped(own, limit)
         if level > 1:
             groups = cut_lineage(groups)
@@ -69,7 +80,23 @@ def nest_docs(docs: DataFrame, chunks: DataFrame, embeddings: DataFrame | None =
         ("content", json_string(F.col("content"))),
         ("content_chunk_group", json_string(F.col("content_chunk_group"))),
         ("metadata", F.col("metadata")), ("annotations", F.col("annotations")), inner)
-    return full.select("doc_id", F.when(whole, text).alias("json"), F.when(~whole, F.lit("document_too_large")).alias("reason"))
+    out = full.select("doc_id", F.when(whole, text).alias("json"), F.when(~whole, F.lit("document_too_large")).alias("reason"))
+    known = docs.select("doc_id").distinct()
+    for rows in parts:
+        out = out.unionByName(rows.join(known, "doc_id", "left_semi"))
+    return out
+
+
+def _parts(rows: DataFrame, part: int) -> DataFrame:
+    """(doc_id, json, reason): the chunks ``rows(*CHUNK, owner_id, _json, _n)`` as objects of about ``part`` characters."""
+    placed = running_before(rows, GROUP, "chunk_idx", {"_before": F.col("_n") + 1, "_at": F.lit(1)})
+    runs = placed.groupBy(*GROUP, F.floor(F.col("_before") / part).alias("_run")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_json"))), lambda x: x["_json"]), ",").alias("_arr"),
+        F.min("_at").alias("_at"), F.max("owner_id").alias("owner_id"))
+    continues = json_object(("owner", json_string(F.col("owner"))), ("owner_id", json_string(F.col("owner_id"))), ("at", F.col("_at").cast("string")))
+    chunks = F.concat(F.lit("{"), json_string(F.col("chunk_group")), F.lit(":["), F.col("_arr"), F.lit("]}"))
+    text = json_object(("id", json_string(F.col("doc_id"))), ("continues", continues), ("chunks", chunks))
+    return runs.select("doc_id", text.alias("json"), F.lit(None).cast("string").alias("reason"))
 
 
 def _grouped(rows: DataFrame, limit: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import random
 
@@ -9,9 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from docflow.operators import chunking as K, content as C
-from docflow.operators.rope import cut_spans, one_cell, rope_of_cells, rope_of_rows
+from docflow.operators.rope import cut_spans, one_cell, rope_of_cells, rope_of_rows, rope_sha256
 from docflow.operators.tree import docs_as_nodes, node_key, nodes_as_docs, owned
 from docflow.plans.prompts import with_context
+from docflow.session import cut_lineage
 from docflow.sinks.documents import nest_docs
 from docflow.sources.docjson import parse_docs, parse_embeddings
 
@@ -116,6 +118,39 @@ def test_too_large_inner_nodes(spark, tmp_path):
     assert rows == {"M": (True, "document_too_large"), "S": (False, None)}
 
 
+def test_objects_in_parts(spark):
+    part = 300
+    wide = {"id": "W", "content_chunk_group": "a/b", "chunks": {"a/b": [{"id": f"W{i}", "content_chunk_group": "l", "metadata": {"n": i}, "chunks": {
+        "l": [page(f"W{i}.{k}", f"é{i}\U0001f600{k}\n") for k in range(9 * (i % 4))]}} for i in range(12)], "c": [page("z", "z")]}}
+    docs, chunks = parsed(spark, wide, MASTER, {"id": "E"}, {"id": "F", "content": "one", "chunks": {"a": [page("x", "1")]}})
+    docs, chunks = cut_lineage(docs), cut_lineage(chunks)
+    objects = cut_lineage(nest_docs(docs, chunks, part=part))
+    rows = objects.collect()
+    assert len(rows) > 20 and max(len(r.json) for r in rows) < 3 * part and {r.reason for r in rows} == {None}
+    # Parts of the document and of its chunks.
+    assert {json.loads(r.json).get("continues", {}).get("owner", "none") for r in rows} >= {"none", "", "a%2Fb@1"}
+    back_docs, back, rejects = parse_docs(objects.select("json"))
+    assert rejects.isEmpty()
+    assert sorted(map(str, back_docs.collect())) == sorted(map(str, docs.collect()))
+    assert sorted(map(str, back.collect())) == sorted(map(str, chunks.collect()))
+
+
+def test_texts_of_documents_too_long_for_a_cell(spark):
+    docs, chunks = parsed(spark, MASTER, {"id": "F", "content": "flat", "chunks": {"s": [{"id": "s0", "start": 1, "length": 2}]}})
+    whole, inner = C.resolve_content(docs, chunks, doc_limit=7)
+    assert {r.doc_id: (r.content, r.reason) for r in whole.collect()} == {"M": (None, "text_too_long"), "F": ("flat", None)}
+    assert {r.chunk_id: r.content for r in inner.collect()}["A"] == "a0 a1 "
+    assert {r.doc_id: r.sha256 for r in C.text_sha256(whole, inner).collect()} == {
+        "M": hashlib.sha256(b"a0 a1 b0 b1 ").hexdigest(), "F": hashlib.sha256(b"flat").hexdigest()}
+
+
+@pytest.mark.parametrize("segment", [1, 3, 1000])
+def test_digests_along_ropes(spark, segment):
+    texts = {f"k{i}": "aé\U0001f600\n"[:i % 5] * i for i in range(30)}
+    rope = rope_of_cells(spark.createDataFrame(list(texts.items()), "k string, text string"), "k", segment=segment)
+    assert {r.k: r.sha256 for r in rope_sha256(rope, "k").collect()} == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in texts.items()}
+
+
 def test_node_keys(spark):
     rows = spark.createDataFrame([("d", "", "d"), ('["x', "", '["x'), ("d", 'g"@0/h@1', "i")], "doc_id string, owner string, owner_id string")
     assert sorted(map(tuple, docs_as_nodes(nodes_as_docs(rows)).collect())) == sorted(map(tuple, rows.collect()))
