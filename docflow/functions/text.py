@@ -85,7 +85,25 @@ def register_bpe(name: str, load: Callable[[], object]) -> None:
             return [enc.decode_single_token_bytes(t).decode("latin-1") for t in enc.encode(text)]
         return texts.map(one)
 
+    @F.pandas_udf("array<string>")
+    def slices(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        enc, pieces = encoder(), {}
+
+        def piece(token: int) -> bytes:
+            if token not in pieces:
+                pieces[token] = enc.decode_single_token_bytes(token)
+            return pieces[token]
+
+        def one(text, los, his):
+            if text is None:
+                return None
+            found = list(map(piece, enc.encode(text)))
+            return [b"".join(found[lo:hi]).decode("latin-1") for lo, hi in zip(los.tolist(), his.tolist())]
+        return pd.Series([one(*row) for row in zip(texts, starts, ends)], dtype=object)
+
     register_encoding(name, lambda c: count(c), lambda c: tokens(c))
+    # The texts of slices are put together in Python, so that no token is a value of its own on the way to the JVM.
+    _ENCODINGS[name].slices = lambda c, ranges: slices(c, F.transform(ranges, lambda r: r["lo"]), F.transform(ranges, lambda r: r["hi"]))
     _ENCODINGS[name].join = lambda parts: F.make_valid_utf8(F.encode(F.array_join(parts, ""), "ISO-8859-1").cast("string"))
 
 
@@ -123,6 +141,16 @@ def tokens(col: Column, name: str = "words") -> Column:
     return encoding(name).tokens(col)
 
 
+def token_slices(col: Column, ranges: Column, name: str = "words") -> Column:
+    """The texts of the tokens ``lo`` to ``hi`` (exclusive) of a text, for each of ``ranges(lo, hi)``; NULL stays NULL."""
+    enc = encoding(name)
+    if hasattr(enc, "slices"):
+        return F.transform(enc.slices(col, ranges), lambda t: join_tokens(F.array(t), name))
+    # The one-element array binds the token list once for all ranges.
+    return F.transform(F.array(tokens(col, name)), lambda toks: F.transform(ranges, lambda r: join_tokens(
+        F.slice(toks, (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")), name)))[0]
+
+
 def join_tokens(parts: Column, name: str = "words") -> Column:
     enc = encoding(name)
     return enc.join(parts) if hasattr(enc, "join") else F.array_join(parts, "")

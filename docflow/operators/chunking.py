@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docflow.functions.text import join_tokens, token_count, tokens
+from docflow.functions.text import join_tokens, token_count, token_slices, tokens
 from docflow.operators.ordering import BLOCK, block_no, running_before
 from docflow.operators.tree import docs_as_nodes, level_of, nodes_as_docs
 from docflow.schemas import as_chunks
@@ -245,13 +245,12 @@ def _pieces_overlap(counted: DataFrame, limit: int, overlap: int, block: int) ->
 
 def _cut(content: Column, pieces: Column, n: Column, encoding: str) -> Column:
     """Text of each piece of one chunk; the text is tokenised only where it is cut."""
+    uncut = (F.size(pieces) == 1) & (pieces[0]["lo"] == 0) & (pieces[0]["hi"] == n)
     whole = F.array(F.struct(pieces[0]["out"].alias("out"), n.alias("k"), content.alias("t")))
-    # The one-element array binds the token list once for all pieces.
-    cut = F.transform(F.array(tokens(content, encoding)), lambda toks: F.transform(pieces, lambda p: F.struct(
-        p["out"].alias("out"), (p["hi"] - p["lo"]).alias("k"),
-        join_tokens(F.slice(toks, (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")),
-                    encoding).alias("t"))))[0]
-    return F.when((F.size(pieces) == 1) & (pieces[0]["lo"] == 0) & (pieces[0]["hi"] == n), whole).otherwise(cut)
+    # An encoding may be a Python function, which is called for the rows of both branches: those left whole are NULL to it.
+    texts = token_slices(F.when(~uncut, content), pieces, encoding)
+    cut = F.zip_with(pieces, texts, lambda p, t: F.struct(p["out"].alias("out"), (p["hi"] - p["lo"]).alias("k"), t.alias("t")))
+    return F.when(uncut, whole).otherwise(cut)
 
 
 def merge_chunks(chunks: DataFrame, max_tokens: int, group: str = "pages", encoding: str = "words",

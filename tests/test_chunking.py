@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docflow.functions.text import _word_count, _word_tokens, join_tokens, register_encoding, token_count, tokens
+from docflow.functions.text import _word_count, _word_tokens, join_tokens, register_bpe, register_encoding, token_count, token_slices, tokens
 from docflow.operators import chunking as K
 from docflow.schemas import as_chunks
 
@@ -184,3 +184,21 @@ def test_one_value_in_all_rows_is_dealt(spark):
     assert len(sizes) >= 14 and sizes[-1] < 2 * sizes[len(sizes) // 2]
     rows = dense_index(df, ["k"], "o", "i", parts=16).orderBy("i").collect()
     assert [r.i for r in rows] == list(range(4000)) and [r.o for r in rows] == sorted(r.o for r in rows)
+
+
+def test_slices_of_byte_pairs_are_those_of_their_tokens(spark):
+    """Only texts that are cut reach the encoder, and no token comes back as a value of its own."""
+    class Bytes:
+        encode = staticmethod(lambda text: [1000 + 1 / 0] if text.startswith("whole") else list(text.encode()))
+        decode_single_token_bytes = staticmethod(lambda i: bytes([i]))
+
+    register_bpe("slices_of_bytes", lambda: Bytes)
+    texts = ["aé\U0001f600b", "", None, "xyz" * 20]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn(
+        "r", F.array(*[F.struct(F.lit(lo).cast("long").alias("lo"), F.lit(hi).cast("long").alias("hi")) for lo, hi in ((0, 2), (2, 5), (5, 90))]))
+    direct = F.transform("r", lambda r: F.make_valid_utf8(F.substring(F.encode("t", "UTF-8"), (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")).cast("string")))
+    for got, want in rows.select(token_slices(F.col("t"), F.col("r"), "slices_of_bytes"), F.when(F.col("t").isNotNull(), direct)).collect():
+        assert got == want
+    pieces = F.array(F.struct(F.lit(0).cast("long").alias("out"), F.lit(0).cast("long").alias("lo"), F.lit(7).cast("long").alias("hi")))
+    whole = spark.createDataFrame([("whole 1",)], "t string").select(K._cut(F.col("t"), pieces, F.lit(7).cast("long"), "slices_of_bytes").alias("c"))
+    assert [tuple(x) for x in whole.first().c] == [(0, 7, "whole 1")]
