@@ -12,7 +12,10 @@ COLUMNS = {
     "op5_language": ["doc_id", "held_out", "lang_pred", "score"],
     "op6_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"], "op7_decontamination": ["doc_id", "item_id"],
     "op8_warc": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], "op9_jaccard_join": ["doc_id", "n_shingles", "component_id"],
-    "op10_substring_dedup": ["doc_id", "n_words", "n_removed", "kept_sha256"]}
+    "op10_substring_dedup": ["doc_id", "n_words", "n_removed", "kept_sha256"],
+    "op11_spot_signatures": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+    "op12_filter_audit": ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"],
+    "op13_token_alignment": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
