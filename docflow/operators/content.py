@@ -14,7 +14,7 @@ from docflow.operators.ordering import TEXT_CELL_LIMIT, concat_ordered, dense_in
 from docflow.operators.rope import SEGMENT, cut_spans, rope_of_cells, rope_of_rows, rope_sha256
 from docflow.operators.tree import CHUNK, GROUP, node_key, owned, path_of
 from docflow.schemas import as_chunks
-from docflow.session import cut_lineage, work_folder
+from docflow.session import small, stored, work_folder, written
 
 
 HASHED = 4096       # characters of a part that is hashed, so that a batch of parts stays small
@@ -29,20 +29,38 @@ def is_span(df: DataFrame) -> Column:
 def resolve_parts(docs: DataFrame, chunks: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """The resolved text of every document as a rope (doc_id, seg, part, total), whatever its length: its own content,
     else its content group's chunks in order, else the empty text."""
+    cells, members = _text_rows(docs, chunks, _grouped(docs))
+    return (rope_of_cells(cells, "doc_id", segment=segment)
+            .unionByName(rope_of_rows(members, "doc_id", "chunk_idx", "content", segment=segment)))
+
+
+def text_sha256(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(doc_id, sha256) of the resolved text of every document, whatever its length.
+
+    A digest needs no segments of one length: every row is cut for itself, and its pieces go in their order straight to
+    the task of their text."""
+    cells, members = _text_rows(docs, chunks, stored(_grouped(docs)))
+    last = F.floor(F.greatest(F.length("part") - 1, F.lit(0)) / HASHED).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("n"), F.substring(F.col("part"), i * HASHED + 1, F.lit(HASHED)).alias("part")))
+    rows = cells.where("text IS NOT NULL").select("doc_id", F.lit(0).alias("i"), F.col("text").alias("part")).unionByName(
+        members.select("doc_id", F.col("chunk_idx").alias("i"), F.coalesce("content", F.lit("")).alias("part")))
+    cut = rows.select("doc_id", "i", F.explode(pieces).alias("p"))
+    return rope_sha256(cut.select("doc_id", F.struct("i", "p.n").alias("seg"), "p.part"), "doc_id")
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, chunk_group) of the documents whose text is that of a group."""
+    return docs.where(F.col("content").isNull() & F.col("content_chunk_group").isNotNull()).select("doc_id", F.col("content_chunk_group").alias("chunk_group"))
+
+
+def _text_rows(docs: DataFrame, chunks: DataFrame, grouped: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts (doc_id, text) of the documents that have them in a cell, and the chunks of all others."""
     content_group = F.col("content_chunk_group")
-    grouped = docs.where(F.col("content").isNull() & content_group.isNotNull()).select("doc_id", content_group.alias("chunk_group"))
     members = _own_chunks(chunks).join(grouped, ["doc_id", "chunk_group"], "left_semi")
     # A document whose group has no rows has the empty text.
     found = members.select("doc_id").distinct()
     cells = docs.select("doc_id", F.when(F.col("content").isNotNull() | content_group.isNull(), F.coalesce("content", F.lit(""))).alias("text"))
-    empty = grouped.join(found, "doc_id", "left_anti").select("doc_id", F.lit("").alias("text"))
-    return (rope_of_cells(cells.unionByName(empty), "doc_id", segment=segment)
-            .unionByName(rope_of_rows(members, "doc_id", "chunk_idx", "content", segment=segment)))
-
-
-def text_sha256(docs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(doc_id, sha256) of the resolved text of every document, whatever its length."""
-    return rope_sha256(resolve_parts(docs, chunks, HASHED), "doc_id")
+    return cells.unionByName(grouped.join(found, "doc_id", "left_anti").select("doc_id", F.lit("").alias("text"))), members
 
 
 def _own_chunks(chunks: DataFrame) -> DataFrame:
@@ -67,20 +85,21 @@ def resolve_docs(docs: DataFrame, chunks: DataFrame, limit: int = TEXT_CELL_LIMI
 
 
 def resolve_content(docs: DataFrame, chunks: DataFrame, limit: int = TEXT_CELL_LIMIT,
-                    doc_limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+                    doc_limit: int | None = None, files: bool = False) -> tuple[DataFrame, DataFrame]:
     """Resolved (docs, chunks): spans are cut from the text of the node they belong to, content groups are
     joined, at every level of nesting.
 
     Rows keep all columns; ``content`` is filled and ``reason`` tells why not. Spans of a document too long for
     one cell are cut from its rows like all others. ``doc_limit`` is the limit of the documents' own texts, if it is
-    another one than that of chunks; ``resolve_parts`` has the longer ones.
+    another one than that of chunks; ``resolve_parts`` has the longer ones. ``files`` says that both tables lie in files, so
+    their texts are not written again.
     """
     chunks, doc_limit = owned(chunks), limit if doc_limit is None else doc_limit
-    deep = chunks.where("owner <> ''").select("doc_id").distinct()
+    deep = stored(chunks.where("owner <> ''").select("doc_id").distinct())
     if deep.isEmpty():
         return _resolve_flat(docs, chunks, doc_limit)
     flat = _resolve_flat(docs.join(deep, "doc_id", "left_anti"), chunks.join(deep, "doc_id", "left_anti"), doc_limit)
-    tree = _resolve_tree(docs.join(deep, "doc_id", "left_semi"), chunks.join(deep, "doc_id", "left_semi"), limit, doc_limit)
+    tree = _resolve_tree(docs.join(deep, "doc_id", "left_semi"), chunks.join(deep, "doc_id", "left_semi"), limit, doc_limit, files)
     return flat[0].unionByName(tree[0]), flat[1].unionByName(tree[1])
 
 
@@ -95,7 +114,7 @@ def _resolve_flat(docs: DataFrame, chunks: DataFrame, limit: int) -> tuple[DataF
     return resolve_docs(docs, chunks, limit), joined.withColumn("content", content).select(*chunks.columns, "reason")
 
 
-def _resolve_tree(docs: DataFrame, chunks: DataFrame, limit: int, doc_limit: int) -> tuple[DataFrame, DataFrame]:
+def _resolve_tree(docs: DataFrame, chunks: DataFrame, limit: int, doc_limit: int, files: bool) -> tuple[DataFrame, DataFrame]:
     """Documents with chunks of chunks: every document and chunk is a node, named by its path."""
     node = lambda path: node_key(F.col("doc_id"), path)
     none = lambda kind: F.lit(None).cast(kind)
@@ -106,11 +125,24 @@ def _resolve_tree(docs: DataFrame, chunks: DataFrame, limit: int, doc_limit: int
                             F.lit(doc_limit).alias("most")).unionByName(
         chunk_rows.select(F.col("_node").alias("node_id"), node(F.col("owner")).alias("parent_id"), "chunk_group", F.col("chunk_idx").alias("idx"),
                           "content", "start", "length", "content_chunk_group", F.lit(limit).alias("most")))
-    done, rejects = resolve_nested(nodes, limit)
-    settled = done.withColumn("reason", none("string")).unionByName(rejects.withColumn("text", none("string")))
-    settled = settled.withColumnRenamed("node_id", "_node")
-    filled = lambda rows: rows.drop("content").join(settled, "_node", "left").withColumnRenamed("text", "content")
-    return filled(doc_rows).select(*docs.columns, "reason"), filled(chunk_rows).select(*chunks.columns, "reason")
+    start, logged, shape, unique = _settle(nodes, limit, files)
+
+    def filled(rows: DataFrame, top: bool) -> DataFrame:
+        if not unique:
+            done, rejects = _outcome(start, logged, shape)
+            settled = done.withColumn("reason", none("string")).unionByName(rejects.withColumn("text", none("string")))
+            return rows.drop("content").join(settled.withColumnRenamed("node_id", "_node"), "_node", "left").withColumnRenamed("text", "content")
+        # Rows that had their text at the start have it still; only what the rounds made is joined.
+        kind = _kind(rows["content"], F.lit(None) if top else node(F.col("owner")), *([none("int")] * 2 if top else [rows["start"], rows["length"]]), rows["content_chunk_group"])
+        known, named = kind.isin("own", "empty"), F.col("_node").isNotNull()
+        made = logged.where(F.col("parent_id").isNull() if top else F.col("parent_id").isNotNull()).select(
+            F.col("node_id").alias("_node"), "text", "reason", F.lit(True).alias("_made"))
+        own = rows.where(known).withColumn("content", F.when(named, F.coalesce("content", F.lit("")))).withColumn("reason", none("string"))
+        late = rows.where(~known).drop("content").join(made, "_node", "left").withColumnRenamed("text", "content").withColumn(
+            "reason", F.when(F.col("_made").isNull() & named, F.lit("unresolvable")).otherwise(F.col("reason")))
+        return own.unionByName(late.drop("_made"))
+
+    return filled(doc_rows, True).select(*docs.columns, "reason"), filled(chunk_rows, False).select(*chunks.columns, "reason")
 
 
 def resolve_nested(nodes: DataFrame, limit: int = TEXT_CELL_LIMIT) -> tuple[DataFrame, DataFrame]:
@@ -122,35 +154,58 @@ def resolve_nested(nodes: DataFrame, limit: int = TEXT_CELL_LIMIT) -> tuple[Data
     rewritten, and a text is read again only by the round that puts it into its group or cuts spans from it.
     Returns (node_id, text) and rejects (node_id, reason).
     """
+    return _outcome(*_settle(nodes, limit)[:3])
+
+
+def _outcome(start: DataFrame, logged: DataFrame, shape: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node_id, text) and rejects (node_id, reason)."""
+    # What no round could reach hangs below a cycle, a reject, or a missing parent.
+    left = shape.select("node_id").join(start.select("node_id").unionByName(logged.select("node_id")), "node_id", "left_anti").select(
+        "node_id", F.lit("unresolvable").alias("reason"))
+    return (start.unionByName(logged).where("reason IS NULL").select("node_id", "text"),
+            logged.where("reason IS NOT NULL").select("node_id", "reason").unionByName(left))
+
+
+def _kind(content: Column, parent_id: Column, start: Column, length: Column, group: Column) -> Column:
+    """Where the text of a node comes from."""
+    span = content.isNull() & parent_id.isNotNull() & start.isNotNull() & length.isNotNull()
+    return F.when(content.isNotNull(), "own").when(span, "span").when(group.isNotNull(), "group").otherwise("empty")
+
+
+def _settle(nodes: DataFrame, limit: int, files: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """Rounds of ``resolve_nested``: texts there were at the start and texts and rejects of the rounds, both with the place of their
+    node, all nodes without texts, and whether ids name one node each; if not, rounds give no places."""
     spark, folder = nodes.sparkSession, work_folder(nodes.sparkSession)
-    span = F.col("content").isNull() & F.col("parent_id").isNotNull() & F.col("start").isNotNull() & F.col("length").isNotNull()
-    kind = (F.when(F.col("content").isNotNull(), "own").when(span, "span")
-            .when(F.col("content_chunk_group").isNotNull(), "group").otherwise("empty"))
+    kind = _kind(*[F.col(c) for c in ("content", "parent_id", "start", "length", "content_chunk_group")])
     text = F.coalesce("content", F.lit(""))
     place, none = ["parent_id", "chunk_group", "idx"], F.lit(None).cast("string").alias("reason")
     most = (F.col("most") if "most" in nodes.columns else F.lit(limit)).alias("most")
     typed = nodes.select("node_id", *place, "start", "length", "content_chunk_group", kind.alias("kind"), most, text.alias("text"), F.length(text).alias("n"))
-    # The texts at the start are written once, here; all else is found from the columns beside them.
-    typed.write.parquet(f"{folder}/nodes")
-    typed = spark.read.schema(typed.schema).parquet(f"{folder}/nodes")
-    shape = cut_lineage(typed.drop("text", "n"))
+    if not files:
+        # The texts at the start are written once, here; all else is found from the columns beside them.
+        typed = written(typed, f"{folder}/nodes")
+    shape = stored(typed.drop("text"))
     own_place = shape.select("node_id", *place)
     # Rows carry their place along where a node is one row; where ids repeat, places are looked up by id.
-    unique = shape.where("node_id IS NOT NULL").groupBy("node_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty()
+    unique = stored(shape.where("node_id IS NOT NULL").groupBy("node_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")).isEmpty()
     groups = shape.where("kind = 'group'").select(F.col("node_id").alias("parent_id"), F.col("content_chunk_group").alias("chunk_group"), "most")
-    members = cut_lineage(groups.join(own_place, ["parent_id", "chunk_group"]).select("parent_id", "node_id", "idx"))
+    members = stored(groups.join(own_place, ["parent_id", "chunk_group"]).select("parent_id", "node_id", "idx"))
     spans = shape.where("kind = 'span'").select("node_id", "parent_id", "start", "length")
+    spanned = not spans.isEmpty()
     needed = members.groupBy("parent_id").agg(F.count(F.lit(1)).alias("n"))
     childless = groups.join(members, "parent_id", "left_anti").select(F.col("parent_id").alias("node_id"), F.lit("").alias("text"), none)
     columns = ["node_id", "text", "reason", *place, "n"]
-    start = typed.where("kind in ('own', 'empty')").select("node_id", "text", none, *place, "n")
+    at_start = F.col("kind").isin("own", "empty")
+    start = typed.where(at_start).select("node_id", "text", none, *place, "n")
     LOG = ", ".join(f"{c} {start.schema[c].dataType.simpleString()}" for c in columns)
     whole_log = lambda since: spark.read.schema(f"{LOG}, round int").parquet(f"{folder}/log").where(F.col("round") >= since).select(*columns)
 
-    def log(since: int = 0, no: int | None = None) -> DataFrame:
-        """Texts of the rounds from ``since`` on, or of round ``no``."""
+    def log(since: int = 0, no: int | None = None, texts: bool = True) -> DataFrame:
+        """Texts of the rounds from ``since`` on, or of round ``no``; without ``texts`` all but these."""
         rows = whole_log(since) if no is None else spark.read.schema(LOG).parquet(f"{folder}/log/round={no}")
-        return start.unionByName(rows) if not (since if no is None else no) else rows
+        first = start if texts else shape.where(at_start).select("node_id", none, *place, "n")
+        rows = rows if texts else rows.drop("text")
+        return first.unionByName(rows) if not (since if no is None else no) else rows
 
     def placed(rows: DataFrame) -> DataFrame:
         found = rows.join(own_place, "node_id", "left") if unique else rows.withColumns({c: F.lit(None).cast(start.schema[c].dataType) for c in place})
@@ -158,44 +213,48 @@ def resolve_nested(nodes: DataFrame, limit: int = TEXT_CELL_LIMIT) -> tuple[Data
 
     def wholes(no: int) -> DataFrame | None:
         """Texts of the groups whose last open member came in round ``no``."""
-        came = members.join(log(no=no).where("reason IS NULL").select("node_id"), "node_id", "left_semi").groupBy("parent_id").agg(F.count(F.lit(1)).alias("came"))
-        came.write.parquet(f"{folder}/counts/round={no}")
+        came = members.join(log(no=no, texts=False).where("reason IS NULL").select("node_id"), "node_id", "left_semi").groupBy("parent_id").agg(F.count(F.lit(1)).alias("came"))
+        written(came, f"{folder}/counts/round={no}")
         counts = spark.read.schema("parent_id string, came long, round int").parquet(f"{folder}/counts")
         so_far = counts.join(counts.where(F.col("round") == no).select("parent_id"), "parent_id", "left_semi").groupBy("parent_id").agg(
             F.sum("came").alias("came"), F.min("round").alias("since"))
-        ready = cut_lineage(so_far.join(needed, "parent_id").where("came = n").select("parent_id", "since").join(groups.distinct(), "parent_id"))
+        ready = stored(so_far.join(needed, "parent_id").where("came = n").select("parent_id", "since").join(groups.distinct(), "parent_id"))
         since = ready.agg(F.min("since")).first()[0]
         if since is None:
             return None
         keys = ["parent_id", "chunk_group"]
         rows = log(since).where("reason IS NULL")
-        if unique:
-            texts = rows.join(ready.select(*keys, "most"), keys)
-        else:
+        if not unique:
             texts = members.join(ready.groupBy("parent_id").agg(F.max("most").alias("most")), "parent_id").withColumn("chunk_group", F.lit("")).join(
                 rows.select("node_id", "text", "n"), "node_id")
-        return concat_ordered(texts, [*keys, "most"], "idx", "text", "", "text", F.col("most"), size="n").select(
-            F.col("parent_id").alias("node_id"), "text", F.when(F.col("text").isNull(), F.lit("text_too_long")).alias("reason"))
+            return placed(concat_ordered(texts, [*keys, "most"], "idx", "text", "", "text", F.col("most"), size="n").select(
+                F.col("parent_id").alias("node_id"), "text", F.when(F.col("text").isNull(), F.lit("text_too_long")).alias("reason")))
+        # Sizes and places are found apart from the texts, so texts move once, and those of a group too long for a cell not at all.
+        sizes = log(since, texts=False).where("reason IS NULL").join(ready.select(*keys), keys).groupBy(*keys).agg(F.sum("n").alias("n"))
+        own = own_place.select(F.col("node_id").alias("parent_id"), F.struct(*place).alias("own"))
+        sized = stored(ready.select(*keys, "most").join(sizes, keys).join(own, "parent_id").select(*keys, "own", (F.col("n") <= F.col("most")).alias("fits")))
+        fits, n = sized.where("fits").select(*keys, "own"), sized.where("fits").count()
+        found = sized.where("NOT fits").select(F.col("parent_id").alias("node_id"), F.lit(None).cast("string").alias("text"), F.lit("text_too_long").alias("reason"), "own")
+        if n:
+            texts = rows.select(*keys, "idx", "text").join(small(fits, n) if n <= 10_000 else fits.hint("merge"), keys).repartition(*keys)
+            found = found.unionByName(concat_ordered(texts, [*keys, "own"], "idx", "text", "", "text", None).select(F.col("parent_id").alias("node_id"), "text", none, "own"))
+        return found.select("node_id", "text", "reason", *[f"own.{c}" for c in place], F.length("text").alias("n"))
 
     def cuts(no: int) -> DataFrame | None:
         """Texts of the spans of nodes that came in round ``no``."""
-        fresh = log(no=no).where("reason IS NULL").select(F.col("node_id").alias("parent_id"), "text")
-        asked = cut_lineage(spans.join(fresh.select("parent_id"), "parent_id", "left_semi"))
+        asked = stored(spans.join(log(no=no, texts=False).where("reason IS NULL").select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi"))
         if asked.isEmpty():
             return None
-        return cut_spans(rope_of_cells(fresh.join(asked.select("parent_id").distinct(), "parent_id", "left_semi"), "parent_id"), asked, ["node_id"], "parent_id").select(
-            "node_id", "text", "reason")
+        fresh = log(no=no).where("reason IS NULL").select(F.col("node_id").alias("parent_id"), "text")
+        return placed(cut_spans(rope_of_cells(fresh.join(asked.select("parent_id").distinct(), "parent_id", "left_semi"), "parent_id"), asked, ["node_id"], "parent_id").select(
+            "node_id", "text", "reason"))
 
-    placed(childless).write.parquet(f"{folder}/log/round=0")
+    written(placed(childless), f"{folder}/log/round=0")
     no = 0
-    while found := [rows for rows in (cuts(no), wholes(no)) if rows is not None]:
+    while found := [rows for rows in (cuts(no) if spanned else None, wholes(no)) if rows is not None]:
         no += 1
-        placed(reduce(DataFrame.unionByName, found)).write.parquet(f"{folder}/log/round={no}")
-    settled = log()
-    # What no round could reach hangs below a cycle, a reject, or a missing parent.
-    left = shape.select("node_id").join(settled.select("node_id"), "node_id", "left_anti").select("node_id", F.lit("unresolvable").alias("reason"))
-    return (settled.where("reason IS NULL").select("node_id", "text"),
-            settled.where("reason IS NOT NULL").select("node_id", "reason").unionByName(left))
+        written(reduce(DataFrame.unionByName, found), f"{folder}/log/round={no}")
+    return start, whole_log(0), shape, unique
 
 
 # --- combination and order --------------------------------------------------------

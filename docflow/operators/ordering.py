@@ -67,22 +67,25 @@ def with_frames(df: DataFrame, keys: list[str], idx: str, before: int, after: in
 
 
 def concat_ordered(df: DataFrame, keys: list[str], idx: str, text: str, separator: str,
-                   out: str = "content", limit: int | Column = TEXT_CELL_LIMIT, size: str | None = None) -> DataFrame:
+                   out: str = "content", limit: int | Column | None = TEXT_CELL_LIMIT, size: str | None = None) -> DataFrame:
     """Ordered string aggregation per group, in two steps: per block, then per group.
 
     A group whose text exceeds ``limit`` characters, a number or a column over ``keys``, gets NULL (its rows keep the
-    text). ``size`` may name a column with the length of ``text``; sizes are then summed without reading the texts.
+    text); None if the caller has left out such groups. ``size`` may name a column with the length of ``text``; sizes are then summed without reading the texts.
     """
     blocked = df.withColumn("_blk", block_no(idx, TEXT_BLOCK))
     parts = blocked.groupBy(*keys, "_blk").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"),
                                                                       F.col(text).alias("t")))),
                                  lambda x: x["t"]), separator).alias("_text"))
+    joined = lambda rows: rows.groupBy(*keys).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_blk", "_text"))), lambda x: x["_text"]), separator).alias(out))
+    if limit is None:
+        return joined(parts)
     # Sizes are summed apart from the texts, so the text of a group too long for a cell is never moved.
     over = (df.groupBy(*keys).agg(F.sum((F.col(size) if size else F.length(text)) + len(separator)).alias("_n"))
             .where(F.col("_n") > limit).select(*keys))
-    whole = parts.join(over, keys, "left_anti").groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_blk", "_text"))), lambda x: x["_text"]), separator).alias(out))
+    whole = joined(parts.join(over, keys, "left_anti"))
     return whole.unionByName(over.withColumn(out, F.lit(None).cast("string")))
 
 

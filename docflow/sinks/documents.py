@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.functions.jsonx import annotation, json_object
 from docflow.functions.text import json_string
-from docflow.operators.ordering import TEXT_CELL_LIMIT, concat_ordered, running_before
+from docflow.operators.ordering import TEXT_BLOCK, TEXT_CELL_LIMIT, block_no, block_prefix, concat_ordered
 from docflow.operators.tree import CHUNK, GROUP, level_of, owned, path_of
-from docflow.session import cut_lineage
+from docflow.session import cut_lineage, kept, small, stored
 
 PART = 1 << 20      # characters of the chunks in one part of an object
 
@@ -38,9 +38,10 @@ def nest_docs(docs: DataFrame, chunks: DataFrame, embeddings: DataFrame | None =
     cell has no JSON but reason ``document_too_large``; ``write_docs`` stores its rows instead.
 
     With ``part`` objects have any length: where the chunks of a document or chunk have more than ``part`` characters, its
-    object comes without them, and they follow in rows of about ``part`` characters, each an object with the
+    object comes without them, and they follow in rows of at most about ``part`` characters, each an object with the
     document's ``id``, some ``chunks`` of one group and ``continues``: path (``owner``) and id (``owner_id``) of the node
-    they belong to, and the index (``at``) of the first of them. ``parse_docs`` reads both.
+    they belong to, and the index (``at``) of the first of them. ``parse_docs`` reads both. A level's texts then move in
+    one shuffle, and its files are deleted when the level above is written.
     """
     rows = owned(chunks).withColumn("_level", level_of(F.col("owner")))
     vectors = F.lit(None).cast("string")
@@ -56,8 +57,12 @@ def nest_docs(docs: DataFrame, chunks: DataFrame, embeddings: DataFrame | None =
               ("annotations", F.col("annotations")), ("embeddings", vectors),
               ("content_chunk_group", json_string(F.col("content_chunk_group"))))
     inner = ("chunks", F.concat(F.lit("{"), F.col("_groups"), F.lit("}")))
-    groups, parts = None, []
-    for level in range(rows.agg(F.max("_level")).first()[0] or 1, 0, -1):
+    groups, parts, above, last = None, [], None, None
+    if part is not None:
+        above = kept(lambda: [rows])
+        rows = above[0]
+    deepest = rows.agg(F.max("_level")).first()[0] or 1
+    for level in range(deepest, 0, -1):
         own = rows.where(F.col("_level") == level)
         if groups is None:
             own = own.withColumns({"_json": json_object(*fields), "_large": F.lit(False)})
@@ -65,14 +70,28 @@ def nest_docs(docs: DataFrame, chunks: DataFrame, embeddings: DataFrame | None =
             own = (own.withColumn("_path", path_of(F.col("owner"), F.col("chunk_group"), F.col("chunk_idx")))
                    .join(groups, ["doc_id", "_path"], "left").withColumns(
                        {"_json": json_object(*fields, inner), "_large": F.coalesce("_large", F.lit(False))}))
-        if part is not None:
-            own = cut_lineage(own.select(*CHUNK, "owner_id", "_json", "_large", F.length("_json").alias("_n")))
-            large = own.groupBy("doc_id", "owner").agg(F.sum(F.col("_n") + 1).alias("_n")).where(F.col("_n") > part).select("doc_id", "owner")
-            parts.append(_parts(own.join(large, ["doc_id", "owner"], "left_semi"), part))
-            own = own.join(large, ["doc_id", "owner"], "left_anti")
-        groups = _grouped(own, limit)
-        if level > 1:
-            groups = cut_lineage(groups)
+        if part is None:
+            groups = _grouped(own, _sizes(own).where((F.col("_n") > limit) | F.col("_large")))
+            if level > 1:
+                groups = cut_lineage(groups)
+            continue
+        own = own.select(*CHUNK, "owner_id", "_json", "_large", F.length("_json").alias("_n"))
+        if level < deepest:
+            here = kept(lambda: [own])
+            for done in (last, above if level == 1 else None):
+                if done is not None:
+                    done.drop()
+            last, own = here, here[0]
+        long = F.col("_n") > part
+        apart = stored(_sizes(own).where(long | (F.col("_n") > limit) | F.col("_large")).select("doc_id", "owner", long.alias("_long")))
+        n_long, n_apart = apart.where("_long").count(), apart.count()
+        # An owner fits into one task here. Rows of the document itself meet by its id alone, as they meet it below.
+        fitting = own.join(small(apart, n_apart), ["doc_id", "owner"], "left_anti") if n_apart else own
+        groups = _grouped(fitting.repartition("doc_id", *(["owner"] if level > 1 else [])), apart.where("NOT _long") if n_apart > n_long else None)
+        if n_long:
+            owners = stored(apart.where("_long").join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "owner"))
+            rows_apart = _parts(own.join(small(owners, n_long), ["doc_id", "owner"], "left_semi"), part)
+            parts.append(stored(rows_apart) if level > 1 else rows_apart)
     full = docs.join(groups.where("_path = ''"), "doc_id", "left")
     whole = ~F.coalesce("_large", F.lit(False))
     text = json_object(
@@ -81,38 +100,50 @@ def nest_docs(docs: DataFrame, chunks: DataFrame, embeddings: DataFrame | None =
         ("content_chunk_group", json_string(F.col("content_chunk_group"))),
         ("metadata", F.col("metadata")), ("annotations", F.col("annotations")), inner)
     out = full.select("doc_id", F.when(whole, text).alias("json"), F.when(~whole, F.lit("document_too_large")).alias("reason"))
-    known = docs.select("doc_id").distinct()
-    for rows in parts:
-        out = out.unionByName(rows.join(known, "doc_id", "left_semi"))
+    for rows_apart in parts:
+        out = out.unionByName(rows_apart)
     return out
 
 
 def _parts(rows: DataFrame, part: int) -> DataFrame:
-    """(doc_id, json, reason): the chunks ``rows(*CHUNK, owner_id, _json, _n)`` as objects of about ``part`` characters."""
-    placed = running_before(rows, GROUP, "chunk_idx", {"_before": F.col("_n") + 1, "_at": F.lit(1)})
-    runs = placed.groupBy(*GROUP, F.floor(F.col("_before") / part).alias("_run")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_json"))), lambda x: x["_json"]), ",").alias("_arr"),
-        F.min("_at").alias("_at"), F.max("owner_id").alias("owner_id"))
-    continues = json_object(("owner", json_string(F.col("owner"))), ("owner_id", json_string(F.col("owner_id"))), ("at", F.col("_at").cast("string")))
+    """(doc_id, json, reason): the chunks ``rows(*CHUNK, owner_id, _json, _n)`` as objects of at most about ``part`` characters.
+
+    Texts are shuffled once, by block of the index, and every block is cut for itself; where a block begins is
+    counted without the texts."""
+    block = [*GROUP, "_blk"]
+    blocked = rows.withColumn("_blk", block_no("chunk_idx", TEXT_BLOCK))
+    begin = stored(block_prefix(blocked.groupBy(*block).agg(F.count(F.lit(1)).alias("_rows")), GROUP, {"_begin": "_rows"}))
+    w = Window.partitionBy(*block).orderBy("chunk_idx").rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocked.repartition(*block).select("*", F.coalesce(F.sum(F.col("_n") + 1).over(w), F.lit(0)).alias("_before"), F.count(F.lit(1)).over(w).alias("_in"))
+    runs = placed.groupBy(*block, F.floor(F.col("_before") / part).alias("_run")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_in", "_json"))), lambda x: x["_json"]), ",").alias("_arr"),
+        F.min("_in").alias("_in"), F.max("owner_id").alias("owner_id")).join(begin, block, "left")
+    at = F.coalesce("_begin", F.lit(0)) + F.col("_in")
+    continues = json_object(("owner", json_string(F.col("owner"))), ("owner_id", json_string(F.col("owner_id"))), ("at", at.cast("string")))
     chunks = F.concat(F.lit("{"), json_string(F.col("chunk_group")), F.lit(":["), F.col("_arr"), F.lit("]}"))
     text = json_object(("id", json_string(F.col("doc_id"))), ("continues", continues), ("chunks", chunks))
     return runs.select("doc_id", text.alias("json"), F.lit(None).cast("string").alias("reason"))
 
 
-def _grouped(rows: DataFrame, limit: int) -> DataFrame:
+def _sizes(rows: DataFrame) -> DataFrame:
+    """Characters of the objects of every owner, and whether one of them is too large for a cell."""
+    return rows.groupBy("doc_id", "owner").agg(F.sum(F.length("_json") + 1).alias("_n"), F.max("_large").alias("_large"))
+
+
+def _grouped(rows: DataFrame, large: DataFrame | None) -> DataFrame:
     """(doc_id, _path, _groups, _large) of the owners of ``rows``: their groups as members of a JSON object.
 
-    Sizes are summed apart from the texts; the texts of an owner too large for a cell are not moved.
+    Sizes are summed apart from the texts; the texts of the owners ``large``, too large for a cell, are not moved.
     """
-    sizes = rows.groupBy("doc_id", "owner").agg(((F.sum(F.length("_json") + 1) > limit) | F.max("_large")).alias("_large"))
-    large = sizes.where("_large")
-    fitting = rows.join(large.select("doc_id", "owner"), ["doc_id", "owner"], "left_anti")
-    arrays = concat_ordered(fitting, GROUP, "chunk_idx", "_json", ",", "_arr", limit)
+    fitting = rows if large is None else rows.join(large.select("doc_id", "owner"), ["doc_id", "owner"], "left_anti")
+    arrays = concat_ordered(fitting, GROUP, "chunk_idx", "_json", ",", "_arr", None)
     member = lambda g: F.concat(json_string(g["chunk_group"]), F.lit(":["), g["_arr"], F.lit("]"))
     groups = arrays.groupBy("doc_id", "owner").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_group", "_arr"))), member), ",").alias("_groups"))
-    return (groups.withColumn("_large", F.lit(False)).unionByName(large.withColumn("_groups", F.lit(None).cast("string")))
-            .withColumnRenamed("owner", "_path"))
+    groups = groups.withColumn("_large", F.lit(False))
+    if large is not None:
+        groups = groups.unionByName(large.select("doc_id", "owner", F.lit(None).cast("string").alias("_groups"), F.lit(True).alias("_large")))
+    return groups.withColumnRenamed("owner", "_path")
 
 
 def write_docs(docs: DataFrame, chunks: DataFrame, path: str, mode: str = "errorifexists",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docflow.functions.jsonx import json_kind
 from docflow.operators.tree import level_of, path_of
 from docflow.schemas import as_chunks, as_docs
-from docflow.session import cut_lineage
+from docflow.session import stored
 
 # Members of a document object; chunks stay JSON texts until their level is parsed.
 OBJECT = ("struct<id:string,parent:string,start:string,length:string,content:variant,content_chunk_group:string,metadata:string,"
@@ -37,7 +37,7 @@ def parse_docs(texts: DataFrame, json_col: str = "json") -> tuple[DataFrame, Dat
     for level in _levels(good):
         rows = level.select(
             "doc_id", "owner", "owner_id", "chunk_group", "chunk_idx", F.col("o.id").alias("chunk_id"),
-            F.coalesce("o.parent", "owner_id").alias("parent"), F.col("o.start").try_cast("int").alias("start"), F.col("o.length").try_cast("int").alias("length"), _content().alias("content"),
+            F.coalesce("o.parent", "owner_id").alias("parent"), F.col("o.start").try_cast("int").alias("start"), F.col("o.length").try_cast("int").alias("length"), F.col("o.content").alias("content"),
             "o.metadata", "o.annotations", level_of(F.col("owner")).alias("depth"), "o.content_chunk_group")
         chunks = rows if chunks is None else chunks.unionByName(rows)
     docs = docs.withColumn("sha256", F.sha2("content", 256)).withColumn("size_bytes", F.octet_length("content"))
@@ -56,10 +56,11 @@ def _continued() -> Column:
 
 
 def _children(owners: DataFrame) -> DataFrame:
-    """Chunks of ``owners(doc_id, owner, owner_id, at, o)``; the first of each group has index ``at``."""
+    """Chunks of ``owners(doc_id, owner, owner_id, at, o)``, their content a string; the first of each group has index ``at``."""
     items = owners.select("doc_id", "owner", "owner_id", "at", F.explode("o.chunks").alias("chunk_group", "items"))
     return items.select("doc_id", "owner", "owner_id", "chunk_group", "at", F.posexplode("items").alias("_i", "_j")).select(
-        "doc_id", "owner", "owner_id", "chunk_group", (F.col("_i") + F.col("at")).alias("chunk_idx"), F.from_json("_j", OBJECT).alias("o"))
+        "doc_id", "owner", "owner_id", "chunk_group", (F.col("_i") + F.col("at")).alias("chunk_idx"), F.from_json("_j", OBJECT).alias("o")).withColumn(
+        "o", F.col("o").withField("content", _content()))
 
 
 def _levels(objects: DataFrame) -> Iterator[DataFrame]:
@@ -73,8 +74,8 @@ def _levels(objects: DataFrame) -> Iterator[DataFrame]:
         deeper = level.where(F.col("o.chunks").isNotNull())
         if deeper.isEmpty():
             return
-        level = cut_lineage(_children(deeper.select("doc_id", path_of(F.col("owner"), F.col("chunk_group"), F.col("chunk_idx")).alias("owner"),
-                                                    F.col("o.id").alias("owner_id"), F.lit(0).alias("at"), "o")))
+        level = stored(_children(deeper.select("doc_id", path_of(F.col("owner"), F.col("chunk_group"), F.col("chunk_idx")).alias("owner"),
+                                               F.col("o.id").alias("owner_id"), F.lit(0).alias("at"), "o")))
 
 
 def parse_embeddings(texts: DataFrame, json_col: str = "json") -> DataFrame:

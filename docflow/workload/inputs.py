@@ -38,9 +38,11 @@ def nested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     inner = members.select("doc_id", "master_id", "child_id", F.col("chunk_idx").alias("place"))
     top = members.select(F.col("master_id").alias("doc_id"), "chunk_group", "chunk_idx", F.col("child_id").alias("chunk_id"),
                          F.col("master_id").alias("parent"), F.lit(1).alias("depth"), F.lit("lines").alias("content_chunk_group"))
-    below = lines(spark, sf_dir).select("doc_id", "chunk_group", "chunk_idx", "chunk_id", "content").join(inner, "doc_id").select(
+    # Only texts and their places are joined; all else is made of these behind the join.
+    below = lines(spark, sf_dir).select("doc_id", "chunk_idx", "content").join(inner, "doc_id").select(
         F.col("master_id").alias("doc_id"), path_of(F.lit(""), F.lit("sources"), F.col("place")).alias("owner"), F.col("child_id").alias("owner_id"),
-        "chunk_group", "chunk_idx", "chunk_id", F.col("child_id").alias("parent"), "content", F.lit(2).alias("depth"))
+        F.lit("lines").alias("chunk_group"), "chunk_idx", F.concat("doc_id", F.lit("/lines@"), F.col("chunk_idx").cast("string")).alias("chunk_id"),
+        F.col("child_id").alias("parent"), "content", F.lit(2).alias("depth"))
     return as_docs(masters), as_chunks(top).unionByName(as_chunks(below))
 
 

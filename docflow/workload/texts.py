@@ -11,7 +11,7 @@ from docflow.operators import content as C
 from docflow.operators.validate import POSITIVE_INT, REQUIRED, split_valid
 from docflow.schemas import as_chunks, as_docs
 from docflow.sources.files import register_files, wrap_documents
-from docflow.session import cut_lineage
+from docflow.session import kept
 from docflow.sinks.documents import PART, nest_docs
 from docflow.sources.docjson import parse_docs
 from docflow.workload.inputs import SQL_LINES, documents, lines, nested, sql_count
@@ -146,16 +146,29 @@ SELECT sha256(source) AS doc_id, CASE WHEN n = 1 THEN id || '_child' ELSE id END
 UNION ALL SELECT sha256(source), NULL, NULL, sha256(string_agg(t, '' ORDER BY doc_id)) FROM d GROUP BY source""")
 def _(spark, sf):
     """Masters of documents of lines, written as document objects, read back and resolved at all levels."""
-    objects = cut_lineage(nest_docs(*nested(spark, sf), part=PART).where("json IS NOT NULL").select("json"))
-    docs, chunks, _ = parse_docs(objects)
-    docs, chunks = C.resolve_content(docs, chunks, doc_limit=PART)
+    # The texts lie in the files of one step at a time, and of the next one while it is made.
+    objects = kept(lambda: [nest_docs(*nested(spark, sf), part=PART).where("json IS NOT NULL").select("json")])
+    parsed = kept(lambda: parse_docs(objects[0])[:2])
+    objects.drop()
+
+    def resolved():
+        docs, chunks = C.resolve_content(*parsed, doc_limit=PART, files=True)
+        return docs.select("doc_id", "content", "content_chunk_group", "reason"), chunks.where("chunk_group = 'sources'")
+
     # Read twice below, as members and as the texts of their masters.
-    docs, chunks = cut_lineage(docs), cut_lineage(chunks.where("chunk_group = 'sources'"))
-    hashes = docs.where("reason IS NULL").select("doc_id", F.sha2("content", 256).alias("content_hash")).unionByName(
-        C.text_sha256(docs.where("reason = 'text_too_long'"), chunks).withColumnRenamed("sha256", "content_hash"))
-    tops = hashes.select("doc_id", F.lit(None).cast("string").alias("node"), F.lit(None).cast("long").alias("idx"), "content_hash")
-    return chunks.select("doc_id", F.col("chunk_id").alias("node"), F.col("chunk_idx").cast("long").alias("idx"),
-                         F.sha2("content", 256).alias("content_hash")).unionByName(tops)
+    texts = kept(resolved)
+    parsed.drop()
+
+    def hashes():
+        docs, chunks = texts
+        tops = docs.where("reason IS NULL").select("doc_id", F.sha2("content", 256).alias("content_hash")).unionByName(
+            C.text_sha256(docs.where("reason = 'text_too_long'"), chunks).withColumnRenamed("sha256", "content_hash"))
+        yield chunks.select("doc_id", F.col("chunk_id").alias("node"), F.col("chunk_idx").cast("long").alias("idx"), F.sha2("content", 256).alias("content_hash")).unionByName(
+            tops.select("doc_id", F.lit(None).cast("string").alias("node"), F.lit(None).cast("long").alias("idx"), "content_hash"))
+
+    found = kept(hashes)
+    texts.drop()
+    return found[0]
 
 
 @query("combine_masters", """
