@@ -187,13 +187,22 @@ def _settle(nodes: DataFrame, limit: int, files: bool = False) -> tuple[DataFram
     shape = stored(typed.drop("text"))
     own_place = shape.select("node_id", *place)
     # Rows carry their place along where a node is one row; where ids repeat, places are looked up by id.
-    unique = stored(shape.where("node_id IS NOT NULL").groupBy("node_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")).isEmpty()
+    named = shape.where("node_id IS NOT NULL")
+    repeated = lambda key: not stored(named.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("c")).where("c > 1")).isEmpty()
+    unique = not (repeated(F.xxhash64("node_id")) and repeated(F.col("node_id")))
     groups = shape.where("kind = 'group'").select(F.col("node_id").alias("parent_id"), F.col("content_chunk_group").alias("chunk_group"), "most")
-    members = stored(groups.join(own_place, ["parent_id", "chunk_group"]).select("parent_id", "node_id", "idx"))
+    keys = ["parent_id", "chunk_group"]
+    if unique:
+        # Rows are counted where they are read, by the group they are in.
+        counted = lambda rows, out: rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(out)).join(groups.select(*keys), keys).select("parent_id", out)
+        needed = stored(counted(shape, "n"))
+    else:
+        members = stored(groups.join(own_place, keys).select("parent_id", "node_id", "idx"))
+        counted = lambda rows, out: members.join(rows.select("node_id"), "node_id", "left_semi").groupBy("parent_id").agg(F.count(F.lit(1)).alias(out))
+        needed = members.groupBy("parent_id").agg(F.count(F.lit(1)).alias("n"))
     spans = shape.where("kind = 'span'").select("node_id", "parent_id", "start", "length")
     spanned = not spans.isEmpty()
-    needed = members.groupBy("parent_id").agg(F.count(F.lit(1)).alias("n"))
-    childless = groups.join(members, "parent_id", "left_anti").select(F.col("parent_id").alias("node_id"), F.lit("").alias("text"), none)
+    childless = groups.join(needed, "parent_id", "left_anti").select(F.col("parent_id").alias("node_id"), F.lit("").alias("text"), none)
     columns = ["node_id", "text", "reason", *place, "n"]
     at_start = F.col("kind").isin("own", "empty")
     start = typed.where(at_start).select("node_id", "text", none, *place, "n")
@@ -213,16 +222,15 @@ def _settle(nodes: DataFrame, limit: int, files: bool = False) -> tuple[DataFram
 
     def wholes(no: int) -> DataFrame | None:
         """Texts of the groups whose last open member came in round ``no``."""
-        came = members.join(log(no=no, texts=False).where("reason IS NULL").select("node_id"), "node_id", "left_semi").groupBy("parent_id").agg(F.count(F.lit(1)).alias("came"))
+        came = counted(log(no=no, texts=False).where("reason IS NULL"), "came")
         written(came, f"{folder}/counts/round={no}")
         counts = spark.read.schema("parent_id string, came long, round int").parquet(f"{folder}/counts")
         so_far = counts.join(counts.where(F.col("round") == no).select("parent_id"), "parent_id", "left_semi").groupBy("parent_id").agg(
             F.sum("came").alias("came"), F.min("round").alias("since"))
-        ready = stored(so_far.join(needed, "parent_id").where("came = n").select("parent_id", "since").join(groups.distinct(), "parent_id"))
+        ready = stored(so_far.join(needed.hint("merge"), "parent_id").where("came = n").select("parent_id", "since").join(groups.distinct(), "parent_id"))
         since = ready.agg(F.min("since")).first()[0]
         if since is None:
             return None
-        keys = ["parent_id", "chunk_group"]
         rows = log(since).where("reason IS NULL")
         if not unique:
             texts = members.join(ready.groupBy("parent_id").agg(F.max("most").alias("most")), "parent_id").withColumn("chunk_group", F.lit("")).join(
@@ -230,9 +238,10 @@ def _settle(nodes: DataFrame, limit: int, files: bool = False) -> tuple[DataFram
             return placed(concat_ordered(texts, [*keys, "most"], "idx", "text", "", "text", F.col("most"), size="n").select(
                 F.col("parent_id").alias("node_id"), "text", F.when(F.col("text").isNull(), F.lit("text_too_long")).alias("reason")))
         # Sizes and places are found apart from the texts, so texts move once, and those of a group too long for a cell not at all.
-        sizes = log(since, texts=False).where("reason IS NULL").join(ready.select(*keys), keys).groupBy(*keys).agg(F.sum("n").alias("n"))
+        sizes = log(since, texts=False).where("reason IS NULL").groupBy(*keys).agg(F.sum("n").alias("n"))
         own = own_place.select(F.col("node_id").alias("parent_id"), F.struct(*place).alias("own"))
-        sized = stored(ready.select(*keys, "most").join(sizes, keys).join(own, "parent_id").select(*keys, "own", (F.col("n") <= F.col("most")).alias("fits")))
+        # Ids fill little room in a file, and much in memory: no broadcast by the size of files.
+        sized = stored(ready.hint("merge").select(*keys, "most").join(sizes, keys).join(own, "parent_id").select(*keys, "own", (F.col("n") <= F.col("most")).alias("fits")))
         fits, n = sized.where("fits").select(*keys, "own"), sized.where("fits").count()
         found = sized.where("NOT fits").select(F.col("parent_id").alias("node_id"), F.lit(None).cast("string").alias("text"), F.lit("text_too_long").alias("reason"), "own")
         if n:

@@ -59,23 +59,28 @@ def nest_docs(docs: DataFrame, chunks: DataFrame, embeddings: DataFrame | None =
     inner = ("chunks", F.concat(F.lit("{"), F.col("_groups"), F.lit("}")))
     groups, parts, above, last = None, [], None, None
     if part is not None:
-        above = kept(lambda: [rows])
+        # Objects without the chunks of their own; these are put in behind.
+        above = kept(lambda: [rows.select(*CHUNK, "owner_id", "_level", json_object(*fields).alias("_own")).withColumn("_n", F.length("_own"))])
         rows = above[0]
     deepest = rows.agg(F.max("_level")).first()[0] or 1
     for level in range(deepest, 0, -1):
         own = rows.where(F.col("_level") == level)
-        if groups is None:
-            own = own.withColumns({"_json": json_object(*fields), "_large": F.lit(False)})
-        else:
-            own = (own.withColumn("_path", path_of(F.col("owner"), F.col("chunk_group"), F.col("chunk_idx")))
-                   .join(groups, ["doc_id", "_path"], "left").withColumns(
-                       {"_json": json_object(*fields, inner), "_large": F.coalesce("_large", F.lit(False))}))
+        if groups is not None:
+            own = own.withColumn("_path", path_of(F.col("owner"), F.col("chunk_group"), F.col("chunk_idx"))).join(groups, ["doc_id", "_path"], "left")
+        large = F.coalesce("_large", F.lit(False)) if groups is not None else F.lit(False)
         if part is None:
-            groups = _grouped(own, _sizes(own).where((F.col("_n") > limit) | F.col("_large")))
+            own = own.withColumns({"_json": json_object(*fields, *([inner] if groups is not None else [])), "_large": large})
+            groups = _grouped(own, _sizes(own.withColumn("_n", F.length("_json"))).where((F.col("_n") > limit) | F.col("_large")))
             if level > 1:
                 groups = cut_lineage(groups)
             continue
-        own = own.select(*CHUNK, "owner_id", "_json", "_large", F.length("_json").alias("_n"))
+        if groups is None:
+            own = own.withColumnRenamed("_own", "_json")
+        else:
+            bare = F.substring(F.col("_own"), F.lit(1), F.col("_n") - 1)
+            filled = F.concat(bare, F.when(F.col("_n") > 2, ",").otherwise(""), F.lit('"chunks":'), inner[1], F.lit("}"))
+            own = own.withColumn("_json", F.when(F.col("_groups").isNull(), F.col("_own")).otherwise(filled)).withColumn("_n", F.length("_json"))
+        own = own.select(*CHUNK, "owner_id", "_json", large.alias("_large"), "_n")
         if level < deepest:
             here = kept(lambda: [own])
             for done in (last, above if level == 1 else None):
@@ -126,8 +131,8 @@ def _parts(rows: DataFrame, part: int) -> DataFrame:
 
 
 def _sizes(rows: DataFrame) -> DataFrame:
-    """Characters of the objects of every owner, and whether one of them is too large for a cell."""
-    return rows.groupBy("doc_id", "owner").agg(F.sum(F.length("_json") + 1).alias("_n"), F.max("_large").alias("_large"))
+    """Characters of the objects, ``_n`` each, of every owner, and whether one of them is too large for a cell."""
+    return rows.groupBy("doc_id", "owner").agg(F.sum(F.col("_n") + 1).alias("_n"), F.max("_large").alias("_large"))
 
 
 def _grouped(rows: DataFrame, large: DataFrame | None) -> DataFrame:

@@ -66,9 +66,9 @@ def _children(owners: DataFrame) -> DataFrame:
 def _levels(objects: DataFrame) -> Iterator[DataFrame]:
     """Chunks of the documents ``o``, chunks of these, and so on, as long as there are any."""
     placed = objects.withColumn("c", _continued())
-    level = _children(placed.select(F.col("o.id").alias("doc_id"), F.coalesce("c.owner", F.lit("")).alias("owner"),
-                                    F.when(F.col("c.owner").isNull(), F.col("o.id")).otherwise(F.col("c.owner_id")).alias("owner_id"),
-                                    F.when(F.col("c.owner").isNull(), 0).otherwise(F.coalesce("c.at", F.lit(0))).alias("at"), "o"))
+    level = stored(_children(placed.select(F.col("o.id").alias("doc_id"), F.coalesce("c.owner", F.lit("")).alias("owner"),
+                                           F.when(F.col("c.owner").isNull(), F.col("o.id")).otherwise(F.col("c.owner_id")).alias("owner_id"),
+                                           F.when(F.col("c.owner").isNull(), 0).otherwise(F.coalesce("c.at", F.lit(0))).alias("at"), "o")))
     while True:
         yield level
         deeper = level.where(F.col("o.chunks").isNotNull())
